@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm import bpe, html, media, shards, tokenfile
+from memloom.llm import bpe, html, media, shards, substrings, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_repeated_passages": substrings.op3_repeated_passages,
     "op5_media_fingerprint": media.op5_media_fingerprint,
     "op7_token_files": tokenfile.op7_token_files,
     "op8_byte_bpe": bpe.op8_byte_bpe,
