@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm import bpe, decontaminate, html, media, neardup, shards, substrings, tokenfile
+from memloom.llm import bpe, decontaminate, html, media, neardup, quality, shards, substrings, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": quality.op1_quality,
     "op2_near_duplicates": neardup.op2_near_duplicates,
     "op3_repeated_passages": substrings.op3_repeated_passages,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_benchmark_leaks": decontaminate.op6_benchmark_leaks,
     "op5_media_fingerprint": media.op5_media_fingerprint,
     "op7_token_files": tokenfile.op7_token_files,
