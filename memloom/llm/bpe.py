@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm.base import _BYTE, chunks, mix, powers, ragged, table
+from memloom.llm.base import _BYTE, chunks, flat, mix, powers, ragged, table
 
 #: White_Space beyond ASCII. Fixed values.
 _WHITE = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -322,12 +322,16 @@ def apply_rows(df: DataFrame, path: str, make: Callable, schema: str) -> DataFra
 
 
 def encode(df: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids array<int>) of documents (doc_id, text), which may have further columns."""
+    """(doc_id, ids, n_tokens, lossless) of documents (doc_id, text), which may have further columns; lossless: the ids decode to the text's bytes."""
 
     def make(part, vocabulary, ids, at):
-        return pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+        buf, off = flat(part.column(1))
+        data, ends = vocabulary.decode(ids, at)
+        same = [np.array_equal(data[a:b], buf[c:d]) for a, b, c, d in zip(ends[:-1], ends[1:], off[:-1], off[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(at), pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "lossless"])
 
-    return apply_rows(df, path, make, "doc_id long, ids array<int>")
+    return apply_rows(df, path, make, "doc_id long, ids array<int>, n_tokens long, lossless boolean")
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:

@@ -187,5 +187,10 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame
     return result
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """The documents that hold no item, with all their columns."""
+    return docs.join(find(docs, benchmark, rate).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
 def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))

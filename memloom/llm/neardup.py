@@ -31,6 +31,10 @@ PIVOTS = 3
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _times(k: int) -> np.uint64:
+    return np.uint64(k * int(_GOLD) & (1 << 64) - 1)
+
+
 def shingles(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of all rows in turn, in order in each row, and each row's first (one more at the end)."""
     words = Words(buf, off, lower=True)
@@ -63,7 +67,7 @@ def superminhash(h: np.ndarray, first: np.ndarray, slots: int) -> np.ndarray:
     order = np.broadcast_to(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(h), slots)).copy()
     place = np.arange(len(h))
     for j in range(slots):
-        draw = mix(h + np.uint64(j + 1) * _GOLD)
+        draw = mix(h + _times(j + 1))
         pick = j + ((draw >> np.uint64(40)) * np.uint64(slots - j) >> np.uint64(24)).astype(np.int64)
         slot = order[place, pick]
         order[place, pick] = order[place, j]
@@ -99,7 +103,7 @@ def signatures(df: DataFrame, width: int, bands: int = BANDS, per: int = ROWS) -
                 prints = [np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)]
                 if len(h):
                     for k in range(2):
-                        prints[k][full] = np.add.reduceat(mix(h ^ (_GOLD * np.uint64(k + 7))), first[:-1][full])
+                        prints[k][full] = np.add.reduceat(mix(h ^ _times(k + 7)), first[:-1][full])
                 keys = bands_of(superminhash(h, first, bands * per)[full], bands, per).reshape(-1)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(full))) * bands, pa.int32()), pa.array(keys, pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in prints), lists], ["doc_id", "n", "p1", "p2", "keys"])
@@ -188,6 +192,15 @@ def near_duplicates(df: DataFrame, width: int, percent: int = 80, bands: int = B
     return marked.join(reps, ["p1", "p2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def drop_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group: that of the smallest id, with all its columns; of rows of one id, one row."""
+    found = written(near_duplicates(df, width, percent), "groups")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = df.join(gone, "doc_id", "left_anti")
+    twice = not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null")) if twice else kept
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=2)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -171,8 +171,8 @@ def _earliest(block: Block, h: np.ndarray, valid: np.ndarray, right: pa.Table) -
 class Levels:
     """Documents in blocks, and the levels' answers."""
 
-    def __init__(self, df: DataFrame, block_bytes: int = BLOCK_BYTES):
-        rows = df.select("doc_id", "text")
+    def __init__(self, df: DataFrame, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()):
+        rows = df.select("doc_id", "text", *([F.struct(*carry).alias("rest")] if carry else []))
         total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.ranges = max(1, -(-total // block_bytes))
         self.docs = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(self.ranges)).cast("int")).repartition("block")
@@ -252,7 +252,8 @@ def _cut(key: tuple, rows: pa.Table, right: pa.Table, length: int) -> pa.Table:
             texts = [t if t is None or not r else left[a:b].decode("utf-8") for t, r, a, b in zip(part.column(1).to_pylist(), np.diff(removed).tolist(), sums[:-1], sums[1:], strict=True)]
             out.append(pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(np.diff(removed), pa.int64()), pa.array(joined, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept", "text"]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("text", pa.string())])
-    return pa.Table.from_batches([b.cast(schema) for b in out], schema)
+    done = pa.Table.from_batches([b.cast(schema) for b in out], schema)
+    return done.append_column("rest", rows["rest"]) if "rest" in rows.column_names else done
 
 
 def _digest(key: tuple, rows: pa.Table, right: pa.Table, length: int) -> pa.Table:
@@ -260,8 +261,8 @@ def _digest(key: tuple, rows: pa.Table, right: pa.Table, length: int) -> pa.Tabl
     return cut.drop_columns(["kept", "text"]).append_column("kept_sha256", pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in cut["kept"]], pa.string()))
 
 
-def _removed(df: DataFrame, length: int, block_bytes: int, end, schema: str) -> DataFrame:
-    levels = Levels(df, block_bytes)
+def _removed(df: DataFrame, length: int, block_bytes: int, end, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    levels = Levels(df, block_bytes, carry)
     half = -(-length // 2)
     replies = levels.first(half, length)
     replies = levels.next(replies, half, length, anchored=True)
@@ -273,6 +274,16 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK
     return _removed(df, length, block_bytes, _cut, "doc_id long, n_words long, n_removed long, kept binary, text string")
 
 
+def cut_repeats(df: DataFrame, length: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, all their columns kept, with what repeats cut out of text and n_chars (if there) counted anew; untouched texts stay as they are."""
+    rest = tuple(c for c in df.columns if c not in ("doc_id", "text"))
+    kind = df.select(F.struct(*rest).alias("rest")).schema["rest"].dataType.simpleString() if rest else None
+    schema = "doc_id long, n_words long, n_removed long, kept binary, text string" + (f", rest {kind}" if rest else "")
+    found = _removed(df, length, block_bytes, _cut, schema, rest)
+    chosen = [F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("rest.n_chars")).cast(df.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in df.columns]
+    return found.select(*chosen)
+
+
 def longest_repeats(df: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The longest of length, 2 length, 4 length ... at which windows of a document repeat in others (doc_id, longest); documents without repeats are left out."""
     levels = Levels(df, block_bytes)

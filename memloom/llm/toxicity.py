@@ -216,6 +216,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of documents that score below the threshold, with all their columns."""
+    keys, weights, bias, place = model.keys, model.weights, model.bias, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = Model(keys, weights, bias)
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(place)], ["text"])
+            found = [fitted.scores(buf, off) for _, buf, off in chunks(texts)]
+            yield batch.filter(pa.array(np.concatenate(found) < threshold)) if found else batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of documents, learned from labels (doc_id, toxic)."""
     model = fit(*labelled(docs, labels, "toxic", DIVISOR, REST, rows))
