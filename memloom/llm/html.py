@@ -10,8 +10,8 @@ All other lines of the region are kept whole, short ones too.
 Left out wherever they stand, as lines of ratio 0: scripts, styles, templates, menus, forms, asides and footers; headers outside
 an article; and elements whose role, id or class names one of these, adverts, notices or comments.
 
-Null, empty and text-free pages give an empty text. Unclosed and crossed tags end with the container they are in, cut-off
-tags and references are read as the parser reads them. White space is that of str.split(). Repeated rows give repeated rows.
+Null, empty and text-free pages give an empty text. Unclosed and crossed tags end with the container they are in, a tag that
+the page's end cuts off is dropped, cut-off references are read as the parser reads them. White space is that of str.split(). Repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -147,6 +147,9 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """The page's main text, a line for each block."""
     page = Lines()
     if html:
+        cut = html.rfind("<")
+        if cut > html.rfind(">") and re.match(r"[A-Za-z/!]", html[cut + 1 :]):
+            html = html[:cut]  # a tag that the page's end cut off
         page.feed(html)
     page.finish()
     lines = page.lines

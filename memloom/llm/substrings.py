@@ -290,23 +290,25 @@ def longest_repeats(df: DataFrame, length: int = LENGTH, block_bytes: int = BLOC
     half, anchored, found = -(-length // 2), True, None
     replies = levels.first(half, length)
     while True:
-        at = length
-
         replies = written(levels.next(replies, half, length, anchored), "level")
-
-        def seen(key, rows, right, at=at):
-            block = Block(rows)
-            h, valid = block.windows(at)
-            spots, _, several = _earliest(block, h, valid, right)
-            docs = np.unique(block.owners(spots[several]))
-            return pa.table({"doc_id": pa.array(docs, pa.int64()), "longest": pa.array(np.full(len(docs), at), pa.int32())})
-
-        level = written(levels.docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(seen, "doc_id long, longest int"), "level")
+        level = written(levels.docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_seen(length), "doc_id long, longest int"), "level")
         found = level if found is None else found.unionByName(level)
         if level.isEmpty():
             return found.groupBy("doc_id").agg(F.max("longest").alias("longest"))
         half, length, anchored = length, 2 * length, False
 
 
+def _seen(length: int):
+    """The documents of a block that hold a window of `length` words that other documents hold."""
+
+    def run(key: tuple, rows: pa.Table, right: pa.Table) -> pa.Table:
+        block = Block(rows)
+        at, _, several = _earliest(block, *block.windows(length), right)
+        docs = np.unique(block.owners(at[several]))
+        return pa.table({"doc_id": pa.array(docs, pa.int64()), "longest": pa.array(np.full(len(docs), length), pa.int32())})
+
+    return run
+
+
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _removed(table(spark, sf_dir, "documents", "doc_id", "text"), LENGTH, BLOCK_BYTES, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
