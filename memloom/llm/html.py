@@ -4,8 +4,8 @@ The standard library's parser streams events into lines: a line is the text of o
 read for it and the containers it stands in. A line's ratio is its characters outside links over its tags; ratios are smoothed by
 a Gaussian, and the lines above a threshold (the smoothed ratios' standard deviation, their mean at most) form clusters. The
 region is the article or main element that holds most of the clusters' text, or else the deepest container that holds nearly
-all of it; of such a plain container, lines before the first and after the last cluster and lines of links alone are left out.
-All other lines of the region are kept whole, short ones too.
+all of it; of such a plain container lines of links alone are left out, and of the whole body the lines before
+the first cluster, but for headings right above it, and after the last one. All other lines of the region are kept whole, short ones too.
 
 Left out wherever they stand, as lines of ratio 0: scripts, styles, templates, menus, forms, asides and footers; headers outside
 an article; and elements whose role, id or class names one of these, adverts, notices or comments.
@@ -32,6 +32,7 @@ BREAKS = frozenset("address article aside blockquote body center dd details dial
 #: Elements that a line's place is told by.
 CONTAINERS = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form header html main menu nav ol search section table ul head".split())
 NEVER = frozenset("aside button canvas datalist dialog fieldset footer form head iframe input math menu nav noscript object script search select style svg template textarea title".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset(("article", "main"))
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Parts of a class or id.
@@ -60,11 +61,13 @@ class Lines(HTMLParser):
         self.pieces: list[str] = []
         self.tags = self.link_chars = 0
         self.lines: list[tuple[str, int, int, int]] = []
+        self.heads: list[bool] = []
 
     def end_line(self) -> None:
         if self.pieces:
             if text := " ".join("".join(self.pieces).split()):
                 self.lines.append((text, self.tags, self.link_chars, self.at))
+                self.heads.append(bool(self.open) and self.open[-1][0] in HEADINGS)
                 self.tags = 0
             self.pieces, self.link_chars = [], 0
 
@@ -169,8 +172,13 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
         inside[c] = inside[page.parents[c]]
     kept = [k for k, line in enumerate(lines) if inside[line[3]]]
     if not articles:
-        spots = [k for k in kept if dense[k]]
-        kept = [k for k in kept if spots[0] <= k <= spots[-1] and lines[k][2] < len(lines[k][0])]
+        from_, to = 0, len(lines)
+        if page.kinds[region] in ("page", "html", "body"):
+            spots = [k for k in kept if dense[k]]
+            from_, to = spots[0], spots[-1]
+            while from_ - 1 in kept and page.heads[from_ - 1]:
+                from_ -= 1
+        kept = [k for k in kept if from_ <= k <= to and lines[k][2] < len(lines[k][0])]
     return "\n".join(lines[k][0] for k in kept)
 
 
