@@ -7,8 +7,8 @@ the buckets; with 40 bands of 5 rows a pair at a similarity of 0.8 shares none w
 
 Equal sets are one representative from the start. Links are confirmed on full sets. Buckets are never expanded into pairs:
 each offers pairs with its first member, then pairs of members that are still apart with pivots, and only what is still
-apart after these is compared member by member, so that no link between components is lost and a large group of copies costs in
-proportion to its size. Groups grow by union of links, stars around the smallest id that are contracted until nothing changes.
+apart after these is compared member by member, by a bitmap that no link fails: no link between components is lost, and only
+pairs that are links, or all but, leave a bucket. Groups grow by union of links, stars around the smallest id that are contracted until nothing changes.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing. Rows of one doc_id are one document if
 their sets are equal, and otherwise linked by their id. Null ids stand alone. An empty table gives no rows.
@@ -27,7 +27,9 @@ from memloom.llm.base import Words, chunks, mix, runs, table, written
 
 BANDS, ROWS = 40, 5
 #: Rounds of pivots before members are compared one by one.
-PIVOTS = 3
+PIVOTS = 1
+#: 64-bit words of a document's bitmap.
+WORDS = 32
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -112,15 +114,19 @@ def signatures(df: DataFrame, width: int, bands: int = BANDS, per: int = ROWS) -
 
 
 def sets(df: DataFrame, width: int) -> DataFrame:
-    """doc_id and its set as hashes in order."""
+    """doc_id, its set as hashes in order, and the parities of its hashes in a bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, off in chunks(batch):
                 h, first = shingles(buf, off, width)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))], ["doc_id", "items"])
+                rows = len(first) - 1
+                bits = np.bincount(np.repeat(np.arange(rows), np.diff(first)) * (64 * WORDS) + (h >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=rows * 64 * WORDS) & 1
+                bits = np.packbits(bits.astype(np.uint8)).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * WORDS, pa.int32()), pa.array(bits))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64))), lists], ["doc_id", "items", "bits"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, items array<long>")
+    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, items array<long>, bits array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -143,7 +149,7 @@ def components(links: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough."""
     used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    items = items.join(used, "doc_id", "left_semi")
+    items = items.select("doc_id", "items").join(used, "doc_id", "left_semi")
     joined = pairs.join(items.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b").join(items.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a")
     both = F.size(F.array_intersect("items_a", "items_b"))
     return joined.withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("items_a") + F.size("items_b") - F.col("both"))).select("a", "b")
@@ -178,10 +184,13 @@ def near_duplicates(df: DataFrame, width: int, percent: int = 80, bands: int = B
             found = apart.where((F.col("component") != F.col("pivot.component")) & sized(F.col("n"), F.col("pivot.n")))
             pairs = found.select(*ends(F.col("doc_id"), F.col("pivot.doc_id"))).distinct()
         else:
-            one = apart.select("key", "doc_id", "n", "component").join(first.select("doc_id", "keys"), "doc_id")
-            other = one.select(F.col("key").alias("key_2"), F.col("doc_id").alias("doc_id_2"), F.col("n").alias("n_2"), F.col("component").alias("component_2"), F.col("keys").alias("keys_2"))
+            one = apart.select("key", "doc_id", "n", "component").join(first.select("doc_id", "keys"), "doc_id").join(items.select("doc_id", "bits"), "doc_id")
+            other = one.select(F.col("key").alias("key_2"), F.col("doc_id").alias("doc_id_2"), F.col("n").alias("n_2"), F.col("component").alias("component_2"), F.col("keys").alias("keys_2"), F.col("bits").alias("bits_2"))
             once = F.element_at(F.array_intersect("keys", "keys_2"), 1) == F.col("key")  # a pair counts in the first bucket that it shares
-            pairs = one.join(other, (F.col("key") == F.col("key_2")) & (F.col("component") < F.col("component_2")) & sized(F.col("n"), F.col("n_2")) & once).select(*ends(F.col("doc_id"), F.col("doc_id_2"))).distinct()
+            # A bit counts the shingles of its hash modulo 2: where two documents' bits differ, so do at least as many shingles.
+            differ = sum((F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("bits_2", F.lit(k)))) for k in range(1, WORDS)), F.bit_count(F.get("bits", F.lit(0)).bitwiseXOR(F.get("bits_2", F.lit(0)))))
+            enough = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("n_2"))
+            pairs = one.join(other, (F.col("key") == F.col("key_2")) & (F.col("component") < F.col("component_2")) & sized(F.col("n"), F.col("n_2")) & enough & once).select(*ends(F.col("doc_id"), F.col("doc_id_2"))).distinct()
         links = confirmed(written(pairs, "pairs"), items, percent)
         star = groups.select(F.col("component").alias("a"), F.col("node").alias("b"))
         groups = components(star.unionByName(links))
