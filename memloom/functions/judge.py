@@ -56,7 +56,8 @@ def comma_f1(pred: Column, gold: Column) -> Column:
 def category_f1(category: Column, golds: Column, pred: Column) -> Column:
     """Category 1 by commas, others as one answer; the best of the accepted answers, 0 without any."""
     usable = F.filter(golds, lambda g: g != "")
-    many, one = (F.array_max(F.transform(usable, lambda g, f=f: f(pred, g))) for f in (comma_f1, single_f1))
+    many = F.array_max(F.transform(usable, lambda g: comma_f1(pred, g)))
+    one = F.array_max(F.transform(usable, lambda g: single_f1(pred, g)))
     return F.when(F.coalesce(pred, F.lit("")) == "", F.lit(0.0)).otherwise(F.coalesce(F.when(category == 1, many).otherwise(one), F.lit(0.0)))
 
 
