@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from memloom.functions.extract import recommendations
 from memloom.functions.text import let, normalize, strip
@@ -105,7 +106,7 @@ def judged(kind: Column, golds: Column, pred: Column, verdict: Column) -> Column
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rouge_l(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The best F-measure of the longest common subsequence with any reference, on runs of a-z and 0-9. SQL has no such recursion over words."""
     import re
@@ -130,7 +131,7 @@ def rouge_l(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
         yield pd.Series([one(g, p) for g, p in zip(golds, preds)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similar_share(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The share of titles that some recommendation equals or resembles by a ratio of 0.9 (the standard library's matcher)."""
     from difflib import SequenceMatcher
