@@ -30,6 +30,8 @@ BANDS, ROWS = 40, 5
 PIVOTS = 1
 #: 64-bit words of a document's bitmap.
 WORDS = 32
+#: Links that one task joins by union-find at most.
+TASK_LINKS = 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,21 +131,54 @@ def sets(df: DataFrame, width: int) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, items array<long>, bits array<long>")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and the smallest node that links (a, b) lead to, for the nodes of links, by stars that are contracted until nothing changes."""
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links and the smallest node each leads to."""
+    nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:  # roots of roots
+            up = root[root]
+            if np.array_equal(up, root):
+                break
+            root = up
+    return nodes, nodes[root]
+
+
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = list(batches)
+    if held:
+        u, v = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in range(2))
+        node, root = joined(u, v)
+        for at in range(0, len(node), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(node[at : at + (1 << 16)]), pa.array(root[at : at + (1 << 16)])], ["u", "v"])
+
+
+def components(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
+    """node and the smallest node that links (a, b) lead to, for the nodes of links.
+
+    Union-find joins up to `task_links` links in a task. If there are more, what the tasks have found are stars that overlap: they
+    are contracted around their smallest nodes until nothing changes.
+    """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    seen = None
-    while True:
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen or not now[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = now
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "links")
+    tasks = -(-edges.count() // task_links)
+    forest = edges.coalesce(max(1, tasks)).mapInArrow(_union, "u long, v long")
+    if tasks > 1:
+        edges, seen = written(forest.where("u > v").distinct(), "links"), None
+        while (now := tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())) != seen:
+            seen = now
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            edges = written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "links")
+        forest = edges
+    return written(forest.where("u > v").select(F.col("u").alias("node"), F.col("v").alias("component")), "components")
 
 
 def confirmed(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:

@@ -21,4 +21,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_text": html.op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators hash, learn, embed or parse in ways that SQL lacks, or (near duplicates) would compare all pairs in it; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op3_repeated_passages": substrings.OP3_SQL}

@@ -312,3 +312,16 @@ def _seen(length: int):
 
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _removed(table(spark, sf_dir, "documents", "doc_id", "text"), LENGTH, BLOCK_BYTES, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+#: The query's rows by SQL alone.
+OP3_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+ p AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13),
+ h AS (SELECT doc_id, i, md5(array_to_string(words[i : i + 12], ' ')) AS h FROM p),
+ m AS (SELECT h, min(doc_id) AS least FROM h GROUP BY h),
+ c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM h JOIN m USING (h) WHERE least < doc_id),
+ e AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM w),
+ k AS (SELECT e.doc_id, sum(CASE WHEN c.j IS NULL THEN 0 ELSE 1 END) AS n, string_agg(CASE WHEN c.j IS NULL THEN word END, ' ' ORDER BY e.j) AS kept FROM e LEFT JOIN c ON e.doc_id = c.doc_id AND e.j = c.j GROUP BY e.doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""

@@ -93,6 +93,19 @@ def test_near_duplicates_of_repeated_and_no_rows(spark, docs, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, c) in groups(pairs(docs), 5).items() if c == i}
 
 
+def test_components(spark):
+    rng = np.random.default_rng(4)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (330, 2))] + [(k, k + 1) for k in range(1000, 1060)]
+    root = {x: x for link in links for x in link}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    expected = {x: r for x, r in root.items() if x != r}
+    for most in (20, 1000):
+        found = neardup.components(spark.createDataFrame(links, "a long, b long"), most).collect()
+        assert {r.node: r.component for r in found} == expected and len(found) == len(expected)
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(1)
     errors = []
