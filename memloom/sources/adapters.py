@@ -107,7 +107,7 @@ def long_data(raw: DataFrame) -> DataFrame:
         back = F.locate(mark[::-1], F.reverse("prompt"))
         cut = n - back - len(mark) + 2  # the mark's place from 1
         tail = F.substring("prompt", cut + len(mark), n)
-        tail = F.when(F.locate("\nA:", tail) > 0, F.substring_index(tail, "\nA:", F.size(F.split(tail, "\nA:")) - 1)).otherwise(tail)
+        tail = F.when(F.locate("\nA:", tail) > 0, F.regexp_extract(tail, r"(?ds)^(.*)\nA:", 1)).otherwise(tail)
         return let(F.struct(strip(F.left("prompt", cut - 1)).alias("context"), strip(tail).alias("question")), lambda x: F.when((back > 0) & (x["context"] != "") & (x["question"] != ""), x))
 
     found = raw.withColumn("p", F.coalesce(split_at("\n\nQuestion:"), split_at("\n\nQ:"))).where("p is not null")
