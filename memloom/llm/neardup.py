@@ -11,7 +11,7 @@ apart after these is compared member by member, by a bitmap that no link fails:
 pairs that are links, or all but, leave a bucket. Groups grow by union of links, stars around the smallest id that are contracted until nothing changes.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing. Rows of one doc_id are one document if
-their sets are equal, and otherwise linked by their id. Null ids stand alone. An empty table gives no rows.
+their sets are equal, and otherwise linked by their id. Rows without an id stand alone and have no component. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -233,7 +233,7 @@ def near_duplicates(df: DataFrame, width: int, percent: int = 80, bands: int = B
         copies = full.join(first.select("p1", "p2", F.col("doc_id").alias("rep")), ["p1", "p2"]).where("doc_id <> rep").join(first.select("doc_id"), "doc_id", "left_semi")
         groups = components(groups.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
     reps = first.select("p1", "p2", F.col("doc_id").alias("node")).join(groups, "node", "left").select("p1", "p2", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(reps, ["p1", "p2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return marked.join(reps, ["p1", "p2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
 def drop_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
