@@ -195,8 +195,8 @@ def sample_fixed(d):
 
 @sql("mixture")
 def mixture(d):
-    """Lengths are filtered first, then each source gives its rows of the smallest hashes."""
-    return "SELECT doc_id, source, CAST(row_number() OVER (ORDER BY md5(concat('0|mix|', CAST(doc_id AS STRING))), doc_id) AS BIGINT) AS place FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat('0|', source, '|', CAST(doc_id AS STRING))), doc_id) AS rn FROM [documents] WHERE n_chars BETWEEN 20 AND 20000) t WHERE rn <= 6"
+    """Lengths are filtered first, then each source gives its rows of the smallest hashes; the shuffled order is that of place, which needs no window over all rows."""
+    return "SELECT doc_id, source, md5(concat('0|mix|', CAST(doc_id AS STRING))) AS place FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat('0|', source, '|', CAST(doc_id AS STRING))), doc_id) AS rn FROM [documents] WHERE n_chars BETWEEN 20 AND 20000) t WHERE rn <= 6"
 
 
 @sql("mix_length_filter")
@@ -228,9 +228,11 @@ def stratified_memory(spark, sf_dir):
     return regroup.stratified(pool, "label", "doc_id", 30, 3)
 
 
-@sql("ttl_episodes")
-def ttl_episodes(d):
-    return f"SELECT CAST(g AS BIGINT) AS episode, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, {d.floor_div('row_number() OVER (ORDER BY doc_id) - 1', '8')} AS g FROM [labels] WHERE doc_id % 4 = 0) t GROUP BY g HAVING count(*) = 8"
+@query("ttl_episodes", "SELECT CAST(g AS BIGINT) AS episode, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS g FROM labels WHERE doc_id % 4 = 0) t GROUP BY g HAVING count(*) = 8")
+def ttl_episodes(spark, sf_dir):
+    """Eight test questions an episode, in order, the incomplete tail dropped."""
+    asked = regroup.dense_index(read(spark, sf_dir, "labels").where("doc_id % 4 = 0").select("doc_id"), "doc_id")
+    return asked.groupBy(F.expr("idx DIV 8").alias("episode")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n = 8")
 
 
 @sql("sample_manifest")
