@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from memloom.functions.text import let
+
 #: The step of tokens that are never evicted, and of padding. Fixed value.
 NEVER = 1 << 30
 
@@ -20,20 +22,19 @@ def running(lengths: Column) -> Column:
 
 
 def chunk_spans(lengths: Column) -> Column:
-    sums = running(lengths)
-    return F.transform(lengths, lambda x, i: F.struct(F.get(sums, i).alias("s"), (F.get(sums, i) + x).alias("e")))
+    return let(running(lengths), lambda sums: F.transform(lengths, lambda x, i: F.struct(F.get(sums, i).alias("s"), (F.get(sums, i) + x).alias("e"))))
 
 
 def evict_schedule(lengths: Column, chunk_limit: Column, token_limit: Column, sinks: Column) -> Column:
     """For each chunk the first later chunk at which it no longer fits, by count or by tokens (sinks counted); the number of chunks if it always fits, and for sinks."""
-    sums, n = running(lengths), F.size(lengths)
-    sink_tokens = F.get(sums, F.least(sinks, n))
+    n = F.size(lengths)
 
-    def leaves(j: Column) -> Column:
-        later = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i > j) & ((i - j + 1 > chunk_limit) | ((token_limit > 0) & (sink_tokens + F.get(sums, i + 1) - F.get(sums, j) > token_limit))))
-        return F.when(j < sinks, n).otherwise(F.coalesce(F.array_min(later), n))
+    def leaves(sums: Column, j: Column) -> Column:
+        sink_tokens = F.get(sums, F.least(sinks, n))
+        later = F.filter(F.sequence(j, n - 1), lambda i: (i > j) & ((i - j + 1 > chunk_limit) | ((token_limit > 0) & (sink_tokens + F.get(sums, i + 1) - F.get(sums, j) > token_limit))))
+        return F.when(j < sinks, n).otherwise(F.coalesce(F.get(later, F.lit(0)), n))
 
-    return F.transform(indices(n), leaves)
+    return let(running(lengths), lambda sums: F.transform(indices(n), lambda j: leaves(sums, j)))
 
 
 def per_token(lengths: Column, values: Column) -> Column:
@@ -54,11 +55,14 @@ def sliding_starts(n: Column, size: int, overlap: int) -> Column:
 
 def marked_spans(ids: Column, marker: int, size: int) -> Column:
     """Spans that begin at each marker (and at the start), cut to `size`."""
-    n = F.size(ids)
-    begins = F.filter(indices(n), lambda i: (i == 0) | (F.get(ids, i) == marker))
-    ends = F.transform(begins, lambda b, k: F.coalesce(F.get(begins, k + 1), n))
-    pieces = F.zip_with(begins, ends, lambda b, e: F.transform(F.sequence(b, e - 1, F.lit(size)), lambda s: F.struct(s.alias("s"), F.least(s + size, e).alias("e"))))
-    return F.flatten(pieces)
+
+    def cut(begins: Column, n: Column) -> Column:
+        ends = F.transform(begins, lambda b, k: F.coalesce(F.get(begins, k + 1), n))
+        pieces = F.zip_with(begins, ends, lambda b, e: F.transform(F.sequence(b, e - 1, F.lit(size)), lambda s: F.struct(s.alias("s"), F.least(s + size, e).alias("e"))))
+        return F.flatten(pieces)
+
+    begins = lambda all_: F.filter(indices(F.size(all_)), lambda i: (i == 0) | (F.get(all_, i) == marker))
+    return let(ids, lambda all_: let(begins(all_), lambda found: cut(found, F.size(all_))))
 
 
 def sink_end(tokens: Column, page: int = 32) -> Column:
