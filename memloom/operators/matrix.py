@@ -16,7 +16,7 @@ FAMILIES = {
 }
 SHORT, LONG = ("state-8k", "truncate-256k", "truncate-8k"), ("state-32k", "truncate-256k", "truncate-32k")
 ALIGN = ("truncate-256k", "truncate-128k")
-MODELS = ("livemem", "qwen3-4b", "delta", "c2l", "rag", "recurrent")
+MODELS = ("memory", "qwen3-4b", "delta", "c2l", "rag", "recurrent")
 
 
 def datasets(spark: SparkSession) -> DataFrame:
@@ -33,7 +33,7 @@ def runs(spark: SparkSession) -> DataFrame:
         .when(aligned, F.array().cast("array<string>"))
         .when((m == "rag") & F.col("pack"), F.array().cast("array<string>"))
         .when(m.isin("rag", "recurrent"), F.array(F.lit("truncate-256k")))
-        .when(m == "livemem", F.col("profiles"))
+        .when(m == "memory", F.col("profiles"))
         .otherwise(F.slice("profiles", 2, 2))
     )
     every = models.crossJoin(datasets(spark)).select("model", "dataset", F.explode(wanted).alias("profile"))  # six models by 31 datasets

@@ -92,7 +92,7 @@ def memory_query_split(spark, sf_dir):
 _RUNS = ", ".join(f"('{m}', '{d}', '{f}', {'true' if '_pack' in d else 'false'}, '{'x' if f == 'align' else 's' if f == 'wiki' or d == 'locomo_single' else 'l'}')" for m in matrix.MODELS for f, names in matrix.FAMILIES.items() for d in names)
 
 
-@query("run_matrix", f"WITH r(model, dataset, family, pack, tier) AS (VALUES {_RUNS}), w AS (SELECT *, unnest(CASE tier WHEN 'x' THEN ['truncate-256k', 'truncate-128k'] WHEN 's' THEN ['state-8k', 'truncate-256k', 'truncate-8k'] ELSE ['state-32k', 'truncate-256k', 'truncate-32k'] END) AS profile FROM r) SELECT model, dataset, profile, CASE WHEN profile LIKE 'state%' THEN profile ELSE 'truncate' END AS pool FROM w WHERE CASE WHEN family = 'align' THEN model IN ('qwen3-4b', 'delta') WHEN model = 'rag' THEN NOT pack AND profile = 'truncate-256k' WHEN model = 'recurrent' THEN profile = 'truncate-256k' WHEN model = 'livemem' THEN true ELSE profile NOT LIKE 'state%' END")
+@query("run_matrix", f"WITH r(model, dataset, family, pack, tier) AS (VALUES {_RUNS}), w AS (SELECT *, unnest(CASE tier WHEN 'x' THEN ['truncate-256k', 'truncate-128k'] WHEN 's' THEN ['state-8k', 'truncate-256k', 'truncate-8k'] ELSE ['state-32k', 'truncate-256k', 'truncate-32k'] END) AS profile FROM r) SELECT model, dataset, profile, CASE WHEN profile LIKE 'state%' THEN profile ELSE 'truncate' END AS pool FROM w WHERE CASE WHEN family = 'align' THEN model IN ('qwen3-4b', 'delta') WHEN model = 'rag' THEN NOT pack AND profile = 'truncate-256k' WHEN model = 'recurrent' THEN profile = 'truncate-256k' WHEN model = 'memory' THEN true ELSE profile NOT LIKE 'state%' END")
 def run_matrix(spark, sf_dir):
     return matrix.runs(spark)
 

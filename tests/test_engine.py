@@ -158,7 +158,7 @@ def test_pieces_keep_the_text(spark):
 
 def test_matrix(spark):
     counts = {r.model: r["count"] for r in matrix.runs(spark).groupBy("model").count().collect()}
-    assert counts == {"livemem": 72, "qwen3-4b": 62, "delta": 62, "c2l": 48, "rag": 21, "recurrent": 24}
+    assert counts == {"memory": 72, "qwen3-4b": 62, "delta": 62, "c2l": 48, "rag": 21, "recurrent": 24}
 
 
 def test_streams_are_batches(spark, tmp_path):
