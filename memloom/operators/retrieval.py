@@ -10,10 +10,12 @@ from memloom.functions.text import bm25_tokens
 K1, B = 1.5, 0.75
 
 
-def postings(units: DataFrame) -> DataFrame:
-    """(term, unit_id, tf, size) of units (unit_id, text)."""
+def postings(units: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(term, unit_id, tf, size) of units (unit_id, text), for some terms (term) or all: others go before anything is grouped."""
     tokens = units.select("unit_id", bm25_tokens(F.col("text")).alias("tokens"))
-    return tokens.select("unit_id", F.size("tokens").alias("size"), F.explode("tokens").alias("term")).groupBy("term", "unit_id").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+    each = tokens.select("unit_id", F.size("tokens").alias("size"), F.explode("tokens").alias("term"))
+    each = each.join(terms, "term", "left_semi") if terms is not None else each
+    return each.groupBy("term", "unit_id").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
 
 
 def bm25(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -24,7 +26,7 @@ def bm25(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     words = bm25_tokens(F.col("text"))
     totals = units.agg(F.count("*").alias("n"), F.avg(F.size(words)).alias("mean"))
     wanted = queries.select("query_id", F.explode(F.array_distinct(words)).alias("term"))
-    found = postings(units).join(wanted.select("term").distinct(), "term", "left_semi")
+    found = postings(units, wanted.select("term").distinct())
     weight = found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals)).select("term", "n", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row of totals
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
     scored = found.join(weight, "term").select("term", "unit_id", part.alias("part")).join(wanted, "term").groupBy("query_id", "unit_id").agg(F.sum("part").alias("score"))
