@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memloom.functions import extract, judge, rules, spans, text
@@ -229,6 +230,10 @@ def aux_scores(spark, sf_dir):
 
 @query("rag_context", "SELECT item_id, string_agg(CAST(doc_id AS STRING), ',' ORDER BY doc_id) AS units FROM (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY abs(d.n_chars - length(b.text)), d.doc_id) AS r FROM benchmark b JOIN documents d ON d.doc_id % 10 = b.item_id % 10) t WHERE r <= 3 GROUP BY item_id")
 def rag_context(spark, sf_dir):
-    """The chosen units of a query, again in document order."""
-    ranked = run_sql(spark, sf_dir, "SELECT item_id, doc_id FROM (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY abs(d.n_chars - length(b.text)), d.doc_id) AS r FROM [benchmark] b JOIN [documents] d ON d.doc_id % 10 = b.item_id % 10) t WHERE r <= 3")
+    """The chosen units of a query, again in document order. Of documents of one length only the first three can be among an item's three nearest."""
+    first = F.row_number().over(Window.partitionBy("n_chars").orderBy("doc_id"))
+    units = read(spark, sf_dir, "documents").select("doc_id", "n_chars").withColumn("r", first).where("r <= 3").drop("r")
+    near = F.row_number().over(Window.partitionBy("item_id").orderBy(F.abs(F.col("n_chars") - F.col("n")), "doc_id"))
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.length("text").alias("n"))
+    ranked = units.crossJoin(F.broadcast(items)).withColumn("r", near).where("r <= 3")
     return ranked.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("units"))
