@@ -117,13 +117,15 @@ def rouge_l(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
         p, best = word.findall((pred or "").lower()), 0.0
         for gold in golds if golds is not None else []:
             g = word.findall((gold or "").lower())
-            row = [0] * (len(g) + 1)
+            at: dict[str, int] = {}
+            for j, y in enumerate(g):
+                at[y] = at.get(y, 0) | 1 << j
+            open_ = full = (1 << len(g)) - 1  # a row of the recursion, a bit for each place where it doesn't grow
             for x in p:
-                left = 0
-                for j, y in enumerate(g, 1):
-                    left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
-            if row[-1]:
-                a, b = row[-1] / len(p), row[-1] / len(g)
+                if hit := open_ & at.get(x, 0):
+                    open_ = (open_ + hit | open_ - hit) & full
+            if same := len(g) - open_.bit_count():
+                a, b = same / len(p), same / len(g)
                 best = max(best, 2 * a * b / (a + b))
         return best
 

@@ -82,20 +82,19 @@ def parse_multi(spark, sf_dir):
 _ASCII = "lang = 'en' AND length(text) = octet_length(encode(text))"
 
 
-def ascii_documents(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("lang = 'en'").where(F.length("text") == F.octet_length("text"))
-
-
 @query("normalize_text", f"SELECT doc_id, md5({_NORM('text')}) AS normal FROM documents WHERE {_ASCII}")
 def normalize_text(spark, sf_dir):
-    return ascii_documents(spark, sf_dir).select("doc_id", F.md5(text.normalize(F.col("text"))).alias("normal"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize(F.col("text"))).alias("normal"))
 
 
 _PAIRS = "SELECT d.doc_id, b.item_id, substr(d.text, 1, 400) AS pred, b.text AS gold FROM documents d JOIN benchmark b ON d.doc_id % 20 = b.item_id % 20 WHERE d.lang = 'en' AND length(d.text) = strlen(d.text) AND length(b.text) = strlen(b.text)"
 
 
 def pairs(spark, sf_dir):
-    return run_sql(spark, sf_dir, _PAIRS.replace("strlen", "octet_length").replace("documents d", "[documents] d").replace("benchmark b", "[benchmark] b"))
+    """Every document as an output, whole and in any language, with the items that it is dealt as questions."""
+    answers = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("pred"))
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("gold"))
+    return answers.join(F.broadcast(items), F.expr("doc_id % 20 = item_id % 20")).select("doc_id", "item_id", "pred", "gold")
 
 
 @query("judge_niah", f"SELECT doc_id, item_id, CAST((CASE WHEN contains(lower(pred), lower(substr(gold, 1, 8))) THEN 1 ELSE 0 END + CASE WHEN contains(lower(pred), lower(substr(gold, 3, 3))) THEN 1 ELSE 0 END) / 2.0 AS DOUBLE) AS score FROM ({_PAIRS}) t")
@@ -191,4 +190,4 @@ def filter_source(d):
 
 @query("clip_context", "SELECT doc_id, md5(CASE WHEN length(text) <= 1000 THEN text ELSE concat(regexp_replace(substr(text, 1, 323), '\\s+$', ''), chr(10), chr(10), '[... context truncated ...]', chr(10), chr(10), regexp_replace(right(text, 646), '^\\s+', '')) END) AS clipped FROM documents WHERE " + _ASCII)
 def clip_context(spark, sf_dir):
-    return ascii_documents(spark, sf_dir).select("doc_id", F.md5(rules.clip(F.col("text"), 1000)).alias("clipped"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(rules.clip(F.col("text"), 1000)).alias("clipped"))

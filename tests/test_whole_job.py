@@ -54,3 +54,45 @@ def test_every_document_is_a_candidate_of_every_item(run):
     texts = ["x" * n for n in (8, 40, 8, 8, 8, 9, 7, 11, 50, 10, 10, 8)]
     expected = {item: ",".join(map(str, sorted(sorted(range(len(texts)), key=lambda k: (abs(len(texts[k]) - len(text)), k))[:3]))) for item, text in ITEMS[1]}
     assert {r.item_id: r.units for r in run("rag_context", documents=documents(texts), benchmark=ITEMS)} == expected
+
+
+# ---- judge_niah, token_f1, rouge_l, judge_em, judge_dispatch, locomo_f1, aux_scores, normalize_text, clip_context
+
+LATE = "filler " * 100 + "Zebra crossing at noon"
+
+
+@pytest.mark.parametrize("lang", ["en", "fr"])
+def test_answers_are_judged_whole(run, lang):
+    gold = LATE.replace("filler", "füller") if lang == "fr" else LATE
+    tables = {"documents": (DOCUMENTS, [(3, gold, lang, "s", len(gold))]), "benchmark": ("item_id long, text string", [(23, "zebra crossing at noon")])}
+    score = lambda name, column: [r[column] for r in run(name, **tables)]
+    assert score("judge_niah", "score") == [1.0]
+    assert score("token_f1", "f1") == [round(2 * 4 / (104 + 4), 4)]
+    words = len(re.findall("[a-z0-9]+", gold.lower()))
+    assert score("rouge_l", "rouge_l") == [pytest.approx(2 * 4 / (words + 4), abs=1e-6)]
+    assert score("aux_scores", "rule") == [True]
+
+
+def test_texts_outside_ascii_are_kept(run):
+    texts = ["plain words", "Ünïcode wörds", "été " * 400]
+    for name in ("normalize_text", "clip_context"):
+        assert {r.doc_id for r in run(name, documents=documents(texts, "de"))} == {0, 1, 2}
+
+
+def test_rouge_l_is_the_recursion(spark):
+    import random
+
+    from memloom.functions import judge
+
+    draw, rows = random.Random(5), []
+    for _ in range(60):
+        rows.append(tuple(" ".join(draw.choice("abcd") for _ in range(draw.randint(0, 90))) for _ in range(2)))
+    got = spark.createDataFrame(rows, "g string, p string").selectExpr("array(g) AS g", "p").select(judge.rouge_l("g", "p")).collect()
+    for (gold, pred), row in zip(rows, got, strict=True):
+        g, p = gold.split(), pred.split()
+        best = [[0] * (len(g) + 1) for _ in range(len(p) + 1)]
+        for i, x in enumerate(p):
+            for j, y in enumerate(g):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        same = best[-1][-1]
+        assert row[0] == pytest.approx(2 * same / (len(p) + len(g)) if same else 0.0)
