@@ -293,8 +293,7 @@ def chunk_spans(spark, sf_dir):
 @query("evict_schedule", f"""WITH l AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS hi, count(*) OVER (PARTITION BY doc_id) AS c FROM ({_LINES}) t WHERE i < 40), z AS (SELECT doc_id, min(hi) AS sink FROM l WHERE i = 0 GROUP BY doc_id)
  SELECT a.doc_id, CAST(a.i AS INTEGER) AS i, CAST(CASE WHEN a.i < 1 THEN max(a.c) ELSE coalesce(min(CASE WHEN b.i > a.i AND (b.i - a.i + 1 > 6 OR sink + b.hi - (a.hi - a.n) > 900) THEN b.i END), max(a.c)) END AS INTEGER) AS evict_at FROM l a JOIN l b ON a.doc_id = b.doc_id JOIN z ON z.doc_id = a.doc_id GROUP BY a.doc_id, a.i""")
 def evict_schedule(spark, sf_dir):
-    rows = _lengths(spark, sf_dir).withColumn("n", F.slice("n", 1, 40))
-    return rows.select("doc_id", F.posexplode(spans.evict_schedule(F.col("n"), F.lit(6), F.lit(900), F.lit(1))).alias("i", "evict_at"))
+    return _lengths(spark, sf_dir).select("doc_id", F.posexplode(spans.evict_schedule(F.col("n"), F.lit(6), F.lit(900), F.lit(1))).alias("i", "evict_at"))
 
 
 @query("sliding_chunks", "SELECT doc_id, CAST(s AS INTEGER) AS s, CAST(least(s + 2048, n_chars) AS INTEGER) AS e FROM (SELECT doc_id, n_chars, unnest(range(0, n_chars, 1848)) AS s FROM documents) t WHERE s = 0 OR s - 1848 + 2048 < n_chars")

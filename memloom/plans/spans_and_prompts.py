@@ -48,8 +48,7 @@ def per_token_evict(spark, sf_dir):
  SELECT q.doc_id, CAST(q.i AS INTEGER) AS i, CAST(sum(k.n) AS BIGINT) AS visible FROM e q JOIN e k ON q.doc_id = k.doc_id AND k.i <= q.i AND k.evict_at > q.i GROUP BY q.doc_id, q.i""")
 def visible_counts(spark, sf_dir):
     """Keys that a chunk's tokens see, counted by chunks and their lengths: no pairs of tokens."""
-    rows = _lengths(spark, sf_dir).withColumn("n", F.slice("n", 1, 40))
-    rows = rows.select("doc_id", "n", spans.evict_schedule(F.col("n"), F.lit(6), F.lit(-1), F.lit(1)).alias("out"))
+    rows = _lengths(spark, sf_dir).select("doc_id", "n", spans.evict_schedule(F.col("n"), F.lit(6), F.lit(-1), F.lit(1)).alias("out"))
     seen = F.transform("n", lambda _, q: F.aggregate(F.zip_with(F.slice("n", 1, q + 1), F.slice("out", 1, q + 1), lambda n, e: F.when(e > q, n).otherwise(0)), F.lit(0).cast("long"), lambda acc, x: acc + x))
     return rows.select("doc_id", F.posexplode(seen).alias("i", "visible"))
 

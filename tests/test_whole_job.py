@@ -96,3 +96,20 @@ def test_rouge_l_is_the_recursion(spark):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
         same = best[-1][-1]
         assert row[0] == pytest.approx(2 * same / (len(p) + len(g)) if same else 0.0)
+
+
+# ---- evict_schedule, visible_counts
+
+
+def test_schedules_go_to_the_last_line(run):
+    lengths = [30] + [k % 90 + 50 for k in range(59)]
+    texts = ["\n".join("x" * n for n in lengths)]
+    n = len(lengths)
+
+    def leaves(j, tokens):
+        over = (i for i in range(j + 1, n) if i - j + 1 > 6 or tokens and lengths[0] + sum(lengths[j : i + 1]) > tokens)
+        return n if j < 1 else next(over, n)
+
+    assert {(r.i, r.evict_at) for r in run("evict_schedule", documents=documents(texts))} == {(j, leaves(j, 900)) for j in range(n)}
+    seen = {(q, sum(lengths[k] for k in range(q + 1) if leaves(k, 0) > q)) for q in range(n)}
+    assert {(r.i, r.visible) for r in run("visible_counts", documents=documents(texts))} == seen
