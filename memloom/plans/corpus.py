@@ -74,7 +74,7 @@ def turn_pairs(d):
 @query("regroup_by_memory", "WITH m AS (SELECT source, md5(string_agg(substr(text, 1, 1), '' ORDER BY doc_id)) AS k, min(doc_id) AS row_idx FROM documents GROUP BY source, doc_id % 3) SELECT k AS memory_key, min(row_idx) AS row_idx, count(*) AS n FROM m GROUP BY k")
 def regroup_by_memory(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").groupBy("source", F.expr("doc_id % 3").alias("g")).agg(regroup.ordered(F.struct("doc_id", "text")).alias("x"))
-    rows = rows.select(F.element_at("x", 1)["doc_id"].alias("row_idx"), F.transform("x", lambda r: F.substring(r["text"], 1, 1)).alias("memory_docs"), F.array(F.lit("q")).alias("qa"))
+    rows = rows.select(F.element_at("x", 1)["doc_id"].alias("row_idx"), F.transform("x", lambda r: r["text"]).alias("memory_docs"), F.array(F.lit("q")).alias("qa"))
     return regroup.by_memory(rows).select("memory_key", "row_idx", F.size("qa").cast("long").alias("n"))
 
 
@@ -328,8 +328,9 @@ def merge_spans(spark, sf_dir):
 
 @query("common_prefix", "WITH a AS (SELECT doc_id, list_transform(range(1, 21), lambda i: substr(text, i, 1)) AS x FROM documents) SELECT a.doc_id, CAST((SELECT count(*) FROM (SELECT unnest(range(1, 21)) AS i) r WHERE a.x[1:i] = b.x[1:i]) AS INTEGER) AS n FROM a JOIN a b ON b.doc_id = a.doc_id + 1")
 def common_prefix(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.substring("text", i, F.lit(1))).alias("x"))
-    return rows.alias("a").join(rows.alias("b"), F.expr("b.doc_id = a.doc_id + 1")).select("a.doc_id", spans.common_prefix(F.col("a.x"), F.col("b.x")).alias("n"))
+    rows, letters = read(spark, sf_dir, "documents").select("doc_id", "text"), lambda c: F.array_remove(F.split(c, ""), "")
+    beside = rows.alias("a").join(rows.alias("b"), F.expr("b.doc_id = a.doc_id + 1")).select("a.doc_id", letters("a.text").alias("x"), letters("b.text").alias("y"))
+    return beside.select("doc_id", spans.common_prefix(F.col("x"), F.col("y")).alias("n"))
 
 
 # ---- retrieval

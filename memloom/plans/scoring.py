@@ -167,7 +167,7 @@ def lm_verdict_join(spark, sf_dir):
 
 @query("label_set", "SELECT source, array_to_string(list_sort(list_distinct(list(quality * 2 + toxic))), ',') AS labels FROM documents JOIN labels USING (doc_id) GROUP BY source")
 def label_set(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").select("source", F.concat(F.substring("text", 1, 30), F.lit("\nlabel: "), (F.col("quality") * 2 + F.col("toxic")).cast("string")).alias("doc"))
+    rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").select("source", F.concat("text", F.lit("\nlabel: "), (F.col("quality") * 2 + F.col("toxic")).cast("string")).alias("doc"))
     found = rows.select("source", F.explode(extract.label_numbers(F.col("doc"))).alias("n"))
     return found.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("n")), ",").alias("labels"))
 

@@ -84,8 +84,7 @@ def official_prompts(spark, sf_dir):
 
 @query("memory_query_split", "SELECT doc_id, length(substr(text, 1, 10)) AS m, trim('  what?  ') AS query FROM documents")
 def memory_query_split(spark, sf_dir):
-    head = F.substring("text", 1, 10)
-    found = rules.split_memory(F.concat(head, F.lit("\n\n  what?  ")), head)
+    found = rules.split_memory(F.concat("text", F.lit("\n\n  what?  ")), F.col("text"))
     return read(spark, sf_dir, "documents").select("doc_id", F.length(found["memory"]).cast("long").alias("m"), found["query"].alias("query"))
 
 

@@ -113,3 +113,22 @@ def test_schedules_go_to_the_last_line(run):
     assert {(r.i, r.evict_at) for r in run("evict_schedule", documents=documents(texts))} == {(j, leaves(j, 900)) for j in range(n)}
     seen = {(q, sum(lengths[k] for k in range(q + 1) if leaves(k, 0) > q)) for q in range(n)}
     assert {(r.i, r.visible) for r in run("visible_counts", documents=documents(texts))} == seen
+
+
+# ---- regroup_by_memory, common_prefix, label_set, memory_query_split
+
+
+def test_memories_differ_by_their_whole_texts(run):
+    rows = [(k, t, "en", f"s{k}", len(t)) for k, t in enumerate(["alike", "also", "alike"])]
+    assert sorted((r.row_idx, r.n) for r in run("regroup_by_memory", documents=(DOCUMENTS, rows))) == [(0, 2), (1, 1)]
+
+
+def test_whole_texts_are_compared_and_split(run):
+    texts = ["é" * 300 + "a", "é" * 300 + "b", "", "", "\U0001f600x", "\U0001f600y"]
+    assert {r.doc_id: r.n for r in run("common_prefix", documents=documents(texts))} == {0: 300, 1: 0, 2: 0, 3: 0, 4: 1}
+    assert {r.doc_id: (r.m, r.query) for r in run("memory_query_split", documents=documents(texts))} == {k: (len(t), "what?") for k, t in enumerate(texts)}
+
+
+def test_labels_are_read_from_whole_texts(run):
+    labels = ("doc_id long, quality int, toxic int", [(0, 1, 1)])
+    assert [r.labels for r in run("label_set", documents=documents(["words " * 20 + "\nlabel: 7\nmore"]), labels=labels)] == ["3,7"]
