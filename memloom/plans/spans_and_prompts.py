@@ -164,7 +164,7 @@ def tokenize_stats(d):
 
 @sql("mix_len_stats")
 def mix_len_stats(d):
-    return "SELECT round(avg(n_chars), 6) AS mean, max(n_chars) AS longest FROM (SELECT n_chars FROM [documents] ORDER BY doc_id LIMIT 150) t"
+    return f"SELECT round(avg(n_chars), 6) AS mean, max(n_chars) AS longest FROM (SELECT n_chars FROM [documents] ORDER BY doc_id LIMIT {d('2000', '150')}) t"
 
 
 @sql("rank_slice")
@@ -186,7 +186,8 @@ def w0_curriculum(d):
 def synthetic_recall(d):
     source = d("explode(sequence(0, 7))", "unnest(range(0, 8))")
     key = "'9|recall|' || CAST(doc_id * 8 + k AS STRING)"
-    return f"SELECT doc_id, CAST(k AS INTEGER) AS k, {d.hex8(key)} % 1000 AS v FROM (SELECT doc_id, {source} AS k FROM [documents] WHERE doc_id < 50) t"
+    rows = d("", " WHERE doc_id < 50")
+    return f"SELECT doc_id, CAST(k AS INTEGER) AS k, {d.hex8(key)} % 1000 AS v FROM (SELECT doc_id, {source} AS k FROM [documents]{rows}) t"
 
 
 @sql("niah_context")

@@ -132,3 +132,18 @@ def test_whole_texts_are_compared_and_split(run):
 def test_labels_are_read_from_whole_texts(run):
     labels = ("doc_id long, quality int, toxic int", [(0, 1, 1)])
     assert [r.labels for r in run("label_set", documents=documents(["words " * 20 + "\nlabel: 7\nmore"]), labels=labels)] == ["3,7"]
+
+
+# ---- qa_json_roundtrip, synthetic_recall, mix_len_stats
+
+
+def test_no_subset_of_ids(run):
+    events = ("event_id long, props string", [(k, f'{{"k": "{k}"}}') for k in range(25)])
+    assert {(r.event_id, r.k) for r in run("qa_json_roundtrip", events=events)} == {(k, str(k)) for k in range(25)}
+    texts = ["x" * (k + 1) for k in range(60)]
+    assert {(r.doc_id, r.k) for r in run("synthetic_recall", documents=documents(texts))} == {(d, k) for d in range(60) for k in range(8)}
+
+
+def test_lengths_of_the_first_2000_rows(run):
+    rows = [(k, "", "en", "s", k + 1) for k in range(2100)]
+    assert [(r.mean, r.longest) for r in run("mix_len_stats", documents=(DOCUMENTS, rows))] == [(1000.5, 2000)]
