@@ -12,6 +12,8 @@ interchangeable. An empty table has no segments. Further columns of the input ar
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -70,8 +72,14 @@ def unpack(payload: bytes, offsets: np.ndarray, n: int, bits: int, block: int |
     return out.reshape(-1)[:n]
 
 
+@functools.cache
+def unassigned() -> np.ndarray:
+    """Whether a codepoint is unknown to the standard library, so that the tokenizer's later tables may know it as a letter."""
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
+
+
 class Library(Ranks):
-    """Ids by the tokenizers library. Slices that its pre-tokeniser keeps apart are encoded once each and cached."""
+    """Ids by the tokenizers library. Slices that its pre-tokeniser keeps apart are encoded once each and cached; texts that hold an added token's string or an unassigned codepoint go to it whole."""
 
     def __init__(self, path: str):
         import os
@@ -80,7 +88,7 @@ class Library(Ranks):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.bits = bits_for(self.tokenizer.get_vocab_size())
         self.cache = {}
         self.ids, self.id_at, self.id_n, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
@@ -90,6 +98,37 @@ class Library(Ranks):
         counts = np.fromiter(map(len, found), np.int64, len(found))
         self.store(pieces, np.fromiter((x for ids in found for x in ids), np.int64, int(counts.sum())), counts)
 
+    def whole(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Rows that the library must see whole."""
+        data, spots = buf.tobytes(), []
+        for token in self.added:
+            at = data.find(token)
+            while at >= 0:
+                spots.append(at)
+                at = data.find(token, at + 1)
+        if not data.isascii():
+            points = np.frombuffer(data.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+            if unassigned()[points[points > 127]].any():
+                spots += np.flatnonzero((buf & 0xC0) != 0x80)[unassigned()[points]].tolist()
+        return np.unique(np.searchsorted(off, np.array(spots, np.int64), "right") - 1)
+
+    def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = self.whole(buf, off)
+        if not len(rows):
+            return super().encode(buf, off)
+        data, sizes = buf.tobytes(), np.diff(off)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([data[off[r] : off[r + 1]].decode("utf-8") for r in rows.tolist()], add_special_tokens=False)]
+        kept = np.ones(len(sizes), bool)
+        kept[rows] = False
+        rest, at = super().encode(buf[np.repeat(kept, sizes)], np.concatenate(([0], np.cumsum(sizes * kept))))
+        counts = np.diff(at)
+        counts[rows] = list(map(len, found))
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        ids = np.empty(ends[-1], np.int64)
+        ids[np.repeat(kept, counts)] = rest
+        ids[np.repeat(~kept, counts)] = [x for one in found for x in one]
+        return ids, ends
+
 
 _loaded: dict[str, Library] = {}
 
