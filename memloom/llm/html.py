@@ -3,8 +3,8 @@
 The standard library's parser streams events into lines: a line is the text of one block element, with the number of tags
 read for it and the containers it stands in. A line's ratio is its characters outside links over its tags; ratios are smoothed by
 a Gaussian, and the lines above a threshold (the smoothed ratios' standard deviation, their mean at most) form clusters. The
-region is the article or main element that holds most of the clusters' text, or else the deepest container that holds nearly
-all of it; of such a plain container lines of links alone are left out, and of the whole body the lines before
+region is the innermost article or main element that holds most of the clusters' text, or the one around it that has further
+clusters or a heading above it, or else the deepest container that holds all clusters; of such a plain container lines of links alone are left out, and of the whole body the lines before
 the first cluster, but for headings right above it, and after the last one. All other lines of the region are kept whole, short ones too.
 
 Left out wherever they stand, as lines of ratio 0: scripts, styles, templates, menus, forms, asides and footers; headers outside
@@ -40,8 +40,8 @@ NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form login masthead menu modal nav navbar navigation newsletter notice notices popup promo promos promoted promotion related respond share sharing sidebar signup social sponsor sponsored sponsors subscribe toolbar widget widgets".split()
 )
 _PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
-#: Lines' spread of the Gaussian, and the share of the clusters' text that a plain container must hold.
-SIGMA, SHARE = 1.0, 0.9
+#: Lines' spread of the Gaussian.
+SIGMA = 1.0
 
 
 def _kernel(sigma: float) -> np.ndarray:
@@ -164,12 +164,21 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
         held[lines[k][3]] += len(lines[k][0])
     for c in range(len(held) - 1, 0, -1):
         held[page.parents[c]] += held[c]
+
+    def below(c: int) -> list[bool]:
+        """Which containers are this one or in it."""
+        found = [k == c for k in range(len(page.kinds))]
+        for k in range(c + 1, len(found)):
+            found[k] = found[page.parents[k]]
+        return found
+
     articles = [c for c, kind in enumerate(page.kinds) if kind in ARTICLE and 2 * held[c] >= held[0]]
-    region = articles[-1] if articles else max(c for c in range(len(held)) if held[c] >= SHARE * held[0])
-    inside = [False] * len(page.kinds)
-    inside[region] = True
-    for c in range(region + 1, len(page.kinds)):
-        inside[c] = inside[page.parents[c]]
+    region = articles[-1] if articles else max(c for c in range(len(held)) if held[c] == held[0])
+    inside = below(region)
+    for c in reversed(articles[:-1]):  # one around it that has more of the clusters, or a heading above it
+        around, first = below(c), next(k for k, line in enumerate(lines) if inside[line[3]])
+        if around[region] and (held[c] > held[region] or any(page.heads[k] and around[lines[k][3]] for k in range(first))):
+            region, inside = c, around
     kept = [k for k, line in enumerate(lines) if inside[line[3]]]
     if not articles:
         from_, to = 0, len(lines)

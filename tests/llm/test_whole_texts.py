@@ -16,3 +16,19 @@ def test_texts_with_added_tokens_are_encoded_whole():
     ids, at = tokenfile.Library(path).encode(np.frombuffer(b"".join(data), np.uint8), off)
     got = [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
     assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts] and 50256 in got[0]
+
+
+LINE = "Some words of a paragraph that is long enough to be the text of this page, with more to follow."
+
+
+def test_dense_parts_beside_the_largest_container_are_kept():
+    lead, body = " ".join([LINE] * 3), [f"{k} " + " ".join([LINE] * 5) for k in range(10)]
+    page = f"<body><div><div class=intro><p>{lead}</p></div><div class=content>" + "".join(f"<p>{b}</p>" for b in body) + "</div></div></body>"
+    assert html.main_text(page) == "\n".join([lead, *body])
+
+
+def test_title_and_lead_of_main_are_kept_with_its_article():
+    body = [f"{k} {LINE}" for k in range(8)]
+    article = "<article>" + "".join(f"<p>{b}</p>" for b in body) + "</article>"
+    assert html.main_text(f"<main><h1>Title</h1><p>{LINE}</p>{article}</main>") == "\n".join(["Title", LINE, *body])
+    assert html.main_text(f"<main><h1>T</h1>{article}</main>") == "\n".join(["T", *body])
