@@ -6,15 +6,21 @@ composition of such functions is associative: a chunk is laid out as blocks, the
 for all blocks at once, the blocks' results are scanned, and a second pass gives the state before every codepoint, hence
 the boundaries. The slices between boundaries feed a cache; those that are not in it are merged together, pair by pair in
 order of rank, as arrays. Byte offsets of the slices and token offsets of the rows are kept; ids decode through one gather.
+Slices over CACHED_BYTES are merged one at a time through a heap, in time that grows with n log n, and never cached.
 
-Null and empty texts have no tokens and decode to no bytes. Equal texts have equal ids. White space is Unicode White_Space;
-letters and numbers are the general categories L* and N* of the running Python.
+Null and empty texts have no tokens and decode to no bytes; an empty table gives no rows. Equal texts have equal ids, repeated
+rows give repeated rows; equal ranks don't exist, and of equal pairs in a slice the leftmost is merged first. A very long text is
+a chunk of its own, whose arrays take some 30 bytes a byte. Columns beside doc_id and text are left out. White space is Unicode
+White_Space; letters and numbers are the general categories L* and N* of the running Python. Slices of a chunk are told apart by
+length and bytes up to seven bytes, and beyond that by a 64-bit hash.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
+import heapq
 import itertools
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -23,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm.base import _BYTE, chunks, flat, mix, powers, ragged, table
+from memloom.llm.base import _BYTE, _STEP, chunks, flat, mix, powers, ragged, table
 
 #: White_Space beyond ASCII. Fixed values.
 _WHITE = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -79,18 +85,29 @@ def _monoid(to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 TO, CUT = _automaton()
 ELEMENT, PRODUCT, MAPS = _monoid(TO)
-_classes: np.ndarray | None = None
 BLOCK = 128
+#: Codepoints that may be assigned, beside the planes of private use. Bounds of Unicode's planes, fixed values.
+_PLANES = (range(0x40000), range(0xE0000, 0xE1000))
 
 
+@functools.cache
+def categories() -> np.ndarray:
+    """The general category of every codepoint, as two letters."""
+    found = np.full(0x110000, "Cn", "U2")
+    found[0xF0000:] = "Co"
+    found[[0xFFFFE, 0xFFFFF, 0x10FFFE, 0x10FFFF]] = "Cn"
+    for plane in _PLANES:
+        found[plane.start : plane.stop] = [unicodedata.category(chr(c)) for c in plane]
+    return found
+
+
+@functools.cache
 def classes() -> np.ndarray:
     """LETTER, NUMBER, OTHER or SPACE of every codepoint."""
-    global _classes
-    if _classes is None:
-        kinds = {"L": LETTER, "N": NUMBER}
-        _classes = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-        _classes[[*range(9, 14), 32, *_WHITE]] = SPACE
-    return _classes
+    major = categories().view("U1").reshape(-1, 2)[:, 0]
+    found = np.where(major == "L", LETTER, np.where(major == "N", NUMBER, OTHER)).astype(np.uint8)
+    found[[*range(9, 14), 32, *_WHITE]] = SPACE
+    return found
 
 
 def states(kind: np.ndarray) -> np.ndarray:
@@ -188,6 +205,7 @@ class Ranks:
             for k in range(1, len(token)):
                 if (a := self.ranks.get(token[:k])) is not None and (b := self.ranks.get(token[k:])) is not None:
                     pairs[a << 32 | b] = rank
+        self.pairs = pairs
         keys = np.fromiter(pairs, np.int64, len(pairs))
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
@@ -196,13 +214,44 @@ class Ranks:
         self.token_at = np.concatenate(([0], np.cumsum(self.token_size)[:-1]))
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.cache: dict[bytes, int] = {}
-        self.ids, self.id_at, self.id_n, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.ids, self.id_at, self.id_n = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.forget()
 
     #: Slices that the cache holds before it starts anew, and bytes of a slice that it holds at most.
     CACHED, CACHED_BYTES = 800_000, 64
+    #: Binary logarithm of the places of the table that finds cached slices by their keys, each key having one place.
+    PLACES = 21
 
     def forget(self) -> None:
         self.cache, self.used = {}, 0
+        self.place_key, self.place_at = np.zeros(1 << self.PLACES, np.uint64), np.zeros(1 << self.PLACES, np.int32)
+
+    def merge_long(self, piece: bytes) -> list[int]:
+        """Ids of one slice: a heap holds the pairs by rank and place, links lead from each part to the next one."""
+        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
+        n, known = len(ids), self.pairs.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = [known(a << 32 | b, -1) for a, b in itertools.pairwise(ids)] + [-1]
+        heap = [r << 32 | k for k, r in enumerate(rank) if r >= 0]
+        heapq.heapify(heap)
+        while heap:
+            r, k = divmod(heapq.heappop(heap), 1 << 32)
+            if rank[k] != r:
+                continue  # one of the two has become part of another
+            gone = after[k]
+            ids[k], rank[gone], ids[gone] = r, -1, -1
+            after[k] = right = after[gone]
+            rank[k] = -1
+            if right < n:
+                before[right] = k
+                if (new := known(r << 32 | ids[right], -1)) >= 0:
+                    rank[k] = new
+                    heapq.heappush(heap, new << 32 | k)
+            if (left := before[k]) >= 0:
+                rank[left] = new = known(ids[left] << 32 | r, -1)
+                if new >= 0:
+                    heapq.heappush(heap, new << 32 | left)
+        return [x for x in ids if x >= 0]
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all slices in turn, and how many each has: the lowest rank of each slice is merged wherever it stands, until none is left."""
@@ -245,6 +294,9 @@ class Ranks:
 
     def add(self, pieces: list[bytes]) -> None:
         """Puts slices into the cache."""
+        if len(pieces) == 1 and len(pieces[0]) > self.CACHED_BYTES and pieces[0] not in self.ranks:
+            ids = np.array(self.merge_long(pieces[0]), np.int64)
+            return self.store(pieces, ids, np.array([len(ids)]))
         whole = [self.ranks.get(p) for p in pieces]
         rest = [p for p, r in zip(pieces, whole, strict=True) if r is None]
         ids, counts = self.merge(rest) if rest else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -267,22 +319,34 @@ class Ranks:
         first, stop, row = boundaries(buf, off)
         if len(self.cache) > self.CACHED:
             self.forget()
-        # Equal slices of the chunk are looked up once: they are told apart by a 64-bit key, that of up to seven bytes being the bytes themselves.
-        _, spot, index = np.unique(piece_keys(buf, first, stop), return_index=True, return_inverse=True)
-        data = buf.tobytes()
+        keys = piece_keys(buf, first, stop)
+        place = (keys * _STEP >> np.uint64(64 - self.PLACES)).astype(np.int64)
+        index = self.place_at[place].astype(np.int64)
+        rest = np.flatnonzero(self.place_key[place] != keys)
+        # Equal slices of the chunk are looked up once: they are told apart by their keys, those of up to seven bytes being the bytes themselves.
+        _, spot, which = np.unique(keys[rest], return_index=True, return_inverse=True)
+        spot, data = rest[spot], buf.tobytes() if len(rest) else b""
         pieces = [data[a:b] for a, b in zip(first[spot].tolist(), stop[spot].tolist(), strict=True)]
         known = list(map(self.cache.get, pieces))
-        long = []
-        if None in known:
-            missing = [p for p, k in zip(pieces, known, strict=True) if k is None]
-            self.add(missing)
+        missing = [p for p, k in zip(pieces, known, strict=True) if k is None]
+        long = [p for p in missing if len(p) > self.CACHED_BYTES]
+        if missing:
+            if short := [p for p in missing if len(p) <= self.CACHED_BYTES]:
+                self.add(short)
+            kept = self.used
+            for p in long:
+                self.add([p])
             known = list(map(self.cache.get, pieces))
-            long = [p for p in missing if len(p) > self.CACHED_BYTES]
-        index = np.array(known, np.int64)[index]
+        known = np.array(known, np.int64)
+        index[rest] = known[which]
+        held = np.flatnonzero(stop[spot] - first[spot] <= self.CACHED_BYTES)
+        self.place_key[place[spot[held]]], self.place_at[place[spot[held]]] = keys[spot[held]], known[held]
         counts = self.id_n[index]
         ids = self.ids[ragged(self.id_at[index], counts)]
-        if long:  # long slices hardly come again
-            self.forget()
+        if long:  # they hardly come again
+            self.used = kept
+            for p in long:
+                del self.cache[p]
         ends = np.concatenate(([0], np.cumsum(counts)))
         return ids, ends[row]
 

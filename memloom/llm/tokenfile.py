@@ -13,7 +13,7 @@ interchangeable. An empty table has no segments. Further columns of the input ar
 from __future__ import annotations
 
 import functools
-import unicodedata
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.llm.base import chunks, ragged, shared_dir, table
-from memloom.llm.bpe import Ranks
+from memloom.llm.bpe import Ranks, categories
 
 #: Ids of a block, and ids after which a segment is closed.
 BLOCK, SEGMENT = 1024, 1 << 18
@@ -75,7 +75,7 @@ def unpack(payload: bytes, offsets: np.ndarray, n: int, bits: int, block: int |
 @functools.cache
 def unassigned() -> np.ndarray:
     """Whether a codepoint is unknown to the standard library, so that the tokenizer's later tables may know it as a letter."""
-    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
+    return categories() == "Cn"
 
 
 class Library(Ranks):
@@ -90,13 +90,13 @@ class Library(Ranks):
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.bits = bits_for(self.tokenizer.get_vocab_size())
-        self.cache = {}
-        self.ids, self.id_at, self.id_n, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.ids, self.id_at, self.id_n = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.forget()
 
     def add(self, pieces: list[bytes]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        self.store(pieces, np.fromiter((x for ids in found for x in ids), np.int64, int(counts.sum())), counts)
+        self.store(pieces, np.fromiter(itertools.chain.from_iterable(found), np.int64, int(counts.sum())), counts)
 
     def whole(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Rows that the library must see whole."""
