@@ -26,12 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share. One is set where the session has none."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share. Where the session has none, a local master gets a temporary one; others raise."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         top = spark.sparkContext._jsc.sc().getCheckpointDir()
         top = top.get() if top.isDefined() else ""
     if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = tempfile.mkdtemp(prefix="memloom-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -126,11 +128,16 @@ class Words:
         self.first = np.searchsorted(self.start, off)
         if len(self.start):
             length = self.end - self.start
-            place = np.arange(n)
-            at = np.flatnonzero(inside)
-            within = place[at] - np.repeat(self.start, length)
-            value = _BYTE[buf[at]] * powers(int(length.max()))[within]
-            self.hash = mix(np.add.reduceat(value, np.concatenate(([0], np.cumsum(length)[:-1]))))
+            ends = np.cumsum(length)
+            # Words are hashed CHUNK_BYTES at a time, so that a very long text takes little more than itself.
+            cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], CHUNK_BYTES)), len(ends)))
+            self.hash = np.empty(len(ends), np.uint64)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                size = length[a:b]
+                head = np.cumsum(size) - size
+                within = np.arange(int(size.sum())) - np.repeat(head, size)
+                value = _BYTE[buf[np.repeat(self.start[a:b], size) + within]] * powers(int(size.max()))[within]
+                self.hash[a:b] = mix(np.add.reduceat(value, head))
         else:
             self.hash = np.zeros(0, np.uint64)
 

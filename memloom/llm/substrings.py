@@ -6,21 +6,24 @@ the full length; longest_repeats() goes on to twice, four times the length and s
 one half-length window stands for each full one, the one of least hash inside it, which is the same wherever the full
 window occurs; that leaves a fraction of the windows to be sent and loses none.
 
-Documents lie in blocks of bounded bytes by a hash of their ids. A block sends one packed row of distinct 64-bit hashes to each
-range of hashes; the range answers each block with those that other blocks hold too, with the smallest document. So a passage
-in very many documents is one hash a block, never a pair of documents, and nothing of the corpus goes to the driver but its size.
-
-Null and empty texts have no words, texts of fewer words than a window lose none. Documents of equal ids are not smaller than each
-other; a null id is smaller than none and none is smaller than it. Further columns of the input are left out.
+Documents lie in blocks of bounded bytes by a hash of their ids and texts. On each level a block sends one row for each of its distinct
+64-bit hashes, dealt by the hash; what other blocks hold too comes back, on the last level with the smallest document. So rows
+grow in proportion to the words whatever the number of blocks, a passage in very many documents is one row a block and never a pair of
+documents, and nothing of the corpus goes to the driver but its size.
+
+Null and empty texts have no words, texts of fewer words than a window lose none. Ids are ordered as numbers, negative ones too.
+Documents of equal ids (repeated rows, ties) are not smaller than each other; a null id is smaller than none and none is smaller than it.
+A very long text is a block's work by itself. An empty table gives no rows. Further columns of the input are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.llm.base import Words, chunks, ragged, runs, table, written
@@ -31,49 +34,27 @@ LENGTH = 13
 _NONE = np.iinfo(np.int64).max
 
 
-def pack64(x: np.ndarray) -> bytes:
-    """64-bit numbers as planes of their bytes: a plane that is all alike compresses to nothing."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def unpack64(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
-
-
-def pack_sorted(x: np.ndarray) -> bytes:
-    return pack64(np.diff(x, prepend=np.uint64(0)))
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack64(data), dtype=np.uint64)
-
-
-def contains(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(x), bool)
-    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
-
-
 class Block:
     """Word hashes and windows of a block's documents."""
 
     def __init__(self, rows: pa.Table):
-        hashes, counts, ids = [], [], []
+        hashes, counts, ids, known = [], [], [], []
         for batch in rows.select(["doc_id", "text"]).combine_chunks().to_batches():
-            ids.append(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False))
+            known.append(batch.column(0).is_valid().to_numpy(zero_copy_only=False))
+            ids.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
             for _, buf, off in chunks(batch):
                 words = Words(buf, off)
                 hashes.append(words.hash)
                 counts.append(words.counts())
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.hash, counts, self.ids = join(hashes, np.uint64), join(counts, np.int64), join(ids, np.int64)
+        self.hash, counts, self.ids, self.known = join(hashes, np.uint64), join(counts, np.int64), join(ids, np.int64), join(known, bool)
         self.first = np.concatenate(([0], np.cumsum(counts)))
         self.doc = np.repeat(np.arange(len(counts)), counts)
 
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """A hash for each start of a window, and which starts are of one document (with an id) up to the end."""
         h = runs(self.hash, length)
-        return h, (self.doc[: len(h)] == self.doc[length - 1 :]) & (self.ids[self.doc[: len(h)]] >= 0) if len(h) else np.zeros(0, bool)
+        return h, (self.doc[: len(h)] == self.doc[length - 1 :]) & self.known[self.doc[: len(h)]] if len(h) else np.zeros(0, bool)
 
     def anchors(self, half: int, length: int) -> tuple[np.ndarray, np.ndarray]:
         """The least hash of the windows of `half` words in each window of `length` words."""
@@ -99,114 +80,66 @@ def _least(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return h[head], np.minimum.reduceat(owner, head), np.maximum.reduceat(owner, head)
 
 
-_SEND = "range int, block int, hashes binary, least binary"
-_REPLY = "block int, hashes binary, least binary"
-_TABLE = {"range": pa.int32(), "block": pa.int32(), "hashes": pa.binary(), "least": pa.binary()}
-
-
-def _rows(names: str, rows: list[tuple]) -> pa.Table:
-    names = [x.split()[0] for x in names.split(", ")]
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-    return pa.table({n: pa.array(c, _TABLE[n]) for n, c in zip(names, columns, strict=True)})
-
-
-def _messages(block: int, h: np.ndarray, owner: np.ndarray, ranges: int) -> pa.Table:
-    """A packed row for each range of hashes."""
-    h, least, _ = _least(h, owner)
-    where = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-    cuts = np.searchsorted(where, np.arange(ranges + 1))
-    return _rows(_SEND, [(r, block, pack_sorted(h[a:b]), pack64(least[a:b])) for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a])
-
-
-def _answers(rows: pa.Table) -> pa.Table:
-    """For each block, the hashes that other blocks hold too, with the smallest document of all."""
-    blocks = rows["block"].to_pylist()
-    held = [unpack_sorted(x.as_py()) for x in rows["hashes"]]
-    h = np.concatenate(held)
-    owner = np.concatenate([unpack64(x.as_py()) for x in rows["least"]]).astype(np.int64)
-    sizes = np.array([len(x) for x in held])
-    order = np.argsort(h, kind="stable")
-    ordered = h[order]
-    head = np.append(True, ordered[1:] != ordered[:-1])
-    group = np.cumsum(head) - 1
-    starts = np.flatnonzero(head)
-    several = np.diff(np.append(starts, len(h))) > 1
-    least = np.minimum.reduceat(owner[order], starts)
-    back = np.empty(len(h), np.int64)
-    back[order] = group
-    out, at = [], 0
-    for block, size in zip(blocks, sizes.tolist(), strict=True):
-        mine = back[at : at + size]
-        keep = several[mine]
-        if keep.any():
-            out.append((block, pack_sorted(h[at : at + size][keep]), pack64(least[mine[keep]])))
-        at += size
-    return _rows(_REPLY, out)
-
-
-def _replies(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The answers to a block: hashes in order, and the smallest document of each."""
-    if not right.num_rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.concatenate([unpack_sorted(x.as_py()) for x in right["hashes"]])
-    least = np.concatenate([unpack64(x.as_py()) for x in right["least"]]).astype(np.int64)
-    order = np.argsort(h)
-    return h[order], least[order]
+def _sent(block: int, h: np.ndarray, owner: np.ndarray | None) -> pa.Table:
+    """A row for each distinct hash of a block, with the smallest owner if owners are given."""
+    h, least = (np.unique(h), None) if owner is None else _least(h, owner)[:2]
+    columns = {"hash": pa.array(h.view(np.int64)), "block": pa.array(np.full(len(h), block), pa.int32())}
+    return pa.table(columns if owner is None else columns | {"least": pa.array(least)})
 
 
 def _earliest(block: Block, h: np.ndarray, valid: np.ndarray, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The valid starts, each start's smallest document, and whether its hash is in several documents."""
+    """The valid starts, each start's smallest document, and whether its hash is in several documents; right: what came back to the block."""
     at = np.flatnonzero(valid)
     owner, mine = block.owners(at), h[at]
     distinct, least, most = _least(mine, owner)
-    there, outside = _replies(right)
+    there = right["hash"].to_numpy().view(np.uint64)
+    order = np.argsort(there)
+    there = there[order]
     spot = np.minimum(np.searchsorted(there, distinct), max(0, len(there) - 1))
     found = there[spot] == distinct if len(there) else np.zeros(len(distinct), bool)
     several = (least < most) | found
-    least = np.where(found, np.minimum(least, outside[spot] if len(there) else _NONE), least)
+    if "least" in right.column_names and len(there):
+        outside = right["least"].to_numpy()[order]
+        least = np.where(found, np.minimum(least, outside[spot]), least)
     place = np.searchsorted(distinct, mine)
     return at, least[place], several[place]
 
 
 class Levels:
-    """Documents in blocks, and the levels' answers."""
+    """Documents in blocks, and what comes back to them on each level."""
 
     def __init__(self, df: DataFrame, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()):
         rows = df.select("doc_id", "text", *([F.struct(*carry).alias("rest")] if carry else []))
         total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.ranges = max(1, -(-total // block_bytes))
-        self.docs = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(self.ranges)).cast("int")).repartition("block")
-
-    def answers(self, sent: DataFrame) -> DataFrame:
-        return sent.groupBy("range").applyInArrow(_answers, _REPLY)
+        blocks = max(1, -(-total // block_bytes))
+        self.docs = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def first(self, half: int, length: int) -> DataFrame:
-        """Answers about the windows of `half` words that stand for those of `length` words."""
-        ranges = self.ranges
+        """(block, hash) of the windows of `half` words that stand for those of `length` words and are in other blocks too."""
 
         def send(key: tuple, rows: pa.Table) -> pa.Table:
-            block = Block(rows)
-            h, valid = block.anchors(half, length)
-            at = np.flatnonzero(valid)
-            return _messages(key[0].as_py(), h[at], block.owners(at), ranges)
+            h, valid = Block(rows).anchors(half, length)
+            return _sent(key[0].as_py(), h[valid], None)
 
-        return self.answers(self.docs.groupBy("block").applyInArrow(send, _SEND))
+        sent = self.docs.groupBy("block").applyInArrow(send, "hash long, block int")
+        return sent.withColumn("blocks", F.count("*").over(Window.partitionBy("hash"))).where("blocks > 1").select("block", "hash")
 
-    def next(self, replies: DataFrame, half: int, length: int, anchored: bool) -> DataFrame:
-        """Answers about windows of `length` words whose windows of `half` words repeat."""
-        ranges = self.ranges
+    def next(self, replies: DataFrame, half: int, length: int, anchored: bool, last: bool = True) -> DataFrame:
+        """(block, hash, least) of windows of `length` words whose windows of `half` words repeat and that other blocks hold too; of the last level, only where another block has the smallest document."""
 
         def send(key: tuple, rows: pa.Table, right: pa.Table) -> pa.Table:
             block = Block(rows)
-            valid = repeated(block, right, half, length, anchored)
-            at = np.flatnonzero(valid)
-            return _messages(key[0].as_py(), block.windows(length)[0][at], block.owners(at), ranges)
+            at = np.flatnonzero(repeated(block, right, half, length, anchored))
+            return _sent(key[0].as_py(), block.windows(length)[0][at], block.owners(at))
 
-        return self.answers(self.docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(send, _SEND))
+        sent = self.docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(send, "hash long, block int, least long")
+        same = Window.partitionBy("hash")
+        known = sent.select("block", "hash", F.col("least").alias("own"), F.min("least").over(same).alias("least"), F.count("*").over(same).alias("blocks"))
+        return known.where("least < own" if last else "blocks > 1").select("block", "hash", "least")
 
 
 def repeated(block: Block, right: pa.Table, half: int, length: int, anchored: bool) -> np.ndarray:
-    """Which starts of windows of `length` words may repeat, by the answers about windows of `half` words."""
+    """Which starts of windows of `length` words may repeat, by what came back about windows of `half` words."""
     h, valid = block.anchors(half, length) if anchored else block.windows(half)
     at, _, several = _earliest(block, h, valid, right)
     known = np.zeros(len(h), bool)
@@ -217,15 +150,18 @@ def repeated(block: Block, right: pa.Table, half: int, length: int, anchored: bo
     return known[:n] & known[length - half : length - half + n] & block.windows(length)[1]
 
 
-def _cut(key: tuple, rows: pa.Table, right: pa.Table, length: int) -> pa.Table:
-    block = Block(rows)
+def _covered(block: Block, right: pa.Table, length: int) -> np.ndarray:
+    """Which words windows cover that start in a document of a smaller id too."""
     h, valid = block.windows(length)
     at, least, _ = _earliest(block, h, valid, right)
     hit = at[least < block.owners(at)]
-    change = np.zeros(len(block.hash) + 1, np.int64)
-    np.add.at(change, hit, 1)
-    np.add.at(change, hit + length, -1)
-    covered = np.cumsum(change[:-1]) > 0
+    change = np.bincount(hit, minlength=len(block.hash) + 1) - np.bincount(hit + length, minlength=len(block.hash) + 1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def _cut(key: tuple, rows: pa.Table, right: pa.Table, length: int, texts: bool = True) -> pa.Table:
+    """Counts of words and of removed ones, the kept words joined by one space, and (if asked for) the text without the removed words."""
+    covered = _covered(Block(rows), right, length)
     out, word = [], 0
     for batch in rows.select(["doc_id", "text"]).combine_chunks().to_batches():
         for part, buf, off in chunks(batch):
@@ -241,31 +177,31 @@ def _cut(key: tuple, rows: pa.Table, right: pa.Table, length: int) -> pa.Table:
             data = np.append(buf, np.uint8(32))[ragged(words.start[~gone], size)] if len(size) else np.zeros(0, np.uint8)
             data[ends[1:] - 1] = 32
             data, bounds = data.tobytes(), ends[kept_at].tolist()
-            joined = [data[a : b - 1] if b > a else b"" for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            # What is left of the text: a removed word goes with the white space after it.
-            live = np.ones(len(buf), bool)
-            after = np.append(words.start[1:], len(buf))
-            doc_end = np.repeat(off[1:], counts)
-            for k in np.flatnonzero(gone).tolist():
-                live[words.start[k] : min(after[k], doc_end[k])] = False
-            left, sums = buf[live].tobytes(), np.concatenate(([0], np.cumsum(live)))[off].tolist()
-            texts = [t if t is None or not r else left[a:b].decode("utf-8") for t, r, a, b in zip(part.column(1).to_pylist(), np.diff(removed).tolist(), sums[:-1], sums[1:], strict=True)]
-            out.append(pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(np.diff(removed), pa.int64()), pa.array(joined, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept", "text"]))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("text", pa.string())])
+            columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(np.diff(removed), pa.int64()), pa.array([data[a : b - 1] if b > a else b"" for a, b in itertools.pairwise(bounds)], pa.binary())]
+            if texts:  # a removed word goes with the white space after it
+                to = np.minimum(np.append(words.start[1:], len(buf)), np.repeat(off[1:], counts))
+                change = np.bincount(words.start[gone], minlength=len(buf) + 1) - np.bincount(to[gone], minlength=len(buf) + 1)
+                live = np.cumsum(change[:-1]) == 0
+                left, sums = buf[live].tobytes(), np.concatenate(([0], np.cumsum(live)))[off].tolist()
+                columns.append(pa.array([t if t is None or not r else left[a:b].decode("utf-8") for t, r, a, b in zip(part.column(1).to_pylist(), np.diff(removed).tolist(), sums[:-1], sums[1:], strict=True)], pa.string()))
+            out.append(pa.RecordBatch.from_arrays(columns, _CUT.names[: len(columns)]))
+    schema = pa.schema(list(_CUT)[: 5 if texts else 4])
     done = pa.Table.from_batches([b.cast(schema) for b in out], schema)
     return done.append_column("rest", rows["rest"]) if "rest" in rows.column_names else done
 
 
+_CUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("text", pa.string())])
+
+
 def _digest(key: tuple, rows: pa.Table, right: pa.Table, length: int) -> pa.Table:
-    cut = _cut(key, rows, right, length)
-    return cut.drop_columns(["kept", "text"]).append_column("kept_sha256", pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in cut["kept"]], pa.string()))
+    cut = _cut(key, rows, right, length, texts=False)
+    return cut.drop_columns(["kept"]).append_column("kept_sha256", pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in cut["kept"]], pa.string()))
 
 
 def _removed(df: DataFrame, length: int, block_bytes: int, end, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
     levels = Levels(df, block_bytes, carry)
     half = -(-length // 2)
-    replies = levels.first(half, length)
-    replies = levels.next(replies, half, length, anchored=True)
+    replies = levels.next(levels.first(half, length), half, length, anchored=True)
     return levels.docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda key, rows, right: end(key, rows, right, length), schema)
 
 
@@ -290,7 +226,7 @@ def longest_repeats(df: DataFrame, length: int = LENGTH, block_bytes: int = BLOC
     half, anchored, found = -(-length // 2), True, None
     replies = levels.first(half, length)
     while True:
-        replies = written(levels.next(replies, half, length, anchored), "level")
+        replies = written(levels.next(replies, half, length, anchored, last=False), "level")
         level = written(levels.docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_seen(length), "doc_id long, longest int"), "level")
         found = level if found is None else found.unionByName(level)
         if level.isEmpty():
