@@ -5,14 +5,18 @@ that follows. Short-time Fourier transforms of the samples give one spectral pea
 peak of each of the next frames make a pair, whose two frequencies and distance in time are its fingerprint. Fingerprints are
 stored with the frame they start at, as two arrays in time order.
 
-A null or empty text is a payload of one unit of zero bytes. Equal texts give equal values. Ties between equally strong peaks
-go to the lower frequency; silence has no peaks. A payload shorter than a frame is one frame, filled up with silence.
+The media are a column of a table in the shared folder; digests and features are made of what is read from it.
+
+A null or empty text is a payload of one unit of zero bytes. Equal texts (repeated rows too) give equal values, whatever the rows beside them. Ties between equally strong peaks
+go to the lower frequency; silence has no peaks. A payload shorter than a frame is one frame, filled up with silence. A very long text's
+samples take some 40 bytes a byte while its spectra are made, 2,048 frames at a time. An empty table gives no rows. Columns beside doc_id and text are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import itertools
 import wave
 import zlib
 from collections.abc import Iterator
@@ -21,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm.base import chunks, ragged, table
+from memloom.llm.base import chunks, ragged, table, written
 
 RATE = 8000
 #: Samples of a frame, and between the starts of two frames.
@@ -31,6 +35,7 @@ BANDS = (2, 24, 72, 144, 257)
 #: Frames after its own in which a peak is paired.
 FAN = 2
 UNIT = 64
+MEDIA = "doc_id long, n_bytes long, media binary"
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, codes array<int>, times array<int>"
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
@@ -96,19 +101,32 @@ def fingerprints(bins: np.ndarray, strong: np.ndarray, first: np.ndarray) -> tup
     return codes.reshape(n, -1)[keep], np.repeat(time, per_frame).astype(np.int32), ends[first]
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """Media, digests and fingerprints of the texts of (doc_id, text), which may have further columns; see op5. media itself stays out: to_wav() makes it."""
+def store(df: DataFrame, what: str = "media") -> DataFrame:
+    """doc_id, n_bytes and the media column of (doc_id, text), written to the shared folder and read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, off in chunks(batch):
-                data, cols = buf.tobytes(), [[] for _ in range(6)]
+                data, sizes = buf.tobytes(), np.diff(off)
+                media = [to_wav(data[a:b] + bytes(-(b - a) % UNIT if b > a else UNIT)) for a, b in itertools.pairwise(off.tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    return written(df.select("doc_id", "text").mapInArrow(run, MEDIA), what)
+
+
+def fingerprint(stored: DataFrame) -> DataFrame:
+    """Digests and fingerprints of a media column (doc_id, n_bytes, media); see op5."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, off in chunks(batch, "media"):
+                data, cols = buf.tobytes(), [[] for _ in range(5)]
                 back = []
-                for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-                    media = to_wav(data[a:b] + bytes(-(b - a) % UNIT if b > a else UNIT))
+                for a, b in itertools.pairwise(off.tolist()):
+                    media = data[a:b]
                     payload = from_wav(media)
                     back.append(payload)
-                    for col, value in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), b - a), strict=True):
+                    for col, value in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest()), strict=True):
                         col.append(value)
                 at = np.concatenate(([0], np.cumsum(cols[0])))
                 bins, strong, first = peaks(np.frombuffer(b"".join(back), np.uint8), at)
@@ -117,12 +135,12 @@ def fingerprint(df: DataFrame) -> DataFrame:
                 features = [f"{n}:{b - a}:{zlib.crc32(codes[a:b].tobytes()):08x}{zlib.crc32(times[a:b].tobytes()):08x}" for n, a, b in zip(frames.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (codes, times)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(cols[5], pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4]), pa.array(features), pa.array(frames, pa.int32()), *lists],
+                    [part.column(0), part.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4]), pa.array(features), pa.array(frames, pa.int32()), *lists],
                     ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "codes", "times"],
                 )
 
-    return df.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, SCHEMA)
 
 
 def op5_media_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint(table(spark, sf_dir, "documents", "doc_id", "text")).drop("codes", "times")
+    return fingerprint(store(table(spark, sf_dir, "documents", "doc_id", "text")))

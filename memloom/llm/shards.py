@@ -3,11 +3,12 @@
 The first pass scatters the records over buckets that fit in memory: a record's shard is the one of the highest seeded hash
 of (doc_id, shard), so that a further shard takes records only into itself and moves none between the others; its bucket in
 the shard is another seeded hash. The second pass shuffles each bucket with Fisher-Yates, seeded by the bucket, and writes it.
-The number of buckets follows from the bytes of the table, never from its rows' keys, so that a bucket's size stays the same
+The numbers of buckets and of tasks follow from the bytes of the table, never from its rows' keys, so that a bucket's and a task's size stay the same
 on any input; equal texts, hot sources and long documents spread like any other records.
 
-Null texts count as no bytes and are written as null. Rows of one doc_id go to one bucket and are told apart by their texts;
-exact repeats are interchangeable. An empty table gives no rows. Further columns of the input are left out.
+Null texts count as no bytes and are written as null. Rows of one doc_id (and all rows without one) are in one shard, as the law wants, and spread over
+its buckets by their texts; exact repeats are interchangeable and share a bucket. A very long text is as much of its bucket as it is long; equal hashes (ties) go to the
+shard of the larger number. An empty table gives no rows. Further columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -54,7 +55,8 @@ def scatter(df: DataFrame, shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTE
     rows = df.select("doc_id", "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // (bucket_bytes * shards)))
-    keyed = rows.withColumns({"shard": shard_of(F.col("doc_id"), shards, seed), "bucket": F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(buckets)).cast("int")})
+    keyed = rows.withColumns({"shard": shard_of(F.col("doc_id"), shards, seed), "bucket": F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text")), F.lit(buckets)).cast("int")})
+    keyed = keyed.repartition(shards * buckets, "shard", "bucket")  # a task for each bucket, but for buckets that share a hash
     return keyed.groupBy("shard", "bucket").applyInArrow(lambda key, rows: _shuffled(key, rows, seed), "doc_id long, text string, shard int, bucket int, place long")
 
 

@@ -235,15 +235,41 @@ def test_identity_terms_move_no_score():
 
 
 def test_media(docs, empty):
-    found, again = by_id(media.fingerprint(docs)), dict(pairs(docs))
+    found, again = by_id(media.fingerprint(media.store(docs))), dict(pairs(docs))
     for i, (row,) in found.items():
         data = (again[i] or "").encode()
         payload = data + bytes(-len(data) % 64 if data else 64)
         assert (row.n_bytes, row.payload_bytes, row.payload_sha256, row.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         stored = media.to_wav(payload)
         assert (row.media_bytes, row.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest()) and media.from_wav(stored) == payload
-        assert len(row.codes) == len(row.times) and row.times == sorted(row.times)
-    assert media.fingerprint(empty).count() == 0
+        codes, times, frames = plain_fingerprint(payload)
+        assert (row.n_frames, row.times, row.codes) == (frames, times, codes)
+        assert row.feature == f"{frames}:{len(codes)}:{zlib.crc32(np.array(codes, '<i4').tobytes()):08x}{zlib.crc32(np.array(times, '<i4').tobytes()):08x}"
+    assert media.fingerprint(media.store(empty)).count() == 0
+
+
+def plain_fingerprint(payload):
+    """Frame by frame: the peak of each band, and the pairs of peaks with the strongest peak of each of the next frames."""
+    signal = [x - 128.0 for x in payload]
+    count = max(1, -(-max(len(signal) - media.FRAME, 0) // media.HOP) + 1)
+    signal += [0.0] * ((count - 1) * media.HOP + media.FRAME - len(signal))
+    peaks, strongest = [], []
+    for k in range(count):
+        frame = np.array(signal[k * media.HOP : k * media.HOP + media.FRAME], np.float32) * np.hanning(media.FRAME).astype(np.float32)
+        heights = np.abs(np.fft.rfft(frame)).astype(np.float32)
+        heights[heights < 1e-2] = 0
+        tops = [max(range(lo, hi), key=lambda x: (heights[x], -x)) for lo, hi in zip(media.BANDS, media.BANDS[1:])]
+        peaks.append([x if heights[x] > 0 else 0 for x in tops])
+        strongest.append(max((x for x in peaks[-1] if x), key=lambda x: (heights[x], -x), default=0))
+    codes, times = [], []
+    for k in range(count):
+        for step in range(1, media.FAN + 1):
+            if k + step < count and strongest[k + step]:
+                for x in peaks[k]:
+                    if x:
+                        codes.append(x << 12 | strongest[k + step] << 2 | step)
+                        times.append(k)
+    return codes, times, count
 
 
 def test_a_tone_peaks_at_its_bin():
@@ -323,11 +349,29 @@ def test_shards(spark, docs, empty):
     for row in placed:
         slots[row.shard].append(row.slot)
     assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and len(placed) == docs.count() + 3
-    again = {(r.doc_id, r.text, r.slot) for r in shards.write_shards(docs.unionByName(docs.limit(3)).repartition(7), shared_dir(spark, "shards"), bucket_bytes=100).collect()}
-    assert len(again) == len(placed)
+    again = shards.write_shards(docs.unionByName(docs.limit(3)).repartition(7), shared_dir(spark, "shards"), bucket_bytes=100).collect()
+    order = lambda rows: sorted((r.shard, r.slot, r.doc_id, r.text or "") for r in rows)
+    assert order(again) == order(placed)
     assert shards.write_shards(empty, shared_dir(spark, "shards")).count() == 0
 
 
+def test_many_records_are_shuffled_alike_at_any_partitioning(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20000).select(F.when(F.col("id") % 4 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    placed = [sorted((r.shard, r.slot, r.text) for r in shards.write_shards(part, shared_dir(spark, "shards"), bucket_bytes=4000).collect()) for part in (rows.repartition(5), rows.orderBy("text").coalesce(2))]
+    assert placed[0] == placed[1] and len(placed[0]) == 20000
+    nulls = shards.scatter(rows.where("doc_id is null"), bucket_bytes=400).groupBy("shard", "bucket").count().collect()
+    assert len({r.shard for r in nulls}) == 1 and len(nulls) > 5  # the law gives them one shard; they spread over its buckets
+    slots = collections.defaultdict(list)
+    for shard, slot, text in placed[0]:
+        slots[shard].append((slot, int(text[5:])))
+    for found in slots.values():
+        values = [x for _, x in found]
+        assert [k for k, _ in found] == list(range(len(found)))
+        assert abs(np.corrcoef(range(len(values)), values)[0, 1]) < 0.15
+
+
 def test_a_further_shard_only_takes(spark):
     from pyspark.sql import functions as F
 
