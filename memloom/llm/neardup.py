@@ -10,7 +10,12 @@ each offers pairs with its first member, then pairs of members that are still ap
 apart after these is compared member by member, by a bitmap that no link fails: no link between components is lost, and only
 pairs that are links, or all but, leave a bucket. Groups grow by union of links, stars around the smallest id that are contracted until nothing changes.
 
-Null and empty texts, and texts without words, have an empty set and link with nothing. Rows of one doc_id are one document if
+Hot sets and hot partners are spread: what holds over 1/SHARE of a join's rows (so at most SHARE keys, whatever the input) is broadcast, or
+dealt over as many parts as it has shares. A very long text is taken ELEMENTS shingles at a time; its set alone, 8 bytes a shingle, is held whole.
+Equal sets are told by two independent 64-bit sums of hashes of their elements and by their size: two of n different sets are taken for one with a probability below
+n * n / 2^128.
+
+Null and empty texts, and texts without words, have an empty set and link with nothing. Equal similarities (ties) link like others. Columns beside doc_id and text are left out, but for drop_duplicates(), which keeps all. Rows of one doc_id are one document if
 their sets are equal, and otherwise linked by their id. Rows without an id stand alone and have no component. An empty table gives no rows.
 """
 
@@ -32,6 +37,10 @@ PIVOTS = 1
 WORDS = 32
 #: Links that one task joins by union-find at most.
 TASK_LINKS = 1_000_000
+#: Keys with more than 1/SHARE of the rows are hot; there are fewer than SHARE of them.
+SHARE = 1000
+#: Elements whose ranks are drawn at once, and rows whose bitmaps are made at once.
+ELEMENTS, BITMAPS = 1 << 16, 1 << 10
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,10 +73,20 @@ def shingles(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray,
 
 
 def superminhash(h: np.ndarray, first: np.ndarray, slots: int) -> np.ndarray:
-    """Signatures of rows of distinct hashes; an empty row's is all infinite."""
+    """Signatures of rows of distinct hashes; an empty row's is all infinite. Elements come ELEMENTS at a time and lower what those before them have left."""
     rows = len(first) - 1
-    signature = np.full(rows * slots, np.inf)
+    signature = np.full((rows, slots), np.inf)
     owner = np.repeat(np.arange(rows), np.diff(first))
+    for a in range(0, len(h), ELEMENTS):
+        part = owner[a : a + ELEMENTS]
+        low, high = int(part[0]), int(part[-1]) + 1
+        _lower(signature[low:high], h[a : a + ELEMENTS], part - low)
+    return signature
+
+
+def _lower(signature: np.ndarray, h: np.ndarray, owner: np.ndarray) -> None:
+    """Lowers the signatures of rows by further elements, round by round, until no later round can."""
+    slots, flat_signature = signature.shape[1], signature.reshape(-1)
     order = np.broadcast_to(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(h), slots)).copy()
     place = np.arange(len(h))
     for j in range(slots):
@@ -75,15 +94,14 @@ def superminhash(h: np.ndarray, first: np.ndarray, slots: int) -> np.ndarray:
         pick = j + ((draw >> np.uint64(40)) * np.uint64(slots - j) >> np.uint64(24)).astype(np.int64)
         slot = order[place, pick]
         order[place, pick] = order[place, j]
-        np.minimum.at(signature, owner * slots + slot, j + (draw & np.uint64((1 << 40) - 1)).astype(np.float64) / float(1 << 40))
+        np.minimum.at(flat_signature, owner * slots + slot, j + (draw & np.uint64((1 << 40) - 1)).astype(np.float64) / float(1 << 40))
         if j + 1 < slots:
-            open_rows = (signature.reshape(rows, slots).max(1) > j + 1) if j < 8 or j % 8 == 0 else open_rows
+            open_rows = (signature.max(1) > j + 1) if j < 8 or j % 8 == 0 else open_rows
             live = open_rows[owner]
             if not live.all():
                 h, owner, place = h[live], owner[live], place[live]
             if not len(h):
                 break
-    return signature.reshape(rows, slots)
 
 
 def bands_of(signature: np.ndarray, bands: int, per: int) -> np.ndarray:
@@ -122,9 +140,14 @@ def sets(df: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for part, buf, off in chunks(batch):
                 h, first = shingles(buf, off, width)
-                rows = len(first) - 1
-                bits = np.bincount(np.repeat(np.arange(rows), np.diff(first)) * (64 * WORDS) + (h >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=rows * 64 * WORDS) & 1
-                bits = np.packbits(bits.astype(np.uint8)).view(np.int64)
+                rows, counts = len(first) - 1, np.diff(first)
+                bits = []
+                for a in range(0, rows, BITMAPS):
+                    size = counts[a : a + BITMAPS]
+                    own = h[first[a] : first[a] + int(size.sum())]
+                    parity = np.bincount(np.repeat(np.arange(len(size)), size) * (64 * WORDS) + (own >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=len(size) * 64 * WORDS) & 1
+                    bits.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
+                bits = np.concatenate(bits)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * WORDS, pa.int32()), pa.array(bits))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64))), lists], ["doc_id", "items", "bits"])
 
@@ -158,6 +181,14 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(node[at : at + (1 << 16)]), pa.array(root[at : at + (1 << 16)])], ["u", "v"])
 
 
+def met(rows: DataFrame, facts: DataFrame, key: str, busy: DataFrame | None) -> DataFrame:
+    """The rows joined with the one fact of their key. Facts of busy keys (fewer than SHARE; None: there are none) are broadcast, so that no task gets a hot key's rows."""
+    if busy is None:
+        return rows.join(facts, key)
+    busy = F.broadcast(busy.select(key))
+    return rows.join(F.broadcast(facts.join(busy, key, "left_semi")), key).unionByName(rows.join(busy, key, "left_anti").join(facts, key))
+
+
 def components(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     """node and the smallest node that links (a, b) lead to, for the nodes of links.
 
@@ -173,19 +204,27 @@ def components(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
             seen = now
             both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
             least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            large = written(met(both, least, "u", hot(both, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
             least = large.groupBy("u").agg(F.min("v").alias("m"))
-            small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            small = met(large, least, "u", hot(large, "u")).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             edges = written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "links")
         forest = edges
     return written(forest.where("u > v").select(F.col("u").alias("node"), F.col("v").alias("component")), "components")
 
 
+def hot(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, parts) of keys that hold more than 1/SHARE of the rows, with the shares that each holds: fewer than SHARE rows, so that a broadcast is bounded."""
+    total = rows.count()
+    return rows.groupBy(*keys).agg(F.count("*").alias("held")).where(F.col("held") * SHARE > total).select(*keys, F.ceil(F.col("held") * SHARE / max(1, total)).cast("int").alias("parts"))
+
+
 def confirmed(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough."""
-    used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    items = items.select("doc_id", "items").join(used, "doc_id", "left_semi")
-    joined = pairs.join(items.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b").join(items.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a")
+    """Those of the pairs (a, b) whose sets are similar enough. A partner of very many is dealt over several parts, each with a copy of its set."""
+    kept = items.select("doc_id", "items")
+    busy = F.broadcast(hot(pairs, "a").withColumnRenamed("a", "hot"))  # fewer than SHARE rows
+    dealt = pairs.join(busy, F.col("a") == F.col("hot"), "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "parts"), F.lit(0)).alias("part"))
+    copies = kept.join(busy, F.col("doc_id") == F.col("hot"), "left").select(F.col("doc_id").alias("a"), F.col("items").alias("items_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts") - 1, F.lit(0)).cast("long"))).alias("part"))
+    joined = dealt.join(kept.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b").join(copies, ["a", "part"])
     both = F.size(F.array_intersect("items_a", "items_b"))
     return joined.withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("items_a") + F.size("items_b") - F.col("both"))).select("a", "b")
 
@@ -195,10 +234,12 @@ def near_duplicates(df: DataFrame, width: int, percent: int = 80, bands: int = B
     rows = df.select("doc_id", "text")
     marked = written(signatures(rows, width, bands, per), "signatures")
     full = marked.where("n > 0 and doc_id is not null")
-    first = written(full.groupBy("p1", "p2").agg(F.min(F.struct("doc_id", "n", "keys")).alias("r")).select("p1", "p2", F.col("r.doc_id").alias("doc_id"), F.col("r.n").alias("n"), F.col("r.keys").alias("keys")), "sets")
+    first = written(full.groupBy("p1", "p2", "n").agg(F.min(F.struct("doc_id", "keys")).alias("r"), F.count("*").alias("copies")).select("p1", "p2", "n", "copies", F.col("r.doc_id").alias("doc_id"), F.col("r.keys").alias("keys")), "sets")
     placed = first.select("doc_id", "n", F.explode("keys").alias("key"))
-    leads = placed.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("key", "lead")
-    buckets = written(placed.join(leads, "key"), "buckets")
+    leads = written(placed.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"), F.count("*").alias("held")).where("lead < last").drop("last"), "leads")
+    busy = leads.where(F.col("held") * SHARE > bands * first.count()).select("key")
+    busy = None if busy.isEmpty() else busy
+    buckets = written(met(placed, leads.drop("held"), "key", busy), "buckets")
     candidates = buckets.select("doc_id").distinct()
     items = sets(rows.join(candidates, "doc_id", "left_semi"), width)
     repeated = not full.groupBy("doc_id").count().where("count > 1").isEmpty()
@@ -207,12 +248,12 @@ def near_duplicates(df: DataFrame, width: int, percent: int = 80, bands: int = B
     sized = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     sizes = buckets.where("doc_id = lead").select("key", F.col("n").alias("lead_n"))
-    pairs = buckets.where("doc_id > lead").join(sizes, "key").where(sized(F.col("n"), F.col("lead_n"))).select(*ends(F.col("lead"), F.col("doc_id"))).distinct()
+    pairs = met(buckets.where("doc_id > lead"), sizes, "key", busy).where(sized(F.col("n"), F.col("lead_n"))).select(*ends(F.col("lead"), F.col("doc_id"))).distinct()
     groups = components(confirmed(written(pairs, "pairs"), items, percent))
     for turn in range(PIVOTS + 1):
         known = buckets.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct(F.xxhash64("key", "doc_id", F.lit(turn)).alias("draw"), "doc_id", "n", "component")).alias("pivot")).where("lo < hi").select("key", "pivot")
-        apart = written(known.select("key", "doc_id", "n", "component").join(mixed, "key"), "apart")
+        apart = written(met(known.select("key", "doc_id", "n", "component"), mixed, "key", busy), "apart")
         if apart.isEmpty():
             break
         if turn < PIVOTS:
@@ -232,17 +273,29 @@ def near_duplicates(df: DataFrame, width: int, percent: int = 80, bands: int = B
     if repeated:  # rows of one id but different texts are linked by it
         copies = full.join(first.select("p1", "p2", F.col("doc_id").alias("rep")), ["p1", "p2"]).where("doc_id <> rep").join(first.select("doc_id"), "doc_id", "left_semi")
         groups = components(groups.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
-    reps = first.select("p1", "p2", F.col("doc_id").alias("node")).join(groups, "node", "left").select("p1", "p2", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(reps, ["p1", "p2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"))
+    reps = first.select("p1", "p2", "copies", F.col("doc_id").alias("node")).join(groups, "node", "left").select("p1", "p2", "copies", F.coalesce("component", "node").alias("component_id"))
+    reps = written(reps, "reps")
+    # Sets of very many copies are few and broadcast; the others' copies are dealt by their sets; rows without a set or an id meet nowhere.
+    many = F.col("copies") * SHARE > full.count()
+    common = F.broadcast(reps.where(many).select("p1", "p2", F.col("component_id").alias("common")))  # fewer than SHARE rows
+    known = full.join(common, ["p1", "p2"], "left").select("doc_id", "n", "p1", "p2", "common")
+    known = written(known, "known")
+    found = known.where("common is not null").select("doc_id", F.col("n").alias("n_shingles"), F.col("common").alias("component_id"))
+    rest = known.where("common is null").join(reps.where(~many).drop("copies"), ["p1", "p2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = marked.where("not (n > 0 and doc_id is not null)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return found.unionByName(rest).unionByName(alone)
 
 
 def drop_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group: that of the smallest id, with all its columns; of rows of one id, one row."""
+    """One document of each group: that of the smallest id, with all its columns; of rows of one id, one of the smallest text."""
     found = written(near_duplicates(df, width, percent), "groups")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = df.join(gone, "doc_id", "left_anti")
     twice = not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null")) if twice else kept
+    if not twice:
+        return kept
+    one = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*kept.columns), "text").alias("row")).select("row.*")
+    return one.unionByName(kept.where("doc_id is null"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,6 +106,27 @@ def test_components(spark):
         assert {r.node: r.component for r in found} == expected and len(found) == len(expected)
 
 
+def test_hot_sets_partners_and_buckets_are_spread(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in rng.integers(0, 500, 80)]
+    texts = [" ".join(base)] * 12 + [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 80, 4)] + [" ".join(f"y{x}" for x in rng.integers(0, 900, 60)) for _ in range(30)] + ["", None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = groups(list(enumerate(texts)), 2)
+    assert max(collections.Counter(c for _, c in expected.values()).values()) > 12
+    for share in (1, 8, 10**6):  # nothing, some and everything is hot
+        monkeypatch.setattr(neardup, "SHARE", share)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(rows, 2).collect()} == expected
+
+
+def test_signatures_do_not_depend_on_slices(monkeypatch):
+    rng = np.random.default_rng(2)
+    h = rng.integers(1, 2**63, 3000, dtype=np.uint64)
+    first = np.array([0, 900, 900, 905, 3000])
+    whole = neardup.superminhash(h, first, 200)
+    monkeypatch.setattr(neardup, "ELEMENTS", 70)
+    assert np.array_equal(whole, neardup.superminhash(h, first, 200))
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(1)
     errors = []
