@@ -70,14 +70,16 @@ class Block:
         return self.ids[self.doc[at]]
 
 
-def _least(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes in order, the smallest and the largest owner of each."""
+def _least(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, the smallest and the largest owner of each, and the place of each hash among them."""
     if not len(h):
-        return h, owner, owner
+        return h, owner, owner, np.zeros(0, np.int64)
     order = np.argsort(h)
-    h, owner = h[order], owner[order]
-    head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    return h[head], np.minimum.reduceat(owner, head), np.maximum.reduceat(owner, head)
+    ordered, owner = h[order], owner[order]
+    fresh = np.append(True, ordered[1:] != ordered[:-1])
+    head, place = np.flatnonzero(fresh), np.empty(len(h), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return ordered[head], np.minimum.reduceat(owner, head), np.maximum.reduceat(owner, head), place
 
 
 def _sent(block: int, h: np.ndarray, owner: np.ndarray | None) -> pa.Table:
@@ -91,7 +93,7 @@ def _earliest(block: Block, h: np.ndarray, valid: np.ndarray, right: pa.Table) -
     """The valid starts, each start's smallest document, and whether its hash is in several documents; right: what came back to the block."""
     at = np.flatnonzero(valid)
     owner, mine = block.owners(at), h[at]
-    distinct, least, most = _least(mine, owner)
+    distinct, least, most, place = _least(mine, owner)
     there = right["hash"].to_numpy().view(np.uint64)
     order = np.argsort(there)
     there = there[order]
@@ -101,7 +103,6 @@ def _earliest(block: Block, h: np.ndarray, valid: np.ndarray, right: pa.Table) -
     if "least" in right.column_names and len(there):
         outside = right["least"].to_numpy()[order]
         least = np.where(found, np.minimum(least, outside[spot]), least)
-    place = np.searchsorted(distinct, mine)
     return at, least[place], several[place]
 
 
