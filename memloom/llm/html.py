@@ -8,10 +8,13 @@ clusters or a heading above it, or else the deepest container that holds all clu
 the first cluster, but for headings right above it, and after the last one. All other lines of the region are kept whole, short ones too.
 
 Left out wherever they stand, as lines of ratio 0: scripts, styles, templates, menus, forms, asides and footers; headers outside
-an article; and elements whose role, id or class names one of these, adverts, notices or comments.
+an article; and what a role, id or class names as one of these, as adverts, notices or comments. A class or id names something only as a whole: all its parts are
+such names or general words of page building (`user-comments`, but not `no-comments`, `has-sidebar`, `related-work` or `form-of-life`). A container so named, but not as
+comments, stays if it holds over nine tenths of the page's characters. Comments without a telling name are known by the heading that opens them.
 
 Null, empty and text-free pages give an empty text. Unclosed and crossed tags end with the container they are in, a tag that
-the page's end cuts off is dropped, cut-off references are read as the parser reads them. White space is that of str.split(). Repeated rows give repeated rows.
+the page's end cuts off is dropped, cut-off references are read as the parser reads them. White space is that of str.split(). Repeated rows give repeated rows, an empty
+table none; columns beside page_id, url and html are left out. A very long page is one parser's work, in memory that grows with it; of containers that hold equally much (ties), the deepest is the region.
 """
 
 from __future__ import annotations
@@ -40,6 +43,24 @@ NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form login masthead menu modal nav navbar navigation newsletter notice notices popup promo promos promoted promotion related respond share sharing sidebar signup social sponsor sponsored sponsors subscribe toolbar widget widgets".split()
 )
 _PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+#: Names of comments, and general words that may stand beside a name.
+COMMENTS = frozenset("comment comments disqus respond".split())
+GENERAL = frozenset(
+    "area articles aside bar block blocks body bottom box button buttons center col column container content count desktop entry feed field fixed full global group head header heading icon icons inner inline item items js large left level link links list logo main mobile module news outer page panel posts primary reader replies reply right row secondary section site slot small sticky stories text thread title top ui unit user view web widget wide wrap wrapper".split()
+)
+#: How headings of comments begin. Fixed values in four languages.
+_COMMENTED = re.compile(r"(\d+ )?((reader|user|your|leave a|post a) )?(comments?|responses|replies|reply|discussion|kommentare?|commentaires?|comentarios?)( \(?\d+\)?)?:?", re.IGNORECASE)
+
+
+def named(value: str) -> int:
+    """What one of the classes or ids names as a whole: 2 comments, 1 something else that is not main text, 0 nothing."""
+    best = 0
+    for name in value.split():
+        parts = [x.lower() for x in _PARTS.split(name) if len(x) > 1]
+        hits = [x for x in parts if x in NAMES]
+        if hits and all(x in NAMES or x in GENERAL for x in parts):
+            best = max(best, 2 if COMMENTS.intersection(parts) else 1)
+    return best
 #: Lines' spread of the Gaussian.
 SIGMA = 1.0
 
@@ -62,6 +83,7 @@ class Lines(HTMLParser):
         self.tags = self.link_chars = 0
         self.lines: list[tuple[str, int, int, int]] = []
         self.heads: list[bool] = []
+        self.names: list[int] = [0]  # what a container is named as
 
     def end_line(self) -> None:
         if self.pieces:
@@ -84,11 +106,15 @@ class Lines(HTMLParser):
             self.pop(len(self.open) - 1)
         if tag in VOID:
             return
+        kind = 0
         out = self.out or tag in NEVER or tag == "header" and not any(x[0] in ARTICLE for x in self.open)
         if attrs and not out and tag not in ARTICLE and tag not in ("body", "html"):
             for name, value in attrs:
                 if name in ("class", "id") and value:
-                    out = out or any(part.lower() in NAMES for part in _PARTS.split(value))
+                    if tag in CONTAINERS:
+                        kind = max(kind, named(value))
+                    else:
+                        out = out or named(value) > 0
                 elif name == "role":
                     out = out or (value or "").lower() in ROLES
                 elif name == "hidden":
@@ -96,6 +122,7 @@ class Lines(HTMLParser):
         if tag in CONTAINERS:
             self.kinds.append(tag)
             self.parents.append(self.at)
+            self.names.append(kind)
             self.at = len(self.kinds) - 1
         self.open.append((tag, self.at, out))
         self.out = out
@@ -134,6 +161,33 @@ class Lines(HTMLParser):
     def finish(self) -> None:
         self.close()
         self.end_line()
+        self.leave_out()
+
+    def leave_out(self) -> None:
+        """Drops the lines of containers that are named as something else, and those of comments under a heading of their own."""
+        held = [0] * len(self.kinds)
+        for text, _, _, at in self.lines:
+            held[at] += len(text)
+        for c in range(len(held) - 1, 0, -1):
+            held[self.parents[c]] += held[c]
+        gone = [False] * len(held)
+        for c in range(1, len(held)):
+            gone[c] = gone[self.parents[c]] or self.names[c] == 2 and held[c] < held[0] or self.names[c] == 1 and 10 * held[c] <= 9 * held[0]
+        kept, stopped, first = [], {}, [True] * len(held)
+        for k, (text, _, _, at) in enumerate(self.lines):
+            if self.heads[k]:
+                stopped.pop(at, None)
+                if _COMMENTED.fullmatch(text) and 2 * held[at] <= held[0] and first[at] and at:
+                    gone[at] = True  # the heading opens a container of its own
+                elif _COMMENTED.fullmatch(text):
+                    stopped[at] = True
+            first[at] = False
+            up, out = at, gone[at]
+            while up >= 0 and not out:
+                out, up = gone[up] or up in stopped, self.parents[up]
+            if not out:
+                kept.append(k)
+        self.lines, self.heads = [self.lines[k] for k in kept], [self.heads[k] for k in kept]
 
 
 def clusters(lines: list[tuple[str, int, int, int]], sigma: float = SIGMA) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Token files and pages: added tokens, unassigned codepoints, and page parts that belong to the text."""
 
 import numpy as np
+import pytest
 
 from memloom.llm import html, tokenfile
 
@@ -32,3 +33,29 @@ def test_title_and_lead_of_main_are_kept_with_its_article():
     article = "<article>" + "".join(f"<p>{b}</p>" for b in body) + "</article>"
     assert html.main_text(f"<main><h1>Title</h1><p>{LINE}</p>{article}</main>") == "\n".join(["Title", LINE, *body])
     assert html.main_text(f"<main><h1>T</h1>{article}</main>") == "\n".join(["T", *body])
+
+
+BODY = "".join(f"<p>{k} {LINE}</p>" for k in range(6))
+TEXT = "\n".join(f"{k} {LINE}" for k in range(6))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div id='page' class='site has-sidebar'>{BODY}</div></body>",
+        f"<body><div class='no-comments layout'>{BODY}</div></body>",
+        f"<body><div class='widget'>{BODY}</div></body>",
+        f"<body><div>{BODY}</div><div class='user-comments'><p>{LINE * 30}</p></div></body>",
+        f"<body><div>{BODY}</div><div class='site-footer'><p>{LINE}</p></div></body>",
+        f"<body><article>{BODY}<div><h3>12 Comments</h3><p>{LINE}</p></div></article></body>",
+        f"<body><article>{BODY}<h3>Comments (3)</h3><p>{LINE}</p><div><p>{LINE}</p></div></article></body>",
+        f"<body><article>{BODY}<div class='ad-slot'><p>{LINE}</p></div><p class='advert'>{LINE}</p></article></body>",
+    ],
+)
+def test_names_of_wrappers_and_comments(page):
+    assert html.main_text(page) == TEXT
+
+
+def test_names_that_are_no_parts_of_the_page():
+    page = f"<article>{BODY}<section id='related-work'><h2>Related work</h2><p>{LINE}</p></section><p class='form-of-life'>{LINE}</p></article>"
+    assert html.main_text(page) == "\n".join([TEXT, "Related work", LINE, LINE])
