@@ -5,7 +5,7 @@ if some stretch of it is within floor(rate * words of the item) word edits of th
 
 Candidates come from the embedding alone. A random walk reads a word and moves on or not by a random bit of (word, step), which turns few
 edits into a small Hamming distance; a walk from any word on is the embedding of the window that starts there, whatever the window's size. Items
-are classed by size (powers of two). For each class WALKS walks start at every STRIDE(size)-th word of the documents, each as long as
+are classed by size, a class from its smallest size to twice that. For each class WALKS walks start at every STRIDE(size)-th word of the documents, each as long as
 the class's smallest items need, and from every word of an item that has as many words after it; so an occurrence is met in step at
 least once, whatever word it starts at. Each walk is sampled by REPEATS bit-sampling hashes of BITS steps, and
 windows that share one with an item are candidates. repeats_for() gives the hashes that a recall wants. Of candidates, those whose
@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from memloom.llm.base import Words, chunks, flat, mix, table, written
 
 RATE = 0.2
-WALKS, REPEATS, BITS = 6, 8, 4
+WALKS, REPEATS, BITS = 5, 7, 4
 #: Bytes of items that a task holds at once.
 ITEM_BYTES = 4 << 20
 #: Words whose walks are made at once, and candidates verified at once.
-POSITIONS, VERIFIED = 1 << 15, 512
+POSITIONS, VERIFIED = 1 << 13, 512
 SCHEMA = "doc_id long, item_id long, distance int, first_word long, last_word long"
 _GOLD, _PAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0)
 
@@ -67,19 +67,22 @@ class Size:
 
     def keys(self, words: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
         """For each hash in turn, its key of the window that starts at each place: words' 64-bit hashes by odd factors of each hash's own."""
-        padded = np.concatenate((words, np.full(self.steps + 1, _PAD)))
+        padded, part = np.concatenate((words, np.full(self.steps + 1, _PAD))), np.empty(len(at), np.uint64)
         for k in range(WALKS):
             place, wanted, seen = at.copy(), sorted({int(t) for sample in self.samples[k] for t in sample}), {}
             for step in range(wanted[-1] + 1):
                 if step % 64 == 0:  # a word's random bits of the next steps
                     bits = mix(padded + np.uint64(((k + 1 << 32) + step // 64) * int(_GOLD) & (1 << 64) - 1))
                 if step in wanted:
-                    seen[step] = padded[place]
-                place += (bits[place] >> np.uint64(step % 64) & np.uint64(1)).astype(np.int64)
+                    seen[step] = np.take(padded, place)
+                move = np.take(bits, place)
+                move >>= np.uint64(step % 64)
+                move &= np.uint64(1)
+                place += move.view(np.int64)
             for sample, factors in zip(self.samples[k], self.factors[k], strict=True):
                 key = seen[int(sample[0])] * factors[0]
                 for t, factor in zip(sample[1:].tolist(), factors[1:], strict=False):
-                    key += seen[t] * factor
+                    key += np.multiply(seen[t], factor, out=part)
                 yield key
 
 
@@ -102,15 +105,17 @@ class Items:
     def __init__(self, ids: list[int], texts: list[str | None], rate: float):
         hashes, first = word_hashes(*flat(pa.array(texts, pa.string())))
         self.ids, self.words, self.edits = [], [], []
-        by_size: dict[int, list[int]] = {}
         for item_id, a, b in zip(ids, first[:-1].tolist(), first[1:].tolist(), strict=True):
             if b > a:
-                by_size.setdefault(1 << ((b - a).bit_length() - 1), []).append(len(self.ids))
                 self.ids.append(item_id)
                 self.words.append(hashes[a:b])
                 self.edits.append(int(rate * (b - a)))
+        by_size: dict[int, list[int]] = {}
+        for n, number in sorted((len(words), number) for number, words in enumerate(self.words)):
+            least = n if not by_size or n >= 2 * max(by_size) else max(by_size)
+            by_size.setdefault(least, []).append(number)
         self.sizes = []
-        for least, numbers in sorted(by_size.items()):
+        for least, numbers in by_size.items():
             size = Size(least)
             found: list[list] = [[], [], []]
             for number in numbers:
@@ -121,15 +126,19 @@ class Items:
                         column.append(value)
             keys, owner, offset = map(np.concatenate, found)
             order = np.argsort(keys)
-            keys, shift = keys[order], np.uint64(64 - min(24, max(16, len(keys).bit_length() + 5)))
-            sieve = np.zeros(1 << (64 - int(shift)), bool)
-            sieve[keys >> shift] = True
-            self.sizes.append((size, keys, owner[order], offset[order], shift, sieve))
+            keys, width = keys[order], min(24, len(keys).bit_length() + 3)
+            sieves = []
+            for shift in (np.uint64(64 - width), np.uint64(40 - width)):  # by two parts of a key
+                sieve = np.zeros(1 << width, bool)
+                sieve[keys >> shift & np.uint64((1 << width) - 1)] = True
+                sieves.append((shift, sieve))
+            self.sizes.append((size, keys, owner[order], offset[order], sieves))
 
     def candidates(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Distinct (item, row, start) of windows that share a hash with an item."""
         found = []
-        for size, keys, owner, offset, shift, sieve in self.sizes:
+        for size, keys, owner, offset, ((top, sieve), (low_bits, second)) in self.sizes:
+            mask = np.uint64(len(second) - 1)
             # Every stride-th word of each row, counted from the row's first.
             count = -(-np.diff(first) // size.stride)
             row = np.repeat(np.arange(len(count)), count)
@@ -139,7 +148,8 @@ class Items:
                 low = int(part[0])
                 stretch = hashes[low : int(part[-1]) + size.steps + 1]
                 for key in size.keys(stretch, part - low):
-                    near = np.flatnonzero(sieve[key >> shift])
+                    near = np.flatnonzero(np.take(sieve, (key >> top).view(np.int64)))
+                    near = near[second[key[near] >> low_bits & mask]]
                     lo, hi = np.searchsorted(keys, key[near]), np.searchsorted(keys, key[near], "right")
                     n = hi - lo
                     which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
