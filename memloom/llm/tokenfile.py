@@ -7,7 +7,7 @@ file whole on any store that Spark writes to, and repeats it if an executor is l
 doc_id. Beside its payload a segment holds its documents' ids and lengths.
 
 Null and empty texts have the end id alone. Rows of one doc_id stand in the order of their texts; exact repeats are
-interchangeable. An empty table has no segments. Further columns of the input are left out.
+interchangeable. A very long text is encoded as a chunk of its own and lies in one segment. An empty table has no segments. Further columns of the input are left out.
 """
 
 from __future__ import annotations

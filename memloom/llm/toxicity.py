@@ -1,12 +1,13 @@
 """Operator 4: toxicity by a counterfactually regularised classifier.
 
 Logistic regression over the presence of words and of their beginnings in the whole text. Beside the labels' likelihood the
-fit penalises what identity terms change: in labelled sentences an identity term is swapped for others (and put in for a word
-where sentences hold none), and the squared change of the score is added to the loss, so that naming a group moves a
+fit penalises what identity terms change: wherever a labelled sentence names a group, the term is swapped for another of its kind, in one
+sentence of each labelled text two terms of a kind are put in for a word, and the squared change of the score is added to the loss, so that naming a group moves a
 score as little as the penalty allows.
 
-Labels are learned from a bounded sample of the rows allowed. Null and empty texts score like a text without known features.
-Without labelled rows of both kinds every score is the share of toxic labels (a half without any). Repeated rows score alike.
+Labels are learned from a bounded sample of the rows allowed (see learn.SAMPLE_ROWS). Null and empty texts score like a text without known features.
+Without labelled rows of both kinds every score is the share of toxic labels (a half without any). Repeated rows score alike, a score of a half (ties) is toxic; an empty
+table gives no rows. A very long text is scored whole, its words' beginnings taking some 150 bytes a word meanwhile. Columns beside doc_id and text are left out, but for reject(), which keeps all.
 """
 
 from __future__ import annotations
@@ -37,9 +38,6 @@ IDENTITY = (
     "immigrants refugees foreigners natives inmigrantes refugiados étrangers réfugiés ausländer flüchtlinge".split(),
     "disabled deaf blind autistic elderly young old".split(),
 )
-#: Sentences that terms are put into.
-SENTENCES = 300
-
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[128:] = np.arange(128, 256)
 _LETTERS[97:123] = np.arange(97, 123)
@@ -143,16 +141,27 @@ def swaps(texts: list[str], rng: np.random.Generator) -> tuple[list[str], list[s
                     kind = [t for t in kinds[hit[0].lower()] if t != hit[0].lower()]
                     one.append(sentence)
                     other.append(sentence[: hit.start()] + kind[int(rng.integers(len(kind)))] + sentence[hit.end() :])
-    for k in range(min(SENTENCES, len(plain))):
-        words = plain[k].split() or ["-"]
+    for k, sentence in enumerate(plain):
+        words = sentence.split() or ["-"]
         kind, spot = IDENTITY[k % len(IDENTITY)], int(rng.integers(len(words)))
-        for _ in range(2):
-            a, b = rng.choice(len(kind), 2, replace=False)
-            one.append(" ".join([*words[:spot], kind[a], *words[spot + 1 :]]))
-            other.append(" ".join([*words[:spot], kind[b], *words[spot + 1 :]]))
+        a = int(rng.integers(len(kind)))
+        b = (a + 1 + int(rng.integers(len(kind) - 1))) % len(kind)
+        one.append(" ".join([*words[:spot], kind[a], *words[spot + 1 :]]))
+        other.append(" ".join([*words[:spot], kind[b], *words[spot + 1 :]]))
     return one, other
 
 
+def gradient(x: np.ndarray, z: np.ndarray, row: np.ndarray, place: np.ndarray, pair_row: np.ndarray, pair_place: np.ndarray, pair_sign: np.ndarray, pairs: int) -> np.ndarray:
+    """The slope of the loss at x (weights, then the bias): the mean log loss of rows with labels z, the ridge, and the penalty on the mean squared change between the sentences of a pair."""
+    f = len(x) - 1
+    w = x[:f]
+    error = (sigmoid(x[f] + np.bincount(row, w[place], minlength=len(z))) - z) / len(z)
+    g = np.bincount(place, error[row], minlength=f) + RIDGE * w
+    change = np.bincount(pair_row, w[pair_place] * pair_sign, minlength=pairs)
+    g += COUNTERFACTUAL * 2 / pairs * np.bincount(pair_place, change[pair_row] * pair_sign, minlength=f)
+    return np.append(g, error.sum())
+
+
 def fit(texts: list[str], y: np.ndarray, steps: int = 200) -> Model:
     """The classifier of labelled texts."""
     none = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
@@ -181,15 +190,10 @@ def fit(texts: list[str], y: np.ndarray, steps: int = 200) -> Model:
     pair_row, pair_place, pair_sign = (np.concatenate([x[k] for x in parts]) for k in range(3))
     pairs, f = max(1, len(one)), len(kept)
 
-    def gradient(x: np.ndarray) -> np.ndarray:
-        w = x[:f]
-        error = (sigmoid(x[f] + np.bincount(row, w[place], minlength=len(z))) - z) / len(z)
-        g = np.bincount(place, error[row], minlength=f) + RIDGE * w
-        change = np.bincount(pair_row, w[pair_place] * pair_sign, minlength=pairs)
-        g += COUNTERFACTUAL * 2 / pairs * np.bincount(pair_place, change[pair_row] * pair_sign, minlength=f)
-        return np.append(g, error.sum())
+    def slope_at(x: np.ndarray) -> np.ndarray:
+        return gradient(x, z, row, place, pair_row, pair_place, pair_sign, pairs)
 
-    x = adam(gradient, np.append(np.zeros(f), np.log(share / (1 - share))), steps, 0.05)
+    x = adam(slope_at, np.append(np.zeros(f), np.log(share / (1 - share))), steps, 0.05)
     slope, shift = 1.0, 0.0
     if len(scale):
         r, p = placed(model, [texts[k] for k in scale])

@@ -432,3 +432,78 @@ def test_page_shapes(page, text):
         assert got == "\n".join((("Head"), (PARAGRAPH * 3).strip(), (PARAGRAPH * 2).strip()))
     else:
         assert got == text
+
+
+# ---- 1 and 4, against enumeration
+
+
+def test_marginals_are_those_of_all_labellings():
+    import itertools
+
+    rng = np.random.default_rng(8)
+    first = np.array([0, 1, 1, 4, 12])
+    emission, ties = rng.normal(size=12), rng.normal(size=(2, 2))
+    good, both = quality.marginals(emission, ties, first)
+    for a, b in zip(first, first[1:]):
+        n, total, one, two = b - a, 0.0, np.zeros(b - a), np.zeros((b - a, 2, 2))
+        for labels in itertools.product((0, 1), repeat=int(n)):
+            weight = np.exp(sum(emission[a + t] * y for t, y in enumerate(labels)) + sum(ties[x, y] for x, y in itertools.pairwise(labels)))
+            total += weight if n else 0
+            for t, y in enumerate(labels):
+                one[t] += weight * y
+                if t + 1 < n:
+                    two[t, y, labels[t + 1]] += weight
+        if n:
+            assert good[a:b] == pytest.approx(one / total) and both[a : b - 1] == pytest.approx(two[:-1] / total)
+
+
+def test_toxicity_gradient_is_the_slope_of_the_loss():
+    rng = np.random.default_rng(3)
+    f, n, pairs = 6, 9, 4
+    row, place = np.repeat(np.arange(n), 3), rng.integers(0, f, 3 * n)
+    pair_row, pair_place, pair_sign = np.repeat(np.arange(pairs), 4), rng.integers(0, f, 4 * pairs), np.tile([1.0, 1.0, -1.0, -1.0], pairs)
+    z, x = rng.integers(0, 2, n).astype(float), rng.normal(size=f + 1)
+
+    def loss(v):
+        logit = v[f] + np.array([sum(v[place[k]] for k in range(3 * n) if row[k] == r) for r in range(n)])
+        change = [sum(v[pair_place[k]] * pair_sign[k] for k in range(4 * pairs) if pair_row[k] == r) for r in range(pairs)]
+        return np.mean(np.log1p(np.exp(logit)) - z * logit) + toxicity.RIDGE / 2 * (v[:f] ** 2).sum() + toxicity.COUNTERFACTUAL * np.mean(np.square(change))
+
+    step = 1e-6 * np.eye(f + 1)
+    expected = [(loss(x + d) - loss(x - d)) / 2e-6 for d in step]
+    assert toxicity.gradient(x, z, row, place, pair_row, pair_place, pair_sign, pairs) == pytest.approx(expected, abs=1e-5)
+
+
+def test_neutral_mentions_are_not_toxic():
+    """Groups are named in most toxic and few clean training texts; fewer neutral texts that name them are rejected under the penalty."""
+    rng = np.random.default_rng(4)
+    pool = ["".join(rng.choice(list("aeioubcdfg"), 6)) for _ in range(200)]
+    terms = ["women", "muslims", "immigrants", "jews", "gay"]
+    sentence = lambda *more: " ".join([*rng.choice(pool, 12), *more]) + "."
+    texts = [sentence(*(["scum"] if k % 3 else []), str(rng.choice(terms))) if k % 2 else sentence() for k in range(600)]
+    y = np.array([float(k % 2) for k in range(600)])
+    neutral = [sentence(t) for t in terms * 40]
+    plain, rates = toxicity.COUNTERFACTUAL, []
+    for weight in (0.0, plain):
+        toxicity.COUNTERFACTUAL = weight
+        model = toxicity.fit(texts, y)
+        rates.append(model.scores(*flat(pa.array(neutral))).mean())
+    toxicity.COUNTERFACTUAL = plain
+    assert rates[1] < rates[0]
+
+
+@pytest.mark.parametrize(("module", "label"), [(quality, "quality"), (toxicity, "toxic")])
+def test_fitted_classifiers_score_every_row(spark, docs, module, label):
+    from memloom.llm.learn import labelled
+
+    texts = [("good words stand here. " * 5 if k % 2 else "bad!!! $$$ 99 ## scum ") + f"x{k}" for k in range(60)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(3, "an older text of 3"), (None, "no id"), (200, None), (201, ""), (202, "long " * 40000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(3, None), (7, 0), (None, 1)], f"doc_id long, {label} int")
+    found = module.classify(frame, labels).collect()
+    assert len(found) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)
+    one = labelled(frame, labels, label, module.DIVISOR, module.REST)
+    again = labelled(frame.repartition(5), labels.repartition(3), label, module.DIVISOR, module.REST)
+    assert one[0] == again[0] and one[1].tolist() == again[1].tolist()
+    same = {r.score for r in module.classify(frame, labels).where("doc_id in (200, 201)").collect()}
+    assert len(same) == 1
