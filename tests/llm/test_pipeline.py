@@ -26,6 +26,34 @@ def test_columns(stages):
     assert counts == sorted(counts, reverse=True) and counts[-1] > counts[0] // 2
 
 
+def test_toxicity_decides_by_the_score(spark, stages):
+    from memloom.llm import toxicity
+    from memloom.llm.learn import labelled
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(*labelled(stages[0], labels, "toxic", toxicity.DIVISOR, toxicity.REST))
+    scores = {r.doc_id: r.score for r in toxicity.score(stages[0], model).collect()}
+    kept = {r.doc_id for r in stages[1].collect()}
+    assert kept == {i for i, x in scores.items() if x < 0.5} and len(kept) < len(scores)
+
+
+def test_rows_without_ids_and_empty_tables(spark, tmp_path):
+    item = " ".join(f"item{k}" for k in range(20))
+    words = item.split()
+    edited = " ".join([*words[:5], "other", *words[6:12], *words[13:]])
+    texts = [(1, "clean text"), (None, f"before {item} after"), (2, f"x {edited} y"), (3, None), (None, "no id but clean"), (4, "")]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = pipeline.drop_leaks(spark, rows, str(tmp_path))
+    assert kept.columns == rows.columns and sorted(str(r.text) for r in kept.collect()) == ["", "None", "clean text", "no id but clean"]
+    for part in (rows, rows.limit(0)):
+        docs = part
+        for name, stage in pipeline.STAGES[1:]:
+            docs = written(stage(spark, docs, str(tmp_path)), name)
+        assert docs.count() == (4 if part is rows else 0)
+
+
 def test_near_duplicates(stages):
     from test_operators import groups
 
