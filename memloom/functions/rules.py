@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions.text import strip
@@ -105,3 +105,69 @@ def split_memory(text: Column, memory: Column) -> Column:
     known = F.startswith(text, F.concat(memory, F.lit(SEPARATOR)))
     query = F.when(known, F.substring(text, F.length(memory) + 1 + len(SEPARATOR), F.length(text))).otherwise(text)
     return F.struct(F.when(known, memory).otherwise(F.lit("")).alias("memory"), strip(query).alias("query"))
+
+
+#: Tokens of a context window, and what is kept free of it. Fixed values.
+HARD_LIMIT, RESERVE = 262144, 1024
+
+
+def memory_budget(user_tokens: Column, max_new: int, strict: bool = False) -> Column:
+    """Tokens left for the memory of a group whose longest question takes `user_tokens`; strict: fails where none are left."""
+    left = HARD_LIMIT - max_new - RESERVE - user_tokens
+    return F.when(left > 0, left).otherwise(F.raise_error(F.lit("no room for memory")).cast("long")) if strict else left
+
+
+def parsed_spec(spec: Column) -> Column:
+    """struct(ds, split, n) of dataset:split or dataset:split:count."""
+    parts = F.split(spec, ":")
+    return F.struct(F.get(parts, F.lit(0)).alias("ds"), F.get(parts, F.lit(1)).alias("split"), F.nullif(F.get(parts, F.lit(2)), F.lit("")).cast("long").alias("n"))
+
+
+def tail(text: Column, most: int) -> Column:
+    """The last `most` characters."""
+    return F.when(F.length(text) <= most, text).otherwise(F.right(text, F.lit(most)))
+
+
+def to_boundary(n: Column, wanted: Column, chunk: int) -> Column:
+    """The tokens granted of those wanted: up to the next chunk's start."""
+    return F.least(wanted, (F.floor(n / chunk) + 1) * chunk - n)
+
+
+def planted(text: Column, spot: Column, needle: str) -> Column:
+    """The text with a needle after its first `spot` characters."""
+    at = spot.cast("int")
+    return F.concat(F.left(text, at), F.lit(needle), F.substring(text, at + 1, F.length(text)))
+
+
+def synthesis_budget(prompt: Column, window: int = 8192, reserve: int = 400, low: int = 256, high: int = 2048) -> Column:
+    """Tokens to generate for a chunk's questions."""
+    return F.least(F.lit(high), F.greatest(F.lit(low), window - prompt - reserve)).cast("long")
+
+
+def update_prompt(block: Column, chunk: Column, budget: Column) -> Column:
+    """The user's turn that asks for a rewritten memory. Fixed texts."""
+    shown = F.when(F.coalesce(block, F.lit("")) == "", F.lit("(empty)")).otherwise(block)
+    rest = F.concat(F.lit("Rewrite the memory to integrate any useful information from the new text. Keep it under about "), budget.cast("string"), F.lit(" tokens. Output ONLY the updated memory."))
+    return F.concat(F.lit("Current memory:\n"), shown, F.lit("\n\nNew text:\n"), chunk, F.lit("\n\n"), rest)
+
+
+def text_form(family: Column, kind: Column) -> Column:
+    """Which form of prompt and gold a row takes: open, ttl or ttl_single, single or multi."""
+    single = kind == "single"
+    return F.when(family == "long", "open").when(family == "ttl", F.when(single, "ttl_single").otherwise("ttl")).when(single, "single").otherwise("multi")
+
+
+def bare_query(query: Column) -> Column:
+    """The utterance inside a known template, the first that matches; other queries as they are. Fixed patterns."""
+    patterns = (r"(?s)nothing else\.\s*\n\n(.+?)\s*\n\n\s*label:\s*$", r"(?s)\nText:\s*(.+?)\s*\n\n")
+    out = query
+    for pattern in reversed(patterns):
+        out = F.when(query.rlike(pattern), strip(F.regexp_extract(query, pattern, 1))).otherwise(out)
+    return out
+
+
+def chunk_config(rows: DataFrame, configs: DataFrame) -> DataFrame:
+    """Rows (dataset, pack) with the settings (dataset, size) of their dataset: those of `dataset-pack` for packs, if there are any. Settings are a row a dataset."""
+    of = lambda name: configs.select(F.col("dataset").alias(f"_{name}"), F.col("size").alias(f"_{name}_size"))
+    packed = rows.join(of("own"), F.col("dataset") == F.col("_own"), "left").join(of("packs"), F.col("pack") & (F.concat("dataset", F.lit("-pack")) == F.col("_packs")), "left")
+    return packed.withColumn("size", F.coalesce("_packs_size", "_own_size")).drop("_own", "_packs", "_own_size", "_packs_size")

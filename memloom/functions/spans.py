@@ -96,3 +96,44 @@ def common_prefix(a: Column, b: Column) -> Column:
 def segment_ids(positions: Column) -> Column:
     """A new segment wherever positions start at 0 again."""
     return F.transform(positions, lambda p, i: F.size(F.filter(F.slice(positions, 1, i + 1), lambda x: x == 0)) - 1)
+
+
+def collated(lengths: Column) -> Column:
+    """struct(seq_ids, position_ids, cu_seqlens) of sequences packed into one row."""
+    seqs = F.flatten(F.transform(lengths, lambda n, i: F.array_repeat(i, n)))
+    places = F.flatten(F.transform(lengths, indices))
+    return F.struct(seqs.alias("seq_ids"), places.alias("position_ids"), running(lengths).alias("cu_seqlens"))
+
+
+def behind_sink(spans: Column, sink: int) -> Column:
+    """Spans behind a segment of `sink` tokens, which is the first."""
+    shifted = F.transform(spans, lambda x: F.struct((x["s"] + sink).alias("s"), (x["e"] + sink).alias("e")))
+    return F.concat(F.array(F.struct(F.lit(0).alias("s"), F.lit(sink).alias("e"))), shifted)
+
+
+def sliding_span(n: Column, sink: int, window: int) -> Column:
+    """The evicted span of a sink and a sliding window."""
+    return F.struct(F.lit(sink).cast("long").alias("s"), F.greatest(F.lit(sink), n - window).cast("long").alias("e"))
+
+
+def static_blocks(n: Column, sink: int, recent: int, block: int) -> Column:
+    """The full blocks between the sink and the recent tokens."""
+    low, high = sink // block, F.floor((n - recent) / block)
+    return F.when(high > low, F.sequence(F.lit(low).cast("long"), high - 1)).otherwise(F.array().cast("array<bigint>"))
+
+
+def compacted(pages: Column, dropped: Column, n: Column, page: int) -> Column:
+    """struct(pages, n) of a page table without the pages dropped (by place), its length shrunk by them."""
+    kept = F.filter(pages, lambda _, i: ~F.array_contains(dropped, i))
+    return F.struct(kept.alias("pages"), (n - F.size(dropped) * page).alias("n"))
+
+
+def split_by_lengths(memory: Column, lengths: Column, separator: int) -> Column:
+    """The documents of a joined text by their lengths, blank ones left out."""
+    starts = running(F.transform(lengths, lambda n: n + separator))
+    return F.filter(F.transform(lengths, lambda n, i: F.substring(memory, F.get(starts, i) + 1, n)), lambda d: F.trim(d) != "")
+
+
+def folded(chunks: Column, step, budget: int) -> Column:
+    """A memory rewritten chunk by chunk: step(block, chunk) is clipped to `budget` characters. The step stands for a model."""
+    return F.aggregate(chunks, F.lit(""), lambda block, chunk: F.left(step(block, chunk), F.lit(budget)))

@@ -43,14 +43,15 @@ def pack_with_offsets(rows: DataFrame, pack: str, order: str) -> DataFrame:
     return one.select(pack, F.flatten(F.transform("x", lambda r: r["docs"])).alias("docs"), F.flatten(F.transform("x", lambda r: r["evidence"])).alias("evidence"))
 
 
-def dense_index(rows: DataFrame, order: str, name: str = "idx", buckets: int = 64) -> DataFrame:
-    """A gapless index from 0 in order of a numeric column, in two passes: counts of ranges of the order, then places inside them. No window goes over all rows."""
-    lo, hi = rows.agg(F.min(order), F.max(order)).first()
-    if lo is None:
+def dense_index(rows: DataFrame, order: str, name: str = "idx", per_range: int = 1 << 16, most: int = 1024) -> DataFrame:
+    """A gapless index from 0 in order of a numeric column, in two passes: counts of ranges of the order, then places inside them. Ranges end at approximate quantiles, so that they hold alike whatever the values; no window goes over all rows."""
+    total = rows.count()
+    if not total:
         return rows.withColumn(name, F.lit(0).cast("long"))
-    width = (hi - lo + 1) / buckets
-    ranged = rows.withColumn("_range", F.least(F.lit(buckets - 1), F.floor((F.col(order) - lo) / width)).cast("int"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # `buckets` rows
+    number = min(most, -(-total // per_range))
+    ends = rows.agg(F.percentile_approx(order, [k / number for k in range(1, number)], 100 * most)).first()[0] if number > 1 else []  # `most` numbers at most
+    ranged = rows.withColumn("_range", F.size(F.filter(F.lit(sorted(set(ends))), lambda e: e < F.col(order))) if ends else F.lit(0))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # `most` rows
     starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
     return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + inside).drop("_range", "_start")
@@ -69,11 +70,30 @@ def admitted(rows: DataFrame, key: str, order: list[Column], quota: Column) -> D
 
 def stratified(rows: DataFrame, label: str, key: str, size: int, seed: object) -> DataFrame:
     """One row of each label, then others up to `size`, by hash."""
-    first = F.row_number().over(Window.partitionBy(label).orderBy(order_key(seed, "label", F.col(key)), key)) == 1
-    marked = rows.withColumn("_rest", F.when(first, 0).otherwise(1))
+    first = rows.groupBy(label).agg(F.min(F.struct(order_key(seed, "label", F.col(key)).alias("h"), F.col(key))).alias("x")).select(F.col(f"x.{key}").alias(key), F.lit(0).alias("_first"))
+    marked = rows.join(first, key, "left").withColumn("_rest", F.coalesce("_first", F.lit(1))).drop("_first")
     return marked.orderBy("_rest", order_key(seed, "fill", F.col(key)), key).limit(size).drop("_rest")
 
 
 def explode_questions(rows: DataFrame) -> DataFrame:
     """A row for each question of rows (id, qa), with ids id#q0, id#q1 ..."""
     return rows.select("id", F.posexplode("qa").alias("question_no", "q")).select(F.concat("id", F.lit("#q"), F.col("question_no").cast("string")).alias("id"), "question_no", "q")
+
+
+def without_categories(rows: DataFrame, category: str, dropped: tuple[int, ...]) -> DataFrame:
+    """The rows of other categories; a null category is kept."""
+    return rows.where(F.col(category).isNull() | ~F.col(category).isin(*dropped))
+
+
+def turn_pairs(turns: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order, question, answer) of turns (role, text): a user's turn and the assistant's right after it, both with text."""
+    after = Window.partitionBy(key).orderBy(order)
+    seen = turns.select("*", F.lead("role").over(after).alias("next_role"), F.lead("text").over(after).alias("answer"))
+    whole = (F.col("role") == "user") & (F.col("next_role") == "assistant") & (F.trim("text") != "") & (F.trim("answer") != "")
+    return seen.where(whole).select(key, order, F.col("text").alias("question"), "answer")
+
+
+def running_count(rows: DataFrame, key: str, order: str, test: Column, name: str) -> DataFrame:
+    """The rows with how often the test has held up to each of them."""
+    upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(name, F.sum(F.when(test, 1).otherwise(0)).over(upto))

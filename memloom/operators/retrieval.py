@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.functions.text import bm25_tokens
+from memloom.functions.text import bm25_tokens, let
 
 K1, B = 1.5, 0.75
 
@@ -47,3 +47,20 @@ def cosine(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     scored = vectors.withColumn("norm", norm(F.col("embedding"))).join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot / (F.greatest("norm", F.lit(1e-12)) * F.greatest("q_norm", F.lit(1e-12))), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def containing(docs: DataFrame, items: DataFrame, anchor: int = 3) -> DataFrame:
+    """(doc_id, item_id) of documents (doc_id, text) that hold an item's text (item_id, text) as it is.
+
+    Words between single spaces inside an item stand alike in a text that holds it: a run of `anchor` of them, the item's second
+    word and those after it, is what texts are joined by, and contains() decides. Items of fewer words are compared with all texts.
+    """
+    words = items.select("item_id", F.col("text").alias("item"), F.split("text", " ").alias("w"))
+    long = words.where(F.size("w") >= anchor + 2).select("item_id", "item", "w")
+    runs = lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - anchor + 1, F.lit(0))), lambda _, i: F.xxhash64(*(F.get(w, i + k) for k in range(anchor))))
+    long = long.withColumn("key", F.xxhash64(*(F.get("w", F.lit(k + 1)) for k in range(anchor)))).drop("w")
+    keys = let(F.split("text", " "), lambda w: F.array_distinct(runs(w)))
+    near = docs.select("doc_id", F.explode(keys).alias("key")).join(long, "key").select("doc_id", "item_id", "item").distinct()
+    found = near.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    short = words.where(F.size("w") < anchor + 2)
+    return found.unionByName(docs.select("doc_id", "text").join(short, F.contains("text", F.col("item"))).select("doc_id", "item_id")).distinct()

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memloom.functions import extract, rules, spans, text
-from memloom.operators import regroup, retrieval
-from memloom.plans.registry import OUTPUTS, query, read, run_sql, sql
+from memloom.operators import checks, regroup, resume, retrieval, schedules, splits
+from memloom.plans.registry import query, read, run_sql
+
+#: Ids of documents that share a memory at most: a source of any size is many memories of bounded size.
+MEMORY_IDS = 1000
+#: The same for the other engine: documents with the memory's name as their source.
+_MEMORIES = f"(SELECT * REPLACE (concat(source, '/', CAST(doc_id // {MEMORY_IDS} AS STRING)) AS source) FROM documents) documents"
 
 
 def _memory(spark, sf_dir):
-    """Documents of a source as one memory, in order; one question for each."""
-    rows = read(spark, sf_dir, "documents").groupBy("source").agg(regroup.ordered(F.struct("doc_id", "text")).alias("x"))
-    return rows.select(F.col("source").alias("id"), F.transform("x", lambda r: r["text"]).alias("memory_docs"), F.transform("x", lambda r: F.concat(F.lit("q"), r["doc_id"].cast("string"))).alias("qa"), F.element_at(F.transform("x", lambda r: r["doc_id"]), 1).alias("row_idx"))
+    """Documents of a source with neighbouring ids as one memory, in order; one question for each."""
+    rows = read(spark, sf_dir, "documents").groupBy("source", F.expr(f"doc_id DIV {MEMORY_IDS}").alias("part")).agg(regroup.ordered(F.struct("doc_id", "text")).alias("x"))
+    return rows.select(F.concat("source", F.lit("/"), F.col("part").cast("string")).alias("id"), F.transform("x", lambda r: r["text"]).alias("memory_docs"), F.transform("x", lambda r: F.concat(F.lit("q"), r["doc_id"].cast("string"))).alias("qa"), F.element_at(F.transform("x", lambda r: r["doc_id"]), 1).alias("row_idx"))
 
 
-@query("memory_hash", "SELECT source AS id, sha1(string_agg(text || chr(0), '' ORDER BY doc_id)) AS memory_hash FROM documents GROUP BY source")
+@query("memory_hash", "SELECT source AS id, sha1(string_agg(text || chr(0), '' ORDER BY doc_id)) AS memory_hash FROM documents GROUP BY source".replace("FROM documents", f"FROM {_MEMORIES}"))
 def memory_hash(spark, sf_dir):
     return _memory(spark, sf_dir).select("id", text.memory_hash(F.col("memory_docs")).alias("memory_hash"))
 
@@ -35,104 +41,122 @@ def ntokens_estimate(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.estimated_tokens(F.col("text")).alias("n"))
 
 
-@sql("validate_qa")
-def validate_qa(d):
-    return f"SELECT {d.count_if('source IS NULL OR length(source) = 0')} AS bad_source, {d.count_if('text IS NULL')} AS bad_text, {d.count_if('n_chars <> length(text)')} AS bad_length, {d.count_if('lang NOT IN (' + chr(39) + 'en' + chr(39) + ',' + chr(39) + 'de' + chr(39) + ')')} AS bad_lang FROM [documents]"
+@query("validate_qa", "SELECT CAST(count(CASE WHEN source IS NULL OR length(source) = 0 THEN 1 END) AS BIGINT) AS bad_source, CAST(count(CASE WHEN text IS NULL THEN 1 END) AS BIGINT) AS bad_text, CAST(count(CASE WHEN n_chars <> length(text) THEN 1 END) AS BIGINT) AS bad_length, CAST(count(CASE WHEN lang NOT IN ('en','de') THEN 1 END) AS BIGINT) AS bad_lang FROM documents")
+def validate_qa(spark, sf_dir):
+    rules_ = {"bad_source": F.coalesce(F.length("source"), F.lit(0)) == 0, "bad_text": F.col("text").isNull(), "bad_length": F.col("n_chars") != F.length("text"), "bad_lang": ~F.col("lang").isin("en", "de")}
+    return checks.counts(read(spark, sf_dir, "documents"), rules_)
 
 
-@sql("validate_ttl")
-def validate_ttl(d):
-    return f"SELECT l.doc_id, CASE WHEN d.text IS NULL OR length(d.text) = 0 THEN 'text' WHEN l.quality NOT IN (0, 1) THEN 'label' ELSE 'ok' END AS verdict FROM [labels] l LEFT JOIN [documents] d ON l.doc_id = d.doc_id"
+@query("validate_ttl", "SELECT l.doc_id, CASE WHEN d.text IS NULL OR length(d.text) = 0 THEN 'text' WHEN l.quality NOT IN (0, 1) THEN 'label' ELSE 'ok' END AS verdict FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id")
+def validate_ttl(spark, sf_dir):
+    rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "left")
+    return rows.select("doc_id", checks.pool_verdict(F.col("text"), F.col("quality"), (0, 1)).alias("verdict"))
 
 
-@sql("first_violation")
-def first_violation(d):
-    return "SELECT min(doc_id) AS row_idx, min_by(CASE WHEN lang <> 'en' THEN 'lang' ELSE 'length' END, doc_id) AS rule FROM [documents] WHERE lang <> 'en' OR n_chars > 5000"
+@query("first_violation", "SELECT min(doc_id) AS row_idx, min_by(CASE WHEN lang <> 'en' THEN 'lang' ELSE 'length' END, doc_id) AS rule FROM documents WHERE lang <> 'en' OR n_chars > 5000")
+def first_violation(spark, sf_dir):
+    return checks.first(read(spark, sf_dir, "documents"), "doc_id", [("lang", F.col("lang") != "en"), ("length", F.col("n_chars") > 5000)])
 
 
-@sql("ttl_pool")
-def ttl_pool(d):
-    return "SELECT d.doc_id, md5(d.text) AS text_md5, l.quality * 2 + l.toxic AS label, CASE WHEN d.doc_id % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM [documents] d JOIN [labels] l ON d.doc_id = l.doc_id"
+@query("ttl_pool", "SELECT d.doc_id, md5(d.text) AS text_md5, l.quality * 2 + l.toxic AS label, CASE WHEN d.doc_id % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+def ttl_pool(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
+    return rows.select("doc_id", F.md5("text").alias("text_md5"), (F.col("quality") * 2 + F.col("toxic")).alias("label"), F.when(F.col("doc_id") % 4 == 0, "test").otherwise("train").alias("split"))
 
 
-@sql("drop_cats")
-def drop_cats(d):
-    """A null category is kept."""
-    return "SELECT conv_id, CAST(count(*) AS BIGINT) AS kept FROM (SELECT conv_id, CASE WHEN turn % 7 = 0 THEN NULL ELSE turn % 5 + 1 END AS category FROM [conversations] WHERE role = 'user') t WHERE category IS NULL OR category NOT IN (5) GROUP BY conv_id"
+@query("drop_cats", "SELECT conv_id, CAST(count(*) AS BIGINT) AS kept FROM (SELECT conv_id, CASE WHEN turn % 7 = 0 THEN NULL ELSE turn % 5 + 1 END AS category FROM conversations WHERE role = 'user') t WHERE category IS NULL OR category NOT IN (5) GROUP BY conv_id")
+def drop_cats(spark, sf_dir):
+    """A null category is kept; a conversation without questions left asks nothing."""
+    asked = read(spark, sf_dir, "conversations").where("role = 'user'").withColumn("category", F.when(F.col("turn") % 7 != 0, F.col("turn") % 5 + 1))
+    return regroup.without_categories(asked, "category", (5,)).groupBy("conv_id").agg(F.count("*").alias("kept"))
 
 
-@sql("session_render")
-def session_render(d):
-    return f"SELECT conv_id, md5({d.join(chr(39).join(['concat(role, ', ': ', ', text)']), chr(10) if not d.spark else chr(92) + 'n', 'turn')}) AS doc FROM [conversations] GROUP BY conv_id"
+@query("session_render", "SELECT conv_id, md5(string_agg(concat(role, ': ', text), '\n' ORDER BY turn)) AS doc FROM conversations GROUP BY conv_id")
+def session_render(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(regroup.ordered(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("t"))).alias("x"))
+    return rows.select("conv_id", F.md5(F.array_join(F.transform("x", lambda r: r["t"]), "\n")).alias("doc"))
 
 
-@sql("turn_pairs")
-def turn_pairs(d):
-    return "SELECT conv_id, turn, md5(text) AS question, md5(reply) AS answer FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM [conversations]) t WHERE role = 'user' AND next_role = 'assistant' AND length(trim(text)) > 0 AND length(trim(reply)) > 0"
+@query("turn_pairs", "SELECT conv_id, turn, md5(text) AS question, md5(reply) AS answer FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM conversations) t WHERE role = 'user' AND next_role = 'assistant' AND length(trim(text)) > 0 AND length(trim(reply)) > 0")
+def turn_pairs(spark, sf_dir):
+    pairs = regroup.turn_pairs(read(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return pairs.select("conv_id", "turn", F.md5("question").alias("question"), F.md5("answer").alias("answer"))
 
 
-@query("regroup_by_memory", "WITH m AS (SELECT source, md5(string_agg(substr(text, 1, 1), '' ORDER BY doc_id)) AS k, min(doc_id) AS row_idx FROM documents GROUP BY source, doc_id % 3) SELECT k AS memory_key, min(row_idx) AS row_idx, count(*) AS n FROM m GROUP BY k")
+@query("regroup_by_memory", "WITH m AS (SELECT source, md5(string_agg(text, '' ORDER BY doc_id)) AS k, min(doc_id) AS row_idx FROM documents GROUP BY source, doc_id % 3, doc_id // 1000) SELECT k AS memory_key, min(row_idx) AS row_idx, count(*) AS n FROM m GROUP BY k")
 def regroup_by_memory(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").groupBy("source", F.expr("doc_id % 3").alias("g")).agg(regroup.ordered(F.struct("doc_id", "text")).alias("x"))
+    rows = read(spark, sf_dir, "documents").groupBy("source", F.expr("doc_id % 3").alias("g"), F.expr(f"doc_id DIV {MEMORY_IDS}")).agg(regroup.ordered(F.struct("doc_id", "text")).alias("x"))
     rows = rows.select(F.element_at("x", 1)["doc_id"].alias("row_idx"), F.transform("x", lambda r: r["text"]).alias("memory_docs"), F.array(F.lit("q")).alias("qa"))
     return regroup.by_memory(rows).select("memory_key", "row_idx", F.size("qa").cast("long").alias("n"))
 
 
-@query("split_pack", "WITH m AS (SELECT source, list(doc_id ORDER BY doc_id) AS q FROM documents GROUP BY source), p AS (SELECT source, q, unnest(range(0, len(q), 7)) AS s FROM m) SELECT CASE WHEN len(q) > 7 THEN concat(source, '#pack', CAST(s // 7 AS STRING)) ELSE source END AS id, CAST(len(q[s + 1 : s + 7]) AS BIGINT) AS n, concat('q', CAST(q[s + 1] AS STRING)) AS first_question FROM p")
+@query("split_pack", "WITH m AS (SELECT source, list(doc_id ORDER BY doc_id) AS q FROM documents GROUP BY source), p AS (SELECT source, q, unnest(range(0, len(q), 7)) AS s FROM m) SELECT CASE WHEN len(q) > 7 THEN concat(source, '#pack', CAST(s // 7 AS STRING)) ELSE source END AS id, CAST(len(q[s + 1 : s + 7]) AS BIGINT) AS n, concat('q', CAST(q[s + 1] AS STRING)) AS first_question FROM p".replace("FROM documents", f"FROM {_MEMORIES}"))
 def split_pack(spark, sf_dir):
     return regroup.split_packs(_memory(spark, sf_dir), 7).select("id", F.size("qa").cast("long").alias("n"), F.get("qa", F.lit(0)).alias("first_question"))
 
 
-@query("dynamic_pack", "WITH m AS (SELECT source, sha1(string_agg(text || chr(0), '' ORDER BY doc_id)) AS k, list(doc_id ORDER BY doc_id) AS q FROM documents GROUP BY source), p AS (SELECT source, q, unnest(range(0, len(q), 10)) AS s FROM m) SELECT CASE WHEN len(q) > 10 THEN concat(source, '#pack', CAST(s // 10 AS STRING)) ELSE source END AS id, CAST(s // 10 AS INTEGER) AS pack, CAST(len(q[s + 1 : s + 10]) AS BIGINT) AS n FROM p")
+@query("dynamic_pack", "WITH m AS (SELECT source, sha1(string_agg(text || chr(0), '' ORDER BY doc_id)) AS k, list(doc_id ORDER BY doc_id) AS q FROM documents GROUP BY source), p AS (SELECT source, q, unnest(range(0, len(q), 10)) AS s FROM m) SELECT CASE WHEN len(q) > 10 THEN concat(source, '#pack', CAST(s // 10 AS STRING)) ELSE source END AS id, CAST(s // 10 AS INTEGER) AS pack, CAST(len(q[s + 1 : s + 10]) AS BIGINT) AS n FROM p".replace("FROM documents", f"FROM {_MEMORIES}"))
 def dynamic_pack(spark, sf_dir):
     return regroup.dynamic_packs(_memory(spark, sf_dir), 10).select("id", "pack", F.size("qa").cast("long").alias("n"))
 
 
-@query("pack_offset", "WITH r AS (SELECT source, dense_rank() OVER (ORDER BY source) - 1 AS rn, count(*) AS n FROM documents GROUP BY source), o AS (SELECT *, rn // 3 AS pack, coalesce(sum(n) OVER (PARTITION BY rn // 3 ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM r) SELECT CAST(pack AS BIGINT) AS pack, CAST(sum(n) AS BIGINT) AS n_docs, string_agg(CAST(CAST(off AS BIGINT) AS STRING), ',' ORDER BY rn) AS evidence FROM o GROUP BY pack")
+@query("pack_offset", "WITH r AS (SELECT source, doc_id // 100 AS part, count(*) AS n FROM documents GROUP BY ALL), o AS (SELECT *, part // 3 AS pack, coalesce(sum(n) OVER (PARTITION BY source, part // 3 ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM r) SELECT concat(source, '/', CAST(pack AS STRING)) AS pack, CAST(sum(n) AS BIGINT) AS n_docs, string_agg(CAST(CAST(off AS BIGINT) AS STRING), ',' ORDER BY part) AS evidence FROM o GROUP BY source, pack")
 def pack_offset(spark, sf_dir):
-    rows = _memory(spark, sf_dir).select("id", F.col("memory_docs").alias("docs"), F.array(F.lit(0)).alias("evidence"))
-    rank = run_sql(spark, sf_dir, "SELECT source AS id, dense_rank() OVER (ORDER BY source) - 1 AS rn FROM (SELECT DISTINCT source FROM [documents]) t")
-    packed = regroup.pack_with_offsets(rows.join(rank, "id").withColumn("pack", F.expr("rn DIV 3")), "pack", "rn")
-    return packed.select("pack", F.size("docs").cast("long").alias("n_docs"), F.array_join("evidence", ",").alias("evidence"))
+    """Three memories of a hundred ids each a pack; evidence is each memory's first document."""
+    rows = read(spark, sf_dir, "documents").groupBy("source", F.expr("doc_id DIV 100").alias("part")).agg(regroup.ordered(F.struct("doc_id", "text")).alias("x"))
+    rows = rows.select(F.concat("source", F.lit("/"), F.expr("part DIV 3").cast("string")).alias("pack"), "part", F.transform("x", lambda r: r["text"]).alias("docs"), F.array(F.lit(0)).alias("evidence"))
+    return regroup.pack_with_offsets(rows, "pack", "part").select("pack", F.size("docs").cast("long").alias("n_docs"), F.array_join("evidence", ",").alias("evidence"))
+
 
+@query("wiki_pack", "SELECT g AS pack, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // (5) AS g FROM documents) t GROUP BY source, g HAVING count(*) = 5")
+def wiki_pack(spark, sf_dir):
+    groups = splits.consecutive(read(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], "doc_id", 5, "pack", whole=True)
+    return groups.groupBy("source", "pack").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).drop("source")
 
-@sql("wiki_pack")
-def wiki_pack(d):
-    return f"SELECT g AS pack, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, source, {d.floor_div('row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1', '5')} AS g FROM [documents]) t GROUP BY source, g HAVING count(*) = 5"
 
+@query("explode_single", "SELECT concat(CAST(conv_id AS STRING), '#q', CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS STRING)) AS id, turn FROM conversations WHERE role = 'user'")
+def explode_single(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").where("role = 'user'").groupBy(F.col("conv_id").cast("string").alias("id")).agg(regroup.ordered(F.struct("turn", "text")).alias("qa"))
+    return regroup.explode_questions(rows).select("id", "q.turn")
 
-@sql("explode_single")
-def explode_single(d):
-    return "SELECT concat(CAST(conv_id AS STRING), '#q', CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS STRING)) AS id, turn FROM [conversations] WHERE role = 'user'"
 
+@query("evidence_resolve", "SELECT b.item_id, string_agg(CAST(d.doc_id AS STRING), ',' ORDER BY d.doc_id) AS docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
+def evidence_resolve(spark, sf_dir):
+    found = retrieval.containing(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("docs"))
 
-@sql("evidence_resolve")
-def evidence_resolve(d):
-    return f"SELECT b.item_id, {d.join('CAST(d.doc_id AS STRING)', ',', 'd.doc_id')} AS docs FROM [benchmark] b JOIN [documents] d ON contains(d.text, b.text) GROUP BY b.item_id"
 
+def _log(spark, sf_dir):
+    """An append-only log of outputs: every eleventh request failed, every thirteenth answered twice."""
+    rows = read(spark, sf_dir, "labels")
+    once = rows.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 11 != 0, F.col("quality")).alias("output"), F.lit(0).alias("line_no"))
+    return once.unionByName(rows.where("doc_id % 13 = 0").select(F.col("doc_id").alias("id"), (F.col("quality") + 10).alias("output"), F.lit(1).alias("line_no")))
 
-_LOG = "SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE quality END AS output, 0 AS line_no FROM {labels} UNION ALL SELECT doc_id, quality + 10, 1 FROM {labels} WHERE doc_id % 13 = 0"
 
 
-@sql("resume_todo")
-def resume_todo(d):
-    log = _LOG.format(labels="[labels]")
-    return f"SELECT d.doc_id FROM [documents] d LEFT ANTI JOIN (SELECT DISTINCT id FROM ({log}) l WHERE output IS NOT NULL) o ON d.doc_id = o.id" if d.spark else f"SELECT d.doc_id FROM [documents] d WHERE NOT EXISTS (SELECT 1 FROM ({log}) o WHERE o.id = d.doc_id AND output IS NOT NULL)"
+@query("resume_todo", "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE quality END AS output, 0 AS line_no FROM labels UNION ALL SELECT doc_id, quality + 10, 1 FROM labels WHERE doc_id % 13 = 0) o WHERE o.id = d.doc_id AND output IS NOT NULL)")
+def resume_todo(spark, sf_dir):
+    requests = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return resume.pending(requests, _log(spark, sf_dir)).select(F.col("id").alias("doc_id"))
 
 
-@sql("resume_rescore")
-def resume_rescore(d):
-    return f"SELECT o.id, o.output FROM (SELECT id, max_by(output, line_no) AS output FROM ({_LOG.format(labels='[labels]')}) l WHERE output IS NOT NULL GROUP BY id) o JOIN [documents] d ON d.doc_id = o.id WHERE o.id % 3 <> 0"
+@query("resume_rescore", "SELECT o.id, o.output FROM (SELECT id, max_by(output, line_no) AS output FROM (SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE quality END AS output, 0 AS line_no FROM labels UNION ALL SELECT doc_id, quality + 10, 1 FROM labels WHERE doc_id % 13 = 0) l WHERE output IS NOT NULL GROUP BY id) o JOIN documents d ON d.doc_id = o.id WHERE o.id % 3 <> 0")
+def resume_rescore(spark, sf_dir):
+    requests = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return resume.to_rescore(requests, _log(spark, sf_dir), read(spark, sf_dir, "labels").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id")))
 
 
-@sql("group_cap")
-def group_cap(d):
-    return f"SELECT source, part, CAST(count(*) AS BIGINT) AS n FROM (SELECT source, {d.floor_div('row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1', '16')} AS part FROM [documents]) t GROUP BY source, part"
+@query("group_cap", "SELECT source, part, CAST(count(*) AS BIGINT) AS n FROM (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // (16) AS part FROM documents) t GROUP BY source, part")
+def group_cap(spark, sf_dir):
+    groups = splits.consecutive(read(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], "doc_id", 16)
+    return groups.groupBy("source", "part").agg(F.count("*").alias("n"))
 
 
-@sql("run_status")
-def run_status(d):
-    return f"SELECT source, {d.count_if('l.doc_id IS NOT NULL AND l.doc_id % 11 <> 0')} AS scored, {d.count_if('l.doc_id % 11 = 0')} AS failed, {d.count_if('l.doc_id IS NULL')} AS unfinished FROM [documents] d LEFT JOIN [labels] l ON d.doc_id = l.doc_id GROUP BY source"
+@query("run_status", "SELECT source, CAST(count(CASE WHEN l.doc_id IS NOT NULL AND l.doc_id % 11 <> 0 THEN 1 END) AS BIGINT) AS scored, CAST(count(CASE WHEN l.doc_id % 11 = 0 THEN 1 END) AS BIGINT) AS failed, CAST(count(CASE WHEN l.doc_id IS NULL THEN 1 END) AS BIGINT) AS unfinished FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source")
+def run_status(spark, sf_dir):
+    requests = read(spark, sf_dir, "documents").select(F.col("source").alias("run"), F.col("doc_id").alias("id"))
+    log = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 11 != 0, F.col("quality")).alias("output"))
+    return resume.status(requests, log).withColumnRenamed("run", "source")
 
 
 # ---- lengths and budgets
@@ -155,12 +179,13 @@ def rl_mix_stats(spark, sf_dir):
 @query("quota_admission", f"SELECT doc_id, bucket FROM (SELECT doc_id, {_BUCKET} AS bucket, row_number() OVER (PARTITION BY {_BUCKET} ORDER BY md5('1|rl|' || CAST(doc_id AS STRING)), doc_id) AS rn FROM ({_L}) t) q WHERE bucket IS NOT NULL AND bucket <> 1 AND (bucket <> 2 OR rn <= 20)")
 def quota_admission(spark, sf_dir):
     rows = run_sql(spark, sf_dir, _LENGTH).select("doc_id", rules.bucket(F.col("p")).alias("bucket")).where("bucket <> 1")
-    return regroup.admitted(rows, "bucket", [text.order_key(1, "rl", F.col("doc_id")), F.col("doc_id")], F.when(F.col("bucket") == 2, F.lit(20)))
+    return splits.by_hash(rows, ["bucket"], 1, "rl", "doc_id").where("bucket <> 2 or place < 20").select("doc_id", "bucket")
 
 
-@sql("balanced_val")
-def balanced_val(d):
-    return "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM [documents]) t WHERE rn <= 11"
+@query("balanced_val", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) t WHERE rn <= 11")
+def balanced_val(spark, sf_dir):
+    placed = splits.by_id(read(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], "doc_id")
+    return placed.where("place < 11").select("doc_id", "source")
 
 
 @query("block_budget", "SELECT source, CAST(greatest(2048, least(16384, 2048 + 256 * count(*))) AS BIGINT) AS budget, CASE WHEN count(*) <= 20 THEN 1 ELSE 3 END AS k FROM documents GROUP BY source")
@@ -169,9 +194,10 @@ def block_budget(spark, sf_dir):
     return n.select("source", rules.block_budget(F.col("n"), 16384).cast("long").alias("budget"), rules.neighbours_wanted(F.col("n")).alias("k"))
 
 
-@sql("memory_budget")
-def memory_budget(d):
-    return "SELECT source, CAST(262144 - 1024 - 1024 - max(n_chars) AS BIGINT) AS budget FROM [documents] GROUP BY source"
+@query("memory_budget", "SELECT source, CAST(262144 - 1024 - 1024 - max(n_chars) AS BIGINT) AS budget FROM documents GROUP BY source")
+def memory_budget(spark, sf_dir):
+    longest = read(spark, sf_dir, "documents").groupBy("source").agg(F.max("n_chars").alias("n"))
+    return longest.select("source", rules.memory_budget(F.col("n"), 1024).cast("long").alias("budget"))
 
 
 @query("request_weight", f"SELECT doc_id, CAST(greatest(coalesce(nullif(doc_id % 5 * 100, 0), nullif(doc_id % 3 * 50, 0), 777) + ceil(0.25 * p), 1) AS INTEGER) AS weight FROM ({_L}) t")
@@ -188,33 +214,30 @@ def lr_schedule(spark, sf_dir):
 # ---- samples and splits
 
 
-@sql("sample_fixed")
-def sample_fixed(d):
-    return "SELECT doc_id FROM (SELECT doc_id FROM [documents] ORDER BY md5(concat('0|s|', CAST(doc_id AS STRING))), doc_id LIMIT 50) t"
+@query("sample_fixed", "SELECT doc_id FROM (SELECT doc_id FROM documents ORDER BY md5(concat('0|s|', CAST(doc_id AS STRING))), doc_id LIMIT 50) t")
+def sample_fixed(spark, sf_dir):
+    return regroup.take_by_key(read(spark, sf_dir, "documents").select("doc_id"), 50, 0, "s", "doc_id")
 
 
-@sql("mixture")
-def mixture(d):
-    """Lengths are filtered first, then each source gives its rows of the smallest hashes; the shuffled order is that of place, which needs no window over all rows."""
-    return "SELECT doc_id, source, md5(concat('0|mix|', CAST(doc_id AS STRING))) AS place FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat('0|', source, '|', CAST(doc_id AS STRING))), doc_id) AS rn FROM [documents] WHERE n_chars BETWEEN 20 AND 20000) t WHERE rn <= 6"
+@query("mixture", "SELECT doc_id, source, md5(concat('0|mix|', CAST(doc_id AS STRING))) AS place FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat('0|', source, '|', CAST(doc_id AS STRING))), doc_id) AS rn FROM documents WHERE n_chars BETWEEN 20 AND 20000) t WHERE rn <= 6")
+def mixture(spark, sf_dir):
+    """Lengths are filtered first, then each source gives its rows of the smallest hashes; the shuffled order is that of place."""
+    return splits.mixture(read(spark, sf_dir, "documents").where("n_chars between 20 and 20000"), "source", "doc_id", 6, 0)
 
 
-@sql("mix_length_filter")
-def mix_length_filter(d):
-    return "SELECT source, CAST(count(*) AS BIGINT) AS n FROM [documents] WHERE n_chars BETWEEN 100 AND 4000 GROUP BY source"
+@query("mix_length_filter", "SELECT source, CAST(count(*) AS BIGINT) AS n FROM documents WHERE n_chars BETWEEN 100 AND 4000 GROUP BY source")
+def mix_length_filter(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where(F.col("n_chars").between(100, 4000)).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@sql("split_5_95")
-def split_5_95(d):
-    n = "count(*) OVER (PARTITION BY source)"
-    rn = "row_number() OVER (PARTITION BY source ORDER BY md5(concat('42|split|', CAST(doc_id AS STRING))), doc_id) - 1"
-    half = d.floor_div("n - k", "2")
-    return f"SELECT doc_id, CASE WHEN rn < k THEN CASE WHEN rn < k - k % 5 THEN 'pack_rl' ELSE 'dropped' END WHEN rn - k < {half} THEN 'single_sft' ELSE 'single_rl' END AS split FROM (SELECT doc_id, n, rn, {d.floor_div('n', '20')} AS k FROM (SELECT doc_id, {n} AS n, {rn} AS rn FROM [documents]) a) b"
+@query("split_5_95", "SELECT doc_id, CASE WHEN rn < k THEN CASE WHEN rn < k - k % 5 THEN 'pack_rl' ELSE 'dropped' END WHEN rn - k < (n - k) // (2) THEN 'single_sft' ELSE 'single_rl' END AS split FROM (SELECT doc_id, n, rn, (n) // (20) AS k FROM (SELECT doc_id, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY md5(concat('42|split|', CAST(doc_id AS STRING))), doc_id) - 1 AS rn FROM documents) a) b")
+def split_5_95(spark, sf_dir):
+    return splits.single_dominant(read(spark, sf_dir, "documents"), "source", "doc_id", 42, 5)
 
 
-@sql("split_5_5_90")
-def split_5_5_90(d):
-    return f"SELECT doc_id, CASE WHEN rn < c THEN 'single_sft' WHEN rn < 2 * c THEN 'single_rl' ELSE 'pack_rl' END AS split FROM (SELECT doc_id, greatest(1, {d.floor_div('count(*) OVER (PARTITION BY source)', '20')}) AS c, row_number() OVER (PARTITION BY source ORDER BY md5(concat('42|multi|', CAST(doc_id AS STRING))), doc_id) - 1 AS rn FROM [documents]) t"
+@query("split_5_5_90", "SELECT doc_id, CASE WHEN rn < c THEN 'single_sft' WHEN rn < 2 * c THEN 'single_rl' ELSE 'pack_rl' END AS split FROM (SELECT doc_id, greatest(1, (count(*) OVER (PARTITION BY source)) // (20)) AS c, row_number() OVER (PARTITION BY source ORDER BY md5(concat('42|multi|', CAST(doc_id AS STRING))), doc_id) - 1 AS rn FROM documents) t")
+def split_5_5_90(spark, sf_dir):
+    return splits.multi_dominant(read(spark, sf_dir, "documents"), "source", "doc_id", 42)
 
 
 @query("dense_ids", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents WHERE lang = 'en'")
@@ -235,45 +258,52 @@ def ttl_episodes(spark, sf_dir):
     return asked.groupBy(F.expr("idx DIV 8").alias("episode")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n = 8")
 
 
-@sql("sample_manifest")
-def sample_manifest(d):
-    return f"SELECT CAST(count(*) AS BIGINT) AS sample_rows, sha1({d.join('CAST(idx AS STRING)', ',', 'idx')}) AS indices_sha1 FROM (SELECT doc_id AS idx FROM [documents] ORDER BY md5(concat('0|manifest|', CAST(doc_id AS STRING))), doc_id LIMIT 40) t"
+@query("sample_manifest", "SELECT CAST(count(*) AS BIGINT) AS sample_rows, sha1(string_agg(CAST(idx AS STRING), ',' ORDER BY idx)) AS indices_sha1 FROM (SELECT doc_id AS idx FROM documents ORDER BY md5(concat('0|manifest|', CAST(doc_id AS STRING))), doc_id LIMIT 40) t")
+def sample_manifest(spark, sf_dir):
+    return splits.manifest(read(spark, sf_dir, "documents"), "doc_id", 40, 0)
 
 
-@sql("oversample_accumulate")
-def oversample_accumulate(d):
-    return f"SELECT batch, CAST(kept AS BIGINT) AS kept FROM (SELECT batch, kept, coalesce(sum(kept) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT {d.floor_div('event_id', '100')} AS batch, {d.count_if('event_type = ' + chr(39) + 'purchase' + chr(39))} AS kept FROM [events] GROUP BY 1) a) b WHERE before < 100 AND batch < 50"
+@query("oversample_accumulate", "SELECT batch, CAST(kept AS BIGINT) AS kept FROM (SELECT batch, kept, coalesce(sum(kept) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT (event_id) // (100) AS batch, CAST(count(CASE WHEN event_type = 'purchase' THEN 1 END) AS BIGINT) AS kept FROM events GROUP BY 1) a) b WHERE before < 100")
+def oversample_accumulate(spark, sf_dir):
+    batches = read(spark, sf_dir, "events").groupBy(F.expr("event_id DIV 100").alias("batch")).agg(F.count_if(F.col("event_type") == "purchase").alias("kept"))
+    return splits.until(batches, "batch", "kept", 100)
 
 
-@sql("microbatch_groups")
-def microbatch_groups(d):
-    return f"SELECT user_id, micro, CAST(count(*) AS BIGINT) AS n FROM (SELECT user_id, {d.floor_div('row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1', '16')} AS micro FROM [events]) t GROUP BY user_id, micro"
+@query("microbatch_groups", "SELECT user_id, micro, CAST(count(*) AS BIGINT) AS n FROM (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // (16) AS micro FROM events) t GROUP BY user_id, micro")
+def microbatch_groups(spark, sf_dir):
+    groups = splits.consecutive(read(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], "event_id", 16, "micro")
+    return groups.groupBy("user_id", "micro").agg(F.count("*").alias("n"))
 
 
-@sql("router_status")
-def router_status(d):
-    return "SELECT user_id % 8 AS server, CAST(sum(CASE WHEN event_type = 'purchase' THEN -1 ELSE 1 END) AS BIGINT) AS in_flight FROM [events] GROUP BY user_id % 8"
+@query("router_status", "SELECT user_id % 8 AS server, CAST(sum(CASE WHEN event_type = 'purchase' THEN -1 ELSE 1 END) AS BIGINT) AS in_flight FROM events GROUP BY user_id % 8")
+def router_status(spark, sf_dir):
+    load = F.when(F.col("event_type") == "purchase", -1).otherwise(1)
+    return read(spark, sf_dir, "events").groupBy((F.col("user_id") % 8).alias("server")).agg(F.sum(load).alias("in_flight"))
 
 
-@sql("segment_ids")
-def segment_ids(d):
-    return "SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS segment FROM [conversations]"
+@query("segment_ids", "SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS segment FROM conversations")
+def segment_ids(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations")
+    return regroup.running_count(turns, "conv_id", "turn", F.col("role") == "user", "segment").select("conv_id", "turn", "segment")
 
 
-@sql("staleness_windows")
-def staleness_windows(d):
-    return "SELECT event_id, CAST(sum(CASE WHEN prev > s THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS reset_no FROM (SELECT event_id, user_id, event_id % 17 AS s, lag(event_id % 17) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM [events]) t"
+@query("staleness_windows", "SELECT event_id, CAST(sum(CASE WHEN prev > s THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS reset_no FROM (SELECT event_id, user_id, event_id % 17 AS s, lag(event_id % 17) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) t")
+def staleness_windows(spark, sf_dir):
+    """How often the counter had fallen below its last value, event by event of a user."""
+    rows = read(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_id") % 17).alias("s"))
+    fell = F.lag("s").over(Window.partitionBy("user_id").orderBy("event_id")) > F.col("s")
+    return regroup.running_count(rows.withColumn("fell", fell), "user_id", "event_id", F.col("fell"), "reset_no").select("event_id", "reset_no")
 
 
-@sql("summary_pivot")
-def summary_pivot(d):
-    acc = lambda k: f"coalesce(CAST(round(avg(CASE WHEN doc_id % 3 = {k} THEN CAST(quality AS DOUBLE) END), 4) AS STRING), '-') AS p{k}"
-    return f"SELECT d.source, {acc(0).replace('doc_id', 'd.doc_id')}, {acc(1).replace('doc_id', 'd.doc_id')}, {acc(2).replace('doc_id', 'd.doc_id')} FROM [documents] d JOIN [labels] l ON d.doc_id = l.doc_id GROUP BY d.source"
+@query("summary_pivot", "SELECT d.source, coalesce(CAST(round(avg(CASE WHEN d.doc_id % 3 = 0 THEN CAST(quality AS DOUBLE) END), 4) AS STRING), '-') AS p0, coalesce(CAST(round(avg(CASE WHEN d.doc_id % 3 = 1 THEN CAST(quality AS DOUBLE) END), 4) AS STRING), '-') AS p1, coalesce(CAST(round(avg(CASE WHEN d.doc_id % 3 = 2 THEN CAST(quality AS DOUBLE) END), 4) AS STRING), '-') AS p2 FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source")
+def summary_pivot(spark, sf_dir):
+    scores = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").select("source", (F.col("doc_id") % 3).alias("profile"), "quality")
+    return resume.pivot(scores, "source", "profile", "quality", [0, 1, 2])
 
 
-@sql("run_cost_order")
-def run_cost_order(d):
-    return "SELECT source, cost, CAST(row_number() OVER (ORDER BY cost DESC, source) AS BIGINT) AS place FROM (SELECT source, CAST(count(*) * (least(max(n_chars), 262144) + 1024) AS BIGINT) AS cost FROM [documents] GROUP BY source) t"
+@query("run_cost_order", "SELECT source, cost, row_number() OVER (ORDER BY cost DESC, source) AS place FROM (SELECT source, CAST(floor(count(*) * (least(median(n_chars), 262144) + 1024)) AS BIGINT) AS cost FROM documents GROUP BY source) t")
+def run_cost_order(spark, sf_dir):
+    return resume.cost_order(read(spark, sf_dir, "documents"), "source", "n_chars", 1024).withColumnRenamed("run", "source")
 
 
 # ---- chunks and schedules
@@ -285,15 +315,19 @@ def _lengths(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.length(x)).alias("n"))
 
 
+def _chunks(spark, sf_dir):
+    return _lengths(spark, sf_dir).select("doc_id", F.posexplode("n").alias("i", "n"))
+
+
 @query("chunk_spans", f"SELECT doc_id, CAST(i AS INTEGER) AS i, CAST(coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS s, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS e FROM ({_LINES}) t")
 def chunk_spans(spark, sf_dir):
     return _lengths(spark, sf_dir).select("doc_id", F.posexplode(spans.chunk_spans(F.col("n"))).alias("i", "x")).select("doc_id", "i", "x.s", "x.e")
 
 
-@query("evict_schedule", f"""WITH l AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS hi, count(*) OVER (PARTITION BY doc_id) AS c FROM ({_LINES}) t WHERE i < 40), z AS (SELECT doc_id, min(hi) AS sink FROM l WHERE i = 0 GROUP BY doc_id)
+@query("evict_schedule", f"""WITH l AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS hi, count(*) OVER (PARTITION BY doc_id) AS c FROM ({_LINES}) t), z AS (SELECT doc_id, min(hi) AS sink FROM l WHERE i = 0 GROUP BY doc_id)
  SELECT a.doc_id, CAST(a.i AS INTEGER) AS i, CAST(CASE WHEN a.i < 1 THEN max(a.c) ELSE coalesce(min(CASE WHEN b.i > a.i AND (b.i - a.i + 1 > 6 OR sink + b.hi - (a.hi - a.n) > 900) THEN b.i END), max(a.c)) END AS INTEGER) AS evict_at FROM l a JOIN l b ON a.doc_id = b.doc_id JOIN z ON z.doc_id = a.doc_id GROUP BY a.doc_id, a.i""")
 def evict_schedule(spark, sf_dir):
-    return _lengths(spark, sf_dir).select("doc_id", F.posexplode(spans.evict_schedule(F.col("n"), F.lit(6), F.lit(900), F.lit(1))).alias("i", "evict_at"))
+    return schedules.evict_at(_chunks(spark, sf_dir), "doc_id", 6, 900, 1).select("doc_id", "i", "evict_at")
 
 
 @query("sliding_chunks", "SELECT doc_id, CAST(s AS INTEGER) AS s, CAST(least(s + 2048, n_chars) AS INTEGER) AS e FROM (SELECT doc_id, n_chars, unnest(range(0, n_chars, 1848)) AS s FROM documents) t WHERE s = 0 OR s - 1848 + 2048 < n_chars")
@@ -326,7 +360,7 @@ def merge_spans(spark, sf_dir):
     return merged.select("user_id", F.explode(spans.merge_adjacent(F.col("x"))).alias("x")).select("user_id", "x.s", "x.e")
 
 
-@query("common_prefix", "WITH a AS (SELECT doc_id, list_transform(range(1, 21), lambda i: substr(text, i, 1)) AS x FROM documents) SELECT a.doc_id, CAST((SELECT count(*) FROM (SELECT unnest(range(1, 21)) AS i) r WHERE a.x[1:i] = b.x[1:i]) AS INTEGER) AS n FROM a JOIN a b ON b.doc_id = a.doc_id + 1")
+@query("common_prefix", "WITH p AS (SELECT a.doc_id, CAST(least(length(a.text), length(b.text)) AS BIGINT) AS n, string_split(a.text, '') AS x, string_split(b.text, '') AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1), c AS (SELECT doc_id, unnest(x[1:n]) AS x, unnest(y[1:n]) AS y, unnest(range(0, n)) AS i FROM p), d AS (SELECT doc_id, min(i) AS i FROM c WHERE x <> y GROUP BY doc_id) SELECT p.doc_id, CAST(coalesce(d.i, p.n) AS INTEGER) AS n FROM p LEFT JOIN d ON d.doc_id = p.doc_id")
 def common_prefix(spark, sf_dir):
     rows, letters = read(spark, sf_dir, "documents").select("doc_id", "text"), lambda c: F.array_remove(F.split(c, ""), "")
     beside = rows.alias("a").join(rows.alias("b"), F.expr("b.doc_id = a.doc_id + 1")).select("a.doc_id", letters("a.text").alias("x"), letters("b.text").alias("y"))
@@ -335,7 +369,7 @@ def common_prefix(spark, sf_dir):
 
 # ---- retrieval
 
-_WORDS = "SELECT doc_id AS unit_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE doc_id % 2 = 0"
+_WORDS = "SELECT doc_id AS unit_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents"
 
 
 def _units(spark, sf_dir):
@@ -356,14 +390,14 @@ def bm25_topk(spark, sf_dir):
     return retrieval.bm25(_units(spark, sf_dir), read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 3)
 
 
-@query("cosine_topk", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.e, q.e), 6) AS score FROM v JOIN v q ON q.vec_id < 10 AND v.vec_id <> q.vec_id) SELECT query_id, vec_id, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) t WHERE rank <= 3")
+@query("cosine_topk", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.e, q.e), 6) AS score FROM v JOIN v q ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id) SELECT query_id, vec_id, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) t WHERE rank <= 3")
 def cosine_topk(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    queries = vectors.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return retrieval.cosine(vectors, queries, 3)
 
 
-@query("index_key", "SELECT source AS id, sha1(concat(string_agg(text, chr(10) || chr(10) ORDER BY doc_id), chr(0), string_agg(CAST(length(text) AS STRING), ',' ORDER BY doc_id))) AS k FROM documents GROUP BY source")
+@query("index_key", "SELECT source AS id, sha1(concat(string_agg(text, chr(10) || chr(10) ORDER BY doc_id), chr(0), string_agg(CAST(length(text) AS STRING), ',' ORDER BY doc_id))) AS k FROM documents GROUP BY source".replace("FROM documents", f"FROM {_MEMORIES}"))
 def index_key(spark, sf_dir):
     lengths = F.array_join(F.transform("memory_docs", lambda x: F.length(x).cast("string")), ",")
     return _memory(spark, sf_dir).select("id", F.sha1(F.concat(F.array_join("memory_docs", "\n\n"), F.lit("\0"), lengths)).alias("k"))
@@ -394,12 +428,14 @@ def pack_questions(spark, sf_dir):
     return rows.select("conv_id", F.size(asked).alias("n")).where("n >= 2")
 
 
-@query("build_requests", "SELECT source AS id, md5(concat(string_agg(text, chr(10) || chr(10) ORDER BY doc_id), chr(10), chr(10), 'Question: ?')) AS content FROM documents GROUP BY source")
+@query("build_requests", "SELECT source AS id, md5(concat(string_agg(text, chr(10) || chr(10) ORDER BY doc_id), chr(10), chr(10), 'Question: ?')) AS content FROM documents GROUP BY source".replace("FROM documents", f"FROM {_MEMORIES}"))
 def build_requests(spark, sf_dir):
     built = rules.messages(F.col("memory_docs"), F.lit("Question: ?"))
     return _memory(spark, sf_dir).select("id", F.md5(F.get(built, F.lit(1))["content"]).alias("content"))
 
 
-@sql("qa_json_roundtrip")
-def qa_json_roundtrip(d):
-    return "SELECT event_id, get_json_object(props, '$.k') AS k FROM [events]" if d.spark else "SELECT event_id, json_extract_string(props, '$.k') AS k FROM [events] WHERE event_id % 10 = 0"
+@query("qa_json_roundtrip", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def qa_json_roundtrip(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+

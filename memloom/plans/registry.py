@@ -1,4 +1,4 @@
-"""The registry of queries, the SQL dialects and the fixtures that both engines derive from the tables."""
+"""The registry of queries and the fixtures that they derive from the tables."""
 
 from __future__ import annotations
 
@@ -11,34 +11,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-class Dialect:
-    """What the two engines spell differently."""
-
-    def __init__(self, spark: bool):
-        self.spark = spark
-
-    def __call__(self, spark: str, other: str) -> str:
-        return spark if self.spark else other
-
-    def hex8(self, text: str) -> str:
-        """The first eight hexadecimal digits of the text's MD5 as a number."""
-        return self(f"CAST(conv(substr(md5({text}), 1, 8), 16, 10) AS BIGINT)", f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)")
-
-    def floor_div(self, a: str, b: str) -> str:
-        return self(f"({a}) DIV ({b})", f"({a}) // ({b})")
-
-    def join(self, value: str, by: str, order: str) -> str:
-        """Values of a group as one text, in order."""
-        return self(f"listagg({value}, '{by}') WITHIN GROUP (ORDER BY {order})", f"string_agg({value}, '{by}' ORDER BY {order})")
-
-    def count_if(self, what: str) -> str:
-        return f"CAST(count(CASE WHEN {what} THEN 1 END) AS BIGINT)"
-
-    def length(self, text: str) -> str:
-        return f"CAST(length({text}) AS BIGINT)"
-
-
-SPARK, OTHER = Dialect(True), Dialect(False)
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -52,17 +24,6 @@ def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(re.sub(r"\[(\w+)\]", r"{\1}", text), **{name: read(spark, sf_dir, name) for name in used})
 
 
-def sql(name: str) -> Callable:
-    """Registers a function of a dialect that returns SQL for both engines; tables stand in brackets."""
-
-    def register(make: Callable[[Dialect], str]) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: run_sql(spark, sf_dir, make(SPARK))
-        ORACLE[name] = re.sub(r"\[(\w+)\]", lambda m: m[1] if m[1] in TABLES else m[0], make(OTHER))
-        return make
-
-    return register
-
-
 def query(name: str, oracle: str | None = None) -> Callable:
     """Registers a query of (spark, sf_dir) and the SQL it is checked against, if SQL can express it."""
 

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions import extract, judge, rules, text
-from memloom.operators import metrics
-from memloom.plans.registry import OUTPUTS, query, read, run_sql, sql
+from memloom.operators import metrics, retrieval
+from memloom.plans.registry import OUTPUTS, query, read, run_sql
 
 _O = OUTPUTS.replace("[documents]", "documents").replace("[labels]", "labels")
-_NORM = lambda c: f"trim(regexp_replace(regexp_replace(translate(lower({c}), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', ''), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+#: Articles between what are no word characters (twice, as neighbours share one), and white space, both of Unicode.
+_ARTICLES = lambda c: f"regexp_replace({c}, '(^|[^\\pL\\pM\\pN\\p{{Pc}}])(a|an|the)([^\\pL\\pM\\pN\\p{{Pc}}]|$)', '\\1 \\3', 'g')"
+_NORM = lambda c: f"trim(regexp_replace({_ARTICLES(_ARTICLES(_BARE(c)))}, '[\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]+', ' ', 'g'))"
+_BARE = lambda c: f"translate(lower({c}), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', '')"
 _BLOCKS = f"""o AS ({_O}), b AS (SELECT *, contains(output, '```text') AS has_block,
   regexp_replace(string_split(output, '```text')[-1], '^[ \\t]*\\n?', '') AS rest FROM o),
  k AS (SELECT *, CASE WHEN has_block THEN string_split(rest, '```')[1] END AS block, has_block AND contains(rest, '```') AS closed FROM b)"""
@@ -79,15 +82,12 @@ def parse_multi(spark, sf_dir):
     return outputs(spark, sf_dir).where("kind = 'multi'").select("id", F.explode(extract.numbered_answers(F.col("output"))).alias("number", "answer"))
 
 
-_ASCII = "lang = 'en' AND length(text) = octet_length(encode(text))"
-
-
-@query("normalize_text", f"SELECT doc_id, md5({_NORM('text')}) AS normal FROM documents WHERE {_ASCII}")
+@query("normalize_text", f"SELECT doc_id, md5({_NORM('text')}) AS normal FROM documents")
 def normalize_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize(F.col("text"))).alias("normal"))
 
 
-_PAIRS = "SELECT d.doc_id, b.item_id, substr(d.text, 1, 400) AS pred, b.text AS gold FROM documents d JOIN benchmark b ON d.doc_id % 20 = b.item_id % 20 WHERE d.lang = 'en' AND length(d.text) = strlen(d.text) AND length(b.text) = strlen(b.text)"
+_PAIRS = "SELECT d.doc_id, b.item_id, d.text AS pred, b.text AS gold FROM documents d JOIN benchmark b ON d.doc_id % 20 = b.item_id % 20"
 
 
 def pairs(spark, sf_dir):
@@ -105,8 +105,8 @@ def judge_niah(spark, sf_dir):
 
 @query("judge_contains", "SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)")
 def judge_contains(spark, sf_dir):
-    """Documents that hold a benchmark text as it is: items are few and checked against the broadcast threshold by Spark, documents are scanned once."""
-    return read(spark, sf_dir, "documents").alias("d").join(read(spark, sf_dir, "benchmark").alias("b"), F.contains(F.col("d.text"), F.col("b.text"))).select("d.doc_id", "b.item_id")
+    """Documents that hold a benchmark text as it is."""
+    return retrieval.containing(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 @query("token_f1", f"""WITH p AS (SELECT doc_id, item_id, {_NORM('pred')} AS p, {_NORM('gold')} AS g FROM ({_PAIRS}) t),
@@ -183,11 +183,11 @@ def rewarded(spark, sf_dir):
     return rows.withColumn("key", F.struct("uid", "g"))
 
 
-@sql("filter_source")
-def filter_source(d):
-    return "SELECT doc_id, source FROM [documents] WHERE contains(source, 'src1')"
+@query("filter_source", "SELECT doc_id, source FROM documents WHERE contains(source, 'src1')")
+def filter_source(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where(F.contains("source", F.lit("src1"))).select("doc_id", "source")
 
 
-@query("clip_context", "SELECT doc_id, md5(CASE WHEN length(text) <= 1000 THEN text ELSE concat(regexp_replace(substr(text, 1, 323), '\\s+$', ''), chr(10), chr(10), '[... context truncated ...]', chr(10), chr(10), regexp_replace(right(text, 646), '^\\s+', '')) END) AS clipped FROM documents WHERE " + _ASCII)
+@query("clip_context", "SELECT doc_id, md5(CASE WHEN length(text) <= 1000 THEN text ELSE concat(regexp_replace(substr(text, 1, 323), '\\s+$', ''), chr(10), chr(10), '[... context truncated ...]', chr(10), chr(10), regexp_replace(right(text, 646), '^\\s+', '')) END) AS clipped FROM documents")
 def clip_context(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(rules.clip(F.col("text"), 1000)).alias("clipped"))

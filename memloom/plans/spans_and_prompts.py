@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memloom.functions import extract, judge, rules, spans, text
-from memloom.operators import matrix
-from memloom.plans.corpus import _LINES, _lengths, _memory
-from memloom.plans.registry import OUTPUTS, query, read, run_sql, sql
+from memloom.operators import matrix, regroup, schedules
+from memloom.plans.corpus import _LINES, _MEMORIES, _chunks, _lengths, _memory
+from memloom.plans.registry import OUTPUTS, query, read, run_sql
 from memloom.plans.scoring import _NORM, _PAIRS, outputs, pairs
 
 _N = "SELECT doc_id, CAST(n_chars % 200 + 1 AS INTEGER) AS n FROM {documents}"
@@ -44,13 +44,11 @@ def per_token_evict(spark, sf_dir):
     return rows.select("doc_id", F.size("c").cast("long").alias("tokens"), F.aggregate("c", F.lit(0).cast("long"), lambda acc, x: acc + x).alias("chunk_sum"))
 
 
-@query("visible_counts", f"""WITH l AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS c FROM ({_LINES}) t WHERE i < 40), e AS (SELECT doc_id, i, n, CASE WHEN i < 1 THEN c ELSE least(c, i + 6) END AS evict_at FROM l)
+@query("visible_counts", f"""WITH l AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS c FROM ({_LINES}) t), e AS (SELECT doc_id, i, n, CASE WHEN i < 1 THEN c ELSE least(c, i + 6) END AS evict_at FROM l)
  SELECT q.doc_id, CAST(q.i AS INTEGER) AS i, CAST(sum(k.n) AS BIGINT) AS visible FROM e q JOIN e k ON q.doc_id = k.doc_id AND k.i <= q.i AND k.evict_at > q.i GROUP BY q.doc_id, q.i""")
 def visible_counts(spark, sf_dir):
-    """Keys that a chunk's tokens see, counted by chunks and their lengths: no pairs of tokens."""
-    rows = _lengths(spark, sf_dir).select("doc_id", "n", spans.evict_schedule(F.col("n"), F.lit(6), F.lit(-1), F.lit(1)).alias("out"))
-    seen = F.transform("n", lambda _, q: F.aggregate(F.zip_with(F.slice("n", 1, q + 1), F.slice("out", 1, q + 1), lambda n, e: F.when(e > q, n).otherwise(0)), F.lit(0).cast("long"), lambda acc, x: acc + x))
-    return rows.select("doc_id", F.posexplode(seen).alias("i", "visible"))
+    """Keys that a chunk's tokens see, counted by chunks and their lengths: no pairs of tokens or chunks."""
+    return schedules.visible(schedules.evict_at(_chunks(spark, sf_dir), "doc_id", 6, -1, 1), "doc_id")
 
 
 @query("loss_mask", "SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS labels, CAST(2 * length(text) AS BIGINT) AS total FROM conversations WHERE role = 'assistant'")
@@ -61,10 +59,14 @@ def loss_mask(spark, sf_dir):
     return rows.select("conv_id", "turn", F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + x).alias("labels"), F.size("m").cast("long").alias("total"))
 
 
-@sql("collate_pack")
-def collate_pack(d):
-    n = "n_chars % 50 + 1"
-    return f"SELECT source, {d.join('CAST(cu AS STRING)', ',', 'doc_id')} AS cu_seqlens FROM (SELECT source, doc_id, CAST(sum({n}) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS cu FROM [documents]) t GROUP BY source"
+@query("collate_pack", "SELECT source, part, concat('0,', string_agg(CAST(cu AS STRING), ',' ORDER BY doc_id)) AS cu_seqlens, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS positions, CAST(sum(n * rn) AS BIGINT) AS seqs FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY source, part ORDER BY doc_id) AS BIGINT) AS cu, row_number() OVER (PARTITION BY source, part ORDER BY doc_id) - 1 AS rn FROM (SELECT source, doc_id // 1000 AS part, doc_id, n_chars % 50 + 1 AS n FROM documents) a) t GROUP BY source, part")
+def collate_pack(spark, sf_dir):
+    """Rows of a source in packs of a thousand ids: sequence ids, positions and the offsets of sequences."""
+    n = (F.col("n_chars") % 50 + 1).cast("int")
+    packs = read(spark, sf_dir, "documents").groupBy("source", F.expr("doc_id DIV 1000").alias("part")).agg(regroup.ordered(F.struct("doc_id", n.alias("n"))).alias("x"))
+    one = packs.select("source", "part", F.explode(F.array(spans.collated(F.transform("x", lambda r: r["n"])))).alias("c"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return one.select("source", "part", F.array_join("c.cu_seqlens", ",").alias("cu_seqlens"), total("c.position_ids").alias("positions"), total("c.seq_ids").alias("seqs"))
 
 
 @query("unit_chunks", f"WITH g AS (SELECT doc_id, i // 4 AS g, sum(n) + count(*) - 1 AS n FROM ({_LINES}) t GROUP BY doc_id, i // 4), p AS (SELECT doc_id, g, n, unnest(CASE WHEN n > 500 THEN range(0, CAST(n AS BIGINT), 250) ELSE [0] END) AS s FROM g) SELECT doc_id, CAST(g AS INTEGER) AS unit, CAST(CASE WHEN n > 500 THEN least(250, n - s) ELSE n END AS INTEGER) AS n FROM p")
@@ -76,13 +78,13 @@ def unit_chunks(spark, sf_dir):
     return rows.select("doc_id", "unit", F.explode(sizes).alias("n"))
 
 
-@query("official_prompts", "SELECT source AS id, md5(concat('Use only the memory context below to answer the question.', chr(10), 'Reply with a short entity, phrase, number, or sentence only.', chr(10), 'If the answer is not supported by the context, reply exactly: I don''t know.', chr(10), chr(10), string_agg(text, chr(10) || chr(10) ORDER BY doc_id), chr(10), chr(10), 'Question: {{x}}', chr(10), 'Answer:')) AS content FROM documents GROUP BY source")
+@query("official_prompts", "SELECT source AS id, md5(concat('Use only the memory context below to answer the question.', chr(10), 'Reply with a short entity, phrase, number, or sentence only.', chr(10), 'If the answer is not supported by the context, reply exactly: I don''t know.', chr(10), chr(10), string_agg(text, chr(10) || chr(10) ORDER BY doc_id), chr(10), chr(10), 'Question: {{x}}', chr(10), 'Answer:')) AS content FROM documents GROUP BY source".replace("FROM documents", f"FROM {_MEMORIES}"))
 def official_prompts(spark, sf_dir):
     asked = F.replace(F.lit("Question: {question}\nAnswer:"), F.lit("{question}"), F.lit("{{x}}"))
     return _memory(spark, sf_dir).select("id", F.md5(F.concat(F.lit(rules.UNIFIED_HEADER + rules.SEPARATOR), F.array_join("memory_docs", rules.SEPARATOR), F.lit(rules.SEPARATOR), asked)).alias("content"))
 
 
-@query("memory_query_split", "SELECT doc_id, length(substr(text, 1, 10)) AS m, trim('  what?  ') AS query FROM documents")
+@query("memory_query_split", "SELECT doc_id, length(text) AS m, trim('  what?  ') AS query FROM documents")
 def memory_query_split(spark, sf_dir):
     found = rules.split_memory(F.concat("text", F.lit("\n\n  what?  ")), F.col("text"))
     return read(spark, sf_dir, "documents").select("doc_id", F.length(found["memory"]).cast("long").alias("m"), found["query"].alias("query"))
@@ -96,13 +98,13 @@ def run_matrix(spark, sf_dir):
     return matrix.runs(spark)
 
 
-@query("icl_pairs", "SELECT source, count(*) AS n, md5(string_agg(concat('doc ', CAST(doc_id AS STRING), ' label: ', CAST(quality AS STRING)), '|' ORDER BY doc_id)) AS digest FROM documents JOIN labels USING (doc_id) GROUP BY source")
+@query("icl_pairs", "SELECT source, doc_id // 1000 AS part, count(*) AS n, md5(string_agg(concat('doc ', CAST(doc_id AS STRING), ' label: ', CAST(quality AS STRING)), '|' ORDER BY doc_id)) AS digest FROM documents JOIN labels USING (doc_id) GROUP BY source, doc_id // 1000")
 def icl_pairs(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
-    rows = rows.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "quality"))).alias("x"))
+    rows = rows.groupBy("source", F.expr("doc_id DIV 1000").alias("part")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "quality"))).alias("x"))
     memory = F.array_join(F.transform("x", lambda r: F.concat(F.lit("doc "), r["doc_id"].cast("string"), F.lit("\nlabel: "), r["quality"].cast("string"))), "\n\n")
-    found = rows.select("source", F.explode(F.array(extract.icl_examples(memory))).alias("p"))
-    return found.select("source", F.size("p").cast("long").alias("n"), F.md5(F.array_join(F.transform("p", lambda p: F.concat(p["text"], F.lit(" "), p["label"])), "|")).alias("digest"))
+    found = rows.select("source", "part", F.explode(F.array(extract.icl_examples(memory))).alias("p"))
+    return found.select("source", "part", F.size("p").cast("long").alias("n"), F.md5(F.array_join(F.transform("p", lambda p: F.concat(p["text"], F.lit(" "), p["label"])), "|")).alias("digest"))
 
 
 @query("json_extract", "SELECT doc_id, CAST(quality AS STRING) AS q FROM labels")
@@ -136,83 +138,86 @@ def parse_packed(spark, sf_dir):
     return outputs(spark, sf_dir).where("kind = 'multi'").select("id", F.size(extract.packed_answers(F.col("output"))).cast("long").alias("n"))
 
 
-@sql("parse_spec")
-def parse_spec(d):
-    part = lambda k: d(f"split_part(spec, ':', {k})", f"split_part(spec, ':', {k})")
-    return f"SELECT doc_id, {part(1)} AS ds, {part(2)} AS split, CASE WHEN {part(3)} = '' THEN NULL ELSE CAST({part(3)} AS BIGINT) END AS n FROM (SELECT doc_id, concat(source, ':train', CASE WHEN doc_id % 2 = 0 THEN concat(':', CAST(doc_id AS STRING)) ELSE '' END) AS spec FROM [documents]) t"
+@query("parse_spec", "SELECT doc_id, split_part(spec, ':', 1) AS ds, split_part(spec, ':', 2) AS split, CASE WHEN split_part(spec, ':', 3) = '' THEN NULL ELSE CAST(split_part(spec, ':', 3) AS BIGINT) END AS n FROM (SELECT doc_id, concat(source, ':train', CASE WHEN doc_id % 2 = 0 THEN concat(':', CAST(doc_id AS STRING)) ELSE '' END) AS spec FROM documents) t")
+def parse_spec(spark, sf_dir):
+    spec = F.concat("source", F.lit(":train"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(":"), F.col("doc_id").cast("string"))).otherwise(F.lit("")))
+    return read(spark, sf_dir, "documents").select("doc_id", rules.parsed_spec(spec).alias("x")).select("doc_id", "x.ds", "x.split", "x.n")
 
 
-@sql("truncate_tail")
-def truncate_tail(d):
-    return "SELECT doc_id, md5(CASE WHEN n_chars <= 500 THEN text ELSE substr(text, n_chars - 499, 500) END) AS tail FROM [documents]"
+@query("truncate_tail", "SELECT doc_id, md5(CASE WHEN n_chars <= 500 THEN text ELSE substr(text, n_chars - 499, 500) END) AS tail FROM documents")
+def truncate_tail(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(rules.tail(F.col("text"), 500)).alias("tail"))
 
 
-@sql("clamp_boundary")
-def clamp_boundary(d):
-    return f"SELECT doc_id, CAST(least(want, ({d.floor_div('n_chars', '64')} + 1) * 64 - n_chars) AS BIGINT) AS granted FROM (SELECT doc_id, n_chars, doc_id % 90 + 1 AS want FROM [documents]) t"
+@query("clamp_boundary", "SELECT doc_id, CAST(least(want, ((n_chars) // (64) + 1) * 64 - n_chars) AS BIGINT) AS granted FROM (SELECT doc_id, n_chars, doc_id % 90 + 1 AS want FROM documents) t")
+def clamp_boundary(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", rules.to_boundary(F.col("n_chars"), F.col("doc_id") % 90 + 1, 64).alias("granted"))
 
 
-@sql("sliding_span")
-def sliding_span(d):
-    return "SELECT doc_id, CAST(32 AS BIGINT) AS s, CAST(greatest(32, n_chars - 1024) AS BIGINT) AS e FROM [documents]"
+@query("sliding_span", "SELECT doc_id, CAST(32 AS BIGINT) AS s, CAST(greatest(32, n_chars - 1024) AS BIGINT) AS e FROM documents")
+def sliding_span(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", spans.sliding_span(F.col("n_chars"), 32, 1024).alias("x")).select("doc_id", "x.s", "x.e")
 
 
-@sql("tokenize_stats")
-def tokenize_stats(d):
-    return f"SELECT source, CAST(count(*) AS BIGINT) AS n, {d.count_if('n_chars > 8000')} AS filtered, CAST(sum(CASE WHEN n_chars <= 8000 THEN n_chars ELSE 0 END) AS BIGINT) AS kept_chars FROM [documents] GROUP BY source"
+@query("tokenize_stats", "SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(count(CASE WHEN n_chars > 8000 THEN 1 END) AS BIGINT) AS filtered, CAST(sum(CASE WHEN n_chars <= 8000 THEN n_chars ELSE 0 END) AS BIGINT) AS kept_chars FROM documents GROUP BY source")
+def tokenize_stats(spark, sf_dir):
+    """What is kept of each source under the length limit, by characters."""
+    kept = F.col("n_chars") <= 8000
+    return read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(~kept).alias("filtered"), F.sum(F.when(kept, F.col("n_chars")).otherwise(0)).alias("kept_chars"))
 
 
-@sql("mix_len_stats")
-def mix_len_stats(d):
-    return f"SELECT round(avg(n_chars), 6) AS mean, max(n_chars) AS longest FROM (SELECT n_chars FROM [documents] ORDER BY doc_id LIMIT {d('2000', '150')}) t"
+@query("mix_len_stats", "SELECT round(avg(n_chars), 6) AS mean, max(n_chars) AS longest FROM (SELECT n_chars FROM documents ORDER BY doc_id LIMIT 2000) t")
+def mix_len_stats(spark, sf_dir):
+    head = read(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy("doc_id").limit(2000)
+    return head.agg(F.round(F.avg("n_chars"), 6).alias("mean"), F.max("n_chars").alias("longest"))
 
 
-@sql("rank_slice")
-def rank_slice(d):
-    return f"SELECT doc_id, {d.floor_div('doc_id', '16')} AS step, {d.floor_div('doc_id % 16', '4')} AS rank, doc_id % 4 AS micro FROM [documents]"
+@query("rank_slice", "SELECT doc_id, (doc_id) // (16) AS step, (doc_id % 16) // (4) AS rank, doc_id % 4 AS micro FROM documents")
+def rank_slice(spark, sf_dir):
+    """The step, rank and micro-batch of each place, 16 a step and 4 a rank."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id DIV 16").alias("step"), F.expr("doc_id % 16 DIV 4").alias("rank"), (F.col("doc_id") % 4).alias("micro"))
 
 
-@sql("sink_shift")
-def sink_shift(d):
-    return "SELECT source, CAST(12 + sum(n_chars) - max(n_chars) AS BIGINT) AS shifted FROM [documents] GROUP BY source"
+@query("sink_shift", "SELECT doc_id, CAST(i + 1 AS INTEGER) AS i, CAST(12 + coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS s, CAST(12 + sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS e FROM (SELECT doc_id, length(line) AS n, i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents) t) t UNION ALL SELECT doc_id, 0, 0, 12 FROM documents")
+def sink_shift(spark, sf_dir):
+    """Spans of a text's lines behind a system segment of 12 tokens, which is the first span."""
+    shifted = spans.behind_sink(spans.chunk_spans(F.col("n")), 12)
+    return _lengths(spark, sf_dir).select("doc_id", F.posexplode(shifted).alias("i", "x")).select("doc_id", "i", "x.s", "x.e")
 
 
-@sql("w0_curriculum")
-def w0_curriculum(d):
-    return f"SELECT doc_id, CASE WHEN {d.hex8(chr(39) + '5|w0|' + chr(39) + ' || CAST(doc_id AS STRING)')} < 1288490188 THEN 1 ELSE 0 END AS forced FROM [documents]"
+@query("w0_curriculum", "SELECT doc_id, CASE WHEN CAST('0x' || substr(md5('5|w0|' || CAST(doc_id AS STRING)), 1, 8) AS BIGINT) < 1288490188 THEN 1 ELSE 0 END AS forced FROM documents")
+def w0_curriculum(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", (text.draw(5, "w0", F.col("doc_id")) < 1288490188 / 4294967296).cast("int").alias("forced"))
 
 
-@sql("synthetic_recall")
-def synthetic_recall(d):
-    source = d("explode(sequence(0, 7))", "unnest(range(0, 8))")
-    key = "'9|recall|' || CAST(doc_id * 8 + k AS STRING)"
-    rows = d("", " WHERE doc_id < 50")
-    return f"SELECT doc_id, CAST(k AS INTEGER) AS k, {d.hex8(key)} % 1000 AS v FROM (SELECT doc_id, {source} AS k FROM [documents]{rows}) t"
+@query("synthetic_recall", "SELECT doc_id, CAST(k AS INTEGER) AS k, CAST('0x' || substr(md5('9|recall|' || CAST(doc_id * 8 + k AS STRING)), 1, 8) AS BIGINT) % 1000 AS v FROM (SELECT doc_id, unnest(range(0, 8)) AS k FROM documents) t")
+def synthetic_recall(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    return rows.select("doc_id", "k", (text.draw(9, "recall", F.col("doc_id") * 8 + F.col("k")) * 4294967296 % 1000).cast("long").alias("v"))
 
 
-@sql("niah_context")
-def niah_context(d):
-    at = f"CAST(floor(0.05 * n_chars + 0.9 * n_chars * {d.hex8(chr(39) + '1|niah|' + chr(39) + ' || CAST(doc_id AS STRING)')} / 4294967296.0) AS BIGINT)"
-    if d.spark:
-        at = at.replace("4294967296.0", "4294967296D").replace("0.05 *", "0.05D *").replace("0.9 *", "0.9D *")
-        return f"SELECT doc_id, spot, md5(concat(substr(text, 1, CAST(spot AS INT)), ' NEEDLE ', substr(text, CAST(spot AS INT) + 1))) AS context FROM (SELECT doc_id, text, {at} AS spot FROM [documents]) t"
-    at = at.replace("0.05 *", "0.05::DOUBLE *").replace("0.9 *", "0.9::DOUBLE *").replace("4294967296.0", "4294967296.0::DOUBLE")
-    return f"SELECT doc_id, spot, md5(concat(substr(text, 1, spot), ' NEEDLE ', substr(text, spot + 1))) AS context FROM (SELECT doc_id, text, {at} AS spot FROM [documents]) t"
+@query("niah_context", "SELECT doc_id, spot, md5(concat(substr(text, 1, spot), ' NEEDLE ', substr(text, spot + 1))) AS context FROM (SELECT doc_id, text, CAST(floor(0.05::DOUBLE * n_chars + 0.9::DOUBLE * n_chars * CAST('0x' || substr(md5('1|niah|' || CAST(doc_id AS STRING)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE) AS BIGINT) AS spot FROM documents) t")
+def niah_context(spark, sf_dir):
+    at = F.floor(0.05 * F.col("n_chars") + 0.9 * F.col("n_chars") * (text.draw(1, "niah", F.col("doc_id")) * 4294967296) / 4294967296)
+    rows = read(spark, sf_dir, "documents").withColumn("spot", at)
+    return rows.select("doc_id", "spot", F.md5(rules.planted(F.col("text"), F.col("spot"), " NEEDLE ")).alias("context"))
 
 
-@sql("synth_budget")
-def synth_budget(d):
-    return "SELECT doc_id, CAST(least(2048, greatest(256, 8192 - n_chars - 400)) AS BIGINT) AS budget FROM [documents]"
+@query("synth_budget", "SELECT doc_id, CAST(least(2048, greatest(256, 8192 - n_chars - 400)) AS BIGINT) AS budget FROM documents")
+def synth_budget(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", rules.synthesis_budget(F.col("n_chars")).alias("budget"))
 
 
-@sql("supervised_positions")
-def supervised_positions(d):
-    return f"SELECT conv_id, {d.count_if('next_label <> -100')} AS supervised FROM (SELECT conv_id, lead(CASE WHEN role = 'assistant' THEN 1 ELSE -100 END) OVER (PARTITION BY conv_id ORDER BY turn) AS next_label FROM [conversations]) t GROUP BY conv_id"
+@query("supervised_positions", "SELECT conv_id, CAST(count(CASE WHEN next_label <> -100 THEN 1 END) AS BIGINT) AS supervised FROM (SELECT conv_id, lead(CASE WHEN role = 'assistant' THEN 1 ELSE -100 END) OVER (PARTITION BY conv_id ORDER BY turn) AS next_label FROM conversations) t GROUP BY conv_id")
+def supervised_positions(spark, sf_dir):
+    """Positions whose next label is supervised, as the loss shifts labels by one."""
+    after = F.lead(F.when(F.col("role") == "assistant", 1).otherwise(-100)).over(Window.partitionBy("conv_id").orderBy("turn"))
+    return read(spark, sf_dir, "conversations").withColumn("after", after).groupBy("conv_id").agg(F.count_if(F.col("after") != -100).alias("supervised"))
 
 
-@sql("block_evict_static")
-def block_evict_static(d):
-    return f"SELECT doc_id, CAST(greatest(0, {d.floor_div('n_chars - 1024', '16')} - 2) AS BIGINT) AS evicted FROM [documents] WHERE n_chars > 1100"
+@query("block_evict_static", "SELECT doc_id, CAST(greatest(0, (n_chars - 1024) // (16) - 2) AS BIGINT) AS evicted FROM documents WHERE n_chars > 1100")
+def block_evict_static(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where("n_chars > 1100").select("doc_id", F.size(spans.static_blocks(F.col("n_chars"), 32, 1024, 16)).cast("long").alias("evicted"))
 
 
 @query("prompt_len_from_ids", f"SELECT doc_id, CAST(least((n - 1) // 9 * 9 + 3, n) AS INTEGER) AS p FROM ({_N.format(documents='documents')}) t")
@@ -227,7 +232,7 @@ def aux_scores(spark, sf_dir):
     return pairs(spark, sf_dir).select("doc_id", "item_id", F.explode(F.array(judge.auxiliary(F.array("gold"), F.col("pred")))).alias("a")).select("doc_id", "item_id", "a.*")
 
 
-@query("rag_context", "SELECT item_id, string_agg(CAST(doc_id AS STRING), ',' ORDER BY doc_id) AS units FROM (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY abs(d.n_chars - length(b.text)), d.doc_id) AS r FROM benchmark b JOIN documents d ON d.doc_id % 10 = b.item_id % 10) t WHERE r <= 3 GROUP BY item_id")
+@query("rag_context", "SELECT item_id, string_agg(CAST(doc_id AS STRING), ',' ORDER BY doc_id) AS units FROM (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY abs(d.n_chars - length(b.text)), d.doc_id) AS r FROM benchmark b JOIN documents d ON true) t WHERE r <= 3 GROUP BY item_id")
 def rag_context(spark, sf_dir):
     """The chosen units of a query, again in document order. Of documents of one length only the first three can be among an item's three nearest."""
     first = F.row_number().over(Window.partitionBy("n_chars").orderBy("doc_id"))
