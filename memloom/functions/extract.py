@@ -127,3 +127,9 @@ def json_object(text: Column) -> Column:
     outer = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
     valid = lambda c: F.when(F.try_parse_json(F.nullif(c, F.lit(""))).isNotNull(), c)
     return F.coalesce(valid(strip(bare)), valid(fenced), valid(outer))
+
+
+def mapped_labels(block: Column, labels: Column) -> Column:
+    """Those of the labels that a memory maps to something: `label N:`, `N |` or `N:` at a line's start. A fixed pattern."""
+    found = F.regexp_extract_all(block, F.lit(r"(?mi)(?:\blabel\s*:?[ *]*|^\s*)(\d+)\s*(?:\*\*)?\s*(?::|\|)"), F.lit(1))
+    return F.array_intersect(labels, F.transform(found, lambda x: x.cast("int")))

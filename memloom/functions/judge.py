@@ -145,3 +145,8 @@ def similar_share(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
 
     for wanted, preds in batches:
         yield pd.Series([one(w, p) for w, p in zip(wanted, preds)])
+
+
+def chained(golds: Column, pred: Column, verdict: Column) -> Column:
+    """The reward's judge: an exact match is right, else the verdict that a model gave, else containment where there is none."""
+    return F.when(exact(golds, pred), 1.0).when(verdict.isNotNull(), verdict.cast("double")).otherwise(judged(F.lit("contains"), golds, pred, verdict))

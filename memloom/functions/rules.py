@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.functions.text import strip
+from memloom.functions.text import let, strip
 
 #: (low, high, chunk, window, max_new); a prompt fits the first row with low <= prompt + max_new < high. Fixed values.
 RULES = ((1024, 2048, 64, 512, 256), (2048, 8192, 256, 1024, 512), (8192, 16384, 512, 2048, 1024), (16384, 32768, 512, 4096, 2048), (32768, 65536, 512, 8192, 4096))
@@ -171,3 +171,71 @@ def chunk_config(rows: DataFrame, configs: DataFrame) -> DataFrame:
     of = lambda name: configs.select(F.col("dataset").alias(f"_{name}"), F.col("size").alias(f"_{name}_size"))
     packed = rows.join(of("own"), F.col("dataset") == F.col("_own"), "left").join(of("packs"), F.col("pack") & (F.concat("dataset", F.lit("-pack")) == F.col("_packs")), "left")
     return packed.withColumn("size", F.coalesce("_packs_size", "_own_size")).drop("_own", "_packs", "_own_size", "_packs_size")
+
+
+#: Directives of the other prompt forms, and their openings. Fixed texts.
+SINGLE_DIRECTIVE = "Put your final answer inside a ```text``` block as `Answer: <answer>`."
+MULTI_DIRECTIVE = "Put your final answers inside a ```text``` block, one per line as `A1: ...`, `A2: ...`, matching the question numbers."
+RECSYS_DIRECTIVE = 'Put your final recommendations inside a ```text``` block as `Answer: <movie title 1> | <movie title 2> | ...` on one line, separated by " | ". Recommend 20 movie titles, most confident first.'
+RECSYS_PACK_DIRECTIVE = "Put your final recommendations inside a ```text``` block, one line per conversation as `A1: <movie title 1> | <movie title 2> | ...`, `A2: ...`, matching the conversation numbers. Recommend 20 movie titles per conversation, most confident first."
+RECSYS_OPENING = "Pretend you are the movie recommender system {where} below. Recommend movies by title, as they are named in the memorized dialogues.\n"
+
+
+def instruction(directive: str, reason: bool) -> str:
+    return REASON + directive[0].lower() + directive[1:] if reason else directive
+
+
+def user_turn(form: str, items: Column, labels: Column, scenario: Column, reason: bool) -> Column:
+    """The user's turn of a form: open, single, multi, ttl_single, ttl, recsys_single or recsys. Forms of one item take the first."""
+    head = F.when(scenario != "", F.concat(scenario, F.lit(SEPARATOR))).otherwise(F.lit(""))
+    one, end = F.get(items, F.lit(0)), lambda directive: F.lit(SEPARATOR + instruction(directive, reason))
+    if form == "open":
+        return one
+    if form == "ttl":
+        return ttl_prompt(items, labels, scenario, reason)
+    if form == "ttl_single":
+        valid = F.array_join(F.transform(labels, lambda x: x.cast("string")), ", ")
+        return F.concat(head, F.lit("Classify the following item. Valid labels: "), valid, F.lit(".\nText: "), one, end(LABEL_DIRECTIVE))
+    if form == "single":
+        return F.concat(head, F.lit("Question: "), one, end(SINGLE_DIRECTIVE))
+    if form == "multi":
+        return F.concat(head, F.lit("Answer all of the following questions.\n"), numbered(items, "Q"), end(MULTI_DIRECTIVE))
+    if form == "recsys_single":
+        return F.concat(head, F.lit(RECSYS_OPENING.format(where="in the new conversation") + "Conversation:\n"), one, end(RECSYS_DIRECTIVE))
+    if form == "recsys":
+        block = F.array_join(F.transform(items, lambda x, i: F.concat(F.lit("C"), (i + 1).cast("string"), F.lit(":\n"), x)), SEPARATOR)
+        return F.concat(head, F.lit(RECSYS_OPENING.format(where="for each new conversation")), block, end(RECSYS_PACK_DIRECTIVE))
+    raise ValueError(f"unknown form {form}")
+
+
+def gold_turn(form: str, answers: Column) -> Column:
+    """The assistant's turn of a form."""
+    one = F.get(answers, F.lit(0))
+    if form == "open":
+        return one
+    if form in ("multi", "recsys"):
+        return gold_block(answers, "A")
+    if form == "ttl":
+        return gold_block(answers, "L")
+    return F.concat(F.lit("```text\nAnswer: "), one, F.lit("\n```"))
+
+
+#: What a needle says. Fixed text.
+NEEDLE = "One of the special magic numbers for {key} is: {value}.\n"
+
+
+def hidden(text: Column, needles: Column, depths: Column) -> Column:
+    """The text with needles in order at its sorted depths (shares of its length)."""
+    cuts = F.transform(F.array_sort(depths), lambda d: F.floor(F.length(text) * d).cast("int"))
+
+    def pieces(cut: Column) -> Column:
+        before = F.transform(cut, lambda c, i: F.concat(F.substring(text, F.when(i > 0, F.get(cut, i - 1)).otherwise(F.lit(0)) + 1, c - F.when(i > 0, F.get(cut, i - 1)).otherwise(F.lit(0))), F.get(needles, i)))
+        return F.concat(F.array_join(before, ""), F.substring(text, F.element_at(cut, -1) + 1, F.length(text)))
+
+    return let(cuts, pieces)
+
+
+def as_list(json: Column) -> Column:
+    """An array of texts from JSON that is a list, a text or null."""
+    bare = F.trim(json)
+    return F.when(bare.isNull() | (bare == "null"), F.array().cast("array<string>")).when(F.startswith(bare, F.lit("[")), F.from_json(bare, "array<string>")).otherwise(F.array(F.get(F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<string>"), F.lit(0))))

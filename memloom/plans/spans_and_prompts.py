@@ -227,7 +227,14 @@ def prompt_len_from_ids(spark, sf_dir):
     return _n(spark, sf_dir).withColumn("ids", ids).select("doc_id", F.coalesce(F.least(last + 3, "n"), F.col("n")).alias("p"))
 
 
-@query("aux_scores")
+_AUX = f"""WITH p AS (SELECT doc_id, item_id, {_NORM('pred')} AS p, {_NORM('gold')} AS g FROM ({_PAIRS}) t),
+ t AS (SELECT doc_id, item_id, p, g, list_filter(string_split(p, ' '), lambda x: x <> '' AND x <> 'and') AS pt, list_filter(string_split(g, ' '), lambda x: x <> '' AND x <> 'and') AS gt FROM p),
+ a AS (SELECT doc_id, item_id, w, count(*) AS n FROM (SELECT doc_id, item_id, unnest(pt) AS w FROM t) x GROUP BY ALL), b AS (SELECT doc_id, item_id, w, count(*) AS n FROM (SELECT doc_id, item_id, unnest(gt) AS w FROM t) x GROUP BY ALL),
+ s AS (SELECT a.doc_id, a.item_id, sum(least(a.n, b.n)) AS same FROM a JOIN b USING (doc_id, item_id, w) GROUP BY ALL)
+ SELECT t.doc_id, t.item_id, g <> '' AND contains(p, g) AS rule, g <> '' AND p = g AS em, CAST(round(coalesce(2.0 * same / (len(pt) + len(gt)), 0), 4) AS DOUBLE) AS f1 FROM t LEFT JOIN s ON t.doc_id = s.doc_id AND t.item_id = s.item_id"""
+
+
+@query("aux_scores", _AUX)
 def aux_scores(spark, sf_dir):
     return pairs(spark, sf_dir).select("doc_id", "item_id", F.explode(F.array(judge.auxiliary(F.array("gold"), F.col("pred")))).alias("a")).select("doc_id", "item_id", "a.*")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions.text import let, strip
+from memloom.operators.regroup import dense_index
 
 
 def qa_item(question: Column, answer: Column, evidence: Column | None = None, choices: Column | None = None, category: Column | None = None) -> Column:
@@ -77,13 +78,14 @@ def pool(raw: DataFrame, names: DataFrame, source: str, split: str) -> DataFrame
 
 def longalpaca(raw: DataFrame) -> DataFrame:
     """row_idx, instruction, output: the paper between its two marks, the question after them; rows without go."""
-    begins, ends = "The paper begins.", "Now the paper ends."
+    begins, ends = "The paper begins.", "Now the paper ends."  # fixed marks of the format
     after = F.substring("instruction", F.locate(begins, F.col("instruction")) + len(begins), F.length("instruction"))
     parts = raw.where(F.locate(begins, F.col("instruction")) > 0).withColumn("after", after).where(F.locate(ends, F.col("after")) > 0)
     paper, tail = strip(F.substring_index("after", ends, 1)), strip(F.substring("after", F.locate(ends, F.col("after")) + len(ends), F.length("after")))
     question = strip(F.regexp_replace(tail, "(?i)^question:", ""))
     found = parts.withColumns({"paper": paper, "question": question}).where("paper <> '' and question <> ''")
-    return row(found, F.concat(F.lit("longalpaca-"), F.col("row_idx").cast("string")), "longalpaca", "AR", F.array("paper"), F.array(qa_item(F.col("question"), F.array("output"))))
+    found = dense_index(found, "row_idx")  # ids count the rows kept
+    return row(found, F.concat(F.lit("longalpaca-"), F.col("idx").cast("string")), "longalpaca", "AR", F.array("paper"), F.array(qa_item(F.col("question"), F.array("output"), F.array(F.lit(0)))))
 
 
 def longalign(raw: DataFrame) -> DataFrame:
@@ -111,12 +113,14 @@ def long_data(raw: DataFrame) -> DataFrame:
         return let(F.struct(strip(F.left("prompt", cut - 1)).alias("context"), strip(tail).alias("question")), lambda x: F.when((back > 0) & (x["context"] != "") & (x["question"] != ""), x))
 
     found = raw.withColumn("p", F.coalesce(split_at("\n\nQuestion:"), split_at("\n\nQ:"))).where("p is not null")
-    return row(found, F.concat(F.lit("ldc-"), F.col("row_idx").cast("string")), "ldc", "AR", F.array("p.context"), F.array(qa_item(F.col("p.question"), F.array("completion"))))
+    found = dense_index(found, "row_idx")  # ids count the rows kept
+    return row(found, F.concat(F.lit("ldc-"), F.col("idx").cast("string")), "ldc", "AR", F.array("p.context"), F.array(qa_item(F.col("p.question"), F.array("completion"))))
 
 
 def infbench(raw: DataFrame, source: str) -> DataFrame:
-    """id, context, input, answer (an array), options."""
-    return row(raw, F.col("id"), source, "AR", F.array("context"), F.array(qa_item(F.col("input"), F.col("answer"), choices=F.col("options"))))
+    """id, context, input, answer (an array, or one text), options."""
+    answer = F.col("answer") if raw.schema["answer"].dataType.typeName() == "array" else F.array("answer")
+    return row(raw, F.col("id"), source, "AR", F.array("context"), F.array(qa_item(F.col("input"), answer, choices=F.col("options"))))
 
 
 def mab(raw: DataFrame, source: str, task: str, prefix: str) -> DataFrame:

@@ -70,13 +70,14 @@ class Router:
     def step(self, state: dict[str, Any], event: dict[str, Any]) -> tuple[dict[str, Any], int | None]:
         load, held, group = list(state["load"]), dict(state["held"]), str(event["group"])
         server, count = held.get(group, (None, 0))
+        weight = max(int(event["weight"]), 1)
         if event["acquire"]:
             if server is None:
                 server = min(range(len(load)), key=lambda k: (load[k], k))
-            load[server] += event["weight"]
+            load[server] += weight
             held[group] = (server, count + 1)
         elif server is not None:
-            load[server] = max(0.0, load[server] - event["weight"])
+            load[server] = max(0.0, load[server] - weight)
             held.pop(group) if count <= 1 else held.update({group: (server, count - 1)})
         return {"load": load, "held": held}, server
 

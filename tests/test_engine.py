@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions import extract, judge, rules, spans, text
 from memloom.operators import matrix, regroup, sequential
-from memloom.plans import corpus, scoring, spans_and_prompts, stateful  # noqa: F401
+from memloom.plans import adapted, corpus, pieces, scoring, spans_and_prompts, stateful  # noqa: F401
 from memloom.plans.registry import ORACLE, QUERIES, TABLES
 from memloom.sources import adapters, io
 from memloom.streaming import folds
@@ -225,3 +225,76 @@ def test_sinks_and_readers(spark, tmp_path):
     for name, body in (("b", "two\n"), ("a", "one")):
         (tmp_path / "texts" / f"{name}.txt").write_text(body)
     assert io.text_folder(spark, str(tmp_path / "texts")).first().text == "one\n\ntwo"
+
+
+# ---- operators of places, schedules, samples
+
+
+def test_window_schedules_are_the_simulation(spark):
+    import random
+
+    from memloom.operators import schedules
+
+    rng = random.Random(7)
+    for most, tokens, sinks in ((3, -1, 1), (4, 15, 0), (2, 30, 2), (50, 9, 1)):
+        texts = [[rng.randint(0, 9) for _ in range(rng.randint(1, 25))] for _ in range(40)]
+        rows = spark.createDataFrame([(k, i, n) for k, t in enumerate(texts) for i, n in enumerate(t)], "doc_id int, i int, n int")
+        plan = schedules.evict_at(rows, "doc_id", most, tokens, sinks)
+        got = {(r.doc_id, r.i): r.evict_at for r in plan.collect()}
+        seen = {(r.doc_id, r.i): r.visible for r in schedules.visible(plan, "doc_id").collect()}
+        for k, t in enumerate(texts):
+            out = simulate(t, most, tokens, sinks)
+            assert [got[k, i] for i in range(len(t))] == out
+            assert [seen[k, q] for q in range(len(t))] == [sum(t[j] for j in range(q + 1) if out[j] > q) for q in range(len(t))]
+
+
+def test_places_of_hot_keys_and_skewed_ids(spark):
+    from memloom.operators import splits
+
+    ids = [*range(300), 10**15, -5, 10**12]
+    rows = spark.createDataFrame([(i, "hot" if k % 5 else f"k{k % 3}") for k, i in enumerate(ids)], "id long, key string")
+    for found, order in ((splits.by_id(rows, ["key"], "id", width=16), lambda i: i), (splits.by_hash(rows, ["key"], 3, "s", "id"), lambda i: (__import__("hashlib").md5(f"3|s|{i}".encode()).hexdigest(), i))):
+        by_key = {}
+        for r in found.collect():
+            by_key.setdefault(r.key, []).append((r.place, r.id, r.n))
+        for members in by_key.values():
+            ranked = sorted((i for _, i, _ in members), key=order)
+            assert [i for _, i, _ in sorted(members)] == ranked and {n for *_, n in members} == {len(members)} and [p for p, *_ in sorted(members)] == list(range(len(members)))
+    index = regroup.dense_index(rows, "id", per_range=20).collect()
+    assert [r.id for r in sorted(index, key=lambda r: r.idx)] == sorted(ids) and sorted(r.idx for r in index) == list(range(len(ids)))
+
+
+def test_bisected_texts(spark):
+    from memloom.operators import samples
+
+    def cut(text):
+        if max(1, len(text) // 3) <= 7:
+            return [text]
+        middle = len(text) // 2
+        at = text.rfind(" ", 0, middle)
+        at = at + 1 if at > 0 else middle
+        return cut(text[:at]) + cut(text[at:])
+
+    texts = ["", "short", "one two three four five six seven eight nine ten", "x" * 100, " " * 60, "é a" * 40]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", samples.bisected(F.col("t"), 7).alias("p")).collect()
+    assert {r.i: r.p for r in got} == {i: cut(t) for i, t in enumerate(texts)}
+    assert spark.createDataFrame([(None,)], "t string").select(samples.bisected(F.col("t"), 7).alias("p")).first().p is None
+
+
+def test_texts_that_contain_items(spark):
+    from memloom.operators import retrieval
+
+    texts = ["a b c d e f", "xa b c d ey", "a b  c d e", "b c", "", "c d e f g h a b c d e"]
+    items = ["a b c d e", "b c d", "b", "a b  c", "zz"]
+    got = retrieval.containing(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), spark.createDataFrame(list(enumerate(items)), "item_id int, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted((i, k) for i, t in enumerate(texts) for k, q in enumerate(items) if q in t)
+
+
+def test_long_samples_are_left_out(spark):
+    from memloom.operators import samples
+
+    rows = spark.createDataFrame([([130_000], "unit"), ([10, 20, 30], "unit"), ([10, 20, 30], "token")], "docs array<int>, mode string")
+    got = [r[0] for r in rows.select(F.explode(F.array(samples.layout(F.col("docs"), F.lit(4), F.lit(2), F.col("mode"), F.lit(2), F.lit(-1), 5)).alias("x"))).collect()]
+    assert got[0] is None
+    assert [(x.s, x.e) for x in got[1].chunk_spans] == [(0, 36), (36, 66), (66, 72)] and got[1].qa_chunk_idx == [2]
+    assert got[2].total_len == 5 + 60 + 4 + 6 and got[2].qa_chunk_idx[0] == 69 // 2 and len(got[2].chunk_spans) == 38
