@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,14 +43,47 @@ def bm25(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return best.unionByName(fill).select("query_id", "unit_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
+#: Vectors of a block, and queries of a block.
+VECTOR_BLOCK, QUERY_BLOCK = 8192, 2048
+
+
+def _blocks(vectors: DataFrame, key: str, size: int, names: tuple[str, str, str]) -> DataFrame:
+    """Blocks of about `size` vectors (key, embedding) as packed ids and unit vectors; vectors are dealt by the hash of their ids."""
+    number = max(1, -(-vectors.count() // size))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        lists = rows["embedding"].combine_chunks()
+        matrix = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+        matrix /= np.maximum(np.sqrt((matrix * matrix).sum(1, keepdims=True)), 1e-12)
+        return pa.table({names[0]: pa.array([int(matrix.shape[1])], pa.int32()), names[1]: pa.array([rows[key].to_numpy().astype(np.int64).tobytes()], pa.binary()), names[2]: pa.array([matrix.tobytes()], pa.binary())})
+
+    dealt = vectors.where("embedding is not null").select(key, "embedding", F.pmod(F.xxhash64(key), F.lit(number)).alias("_block"))
+    return dealt.groupBy("_block").applyInArrow(pack, f"{names[0]} int, {names[1]} binary, {names[2]} binary")
+
+
 def cosine(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest vectors (vec_id, embedding) of each query (query_id, embedding), ties by vec_id. The queries are the small side: each task keeps its k best before any shuffle of candidates."""
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-    q = queries.select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("q_norm"))
-    scored = vectors.withColumn("norm", norm(F.col("embedding"))).join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot / (F.greatest("norm", F.lit(1e-12)) * F.greatest("q_norm", F.lit(1e-12))), 6).alias("score"))
+    """The k nearest vectors (vec_id, embedding) of each query (query_id, embedding), ties by vec_id; a vector isn't its own neighbour. Norms under 1e-12 count as that.
+
+    Every query meets every vector, in blocks: a block of queries and one of vectors are a matrix product, of which k rows a query leave the
+    task. So what is shuffled are k rows for each query and block of vectors, not the scores.
+    """
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for width, ids, matrix, _, query_ids, query_matrix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, asked = np.frombuffer(ids, np.int64), np.frombuffer(query_ids, np.int64)
+                scores = np.round(np.frombuffer(query_matrix).reshape(len(asked), width) @ np.frombuffer(matrix).reshape(len(ids), width).T, 6)
+                scores[asked[:, None] == ids] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+                found = np.take_along_axis(scores, order, 1)
+                keep = found > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(asked[:, None], keep.shape)[keep]), pa.array(ids[order][keep]), pa.array(found[keep])], ["query_id", "vec_id", "score"])
+
+    held = _blocks(vectors, "vec_id", VECTOR_BLOCK, ("width", "ids", "matrix"))
+    asked = _blocks(queries, "query_id", QUERY_BLOCK, ("query_width", "query_ids", "query_matrix"))
+    few = held.crossJoin(asked).mapInArrow(best, "query_id long, vec_id long, score double")  # blocks with blocks: a stated set of queries against all rows
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return few.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def containing(docs: DataFrame, items: DataFrame, anchor: int = 3) -> DataFrame:

@@ -116,3 +116,20 @@ def eval_wiki(rows: DataFrame, dataset: str, group: int) -> DataFrame:
     grouped = consecutive(rows.withColumn("_all", F.lit(0)), ["_all"], "row_idx", group, "pack", whole=True).drop("_all")
     packs = pack_with_offsets(grouped, "pack", "row_idx")
     return packs.withColumn("id", F.concat(F.lit(f"{dataset}-test_pack-"), F.col("pack").cast("string")))
+
+
+def cap_first(rows: DataFrame, priority: str, digest: Column, id_: str, cap: int) -> DataFrame:
+    """The first `cap` rows, those of a smaller priority first, then in a random order that is the same everywhere."""
+    found = placed(rows.withColumn("_all", F.lit(0)), ["_all"], F.struct(priority, digest, id_), F.concat(F.col(priority).cast("string"), F.substring(digest, 1, 2)))
+    return found.where(F.col("place") < cap).drop("_all", "place", "n")
+
+
+def giant(rows: DataFrame, pack: str, bucket: str, digest: Column, id_: str, quotas: dict[int, int]) -> DataFrame:
+    """Packs first, then single rows until every quota is met; a bucket with a quota takes no more than that, the others all rows up to there."""
+    order = F.struct((~F.col(pack)).alias("late"), digest.alias("digest"), F.col(id_).alias("id"))
+    found = placed(rows.withColumn("_at", order), [bucket], F.col("_at"), F.concat(F.when(F.col(pack), "0").otherwise("1"), F.substring(digest, 1, 2))).drop("n")
+    quota = F.coalesce(*(F.when(F.col(bucket) == b, F.lit(q)) for b, q in quotas.items()))
+    last = found.where(F.col("place") == quota - 1).agg(F.max("_at").alias("_stop"), F.count("*").alias("_met"))
+    stop = F.when(F.col("_met") == len(quotas), F.col("_stop"))
+    kept = found.crossJoin(F.broadcast(last)).where(F.when(quota.isNotNull(), F.col("place") < quota).otherwise(F.col(pack) | stop.isNull() | (F.col("_at") <= stop)))  # one row of totals
+    return kept.drop("_at", "place", "_stop", "_met")

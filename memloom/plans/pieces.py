@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from memloom.functions import extract, judge, rules, spans, text
 from memloom.operators import checks, regroup, samples, splits
-from memloom.plans.corpus import _LINES, _lengths
-from memloom.plans.registry import query, read
+from memloom.plans.corpus import _BUCKET, _L, _LENGTH, _LINES, _lengths
+from memloom.plans.registry import query, read, run_sql
 from memloom.plans.scoring import _ITEMS, _NORM, _PAIRS, pairs, records
 
 
@@ -235,3 +235,22 @@ def judge_chain(spark, sf_dir):
     items = records(spark, sf_dir).select("id", F.explode("items").alias("i")).join(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic"), "id")
     verdict = F.when(F.col("id") % 3 == 0, F.col("toxic").cast("double"))
     return items.select("id", "i.item", judge.chained(F.col("i.golds"), F.col("i.pred"), verdict).alias("score"))
+
+
+# ---- recipes
+
+
+@query("recipe_cap_first", f"SELECT doc_id FROM (SELECT doc_id, {_BUCKET} AS bucket FROM ({_L}) t) b WHERE bucket IS NOT NULL AND bucket <> 1 ORDER BY doc_id % 2, md5('2|cap|' || CAST(doc_id AS STRING)), doc_id LIMIT 100")
+def recipe_cap_first(spark, sf_dir):
+    """Packs (even ids) before single rows, up to the dataset's cap."""
+    rows = run_sql(spark, sf_dir, _LENGTH).select("doc_id", rules.bucket(F.col("p")).alias("bucket"), (F.col("doc_id") % 2).alias("priority")).where("bucket <> 1")
+    return splits.cap_first(rows, "priority", text.order_key(2, "cap", F.col("doc_id")), "doc_id", 100).select("doc_id")
+
+
+@query("recipe_giant", f"""WITH r AS (SELECT doc_id, bucket, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 1 END AS late, md5('2|giant|' || CAST(doc_id AS STRING)) AS h FROM (SELECT doc_id, {_BUCKET} AS bucket FROM ({_L}) t) b WHERE bucket IS NOT NULL AND bucket <> 1),
+ p AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY late, h, doc_id) AS rn, row_number() OVER (ORDER BY late, h, doc_id) AS pos FROM r),
+ s AS (SELECT count(*) AS met, max(pos) AS stop FROM p WHERE bucket = 2 AND rn = 60 OR bucket = 3 AND rn = 40)
+ SELECT doc_id, bucket FROM p, s WHERE CASE WHEN bucket = 2 THEN rn <= 60 WHEN bucket = 3 THEN rn <= 40 ELSE late = 0 OR met < 2 OR pos <= stop END""")
+def recipe_giant(spark, sf_dir):
+    rows = run_sql(spark, sf_dir, _LENGTH).select("doc_id", rules.bucket(F.col("p")).alias("bucket"), (F.col("doc_id") % 4 == 0).alias("pack")).where("bucket <> 1")
+    return splits.giant(rows, "pack", "bucket", text.order_key(2, "giant", F.col("doc_id")), "doc_id", {2: 60, 3: 40}).select("doc_id", "bucket")

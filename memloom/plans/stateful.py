@@ -60,3 +60,26 @@ def event_windows(spark, sf_dir):
  SELECT min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def event_sessions(spark, sf_dir):
     return folds.sessions(read(spark, sf_dir, "events"), "30 minutes", "10 minutes")
+
+
+@query("evict_stream", """WITH e AS (SELECT event_id, user_id, event_type = 'purchase' AS fin, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life FROM events),
+ l AS (SELECT *, sum(CASE WHEN fin THEN 0 ELSE 37 END) OVER (PARTITION BY user_id, life ORDER BY event_id) AS n FROM e)
+ SELECT user_id, event_id, CAST(CASE WHEN fin THEN 0 ELSE greatest(0, greatest(ceil((n - 32) / 64.0) - 1, 0) - 6) END AS BIGINT) AS evicted FROM l""")
+def evict_stream(spark, sf_dir):
+    """A request a user: every event brings 37 tokens, a purchase finishes it."""
+    log = read(spark, sf_dir, "events").select("event_id", "user_id", F.col("user_id").alias("request"), (F.col("event_type") == "purchase").alias("finish"), F.lit(37).alias("tokens"))
+    return folds.batch_fold(log, folds.StrideEvict(32, 64, 512), "user_id", "event_id", "evicted", "long")
+
+
+@query("dedup_scores", "SELECT id, any_value(correct) AS correct FROM (SELECT doc_id AS id, quality AS correct FROM labels UNION ALL SELECT doc_id, quality FROM labels WHERE doc_id % 13 = 0) t GROUP BY id")
+def dedup_scores(spark, sf_dir):
+    """The first score of an id counts; here repeated ones are equal."""
+    rows = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("correct"))
+    return folds.dedup_scores(rows.unionByName(rows.where("id % 13 = 0")))
+
+
+@query("run_completion", "SELECT source AS run, count(*) AS done, CAST(count(CASE WHEN l.doc_id % 11 = 0 THEN 1 END) AS BIGINT) AS failed, any_value(total) AS total, count(*) >= any_value(total) AS finished FROM documents d JOIN labels l USING (doc_id) JOIN (SELECT source, count(*) // 3 AS total FROM documents GROUP BY source) t USING (source) GROUP BY source")
+def run_completion(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("run"))
+    scored = docs.join(read(spark, sf_dir, "labels"), "doc_id").select("run", (F.col("doc_id") % 11 == 0).alias("failed"))
+    return folds.completion(scored, docs.groupBy("run").agg(F.expr("count(*) DIV 3").alias("total")))

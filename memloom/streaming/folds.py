@@ -82,6 +82,28 @@ class Router:
         return {"load": load, "held": held}, server
 
 
+class StrideEvict:
+    """Chunks that a request's growing sequence has evicted, by fixed strides behind a sink; a request's state goes when it finishes.
+
+    Chunk j leaves at the first chunk i with which j .. i and the sink no longer fit the window.
+    """
+
+    def __init__(self, sink: int, chunk: int, window: int):
+        self.sink, self.chunk, self.window = sink, chunk, window
+
+    def start(self) -> dict[str, Any]:
+        return {}
+
+    def step(self, state: dict[str, Any], event: dict[str, Any]) -> tuple[dict[str, Any], int]:
+        request = str(event["request"])
+        if event["finish"]:
+            return {k: n for k, n in state.items() if k != request}, 0
+        n = state.get(request, 0) + int(event["tokens"])
+        frontier = max(0, -(-(n - self.sink) // self.chunk) - 1)
+        held = (self.window - self.sink) // self.chunk  # chunks that fit beside the sink
+        return {**state, request: n}, max(0, frontier - held + 1)
+
+
 def _folded(fold, state, rows: pd.DataFrame, key: str, order: str, value: str) -> tuple[dict[str, Any], pd.DataFrame]:
     rows, out = rows.sort_values(order, ignore_index=True), []
     for event in rows.to_dict("records"):

@@ -298,3 +298,20 @@ def test_long_samples_are_left_out(spark):
     assert got[0] is None
     assert [(x.s, x.e) for x in got[1].chunk_spans] == [(0, 36), (36, 66), (66, 72)] and got[1].qa_chunk_idx == [2]
     assert got[2].total_len == 5 + 60 + 4 + 6 and got[2].qa_chunk_idx[0] == 69 // 2 and len(got[2].chunk_spans) == 38
+
+
+def test_nearest_vectors_by_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from memloom.operators import retrieval
+
+    rng = np.random.default_rng(1)
+    vectors = [[float(x) for x in v] for v in rng.integers(-2, 3, (60, 4))] + [[0.0] * 4, [0.0] * 4]
+    rows = spark.createDataFrame(list(enumerate(vectors)) + [(99, None)], "vec_id long, embedding array<float>")
+    asked = rows.where("vec_id % 7 = 0").selectExpr("vec_id AS query_id", "embedding")
+    unit = [np.array(v) / max(np.linalg.norm(v), 1e-12) for v in vectors]
+    expected = {(q, r, i) for q in range(0, 62, 7) for r, i in enumerate(sorted((k for k in range(62) if k != q), key=lambda k: (-round(float(unit[k] @ unit[q]), 6), k))[:3], 1)}
+    for block in (10, 1000):
+        monkeypatch.setattr(retrieval, "VECTOR_BLOCK", block)
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+        assert {(r.query_id, r["rank"], r.vec_id) for r in retrieval.cosine(rows, asked, 3).collect()} == expected
