@@ -239,3 +239,39 @@ def as_list(json: Column) -> Column:
     """An array of texts from JSON that is a list, a text or null."""
     bare = F.trim(json)
     return F.when(bare.isNull() | (bare == "null"), F.array().cast("array<string>")).when(F.startswith(bare, F.lit("[")), F.from_json(bare, "array<string>")).otherwise(F.array(F.get(F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<string>"), F.lit(0))))
+
+
+#: Official prompts: what wraps the memory, and what asks. Fixed texts.
+OFFICIAL = {
+    "c2l": ("", "Answer the following question. Give only the answer, and no extra commentary, formatting, or chattiness.\n\nQuestion: {question}"),
+    "locomo": ("{context}", "Based on the above conversations, write a short answer for the following question in a few words. Do not write complete and lengthy sentences. Answer with exact words from the conversations whenever possible.\n\nQuestion: {question}"),
+    "longmemeval": (
+        "Dialogue between User and Assistant \n<User> The following context is the conversation between the user and the assistant: \n{context}\n <Assistant> I have memorized the conversation and I will answer the question you ask.",
+        "The history chats are between you and a user. Based on the relevant chat history, answer the question as concisely as you can, using a single phrase if possible.\n\n {question} \n\n Answer:",
+    ),
+    "eventqa": (
+        "Dialogue between User and Assistant \n<User> The following context is the book excerpt: \n{context}\n <Assistant> I have read the book excerpt and I will answer the question you ask.",
+        "Based on the context you memorized, complete the task below:\n\n{question}\n\n The event that happens next is:",
+    ),
+    "in_context_learning": (
+        "Dialogue between User and Assistant  \n<User> The following context is the examples I have learned: \n{context}\n <Assistant> I have learned the examples and I will answer the question you ask.",
+        'Use the provided mapping from the context to numerical label to assign a numerical label to the context. Only output "label: {{label}}" and nothing else. \n\n{question} \n\n label:',
+    ),
+    "unified": (UNIFIED_HEADER + SEPARATOR + "{context}", "Question: {question}\nAnswer:"),
+}
+
+
+def official(kind: str, context: Column, question: Column) -> Column:
+    """struct(memory, query) of an official prompt."""
+    memory, asked = OFFICIAL[kind]
+    return F.struct(_filled(memory, "context", context).alias("memory"), _filled(asked, "question", question).alias("query"))
+
+
+def _filled(template: str, name: str, value: Column) -> Column:
+    head, hole, tail = template.partition("{%s}" % name)
+    return F.concat(F.lit(head), value, F.lit(tail)) if hole else F.lit(template)
+
+
+def default_budget(max_new: Column, group: Column) -> Column:
+    """Tokens to generate where a configuration says nothing."""
+    return F.coalesce(max_new, F.when(group, 8192).otherwise(1024))

@@ -137,3 +137,8 @@ def split_by_lengths(memory: Column, lengths: Column, separator: int) -> Column:
 def folded(chunks: Column, step, budget: int) -> Column:
     """A memory rewritten chunk by chunk: step(block, chunk) is clipped to `budget` characters. The step stands for a model."""
     return F.aggregate(chunks, F.lit(""), lambda block, chunk: F.left(step(block, chunk), F.lit(budget)))
+
+
+def chunk_of(ends: Column, n: Column) -> Column:
+    """The chunk of the last of n tokens where chunks end anywhere: as many as end before it, the last at most."""
+    return F.least(F.size(F.filter(ends, lambda e: e < n)), F.size(ends) - 1)

@@ -24,8 +24,8 @@ def datasets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "dataset string, family string, pack boolean, profiles array<string>")
 
 
-def runs(spark: SparkSession) -> DataFrame:
-    """(model, dataset, profile, pool) of all runs: models with orchestration use the untruncated profile alone, packs go to one of them, the aligned sets to two models; state needs a server pool of its own."""
+def runs(spark: SparkSession, profile: str | None = None) -> DataFrame:
+    """(model, dataset, profile, pool) of all runs: models with orchestration use the untruncated profile alone, packs go to one of them, the aligned sets to two models; state needs a server pool of its own; a profile leaves its runs alone."""
     models = spark.createDataFrame([(m,) for m in MODELS], "model string")
     m, aligned = F.col("model"), F.col("family") == "align"
     wanted = (
@@ -37,4 +37,5 @@ def runs(spark: SparkSession) -> DataFrame:
         .otherwise(F.slice("profiles", 2, 2))
     )
     every = models.crossJoin(datasets(spark)).select("model", "dataset", F.explode(wanted).alias("profile"))  # six models by 31 datasets
+    every = every if profile is None else every.where(F.col("profile") == profile)
     return every.withColumn("pool", F.when(F.startswith("profile", F.lit("state")), F.col("profile")).otherwise(F.lit("truncate")))

@@ -254,3 +254,34 @@ def recipe_cap_first(spark, sf_dir):
 def recipe_giant(spark, sf_dir):
     rows = run_sql(spark, sf_dir, _LENGTH).select("doc_id", rules.bucket(F.col("p")).alias("bucket"), (F.col("doc_id") % 4 == 0).alias("pack")).where("bucket <> 1")
     return splits.giant(rows, "pack", "bucket", text.order_key(2, "giant", F.col("doc_id")), "doc_id", {2: 60, 3: 40}).select("doc_id", "bucket")
+
+
+# ---- official prompts and small rules
+
+OFFICIAL = ("c2l", "locomo", "longmemeval", "eventqa", "in_context_learning", "unified")
+
+
+def _official_sql(kind: str) -> str:
+    quote = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    memory, asked = rules.OFFICIAL[kind]
+    return f"replace({quote(memory)}, '{{context}}', text) || chr(30) || replace({quote(asked)}, '{{question}}', 'why ' || source || '?')"
+
+
+@query("official_forms", " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, md5({_official_sql(kind)}) AS prompt FROM documents" for kind in OFFICIAL))
+def official_forms(spark, sf_dir):
+    asked = F.concat(F.lit("why "), "source", F.lit("?"))
+    made = F.array(*(F.struct(F.lit(kind).alias("kind"), rules.official(kind, F.col("text"), asked).alias("p")) for kind in OFFICIAL))
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(made).alias("x")).select("doc_id", "x.kind", F.md5(F.concat("x.p.memory", F.lit("\x1e"), "x.p.query")).alias("prompt"))
+
+
+@query("default_budget", "SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 512 WHEN doc_id % 2 = 0 THEN 8192 ELSE 1024 END AS INTEGER) AS budget FROM documents")
+def default_budget(spark, sf_dir):
+    given = F.when(F.col("doc_id") % 3 == 0, 512)
+    return read(spark, sf_dir, "documents").select("doc_id", rules.default_budget(given, F.col("doc_id") % 2 == 0).alias("budget"))
+
+
+@query("frontier_message", f"WITH l AS (SELECT doc_id, i, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS e, count(*) OVER (PARTITION BY doc_id) AS c, sum(n) OVER (PARTITION BY doc_id) AS total FROM ({_LINES}) t) SELECT doc_id, CAST(least(count(CASE WHEN e < total // 2 THEN 1 END), max(c) - 1) AS INTEGER) AS chunk FROM l GROUP BY doc_id")
+def frontier_message(spark, sf_dir):
+    """The chunk that holds a text's middle, where chunks are its lines."""
+    rows = _lengths(spark, sf_dir).select("doc_id", F.explode(F.array(F.transform(spans.chunk_spans(F.col("n")), lambda x: x["e"]))).alias("ends"))
+    return rows.select("doc_id", spans.chunk_of(F.col("ends"), F.floor(F.element_at("ends", -1) / 2)).alias("chunk"))

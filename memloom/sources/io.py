@@ -79,3 +79,11 @@ def complaint() -> Column:
         .when(F.coalesce(F.size("qa"), F.lit(0)) < 1, "qa")
         .when(bad_item, "qa item")
     )
+
+
+def training_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Tokenized samples (input_ids, is_evicted, labels) from JSON lines; a line without one of the fields fails the job."""
+    fields = ("input_ids", "is_evicted", "labels")
+    rows = json_lines(spark, path, ", ".join(f"{f} array<int>" for f in fields))
+    missing = F.coalesce(*(F.when(F.col(f).isNull(), F.lit(f"no {f}")) for f in fields))
+    return rows.where(F.when(missing.isNotNull(), F.raise_error(missing).cast("boolean")).otherwise(True))

@@ -159,6 +159,7 @@ def test_pieces_keep_the_text(spark):
 def test_matrix(spark):
     counts = {r.model: r["count"] for r in matrix.runs(spark).groupBy("model").count().collect()}
     assert counts == {"memory": 72, "qwen3-4b": 62, "delta": 62, "c2l": 48, "rag": 21, "recurrent": 24}
+    assert {r.profile for r in matrix.runs(spark, "state-8k").collect()} == {"state-8k"}
 
 
 def test_streams_are_batches(spark, tmp_path):
@@ -300,6 +301,14 @@ def test_long_samples_are_left_out(spark):
     assert got[2].total_len == 5 + 60 + 4 + 6 and got[2].qa_chunk_idx[0] == 69 // 2 and len(got[2].chunk_spans) == 38
 
 
+def test_training_rows_have_all_fields(spark, tmp_path):
+    (tmp_path / "good.json").write_text('{"input_ids": [1], "is_evicted": [0], "labels": [-100]}\n')
+    (tmp_path / "bad.json").write_text('{"input_ids": [1], "labels": [-100]}\n')
+    assert io.training_rows(spark, str(tmp_path / "good.json")).count() == 1
+    with pytest.raises(Exception, match="no is_evicted"):
+        io.training_rows(spark, str(tmp_path / "bad.json")).collect()
+
+
 def test_nearest_vectors_by_blocks(spark, monkeypatch):
     import numpy as np
 
