@@ -28,7 +28,7 @@ def bm25(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     Terms of the queries alone are joined with the postings, and lists of equal terms never meet each other: rows grow with matches.
     """
     words = bm25_tokens(F.col("text"))
-    totals = units.agg(F.count("*").alias("n"), F.avg(F.size(words)).alias("mean"))
+    totals = units.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+"))).alias("mean"))
     wanted = queries.select("query_id", F.explode(F.array_distinct(words)).alias("term"))
     found = postings(units, wanted.select("term").distinct())
     weight = found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals)).select("term", "n", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row of totals

@@ -90,11 +90,20 @@ def normalize_text(spark, sf_dir):
 _PAIRS = "SELECT d.doc_id, b.item_id, d.text AS pred, b.text AS gold FROM documents d JOIN benchmark b ON d.doc_id % 20 = b.item_id % 20"
 
 
+#: Bytes of items' texts up to which they are broadcast; beyond it Spark joins them as it sees fit.
+ITEM_BYTES = 32 << 20
+
+
+def held_small(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """The items with a broadcast hint if the texts they come from are of a bounded size."""
+    return F.broadcast(items) if (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= ITEM_BYTES else items
+
+
 def pairs(spark, sf_dir):
     """Every document as an output, whole and in any language, with the items that it is dealt as questions."""
     answers = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("pred"))
-    items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("gold"))
-    return answers.join(F.broadcast(items), F.expr("doc_id % 20 = item_id % 20")).select("doc_id", "item_id", "pred", "gold")
+    texts = read(spark, sf_dir, "benchmark")
+    return answers.join(held_small(texts.select("item_id", F.col("text").alias("gold")), texts), F.expr("doc_id % 20 = item_id % 20")).select("doc_id", "item_id", "pred", "gold")
 
 
 @query("judge_niah", f"SELECT doc_id, item_id, CAST((CASE WHEN contains(lower(pred), lower(substr(gold, 1, 8))) THEN 1 ELSE 0 END + CASE WHEN contains(lower(pred), lower(substr(gold, 3, 3))) THEN 1 ELSE 0 END) / 2.0 AS DOUBLE) AS score FROM ({_PAIRS}) t")
@@ -115,7 +124,11 @@ def judge_contains(spark, sf_dir):
  s AS (SELECT a.doc_id, a.item_id, sum(least(a.n, b.n)) AS same FROM a JOIN b USING (doc_id, item_id, w) GROUP BY ALL)
  SELECT t.doc_id, t.item_id, CAST(round(coalesce(2.0 * same / (len(pt) + len(gt)), 0), 4) AS DOUBLE) AS f1 FROM t LEFT JOIN s ON t.doc_id = s.doc_id AND t.item_id = s.item_id""".replace("FROM documents d", "FROM documents d").replace("GROUP BY ALL", "GROUP BY ALL"))
 def token_f1(spark, sf_dir):
-    return pairs(spark, sf_dir).select("doc_id", "item_id", F.round(judge.token_f1(F.array("gold"), F.col("pred")), 4).alias("f1"))
+    """Words are taken once a document and once an item, before they meet."""
+    answers = read(spark, sf_dir, "documents").select("doc_id", judge.f1_tokens(F.col("text")).alias("p"))
+    texts = read(spark, sf_dir, "benchmark")
+    met = answers.join(held_small(texts.select("item_id", judge.f1_tokens(F.col("text")).alias("g")), texts), F.expr("doc_id % 20 = item_id % 20"))
+    return met.select("doc_id", "item_id", F.round(judge.token_lists_f1(F.col("p"), F.col("g")), 4).alias("f1"))
 
 
 @query("rouge_l")

@@ -9,7 +9,7 @@ from memloom.functions import extract, judge, rules, spans, text
 from memloom.operators import matrix, regroup, schedules
 from memloom.plans.corpus import _LINES, _MEMORIES, _chunks, _lengths, _memory
 from memloom.plans.registry import OUTPUTS, query, read, run_sql
-from memloom.plans.scoring import _NORM, _PAIRS, outputs, pairs
+from memloom.plans.scoring import _NORM, _PAIRS, held_small, outputs, pairs
 
 _N = "SELECT doc_id, CAST(n_chars % 200 + 1 AS INTEGER) AS n FROM {documents}"
 
@@ -245,6 +245,6 @@ def rag_context(spark, sf_dir):
     first = F.row_number().over(Window.partitionBy("n_chars").orderBy("doc_id"))
     units = read(spark, sf_dir, "documents").select("doc_id", "n_chars").withColumn("r", first).where("r <= 3").drop("r")
     near = F.row_number().over(Window.partitionBy("item_id").orderBy(F.abs(F.col("n_chars") - F.col("n")), "doc_id"))
-    items = read(spark, sf_dir, "benchmark").select("item_id", F.length("text").alias("n"))
-    ranked = units.crossJoin(F.broadcast(items)).withColumn("r", near).where("r <= 3")
+    texts = read(spark, sf_dir, "benchmark")
+    ranked = units.crossJoin(held_small(texts.select("item_id", F.length("text").alias("n")), texts)).withColumn("r", near).where("r <= 3")
     return ranked.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("units"))
