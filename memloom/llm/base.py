@@ -43,9 +43,26 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """Cuts the lineage: the frame as Parquet in the shared folder, read again."""
     spark = df.sparkSession
     df.write.parquet(path := shared_dir(spark, what))
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_tables: list[str] = []
+
+
+def tables() -> int:
+    """How many tables written() has made so far in this process."""
+    return len(_tables)
+
+
+def drop_tables(spark: SparkSession, since: int) -> None:
+    """Deletes the tables made since then, but for the last, which holds what they were made for."""
+    for path in _tables[since:-1]:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _tables[since:-1] = []
+
+
 def crc32_of(column: Column) -> Column:
     return F.crc32(F.encode(column, "UTF-8"))
 

@@ -54,6 +54,17 @@ def test_rows_without_ids_and_empty_tables(spark, tmp_path):
         assert docs.count() == (4 if part is rows else 0)
 
 
+def test_run_leaves_one_table(spark, stages):
+    import glob
+
+    from memloom.llm import base
+
+    top, since = base.shared_dir(spark, "x").rsplit("/", 1)[0], base.tables()
+    before = set(glob.glob(f"{top.removeprefix('file:')}/*"))
+    assert sorted(r.doc_id for r in pipeline.run(spark, SF).collect()) == sorted(r.doc_id for r in stages[5].collect())
+    assert len(set(glob.glob(f"{top.removeprefix('file:')}/*")) - before) == 1 and base.tables() == since + 1
+
+
 def test_near_duplicates(stages):
     from test_operators import groups
 
