@@ -8,7 +8,7 @@ from memloom.functions import extract, judge, rules, spans, text
 from memloom.operators import checks, regroup, samples, splits
 from memloom.plans.corpus import _BUCKET, _L, _LENGTH, _LINES, _lengths
 from memloom.plans.registry import query, read, run_sql
-from memloom.plans.scoring import _ITEMS, _NORM, _PAIRS, pairs, records
+from memloom.plans.scoring import _ITEMS, records
 
 
 def _turns(spark, sf_dir, role):
