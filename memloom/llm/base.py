@@ -6,6 +6,8 @@ Batches are cut into chunks of a bounded number of bytes; a single text longer t
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -63,6 +65,16 @@ def drop_tables(spark: SparkSession, since: int) -> None:
     _tables[since:-1] = []
 
 
+@functools.cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release() -> None:
+    """Gives freed memory back to the system. A worker process is used again and again, and would keep the room of its largest batch."""
+    _trim()(0)
+
+
 def crc32_of(column: Column) -> Column:
     return F.crc32(F.encode(column, "UTF-8"))
 

@@ -11,8 +11,8 @@ Slices over CACHED_BYTES are merged one at a time through a heap, in time that g
 Null and empty texts have no tokens and decode to no bytes; an empty table gives no rows. Equal texts have equal ids, repeated
 rows give repeated rows; equal ranks don't exist, and of equal pairs in a slice the leftmost is merged first. A very long text is
 a chunk of its own, whose arrays take some 30 bytes a byte. Columns beside doc_id and text are left out. White space is Unicode
-White_Space; letters and numbers are the general categories L* and N* of the running Python. Slices of a chunk are told apart by
-length and bytes up to seven bytes, and beyond that by a 64-bit hash.
+White_Space; letters and numbers are the general categories L* and N* of the running Python. Slices are told apart by
+length and bytes up to seven bytes, and beyond that by a 63-bit hash; a process holds CACHED of them, some 30 MB with their table.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm.base import _BYTE, _STEP, chunks, flat, mix, powers, ragged, table
+from memloom.llm.base import _BYTE, _STEP, chunks, flat, mix, powers, ragged, release, table
 
 #: White_Space beyond ASCII. Fixed values.
 _WHITE = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -213,19 +213,23 @@ class Ranks:
         self.token_size = np.array([len(t) for t in tokens], np.int64)
         self.token_at = np.concatenate(([0], np.cumsum(self.token_size)[:-1]))
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.cache: dict[bytes, int] = {}
         self.ids, self.id_at, self.id_n = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.forget()
 
     #: Slices that the cache holds before it starts anew, and bytes of a slice that it holds at most.
-    CACHED, CACHED_BYTES = 800_000, 64
-    #: Binary logarithm of the places of the table that finds cached slices by their keys, each key having one place.
-    PLACES = 21
+    CACHED, CACHED_BYTES = 400_000, 64
+    #: Binary logarithm of the places of the table that finds cached slices by their keys; a key has two places.
+    PLACES = 20
 
     def forget(self) -> None:
-        self.cache, self.used = {}, 0
+        self.n, self.used = 0, 0
         self.place_key, self.place_at = np.zeros(1 << self.PLACES, np.uint64), np.zeros(1 << self.PLACES, np.int32)
 
+    def places(self, keys: np.ndarray, second: bool = False) -> np.ndarray:
+        if second:
+            keys = keys ^ keys >> np.uint64(31)
+        return (keys * _STEP >> np.uint64(64 - self.PLACES)).view(np.int64)
+
     def merge_long(self, piece: bytes) -> list[int]:
         """Ids of one slice: a heap holds the pairs by rank and place, links lead from each part to the next one."""
         ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
@@ -292,19 +296,21 @@ class Ranks:
         order = np.argsort(owner, kind="stable")
         return np.concatenate(done_ids)[order], np.bincount(owner, minlength=len(pieces))
 
-    def add(self, pieces: list[bytes]) -> None:
-        """Puts slices into the cache."""
+    def add(self, pieces: list[bytes]) -> np.ndarray:
+        """Stores the ids of slices and returns the slices' numbers."""
         if len(pieces) == 1 and len(pieces[0]) > self.CACHED_BYTES and pieces[0] not in self.ranks:
             ids = np.array(self.merge_long(pieces[0]), np.int64)
-            return self.store(pieces, ids, np.array([len(ids)]))
-        whole = [self.ranks.get(p) for p in pieces]
-        rest = [p for p, r in zip(pieces, whole, strict=True) if r is None]
-        ids, counts = self.merge(rest) if rest else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        known = [p for p, r in zip(pieces, whole, strict=True) if r is not None]
-        self.store(known + rest, np.concatenate((np.array([r for r in whole if r is not None], np.int64), ids)), np.concatenate((np.ones(len(known), np.int64), counts)))
-
-    def store(self, pieces: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
-        n, k = len(self.cache), len(pieces)
+            return self.store(ids, np.array([len(ids)]))
+        whole = np.array([self.ranks.get(p, -1) for p in pieces], np.int64)
+        rest = np.flatnonzero(whole < 0)
+        ids, counts = self.merge([pieces[k] for k in rest.tolist()]) if len(rest) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        known = np.flatnonzero(whole >= 0)
+        numbers = np.empty(len(pieces), np.int64)
+        numbers[np.concatenate((known, rest))] = self.store(np.concatenate((whole[known], ids)), np.concatenate((np.ones(len(known), np.int64), counts)))
+        return numbers
+
+    def store(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        n, k = self.n, len(counts)
         while len(self.ids) < self.used + len(ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         while len(self.id_at) < n + k:
@@ -312,41 +318,47 @@ class Ranks:
         self.ids[self.used : self.used + len(ids)] = ids
         self.id_at[n : n + k], self.id_n[n : n + k] = self.used + np.cumsum(counts) - counts, counts
         self.used += len(ids)
-        self.cache.update(zip(pieces, range(n, n + k), strict=True))
+        self.n += k
+        return np.arange(n, n + k)
 
-    def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows in turn, and the offset of each row's first (one more at the end)."""
-        first, stop, row = boundaries(buf, off)
-        if len(self.cache) > self.CACHED:
-            self.forget()
-        keys = piece_keys(buf, first, stop)
-        place = (keys * _STEP >> np.uint64(64 - self.PLACES)).astype(np.int64)
+    def numbers(self, keys: np.ndarray, first: np.ndarray, stop: np.ndarray, buf: np.ndarray) -> np.ndarray:
+        """The number of each slice; slices that the cache lacks are stored, long ones after all others."""
+        place = self.places(keys)
         index = self.place_at[place].astype(np.int64)
         rest = np.flatnonzero(self.place_key[place] != keys)
-        # Equal slices of the chunk are looked up once: they are told apart by their keys, those of up to seven bytes being the bytes themselves.
-        _, spot, which = np.unique(keys[rest], return_index=True, return_inverse=True)
-        spot, data = rest[spot], buf.tobytes() if len(rest) else b""
+        second = self.places(keys[rest], True)
+        index[rest] = self.place_at[second]
+        rest = rest[self.place_key[second] != keys[rest]]
+        if not len(rest):
+            return index
+        # Equal slices of the chunk are made once: they are told apart by their keys, those of up to seven bytes being the bytes themselves.
+        fresh, spot, which = np.unique(keys[rest], return_index=True, return_inverse=True)
+        spot, data = rest[spot], buf.tobytes()
         pieces = [data[a:b] for a, b in zip(first[spot].tolist(), stop[spot].tolist(), strict=True)]
-        known = list(map(self.cache.get, pieces))
-        missing = [p for p, k in zip(pieces, known, strict=True) if k is None]
-        long = [p for p in missing if len(p) > self.CACHED_BYTES]
-        if missing:
-            if short := [p for p in missing if len(p) <= self.CACHED_BYTES]:
-                self.add(short)
-            kept = self.used
-            for p in long:
-                self.add([p])
-            known = list(map(self.cache.get, pieces))
-        known = np.array(known, np.int64)
+        is_short = stop[spot] - first[spot] <= self.CACHED_BYTES
+        short, known = np.flatnonzero(is_short), np.empty(len(pieces), np.int64)
+        if len(short):
+            known[short] = self.add([pieces[k] for k in short.tolist()])
+            place = self.places(fresh[short])
+            place = np.where(self.place_key[place] == 0, place, self.places(fresh[short], True))
+            self.place_key[place], self.place_at[place] = fresh[short], known[short]
+        self.kept = self.n, self.used
+        for k in np.flatnonzero(~is_short).tolist():
+            known[k] = self.add([pieces[k]])[0]
         index[rest] = known[which]
-        held = np.flatnonzero(stop[spot] - first[spot] <= self.CACHED_BYTES)
-        self.place_key[place[spot[held]]], self.place_at[place[spot[held]]] = keys[spot[held]], known[held]
+        return index
+
+    def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows in turn, and the offset of each row's first (one more at the end)."""
+        first, stop, row = boundaries(buf, off)
+        if self.n > self.CACHED:
+            self.forget()
+        self.kept = None
+        index = self.numbers(piece_keys(buf, first, stop), first, stop, buf)
         counts = self.id_n[index]
         ids = self.ids[ragged(self.id_at[index], counts)]
-        if long:  # they hardly come again
-            self.used = kept
-            for p in long:
-                del self.cache[p]
+        if self.kept:  # long slices hardly come again
+            self.n, self.used = self.kept
         ends = np.concatenate(([0], np.cumsum(counts)))
         return ids, ends[row]
 
@@ -381,6 +393,7 @@ def apply_rows(df: DataFrame, path: str, make: Callable, schema: str) -> DataFra
         for batch in batches:
             for part, buf, off in chunks(batch):
                 yield make(part, vocabulary, *vocabulary.encode(buf, off))
+            release()
 
     return df.select("doc_id", "text").mapInArrow(run, schema)
 

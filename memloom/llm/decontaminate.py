@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm.base import Words, chunks, flat, mix, table, written
+from memloom.llm.base import Words, chunks, flat, mix, release, table, written
 
 RATE = 0.2
 WALKS, REPEATS, BITS = 5, 7, 4
@@ -216,6 +216,7 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame
                     hits = items.rows(part)
                     columns = list(zip(*hits, strict=True)) if hits else [[]] * 5
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], ["doc_id", "item_id", "distance", "first_word", "last_word"])
+                release()
 
         found = docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
         result = found if result is None else written(result, "leaks").unionByName(found)
@@ -234,6 +235,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
                     clean = np.ones(part.num_rows, bool)
                     clean[[hit[0] for hit in items.rows(part)]] = False
                     yield part.filter(pa.array(clean))
+                release()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

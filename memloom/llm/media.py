@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm.base import chunks, ragged, table, written
+from memloom.llm.base import chunks, ragged, release, table, written
 
 RATE = 8000
 #: Samples of a frame, and between the starts of two frames.
@@ -110,6 +110,7 @@ def store(df: DataFrame, what: str = "media") -> DataFrame:
                 data, sizes = buf.tobytes(), np.diff(off)
                 media = [to_wav(data[a:b] + bytes(-(b - a) % UNIT if b > a else UNIT)) for a, b in itertools.pairwise(off.tolist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+            release()
 
     return written(df.select("doc_id", "text").mapInArrow(run, MEDIA), what)
 
@@ -138,6 +139,7 @@ def fingerprint(stored: DataFrame) -> DataFrame:
                     [part.column(0), part.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4]), pa.array(features), pa.array(frames, pa.int32()), *lists],
                     ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "codes", "times"],
                 )
+            release()
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, SCHEMA)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm.base import Words, chunks, mix, runs, table, written
+from memloom.llm.base import Words, chunks, mix, release, runs, table, written
 
 BANDS, ROWS = 40, 5
 #: Rounds of pivots before members are compared one by one.
@@ -129,6 +129,7 @@ def signatures(df: DataFrame, width: int, bands: int = BANDS, per: int = ROWS) -
                 keys = bands_of(superminhash(h, first, bands * per)[full], bands, per).reshape(-1)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(full))) * bands, pa.int32()), pa.array(keys, pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in prints), lists], ["doc_id", "n", "p1", "p2", "keys"])
+        release()
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, p1 long, p2 long, keys array<long>")
 
@@ -150,6 +151,7 @@ def sets(df: DataFrame, width: int) -> DataFrame:
                 bits = np.concatenate(bits)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * WORDS, pa.int32()), pa.array(bits))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64))), lists], ["doc_id", "items", "bits"])
+        release()
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, items array<long>, bits array<long>")
 
@@ -214,8 +216,8 @@ def components(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
 
 def hot(rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, parts) of keys that hold more than 1/SHARE of the rows, with the shares that each holds: fewer than SHARE rows, so that a broadcast is bounded."""
-    total = rows.count()
-    return rows.groupBy(*keys).agg(F.count("*").alias("held")).where(F.col("held") * SHARE > total).select(*keys, F.ceil(F.col("held") * SHARE / max(1, total)).cast("int").alias("parts"))
+    total = F.broadcast(rows.agg(F.count("*").alias("total")))  # one row
+    return rows.groupBy(*keys).agg(F.count("*").alias("held")).crossJoin(total).where(F.col("held") * SHARE > F.col("total")).select(*keys, F.ceil(F.col("held") * SHARE / F.col("total")).cast("int").alias("parts"))
 
 
 def confirmed(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
@@ -278,10 +280,8 @@ def near_duplicates(df: DataFrame, width: int, percent: int = 80, bands: int = B
     # Sets of very many copies are few and broadcast; the others' copies are dealt by their sets; rows without a set or an id meet nowhere.
     many = F.col("copies") * SHARE > full.count()
     common = F.broadcast(reps.where(many).select("p1", "p2", F.col("component_id").alias("common")))  # fewer than SHARE rows
-    known = full.join(common, ["p1", "p2"], "left").select("doc_id", "n", "p1", "p2", "common")
-    known = written(known, "known")
-    found = known.where("common is not null").select("doc_id", F.col("n").alias("n_shingles"), F.col("common").alias("component_id"))
-    rest = known.where("common is null").join(reps.where(~many).drop("copies"), ["p1", "p2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    found = full.join(common, ["p1", "p2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("common").alias("component_id"))
+    rest = full.join(common, ["p1", "p2"], "left_anti").join(reps.where(~many).drop("copies"), ["p1", "p2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = marked.where("not (n > 0 and doc_id is not null)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.unionByName(rest).unionByName(alone)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm.base import Words, chunks, table
+from memloom.llm.base import Words, chunks, release, table
 from memloom.llm.learn import SAMPLE_ROWS, adam, held_out, labelled, sigmoid
 
 DIVISOR, REST = 3, 1
@@ -224,6 +224,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part, buf, off in chunks(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(buf, off))], ["doc_id", "score"])
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 

@@ -13,14 +13,11 @@ shard of the larger number. An empty table gives no rows. Further columns of the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from memloom.llm.base import crc32_of, shared_dir, table
 

@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.base import Words, chunks, ragged, runs, table, written
+from memloom.llm.base import Words, chunks, ragged, release, runs, table, written
 
 #: Bytes of text in a block, on average.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 5 << 20
 LENGTH = 13
 _NONE = np.iinfo(np.int64).max
 
@@ -119,6 +119,7 @@ class Levels:
         """(block, hash) of the windows of `half` words that stand for those of `length` words and are in other blocks too."""
 
         def send(key: tuple, rows: pa.Table) -> pa.Table:
+            release()
             h, valid = Block(rows).anchors(half, length)
             return _sent(key[0].as_py(), h[valid], None)
 
@@ -129,6 +130,7 @@ class Levels:
         """(block, hash, least) of windows of `length` words whose windows of `half` words repeat and that other blocks hold too; of the last level, only where another block has the smallest document."""
 
         def send(key: tuple, rows: pa.Table, right: pa.Table) -> pa.Table:
+            release()
             block = Block(rows)
             at = np.flatnonzero(repeated(block, right, half, length, anchored))
             return _sent(key[0].as_py(), block.windows(length)[0][at], block.owners(at))
@@ -162,6 +164,7 @@ def _covered(block: Block, right: pa.Table, length: int) -> np.ndarray:
 
 def _cut(key: tuple, rows: pa.Table, right: pa.Table, length: int, texts: bool = True) -> pa.Table:
     """Counts of words and of removed ones, the kept words joined by one space, and (if asked for) the text without the removed words."""
+    release()
     covered = _covered(Block(rows), right, length)
     out, word = [], 0
     for batch in rows.select(["doc_id", "text"]).combine_chunks().to_batches():

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.base import chunks, ragged, shared_dir, table
+from memloom.llm.base import chunks, ragged, release, shared_dir, table
 from memloom.llm.bpe import Ranks, categories
 
 #: Ids of a block, and ids after which a segment is closed.
@@ -93,10 +93,10 @@ class Library(Ranks):
         self.ids, self.id_at, self.id_n = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.forget()
 
-    def add(self, pieces: list[bytes]) -> None:
+    def add(self, pieces: list[bytes]) -> np.ndarray:
         found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        self.store(pieces, np.fromiter(itertools.chain.from_iterable(found), np.int64, int(counts.sum())), counts)
+        return self.store(np.fromiter(itertools.chain.from_iterable(found), np.int64, int(counts.sum())), counts)
 
     def whole(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Rows that the library must see whole."""
@@ -162,6 +162,7 @@ def segments(df: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                 if sum(len(x[0]) for x in held) >= SEGMENT:
                     yield close()
                     held, number = [], number + 1
+            release()
         if held:
             yield close()
 

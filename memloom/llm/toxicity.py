@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm.base import _BYTE, Words, chunks, mix, powers, table
+from memloom.llm.base import _BYTE, CHUNK_BYTES, Words, chunks, mix, powers, release, table
 from memloom.llm.learn import SAMPLE_ROWS, adam, held_out, labelled, sigmoid
 
 DIVISOR, REST = 5, 0
@@ -92,7 +92,7 @@ class Model:
 def presence(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Distinct (row, feature) of texts, in order of rows, a chunk at a time."""
     at = 0
-    for part, buf, off in chunks(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])):
+    for part, buf, off in chunks(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"]), limit=CHUNK_BYTES // 4):
         found = list(features(buf, off))
         row, key = (np.concatenate([x[k] for x in found]) for k in range(2))
         order = np.lexsort((key, row))
@@ -204,6 +204,8 @@ def fit(texts: list[str], y: np.ndarray, steps: int = 200) -> Model:
             return np.array([(error * logit).sum() + 1e-3 * (ab[0] - 1), error.sum()])
 
         slope, shift = adam(slant, np.array([1.0, 0.0]), 600, 0.05)
+    del row, place, keys, n, n1, parts, pair_row, pair_place, pair_sign
+    release()
     return Model(model.keys, slope * x[:f], float(slope * x[f] + shift))
 
 
@@ -216,6 +218,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part, buf, off in chunks(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fitted.scores(buf, off))], ["doc_id", "score"])
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
@@ -230,6 +233,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             texts = pa.RecordBatch.from_arrays([batch.column(place)], ["text"])
             found = [fitted.scores(buf, off) for _, buf, off in chunks(texts)]
             yield batch.filter(pa.array(np.concatenate(found) < threshold)) if found else batch
+            release()
 
     return docs.mapInArrow(run, docs.schema)
 
