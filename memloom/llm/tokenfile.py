@@ -81,6 +81,9 @@ def unassigned() -> np.ndarray:
 class Library(Ranks):
     """Ids by the tokenizers library. Slices that its pre-tokeniser keeps apart are encoded once each and cached; texts that hold an added token's string or an unassigned codepoint go to it whole."""
 
+    #: More than the parent holds, as a slice costs a call of the library.
+    CACHED, PLACES = 800_000, 21
+
     def __init__(self, path: str):
         import os
 

@@ -74,8 +74,9 @@ def test_long_slices_and_small_caches_are_tiktoken(monkeypatch):
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("abcdeé 1!"), int(rng.integers(1, 9)))) for _ in range(3000)]
     texts = [" ".join(words[k : k + 40]) for k in range(0, 3000, 40)] + [base64.b64encode(rng.bytes(30_000)).decode(), "x" * 5000, "漢字" * 2000, "the" * 900, " ".join(words)] * 2
-    monkeypatch.setattr(bpe.Ranks, "CACHED", 200)
-    monkeypatch.setattr(bpe.Ranks, "PLACES", 6)
+    for kind in (bpe.Ranks, tokenfile.Library):
+        monkeypatch.setattr(kind, "CACHED", 200)
+        monkeypatch.setattr(kind, "PLACES", 6)
     ranks = bpe.Ranks(bpe.default_ranks())
     library = tokenfile.Library(tokenfile.default_tokenizer())
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks.ranks, special_tokens={})
