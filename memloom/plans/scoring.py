@@ -124,11 +124,17 @@ def judge_contains(spark, sf_dir):
  s AS (SELECT a.doc_id, a.item_id, sum(least(a.n, b.n)) AS same FROM a JOIN b USING (doc_id, item_id, w) GROUP BY ALL)
  SELECT t.doc_id, t.item_id, CAST(round(coalesce(2.0 * same / (len(pt) + len(gt)), 0), 4) AS DOUBLE) AS f1 FROM t LEFT JOIN s ON t.doc_id = s.doc_id AND t.item_id = s.item_id""".replace("FROM documents d", "FROM documents d").replace("GROUP BY ALL", "GROUP BY ALL"))
 def token_f1(spark, sf_dir):
-    """Words are taken once a document and once an item, before they meet."""
-    answers = read(spark, sf_dir, "documents").select("doc_id", judge.f1_tokens(F.col("text")).alias("p"))
+    """Words are counted once a document and once an item; pairs meet in the words that they share, all others score 0."""
     texts = read(spark, sf_dir, "benchmark")
-    met = answers.join(held_small(texts.select("item_id", judge.f1_tokens(F.col("text")).alias("g")), texts), F.expr("doc_id % 20 = item_id % 20"))
-    return met.select("doc_id", "item_id", F.round(judge.token_lists_f1(F.col("p"), F.col("g")), 4).alias("f1"))
+
+    def counted(rows, key, n, size):
+        tokens = rows.select(key, judge.f1_tokens(F.col("text")).alias("t")).select(key, F.size("t").alias(size), F.explode("t").alias("word"))
+        return tokens.groupBy(key, "word").agg(F.count("*").alias(n), F.first(size).alias(size)).withColumn("dealt", F.col(key) % 20)
+
+    shared = counted(read(spark, sf_dir, "documents"), "doc_id", "n", "p").join(held_small(counted(texts, "item_id", "m", "g"), texts), ["dealt", "word"])
+    found = shared.groupBy("doc_id", "item_id").agg((2.0 * F.sum(F.least("n", "m")) / F.first(F.col("p") + F.col("g"))).alias("f1"))
+    met = read(spark, sf_dir, "documents").select("doc_id").join(held_small(texts.select("item_id"), texts), F.expr("doc_id % 20 = item_id % 20"))
+    return met.join(found, ["doc_id", "item_id"], "left").select("doc_id", "item_id", F.round(F.coalesce("f1", F.lit(0.0)), 4).alias("f1"))
 
 
 @query("rouge_l")
