@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm import bpe, decontaminate, exact, html, media, neardup, quality, shards, substrings, tokenfile, toxicity
+from memloom.llm import bpe, decontaminate, exact, hardneg, html, media, neardup, quality, shards, substrings, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -19,8 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_shuffle_shards": shards.op9_shuffle_shards,
     "op10_html_text": html.op10_html_text,
+    "op12_hard_negatives": hardneg.op12_hard_negatives,
     "op13_exact_duplicates": exact.op13_exact_duplicates,
 }
 
 #: The other operators hash, learn, embed or parse in ways that SQL lacks, or (near duplicates) would compare all pairs in it; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op3_repeated_passages": substrings.OP3_SQL, "op13_exact_duplicates": exact.OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_repeated_passages": substrings.OP3_SQL, "op12_hard_negatives": hardneg.OP12_SQL, "op13_exact_duplicates": exact.OP13_SQL}
