@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm import bpe, decontaminate, exact, hardneg, html, media, neardup, quality, shards, substrings, tokenfile, toxicity
+from memloom.llm import bpe, decontaminate, exact, hardneg, html, media, neardup, periodic, quality, shards, substrings, tokenfile, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_shuffle_shards": shards.op9_shuffle_shards,
     "op10_html_text": html.op10_html_text,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_hard_negatives": hardneg.op12_hard_negatives,
     "op13_exact_duplicates": exact.op13_exact_duplicates,
 }
