@@ -134,6 +134,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _eights(padded: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first eight bytes, or all `size` of them, from each place on, as one integer; seven bytes follow the last place."""
+    value = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))[at].view("<u8").reshape(-1)
+    short = np.minimum(size, 7).astype(np.uint64)
+    return np.where(size < 8, value & ((np.uint64(1) << (short * np.uint64(8))) - np.uint64(1)), value)
+
+
+def hashes(buf: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte range of one byte or more: eight bytes at a time go through mix() with their place and the range's size before they are
+    summed, so that no arrangement of bytes cancels out. Seeds give independent hashes."""
+    padded, out, step = np.concatenate((buf, np.zeros(8, np.uint8))), np.empty(len(start), np.uint64), CHUNK_BYTES // 8
+    for a in range(0, len(start), step):  # so many at a time that a very long text takes little more than itself
+        _hash_into(out[a : a + step], padded, start[a : a + step], size[a : a + step], seed)
+    return out
+
+
+def _hash_into(out: np.ndarray, padded: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int) -> None:
+    salt = mix(size.astype(np.uint64) * _STEP + np.uint64(seed + 1))
+    out[:] = mix(_eights(padded, start, size) ^ salt)
+    long = np.flatnonzero(size > 8)
+    if not len(long):
+        return
+    more = (size[long] - 1) // 8  # eights after the first
+    ends = np.cumsum(more)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], CHUNK_BYTES // 8)), len(ends)))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own, n = long[a:b], more[a:b]
+        head = np.cumsum(n) - n
+        place = np.arange(1, int(n.sum()) + 1) - np.repeat(head, n)
+        value = _eights(padded, np.repeat(start[own], n) + 8 * place, np.repeat(size[own], n) - 8 * place)
+        value = mix(mix(value ^ np.repeat(salt[own], n)) + place.astype(np.uint64) * _STEP)
+        out[own] = mix(out[own] + np.add.reduceat(value, head))
+
+
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of a chunk: byte ranges, a 64-bit hash of each, and the first word of each row."""
 
@@ -156,17 +190,7 @@ class Words:
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, off)
         if len(self.start):
-            length = self.end - self.start
-            ends = np.cumsum(length)
-            # Words are hashed CHUNK_BYTES at a time, so that a very long text takes little more than itself.
-            cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], CHUNK_BYTES)), len(ends)))
-            self.hash = np.empty(len(ends), np.uint64)
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                size = length[a:b]
-                head = np.cumsum(size) - size
-                within = np.arange(int(size.sum())) - np.repeat(head, size)
-                value = _BYTE[buf[np.repeat(self.start[a:b], size) + within]] * powers(int(size.max()))[within]
-                self.hash[a:b] = mix(np.add.reduceat(value, head))
+            self.hash = hashes(buf, self.start, self.end - self.start)
         else:
             self.hash = np.zeros(0, np.uint64)
 
@@ -185,7 +209,9 @@ def runs(word_hash: np.ndarray, length: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k in range(length):
-        out = out * _STEP + word_hash[k : k + n]
+        out ^= out >> np.uint64(29)  # a plain polynomial has arrangements of two words that cancel out
+        out *= _STEP
+        out += word_hash[k : k + n]
     return mix(out)
 
 

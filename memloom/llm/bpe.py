@@ -12,7 +12,7 @@ Null and empty texts have no tokens and decode to no bytes; an empty table gives
 rows give repeated rows; equal ranks don't exist, and of equal pairs in a slice the leftmost is merged first. A very long text is
 a chunk of its own, whose arrays take some 30 bytes a byte. Columns beside doc_id and text are left out. White space is Unicode
 White_Space; letters and numbers are the general categories L* and N* of the running Python. Slices are told apart by
-length and bytes up to seven bytes, and beyond that by a 63-bit hash; a process holds CACHED of them, some 30 MB with their table.
+length and bytes up to seven bytes, and beyond that by a 63-bit hash and 32 bits of another one; a process holds CACHED of them, some 30 MB with their table.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm.base import _BYTE, _STEP, chunks, flat, mix, powers, ragged, release, table
+from memloom.llm.base import _STEP, _eights, chunks, flat, hashes, ragged, release, table
 
 #: White_Space beyond ASCII. Fixed values.
 _WHITE = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -172,21 +172,16 @@ def boundaries(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, stop, np.searchsorted(first, off)
 
 
-def piece_keys(buf: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each slice: length and bytes of short ones, a hash of the rest."""
+def piece_keys(buf: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit key of each slice: length and bytes of short ones, a hash of the rest; and for the rest a check, 32 bits of another hash."""
     size = stop - first
-    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
-    words = np.lib.stride_tricks.as_strided(padded, (len(buf) + 1, 8), (1, 1))[first].view(np.uint64).reshape(-1) if len(first) else np.zeros(0, np.uint64)
-    short = np.minimum(size, 7).astype(np.uint64)
-    keys = words & ((np.uint64(1) << (short * np.uint64(8))) - np.uint64(1)) | short << np.uint64(56)
+    keys = _eights(np.concatenate((buf, np.zeros(8, np.uint8))), first, np.minimum(size, 7)) | np.minimum(size, 7).astype(np.uint64) << np.uint64(56)
+    checks = np.zeros(len(keys), np.uint32)
     long = np.flatnonzero(size > 7)
     if len(long):
-        size = size[long]
-        at = ragged(first[long], size)
-        start = np.cumsum(size) - size
-        value = _BYTE[buf[at]] * powers(int(size.max()))[np.arange(len(at)) - np.repeat(start, size)]
-        keys[long] = mix(np.add.reduceat(value, start)) | np.uint64(1 << 63)
-    return keys
+        keys[long] = hashes(buf, first[long], size[long]) | np.uint64(1 << 63)
+        checks[long] = hashes(buf, first[long], size[long], 1) >> np.uint64(32)
+    return keys, checks
 
 
 class Ranks:
@@ -223,7 +218,8 @@ class Ranks:
 
     def forget(self) -> None:
         self.n, self.used = 0, 0
-        self.place_key, self.place_at = np.zeros(1 << self.PLACES, np.uint64), np.zeros(1 << self.PLACES, np.int32)
+        size = 1 << self.PLACES
+        self.place_key, self.place_check, self.place_at = np.zeros(size, np.uint64), np.zeros(size, np.uint32), np.zeros(size, np.int32)
 
     def places(self, keys: np.ndarray, second: bool = False) -> np.ndarray:
         if second:
@@ -321,19 +317,24 @@ class Ranks:
         self.n += k
         return np.arange(n, n + k)
 
-    def numbers(self, keys: np.ndarray, first: np.ndarray, stop: np.ndarray, buf: np.ndarray) -> np.ndarray:
+    def numbers(self, keys: np.ndarray, checks: np.ndarray, first: np.ndarray, stop: np.ndarray, buf: np.ndarray) -> np.ndarray:
         """The number of each slice; slices that the cache lacks are stored, long ones after all others."""
         place = self.places(keys)
         index = self.place_at[place].astype(np.int64)
-        rest = np.flatnonzero(self.place_key[place] != keys)
+        rest = np.flatnonzero((self.place_key[place] != keys) | (self.place_check[place] != checks))
         second = self.places(keys[rest], True)
         index[rest] = self.place_at[second]
-        rest = rest[self.place_key[second] != keys[rest]]
+        rest = rest[(self.place_key[second] != keys[rest]) | (self.place_check[second] != checks[rest])]
         if not len(rest):
             return index
-        # Equal slices of the chunk are made once: they are told apart by their keys, those of up to seven bytes being the bytes themselves.
-        fresh, spot, which = np.unique(keys[rest], return_index=True, return_inverse=True)
-        spot, data = rest[spot], buf.tobytes()
+        # Equal slices of the chunk are made once: they are told apart by keys and checks, those of up to seven bytes by the bytes themselves.
+        order = np.lexsort((checks[rest], keys[rest]))
+        key, check = keys[rest][order], checks[rest][order]
+        new = np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]))
+        which = np.empty(len(rest), np.int64)
+        which[order] = np.cumsum(new) - 1
+        fresh, marks = key[new], check[new]
+        spot, data = rest[order[new]], buf.tobytes()
         pieces = [data[a:b] for a, b in zip(first[spot].tolist(), stop[spot].tolist(), strict=True)]
         is_short = stop[spot] - first[spot] <= self.CACHED_BYTES
         short, known = np.flatnonzero(is_short), np.empty(len(pieces), np.int64)
@@ -341,7 +342,7 @@ class Ranks:
             known[short] = self.add([pieces[k] for k in short.tolist()])
             place = self.places(fresh[short])
             place = np.where(self.place_key[place] == 0, place, self.places(fresh[short], True))
-            self.place_key[place], self.place_at[place] = fresh[short], known[short]
+            self.place_key[place], self.place_check[place], self.place_at[place] = fresh[short], marks[short], known[short]
         self.kept = self.n, self.used
         for k in np.flatnonzero(~is_short).tolist():
             known[k] = self.add([pieces[k]])[0]
@@ -354,7 +355,7 @@ class Ranks:
         if self.n > self.CACHED:
             self.forget()
         self.kept = None
-        index = self.numbers(piece_keys(buf, first, stop), first, stop, buf)
+        index = self.numbers(*piece_keys(buf, first, stop), first, stop, buf)
         counts = self.id_n[index]
         ids = self.ids[ragged(self.id_at[index], counts)]
         if self.kept:  # long slices hardly come again
