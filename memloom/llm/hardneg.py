@@ -140,7 +140,9 @@ class Candidates:
         components = self.rows.where(which).agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()[0]
         blocks = max(1, -(-8 * components // PART_BYTES))
         dealt = chosen.repartitionByRange(blocks, "label", "norm", "vec_id")
-        return written(dealt.withColumns({"block": F.spark_partition_id(), "anchor": F.monotonically_increasing_id()}), "anchors"), blocks
+        dealt = written(dealt.withColumns({"block": F.spark_partition_id(), "anchor": F.monotonically_increasing_id()}), "anchors")
+        last = dealt.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0]  # Spark may have dealt to more or fewer
+        return dealt.withColumn("block", F.expr(f"CAST(block * {blocks}L DIV {last + 1} AS INT)")), blocks
 
     def search(self, anchors: DataFrame, blocks: int, k: int, same: bool) -> DataFrame:
         """(anchor, w, score, id, place) of anchors that have windows (lo, hi)."""

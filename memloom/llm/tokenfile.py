@@ -6,7 +6,7 @@ shift, and a block (or all of them) unpacks as arrays. A segment is a row of a P
 file whole on any store that Spark writes to, and repeats it if an executor is lost; files and segments are in order of
 doc_id. Beside its payload a segment holds its documents' ids and lengths.
 
-Null and empty texts have the end id alone. Rows of one doc_id stand in the order of their texts; exact repeats are
+Null and empty texts have the end id alone. Rows of one doc_id stand in the order of a hash of their texts; exact repeats are
 interchangeable. A very long text is encoded as a chunk of its own and lies in one segment. An empty table has no segments. Further columns of the input are left out.
 """
 
@@ -169,7 +169,9 @@ def segments(df: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         if held:
             yield close()
 
-    ordered = df.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one id, and those without, are dealt on by their texts, so that they are no single task's either.
+    keyed = df.select("doc_id", "text", F.xxhash64("text").alias("deal"))
+    ordered = keyed.repartitionByRange("doc_id", "deal").sortWithinPartitions("doc_id", "deal", "text").select("doc_id", "text")
     return ordered.mapInArrow(run, SCHEMA)
 
 
