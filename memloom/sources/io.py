@@ -36,6 +36,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder under spark.checkpoint.dir, which the driver and all executors share; a local master without that setting gets a temporary one."""
+    import tempfile
+    import uuid
+
+    context = spark.sparkContext
+    top = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not top and context.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(top or tempfile.mkdtemp(prefix='memloom-')).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def write_json(df: DataFrame, path: str) -> int:
     """Writes JSON lines and returns how many, counted while they are written."""
     from pyspark.sql import Observation
