@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memloom.functions import spans
-from memloom.operators import schedules
+from memloom.operators import samples, schedules
 from memloom.plans.registry import query, read
+from memloom.sources.arrow_files import read_arrow, write_arrow
+from memloom.sources.io import complaint, shared_folder
+from memloom.sources.sinks import read_rows, write_rows
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 #: Documents as rows of tokens, a word each: every 300th opens a turn, positions start anew every 4,000 words, and every 97th is padding.
@@ -40,3 +43,57 @@ def segment_schedule(spark, sf_dir):
     digest = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
     found = schedules.segment_schedule(rows)
     return found.select(F.col("row").alias("doc_id"), F.size("chunk_ids").cast("long").alias("tokens"), (F.array_max("seq_ids") + 1).alias("sequences"), digest("chunk_ids").alias("chunk_ids"), digest("evict_steps").alias("evict_steps"), digest("seq_ids").alias("seq_ids"))
+
+
+#: Opener, and joints of documents by units and by tokens, as ids that no word has. Fixed for these queries.
+_OPENER, _JOINTS = [9001, 9002, 9003], ([9010], [9011, 9012])
+
+
+def _samples(spark, sf_dir):
+    """(doc_id, sample): a document's lines as the memory, a word a token (its length the id), by units of three lines for even ids and by 64 tokens for odd ones."""
+    docs = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda line: F.transform(F.regexp_extract_all(line, F.lit(_WORDS), F.lit(0)), F.length))
+    unit = F.col("doc_id") % 2 == 0
+    tail = lambda *ids: F.array(*ids).cast("array<int>")
+    made = samples.assembled(F.col("docs"), tail(F.lit(9020), F.lit(9021)), tail(F.col("doc_id") % 100, F.lit(9030)), F.when(unit, "unit").otherwise("token"), F.when(unit, 3).otherwise(64), F.when(unit, 40).otherwise(-1), F.lit(8), _OPENER, _JOINTS)
+    return read(spark, sf_dir, "documents").select("doc_id", docs.alias("docs")).select("doc_id", made.alias("sample"))
+
+
+_SAMPLE_TOKENS = r"""
+WITH l AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: list_transform(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), lambda w: length(w))) AS docs FROM documents),
+ m AS (SELECT doc_id, docs, doc_id % 2 = 0 AS unit, CASE WHEN doc_id % 2 = 0 THEN flatten(list_transform(docs, lambda d, i: list_concat(CASE WHEN i = 1 THEN [9001, 9002, 9003] WHEN (i - 1) % 3 = 0 THEN [] ELSE [9010] END, d)))
+   ELSE list_concat([9001, 9002, 9003], flatten(list_transform(docs, lambda d, i: list_concat(CASE WHEN i = 1 THEN [] ELSE [9011, 9012] END, d)))) END AS memory FROM l),
+ g AS (SELECT doc_id, unnest(range(0, len(docs), 3)) AS s, docs FROM m WHERE unit),
+ u AS (SELECT doc_id, s, len(flatten(docs[s + 1 : s + 3])) + least(3, len(docs) - s) - 1 + CASE WHEN s = 0 THEN 3 ELSE 0 END AS n FROM g),
+ c AS (SELECT doc_id, sum(CASE WHEN n > 40 THEN CAST(ceil(n / 20.0) AS BIGINT) ELSE 1 END) + 1 AS chunks, 1 AS qa FROM u GROUP BY doc_id UNION ALL SELECT doc_id, CAST(ceil((len(memory) + 4) / 64.0) AS BIGINT), CAST(ceil((len(memory) + 4) / 64.0) AS BIGINT) - len(memory) // 64 FROM m WHERE NOT unit)
+SELECT doc_id, md5(array_to_string(list_concat(memory, [9020, 9021, doc_id % 100, 9030]), ',')) AS input_ids, CAST(len(memory) + 4 AS BIGINT) AS total, CAST(2 AS BIGINT) AS supervised, CAST(chunks AS BIGINT) AS chunks, CAST(qa AS BIGINT) AS qa_chunks FROM m JOIN c USING (doc_id) WHERE len(memory) + 4 <= 128000
+"""
+
+
+@query("sample_tokens", _SAMPLE_TOKENS)
+def sample_tokens(spark, sf_dir):
+    """Whole samples, written as Arrow IPC files without those that are too long, and read back."""
+    path = shared_folder(spark, "samples")
+    rows = _samples(spark, sf_dir)
+    write_arrow(rows.select("doc_id", F.col("sample.input_ids").alias("input_ids"), F.col("sample.loss_mask").alias("loss_mask"), F.col("sample.chunk_spans").alias("chunk_spans"), F.col("sample.qa_chunk_idx").alias("qa_chunk_idx")), path, "input_ids")
+    found = read_arrow(spark, path, "doc_id long, input_ids array<int>, loss_mask array<tinyint>, chunk_spans array<struct<s:int,e:int>>, qa_chunk_idx array<int>")
+    return found.select(
+        "doc_id",
+        F.md5(F.array_join(F.transform("input_ids", lambda x: x.cast("string")), ",")).alias("input_ids"),
+        F.size("input_ids").cast("long").alias("total"),
+        F.aggregate("loss_mask", F.lit(0).cast("long"), lambda s, x: s + x).alias("supervised"),
+        F.size("chunk_spans").cast("long").alias("chunks"),
+        F.size("qa_chunk_idx").cast("long").alias("qa_chunks"),
+    )
+
+
+@query("sink_rows", "SELECT CAST(conv_id AS VARCHAR) AS id, count(*) FILTER (role = 'system') AS docs, count(*) FILTER (role = 'user') AS questions, md5(string_agg(text, '|' ORDER BY turn) FILTER (role = 'user')) AS digest FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'user') > 0")
+def sink_rows(spark, sf_dir):
+    """Memory-question rows through the validating sink and back: system turns are documents, user turns questions that the role answers."""
+    turns = read(spark, sf_dir, "conversations").groupBy("conv_id", F.expr("turn DIV 512").alias("part")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))  # 512 turns of a conversation
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", "t"))).alias("p")).select("conv_id", F.flatten(F.transform("p", lambda x: x["t"])).alias("t"))
+    of = lambda role: F.filter("t", lambda x: x["role"] == role)
+    qa = F.transform(of("user"), lambda x: F.struct(x["text"].alias("question"), F.array(x["role"]).alias("answer")))
+    rows = whole.select(F.col("conv_id").cast("string").alias("id"), F.lit("conversations").alias("source"), F.lit("AR").alias("task_type"), F.transform(of("system"), lambda x: x["text"]).alias("memory_docs"), qa.alias("qa")).where(F.size("qa") > 0)
+    write_rows(rows, path := shared_folder(spark, "rows"), complaint(), "id")
+    found = read_rows(spark, path, qa="array<struct<question:string,answer:array<string>>>")
+    return found.select("id", F.size("memory_docs").cast("long").alias("docs"), F.size("qa").cast("long").alias("questions"), F.md5(F.array_join(F.transform("qa", lambda q: q["question"]), "|")).alias("digest"))
