@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memloom.operators import regroup
+from memloom.operators import needles, regroup
 from memloom.plans.registry import query, read
 from memloom.sources import adapters
 
@@ -91,17 +91,34 @@ def adapt_ldc(spark, sf_dir):
     return _digest(adapters.long_data(_documents(spark, sf_dir).select("row_idx", prompt.alias("prompt"), F.col("lang").alias("completion")))).withColumn("evidence", F.coalesce("evidence", F.lit("")))
 
 
-@query("adapt_infbench", "SELECT CAST(doc_id AS STRING) AS id, md5(text) AS docs, CAST(1 AS BIGINT) AS n_docs, CAST(1 AS BIGINT) AS n, 'q' || CAST(doc_id AS STRING) AS question, lang AS answer, '' AS evidence FROM documents")
+@query("adapt_infbench", "SELECT CASE WHEN doc_id % 3 = 0 THEN 'infbench-' || CAST(row_number() OVER (ORDER BY doc_id) - 1 AS STRING) ELSE CAST(doc_id AS STRING) END AS id, md5(text) AS docs, CAST(1 AS BIGINT) AS n_docs, CAST(1 AS BIGINT) AS n, 'q' || CAST(doc_id AS STRING) AS question, lang AS answer, '' AS evidence FROM documents")
 def adapt_infbench(spark, sf_dir):
-    raw = _documents(spark, sf_dir).select("id", F.col("text").alias("context"), F.col("question").alias("input"), F.col("lang").alias("answer"), F.array("lang", "source").alias("options"))
+    """Every third row has no id of its own."""
+    own = F.when(F.col("row_idx") % 3 != 0, F.col("id"))
+    raw = _documents(spark, sf_dir).select("row_idx", own.alias("id"), F.col("text").alias("context"), F.col("question").alias("input"), F.col("lang").alias("answer"), F.array("lang", "source").alias("options"))
     return _digest(adapters.infbench(raw, "infbench")).withColumn("evidence", F.coalesce("evidence", F.lit("")))
 
 
-@query("adapt_mab", "SELECT 'mab_ttl-' || CAST(doc_id AS STRING) AS id, md5(text) AS docs, CAST(1 AS BIGINT) AS n_docs, CAST(2 AS BIGINT) AS n, 'q' || CAST(doc_id AS STRING) AS question, lang || '|' || source AS answer, '' AS evidence FROM documents WHERE doc_id % 2 = 0")
+@query("adapt_mab", """WITH n AS (SELECT CAST(p_partkey AS VARCHAR) AS e, trim(regexp_replace(replace(replace(p_name, '_', ' '), '-', ' '), '\\s+', ' ', 'g')) AS name FROM part),
+ d AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS idx, doc_id % 20 + 1 AS a, doc_id % 7 + 1 AS b FROM documents)
+ SELECT 'mab_ttl-' || CAST(idx AS VARCHAR) AS id, md5(text) AS docs, CAST(1 AS BIGINT) AS n_docs, CAST(2 AS BIGINT) AS n, 'q' || CAST(doc_id AS VARCHAR) AS question, CASE WHEN doc_id % 3 < 2 THEN lang || '|' || source ELSE x.name || '|' || y.name END AS answer, '' AS evidence FROM d JOIN n x ON x.e = CAST(a AS VARCHAR) JOIN n y ON y.e = CAST(b AS VARCHAR)""")
 def adapt_mab(spark, sf_dir):
-    """Rows of a prefix alone; a question without an answer goes."""
-    raw = _documents(spark, sf_dir).select("row_idx", F.col("text").alias("context"), F.array("question", F.lit("b"), F.lit("c")).alias("questions"), F.array(F.array("lang", "source"), F.array(F.lit("y"))).alias("answers"), F.struct(F.when(F.col("row_idx") % 2 == 0, "icl_nlu").otherwise("eventqa").alias("source")).alias("metadata"))
-    return _digest(adapters.mab(raw, "mab_ttl", "TTL", "icl_")).withColumn("evidence", F.coalesce("evidence", F.lit("")))
+    """A question without an answer goes, and recommendations' entities, here parts, become names."""
+    kind = F.get(F.array(F.lit("icl_nlu"), F.lit("icl_trec"), F.lit("recsys_redial")), (F.col("row_idx") % 3).cast("int"))
+    entities = F.concat(F.lit(" "), (F.col("row_idx") % 20 + 1).cast("string"), F.lit(", "), (F.col("row_idx") % 7 + 1).cast("string"), F.lit(","))
+    answers = F.when(kind == "recsys_redial", F.array(F.array(entities), F.array(F.lit("1")))).otherwise(F.array(F.array("lang", "source"), F.array(F.lit("y"))))
+    raw = _documents(spark, sf_dir).select("row_idx", F.col("text").alias("context"), F.array("question", F.lit("b"), F.lit("c")).alias("questions"), answers.alias("answers"), F.struct(kind.alias("source")).alias("metadata"))
+    uri = F.concat(F.lit("http://x/"), F.translate("p_name", " ", "_"), F.lit("_(film)"))
+    names = adapters.entity_names(read(spark, sf_dir, "part").select(uri.alias("uri"), F.col("p_partkey").alias("entity")))
+    return _digest(adapters.mab(raw, "mab_ttl", "TTL", "", names)).withColumn("evidence", F.coalesce("evidence", F.lit("")))
+
+
+@query("adapt_mab_prefix", "SELECT 'mab_eventqa-' || CAST(row_number() OVER (ORDER BY doc_id) - 1 AS VARCHAR) AS id, md5(text) AS docs, CAST(1 AS BIGINT) AS n_docs, CAST(1 AS BIGINT) AS n, 'q' || CAST(doc_id AS VARCHAR) AS question, lang AS answer, '' AS evidence FROM documents WHERE length(lang || source) % 2 = 0")
+def adapt_mab_prefix(spark, sf_dir):
+    """The rows of one prefix among those of others."""
+    kind = F.when(F.length(F.concat("lang", "source")) % 2 == 0, "eventqa_full").otherwise("ruler_qa1")
+    raw = _documents(spark, sf_dir).select("row_idx", F.col("text").alias("context"), F.array("question").alias("questions"), F.array(F.array("lang"), F.array("source")).alias("answers"), F.struct(kind.alias("source")).alias("metadata"))
+    return _digest(adapters.mab(raw, "mab_eventqa", "AR", "eventqa")).withColumn("evidence", F.coalesce("evidence", F.lit("")))
 
 
 def _sessions(spark, sf_dir):
@@ -115,11 +132,47 @@ def adapt_longmemeval(spark, sf_dir):
     return _digest(adapters.longmemeval(raw, "longmemeval_s")).withColumn("evidence", F.nullif("evidence", F.lit("")))
 
 
-@query("adapt_locomo", "WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn, role, text FROM conversations) SELECT CAST(conv_id AS STRING) AS id, md5(string_agg(CASE WHEN i = 2 THEN '[Date: May]' || chr(10) ELSE '' END || role || ': ' || text, chr(30) ORDER BY turn)) AS docs, count(*) AS n_docs, CAST(1 AS BIGINT) AS n, 'what?' AS question, 'x; y|x' AS answer, '0' AS evidence FROM t GROUP BY conv_id")
+_REFUSED = "No information available|Not mentioned"
+
+
+@query("adapt_locomo", f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn, role, text FROM conversations),
+ d AS (SELECT conv_id, md5(string_agg(CASE WHEN i = 2 THEN '[Date: May]' || chr(10) ELSE '' END || role || CASE WHEN i % 4 = 1 THEN ' shared a view.' WHEN i % 4 = 2 THEN ': ' || text || ' and shared a view.' ELSE ': ' || text END, chr(30) ORDER BY turn)) AS docs, count(*) AS n_docs FROM t GROUP BY conv_id),
+ q AS (SELECT conv_id, docs, n_docs, unnest(range(1, 6)) AS c FROM d)
+ SELECT 'locomo-' || CAST(conv_id AS VARCHAR) AS id, docs, n_docs, CAST(c AS INTEGER) AS category, 'what ' || CAST(c AS VARCHAR) || '?' || CASE WHEN c = 2 THEN ' Use DATE of CONVERSATION to answer with an approximate date.' ELSE '' END AS question,
+  CASE WHEN c = 5 THEN '{_REFUSED}' WHEN c = 3 THEN 'x ; y|x' ELSE 'x ; y' END AS answer, CASE WHEN c <= n_docs AND c > 1 THEN '0,' || CAST(c - 1 AS VARCHAR) ELSE '0' END AS evidence FROM q""")
 def adapt_locomo(spark, sf_dir):
-    """Sessions of a map in the order of their numbers, not of their names."""
+    """A question of each category. Sessions of a map in the order of their numbers, not of their names; every fourth turn is an image without words, the next one has both."""
     name = F.transform("x", lambda _, i: F.concat(F.lit("session_"), (i + 1).cast("string")))
-    sessions = F.map_from_arrays(name, F.transform("x", lambda r: F.array(F.struct(r["role"].alias("speaker"), r["text"].alias("text"), F.lit(None).cast("string").alias("blip_caption")))))
-    qa = F.array(F.struct(F.lit("what?").alias("question"), F.lit("x; y").alias("answer"), F.array(F.lit("D1:3")).alias("evidence"), F.lit(3).alias("category")))
-    raw = _sessions(spark, sf_dir).select(F.col("conv_id").cast("string").alias("sample_id"), sessions.alias("sessions"), F.create_map(F.lit("session_2"), F.lit("May")).alias("dates"), qa.alias("qa"))
-    return _digest(adapters.locomo(raw))
+    turn = lambda r, i: F.array(F.struct(r["role"].alias("speaker"), F.when(i % 4 != 0, r["text"]).otherwise("").alias("text"), F.when(i % 4 < 2, "a view").alias("blip_caption")))
+    sessions = F.map_from_arrays(name, F.transform("x", turn))
+    ask = lambda c: F.struct(F.concat(F.lit("what "), c.cast("string"), F.lit("?")).alias("question"), F.lit("x ; y").alias("answer"), F.array(F.concat(F.lit("D"), c.cast("string"), F.lit(":7")), F.lit("D1:3"), F.lit("none")).alias("evidence"), c.alias("category"))
+    raw = _sessions(spark, sf_dir).select(F.col("conv_id").cast("string").alias("sample_id"), sessions.alias("sessions"), F.create_map(F.lit("session_2"), F.lit("May")).alias("dates"), F.transform(F.sequence(F.lit(1), F.lit(5)), ask).alias("qa"))
+    each = adapters.locomo(raw).select("id", "memory_docs", F.explode("qa").alias("q"))
+    return each.select("id", F.md5(F.array_join("memory_docs", "\x1e")).alias("docs"), F.size("memory_docs").cast("long").alias("n_docs"), F.col("q.category").alias("category"), F.col("q.question").alias("question"), F.array_join("q.answer", "|").alias("answer"), F.array_join("q.evidence_doc_idx", ",").alias("evidence"))
+
+
+def _draw(seed: int, salt: str, place: str) -> str:
+    return f"(CAST('0x' || substr(md5('{seed}|{salt}|' || CAST({place} AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+_KEY = lambda p: f"words[CAST(floor({_draw(4, 'first', p)} * 31) AS BIGINT) + 1] || '-' || words[CAST(floor({_draw(4, 'second', p)} * 31) AS BIGINT) + 1] || '-' || CAST(100 + CAST(floor({_draw(4, 'number', p)} * 900) AS BIGINT) AS VARCHAR)"
+_HEX = "md5('4|code|' || CAST(doc_id * 4 + k AS VARCHAR))"
+_CODE = f"substr({_HEX}, 1, 8) || '-' || substr({_HEX}, 9, 4) || '-' || substr({_HEX}, 13, 4) || '-' || substr({_HEX}, 17, 4) || '-' || substr({_HEX}, 21, 12)"
+
+
+@query("ruler_rows", f"""WITH w AS (SELECT string_split('{" ".join(needles.WORDS)}', ' ') AS words),
+ t AS (SELECT doc_id, ['s_niah_2', 's_niah_3', 'mk_niah_1', 'mq_niah', 'mv_niah'][doc_id % 5 + 1] AS task, substr(text, CAST(floor({_draw(4, 'start', 'doc_id')} * greatest(0, length(text) - 1201)) AS BIGINT) + 1, 1200) AS text FROM documents),
+ d AS (SELECT *, unnest(range(0, CASE WHEN task LIKE 's%' THEN 1 ELSE 4 END)) AS k FROM t),
+ v AS (SELECT doc_id, task, text, k, {_KEY("doc_id * 4 + CASE WHEN task = 'mv_niah' THEN 0 ELSE k END")} AS key, CASE WHEN task = 's_niah_3' THEN {_CODE} ELSE CAST(1000000 + CAST(floor({_draw(4, 'value', 'doc_id * 4 + k')} * 9000000) AS BIGINT) AS VARCHAR) END AS value, 0.05::DOUBLE + 0.9::DOUBLE * {_draw(4, 'depth', 'doc_id * 4 + k')} AS depth, CASE WHEN task = 'mk_niah_1' THEN {_draw(4, 'order', 'doc_id * 4 + k')} ELSE 0 END AS o FROM d, w),
+ n AS (SELECT doc_id, 'One of the special magic numbers for ' || key || ' is: ' || value || '.' || chr(10) AS needle, row_number() OVER (PARTITION BY doc_id ORDER BY o, k) AS r FROM v),
+ s AS (SELECT doc_id, text, CAST(floor(length(text) * depth) AS BIGINT) AS cut, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS r FROM v),
+ p AS (SELECT doc_id, text, cut, r, needle, lag(cut, 1, 0) OVER (PARTITION BY doc_id ORDER BY r) AS before FROM s JOIN n USING (doc_id, r)),
+ c AS (SELECT doc_id, md5(string_agg(substr(text, before + 1, cut - before) || needle, '' ORDER BY r) || substr(any_value(text), max(cut) + 1)) AS context FROM p GROUP BY doc_id),
+ a AS (SELECT doc_id, any_value(task) AS task, string_agg(CASE WHEN task = 'mq_niah' OR k = 0 THEN CASE WHEN task = 'mv_niah' THEN 'What are all the special magic numbers for ' ELSE 'What is the special magic number for ' END || key || ' mentioned in the provided text?' END, '|' ORDER BY k) AS questions, string_agg(CASE WHEN task IN ('mq_niah', 'mv_niah') OR k = 0 THEN value END, '|' ORDER BY k) AS golds FROM v GROUP BY doc_id)
+ SELECT 'ruler-' || task || '-' || CAST(doc_id AS VARCHAR) AS id, 'ruler_' || replace(task, '_', '') AS source, context, questions, golds FROM a JOIN c USING (doc_id)""")
+def ruler_rows(spark, sf_dir):
+    """The five tasks by turns, in haystacks of 400 tokens of every document."""
+    task = F.get(F.array(*map(F.lit, needles.TASKS)), (F.col("doc_id") % 5).cast("int"))
+    found = needles.rows(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), "text", task.alias("task")), 4, 400)
+    joined = lambda part: F.array_join(F.transform("qa", lambda q: part(q)), "|")
+    return found.select("id", "source", F.md5(F.get("memory_docs", F.lit(0))).alias("context"), joined(lambda q: q["question"]).alias("questions"), joined(lambda q: F.array_join(q["answer"], "|")).alias("golds"))

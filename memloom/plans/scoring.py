@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions import extract, judge, rules, text
-from memloom.operators import metrics, retrieval
+from memloom.operators import metrics, regroup, retrieval
 from memloom.plans.registry import OUTPUTS, query, read, run_sql
 
 _O = OUTPUTS.replace("[documents]", "documents").replace("[labels]", "labels")
@@ -87,7 +87,9 @@ def normalize_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize(F.col("text"))).alias("normal"))
 
 
-_PAIRS = "SELECT d.doc_id, b.item_id, d.text AS pred, b.text AS gold FROM documents d JOIN benchmark b ON d.doc_id % 20 = b.item_id % 20"
+#: Every document answers one item: items are numbered by their ids, and documents go round them.
+_DEALT = "(SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM benchmark)"
+_PAIRS = f"SELECT d.doc_id, b.item_id, d.text AS pred, b.text AS gold FROM documents d JOIN {_DEALT} b ON (d.doc_id % b.n + b.n) % b.n = b.place"
 
 
 #: Bytes of items' texts up to which they are broadcast; beyond it Spark joins them as it sees fit.
@@ -99,17 +101,29 @@ def held_small(items: DataFrame, texts: DataFrame) -> DataFrame:
     return F.broadcast(items) if (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= ITEM_BYTES else items
 
 
+def dealt(spark, sf_dir, items):
+    """(doc_id, and the columns of its one item) of all documents, for items (item_id, ...); a row a document, in one equi-join."""
+    texts = read(spark, sf_dir, "benchmark")
+    n = texts.count()
+    placed = regroup.dense_index(items, "item_id", "place")
+    return lambda answers: answers.withColumn("place", F.pmod("doc_id", F.lit(max(n, 1)))).join(held_small(placed, texts), "place").drop("place")
+
+
 def pairs(spark, sf_dir):
-    """Every document as an output, whole and in any language, with the items that it is dealt as questions."""
+    """Every document as an output, whole and in any language, with the one item that it answers."""
     answers = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("pred"))
-    texts = read(spark, sf_dir, "benchmark")
-    return answers.join(held_small(texts.select("item_id", F.col("text").alias("gold")), texts), F.expr("doc_id % 20 = item_id % 20")).select("doc_id", "item_id", "pred", "gold")
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("gold"))
+    return dealt(spark, sf_dir, items)(answers).select("doc_id", "item_id", "pred", "gold")
 
 
-@query("judge_niah", f"SELECT doc_id, item_id, CAST((CASE WHEN contains(lower(pred), lower(substr(gold, 1, 8))) THEN 1 ELSE 0 END + CASE WHEN contains(lower(pred), lower(substr(gold, 3, 3))) THEN 1 ELSE 0 END) / 2.0 AS DOUBLE) AS score FROM ({_PAIRS}) t")
+_GOLD_WORDS = "list_distinct(regexp_extract_all(lower(gold), '[^\\x20\\x09-\\x0D]+'))"
+
+
+@query("judge_niah", f"SELECT doc_id, item_id, CAST(CASE WHEN pred = '' OR len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: contains(lower(pred), x))) / len(w) END AS DOUBLE) AS score FROM (SELECT doc_id, item_id, pred, {_GOLD_WORDS} AS w FROM ({_PAIRS}) t) u")
 def judge_niah(spark, sf_dir):
-    golds = F.array(F.substring("gold", 1, 8), F.substring("gold", 3, 3))
-    return pairs(spark, sf_dir).select("doc_id", "item_id", judge.needles(golds, F.col("pred")).cast("double").alias("score"))
+    """The item's words, each of them whole, are the needles."""
+    golds = F.array_distinct(F.regexp_extract_all(F.lower("gold"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    return pairs(spark, sf_dir).withColumn("golds", golds).select("doc_id", "item_id", judge.needles(F.col("golds"), F.col("pred")).cast("double").alias("score"))
 
 
 @query("judge_contains", "SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)")
@@ -122,18 +136,19 @@ def judge_contains(spark, sf_dir):
  t AS (SELECT doc_id, item_id, list_filter(string_split(p, ' '), lambda x: x <> '' AND x <> 'and') AS pt, list_filter(string_split(g, ' '), lambda x: x <> '' AND x <> 'and') AS gt FROM p),
  a AS (SELECT doc_id, item_id, w, count(*) AS n FROM (SELECT doc_id, item_id, unnest(pt) AS w FROM t) x GROUP BY ALL), b AS (SELECT doc_id, item_id, w, count(*) AS n FROM (SELECT doc_id, item_id, unnest(gt) AS w FROM t) x GROUP BY ALL),
  s AS (SELECT a.doc_id, a.item_id, sum(least(a.n, b.n)) AS same FROM a JOIN b USING (doc_id, item_id, w) GROUP BY ALL)
- SELECT t.doc_id, t.item_id, CAST(round(coalesce(2.0 * same / (len(pt) + len(gt)), 0), 4) AS DOUBLE) AS f1 FROM t LEFT JOIN s ON t.doc_id = s.doc_id AND t.item_id = s.item_id""".replace("FROM documents d", "FROM documents d").replace("GROUP BY ALL", "GROUP BY ALL"))
+ SELECT t.doc_id, t.item_id, CAST(round(coalesce(2.0 * same / (len(pt) + len(gt)), 0), 4) AS DOUBLE) AS f1 FROM t LEFT JOIN s ON t.doc_id = s.doc_id AND t.item_id = s.item_id""")
 def token_f1(spark, sf_dir):
-    """Words are counted once a document and once an item; pairs meet in the words that they share, all others score 0."""
-    texts = read(spark, sf_dir, "benchmark")
+    """Words are counted once a document and once an item; a document meets its item in the words that they share."""
 
     def counted(rows, key, n, size):
         tokens = rows.select(key, judge.f1_tokens(F.col("text")).alias("t")).select(key, F.size("t").alias(size), F.explode("t").alias("word"))
-        return tokens.groupBy(key, "word").agg(F.count("*").alias(n), F.first(size).alias(size)).withColumn("dealt", F.col(key) % 20)
+        return tokens.groupBy(key, "word").agg(F.count("*").alias(n), F.first(size).alias(size))
 
-    shared = counted(read(spark, sf_dir, "documents"), "doc_id", "n", "p").join(held_small(counted(texts, "item_id", "m", "g"), texts), ["dealt", "word"])
+    texts = read(spark, sf_dir, "benchmark")
+    met = dealt(spark, sf_dir, texts.select("item_id"))(read(spark, sf_dir, "documents").select("doc_id"))
+    words = dealt(spark, sf_dir, texts.select("item_id"))(counted(read(spark, sf_dir, "documents"), "doc_id", "n", "p"))
+    shared = words.join(held_small(counted(texts, "item_id", "m", "g"), texts), ["item_id", "word"])
     found = shared.groupBy("doc_id", "item_id").agg((2.0 * F.sum(F.least("n", "m")) / F.first(F.col("p") + F.col("g"))).alias("f1"))
-    met = read(spark, sf_dir, "documents").select("doc_id").join(held_small(texts.select("item_id"), texts), F.expr("doc_id % 20 = item_id % 20"))
     return met.join(found, ["doc_id", "item_id"], "left").select("doc_id", "item_id", F.round(F.coalesce("f1", F.lit(0.0)), 4).alias("f1"))
 
 

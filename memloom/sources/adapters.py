@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.functions.text import let, strip
+from memloom.functions.text import let, strip, uri_name
 from memloom.operators.regroup import dense_index
 
 
@@ -118,16 +118,37 @@ def long_data(raw: DataFrame) -> DataFrame:
 
 
 def infbench(raw: DataFrame, source: str) -> DataFrame:
-    """id, context, input, answer (an array, or one text), options."""
+    """row_idx, id, context, input, answer (an array, or one text), options. A row without an id takes its place among all rows."""
     answer = F.col("answer") if raw.schema["answer"].dataType.typeName() == "array" else F.array("answer")
-    return row(raw, F.col("id"), source, "AR", F.array("context"), F.array(qa_item(F.col("input"), answer, choices=F.col("options"))))
+    numbered = dense_index(raw, "row_idx")
+    return row(numbered, F.coalesce(F.col("id").cast("string"), F.concat(F.lit(f"{source}-"), F.col("idx").cast("string"))), source, "AR", F.array("context"), F.array(qa_item(F.col("input"), answer, choices=F.col("options"))))
 
 
-def mab(raw: DataFrame, source: str, task: str, prefix: str) -> DataFrame:
-    """row_idx, context, questions, answers, metadata(source): rows of a prefix; questions and answers end with the shorter list."""
+def entity_names(entities: DataFrame) -> DataFrame:
+    """(entity, name) of entities (uri, entity): what recommendations are called by."""
+    return entities.select(F.col("entity").cast("string").alias("entity"), uri_name(F.col("uri")).alias("name"))
+
+
+def mab(raw: DataFrame, source: str, task: str, prefix: str, names: DataFrame | None = None) -> DataFrame:
+    """row_idx, context, questions, answers, metadata(source): rows of a prefix, numbered among themselves; questions and answers end with the shorter list.
+
+    Recommendations' answers are lists of entities, separated by commas: with names (entity, name) they become names, and an entity without one fails the job.
+    """
     n = F.least(F.size("questions"), F.size("answers"))
+    kept = dense_index(raw.where(F.startswith("metadata.source", F.lit(prefix))), "row_idx")
+    origin = F.col("metadata.source")
     items = F.zip_with(F.slice("questions", 1, n), F.slice("answers", 1, n), lambda q, a: qa_item(q, a))
-    return row(raw.where(F.startswith("metadata.source", F.lit(prefix))), F.concat(F.lit(f"{source}-"), F.col("row_idx").cast("string")), source, task, F.array("context"), items, orig_source=F.col("metadata.source"))
+    if names is not None:
+        listed = kept.where(F.startswith(origin, F.lit("recsys"))).select("idx", F.posexplode(F.slice("answers", 1, n)).alias("q", "answer"))
+        pieces = F.filter(F.flatten(F.transform("answer", lambda g: F.transform(F.split(g, ","), strip))), lambda x: x != "")
+        each = listed.select("idx", "q", F.posexplode(pieces).alias("k", "entity")).join(names, "entity", "left")
+        name = F.coalesce("name", F.raise_error(F.concat(F.lit("no name for entity "), "entity")))
+        by_question = each.groupBy("idx", "q").agg(F.array_sort(F.collect_list(F.struct("k", name.alias("name")))).alias("x")).select("idx", F.struct("q", F.transform("x", lambda r: r["name"]).alias("names")).alias("g"))
+        golds = by_question.groupBy("idx").agg(F.map_from_entries(F.collect_list("g")).alias("golds"))
+        kept = kept.join(golds, "idx", "left")
+        called = F.transform(items, lambda i, q: i.withField("answer", F.coalesce(F.try_element_at("golds", q), F.array().cast("array<string>"))))
+        items = F.when(F.startswith(origin, F.lit("recsys")), called).otherwise(items)
+    return row(kept, F.concat(F.lit(f"{source}-"), F.col("idx").cast("string")), source, task, F.array("context"), items, orig_source=origin)
 
 
 def longmemeval(raw: DataFrame, source: str) -> DataFrame:
@@ -138,8 +159,14 @@ def longmemeval(raw: DataFrame, source: str) -> DataFrame:
     return row(raw, F.col("question_id"), source, "AR", docs, F.array(qa_item(F.col("question"), F.array("answer"), evidence)), question_type=F.col("question_type"))
 
 
+#: What questions of time end with, and what is right where nothing in the conversation answers. Fixed texts.
+DATED, REFUSALS = " Use DATE of CONVERSATION to answer with an approximate date.", ("No information available", "Not mentioned")
+
+
 def locomo(raw: DataFrame) -> DataFrame:
-    """sample_id, sessions map<string, array<struct<speaker, text, blip_caption>>>, dates map<string, string>, qa(question, answer, evidence, category): sessions in order of their numbers."""
+    """sample_id, sessions map<string, array<struct<speaker, text, blip_caption>>>, dates map<string, string>, qa(question, answer, evidence, category): sessions in order of their numbers.
+
+    Questions of category 2 ask for a date, those of category 3 accept what stands before a semicolon, those of category 5 are to be refused whatever their answer says."""
     number = lambda k: F.regexp_extract(k, r"(\d+)", 1).cast("int")
     ordered = F.array_sort(F.transform(F.map_keys("sessions"), lambda k: F.struct(number(k).alias("n"), k.alias("k"))))
 
@@ -151,5 +178,8 @@ def locomo(raw: DataFrame) -> DataFrame:
     docs = F.transform(ordered, lambda s: F.concat(F.coalesce(F.concat(F.lit("[Date: "), F.try_element_at("dates", s["k"]), F.lit("]\n")), F.lit("")), F.array_join(F.transform(F.element_at("sessions", s["k"]), turn), "\n")))
     evidence = lambda q: F.array_sort(F.array_distinct(F.filter(F.transform(q["evidence"], lambda e: F.regexp_extract(e, r"D(\d+):", 1)), lambda x: x != "").cast("array<int>")))
     place = lambda q: positions(ordered, lambda s: F.array_contains(evidence(q), s["n"]))
-    aliases = lambda q: F.when((q["category"] == 3) & (F.locate(";", q["answer"]) > 0), F.array(q["answer"], strip(F.substring_index(q["answer"], ";", 1)))).otherwise(F.array(q["answer"]))
-    return row(raw, F.col("sample_id"), "locomo", "AR", docs, F.transform("qa", lambda q: qa_item(q["question"], aliases(q), place(q), category=q["category"])))
+    whole = lambda q: F.coalesce(q["answer"], F.lit(""))
+    first = lambda q: F.when((q["category"] == 3) & (F.locate(";", whole(q)) > 0), F.array(whole(q), strip(F.substring_index(whole(q), ";", 1)))).otherwise(F.array(whole(q)))
+    golds = lambda q: F.when(q["category"] == 5, F.array(*map(F.lit, REFUSALS))).otherwise(first(q))
+    asked = lambda q: F.concat(F.coalesce(q["question"], F.lit("")), F.when(q["category"] == 2, F.lit(DATED)).otherwise(F.lit("")))
+    return row(raw, F.concat(F.lit("locomo-"), F.col("sample_id").cast("string")), "locomo", "AR", docs, F.transform("qa", lambda q: qa_item(asked(q), golds(q), place(q), category=q["category"])))

@@ -211,8 +211,19 @@ def test_adapters(spark):
     assert len(got["qa"]) == 1
     got = adapted(spark, adapters.longmemeval, "question_id string, question_type string, question string, answer string, answer_session_ids array<string>, haystack_dates array<string>, haystack_session_ids array<string>, haystack_sessions array<array<struct<role:string,content:string>>>", {"question_id": "1", "question_type": "t", "question": "q", "answer": "a", "answer_session_ids": ["s2"], "haystack_dates": ["d1", ""], "haystack_session_ids": ["s1", "s2"], "haystack_sessions": [[{"role": "user", "content": "x"}], [{"role": "user", "content": "y"}]]}, "longmemeval_s")
     assert got["memory_docs"] == ["[Date: d1]\nuser: x", "user: y"] and got["qa"][0]["evidence_doc_idx"] == [1]
-    got = adapted(spark, adapters.locomo, "sample_id string, sessions map<string,array<struct<speaker:string,text:string,blip_caption:string>>>, dates map<string,string>, qa array<struct<question:string,answer:string,evidence:array<string>,category:int>>", {"sample_id": "1", "sessions": {"session_10": [{"speaker": "A", "text": "late"}], "session_2": [{"speaker": "B", "text": "hi", "blip_caption": "a cat"}]}, "dates": {"session_2": "May"}, "qa": [{"question": "q", "answer": "x; y", "evidence": ["D10:1", "D10:2"], "category": 3}]})
+    got = adapted(spark, adapters.locomo, "sample_id string, sessions map<string,array<struct<speaker:string,text:string,blip_caption:string>>>, dates map<string,string>, qa array<struct<question:string,answer:string,evidence:array<string>,category:int>>", {"sample_id": "1", "sessions": {"session_10": [{"speaker": "A", "text": "late"}], "session_2": [{"speaker": "B", "text": "hi", "blip_caption": "a cat"}]}, "dates": {"session_2": "May"}, "qa": [{"question": "q", "answer": "x; y", "evidence": ["D10:1", "D10:2"], "category": 3}, {"question": "when", "answer": "May", "evidence": [], "category": 2}, {"question": "no", "answer": "a decoy", "evidence": None, "category": 5}, {"question": "n", "answer": None, "evidence": ["D2:1"], "category": None}]})
     assert got["memory_docs"] == ["[Date: May]\nB: hi and shared a cat.", "A: late"] and got["qa"][0]["evidence_doc_idx"] == [1] and got["qa"][0]["answer"] == ["x; y", "x"]
+    assert got["id"] == "locomo-1" and [(q["question"], q["answer"], q["category"]) for q in got["qa"][1:]] == [("when Use DATE of CONVERSATION to answer with an approximate date.", ["May"], 2), ("no", ["No information available", "Not mentioned"], 5), ("n", [""], None)]
+
+
+def test_recommendations_get_names(spark):
+    raw = spark.createDataFrame([(4, "c", ["a", "b", "x"], [["1, 2"], [" "]], ("recsys_redial",)), (9, "d", ["q"], [["7"]], ("icl_nlu",))], "row_idx long, context string, questions array<string>, answers array<array<string>>, metadata struct<source:string>")
+    entities = spark.createDataFrame([("http://e/Up_(2009_film)>", 1), ("http://e/The-Big_Heat", 2)], "uri string, entity int")
+    got = {r.id: [q.answer for q in r.qa] for r in adapters.mab(raw, "mab_ttl", "TTL", "", adapters.entity_names(entities)).collect()}
+    assert got == {"mab_ttl-0": [["Up", "The Big Heat"], []], "mab_ttl-1": [["7"]]}
+    with pytest.raises(Exception, match="no name for entity 2"):
+        adapters.mab(raw, "mab_ttl", "TTL", "", adapters.entity_names(entities.where("entity = 1"))).collect()
+    assert [r.id for r in adapters.mab(raw, "icl", "TTL", "icl_").collect()] == ["icl-0"]
 
 
 def test_sinks_and_readers(spark, tmp_path):
