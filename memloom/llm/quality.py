@@ -13,7 +13,7 @@ Columns beside doc_id and text are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -169,6 +169,25 @@ def marginals(emission: np.ndarray, ties: np.ndarray, first: np.ndarray) -> tupl
     return good, pairs
 
 
+def slope(cells: np.ndarray, truth: np.ndarray, weight: np.ndarray, first: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The slope of the loss at weights of cells, a bias and four ties: minus the log likelihood of the true labelling, each line's and pair's part of it by the line's weight, and the ridge. Lines of a document have one weight."""
+    k = 3 * MEASURES * BINS
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    inner = np.append(row[1:] == row[:-1], False)
+    goal = np.zeros((len(row), 2, 2))
+    goal[np.flatnonzero(inner), truth[inner].astype(int), truth[np.flatnonzero(inner) + 1].astype(int)] = 1
+    flat_cells = np.where(cells < 0, k, cells).reshape(-1)
+
+    def gradient(v: np.ndarray) -> np.ndarray:
+        good, pairs = marginals(emissions(cells, v[:k], v[k]), v[k + 1 :].reshape(2, 2), first)
+        error = (good - truth) * weight
+        own = np.bincount(flat_cells, np.repeat(error, cells.shape[1]), minlength=k + 1)[:k]
+        tie = ((pairs - goal) * weight[:, None, None]).sum(0).reshape(-1)
+        return np.concatenate((own + RIDGE * v[:k], [error.sum()], tie + RIDGE * v[k + 1 :]))
+
+    return gradient
+
+
 def fit(texts: list[str], y: np.ndarray, steps: int = STEPS) -> Model:
     """The model of labelled texts."""
     if not len(y):
@@ -191,19 +210,7 @@ def fit(texts: list[str], y: np.ndarray, steps: int = STEPS) -> Model:
     row = np.repeat(np.arange(len(y)), counts)
     weight = ((part < 4) / np.maximum(counts, 1))[row] / max(1, int(((part < 4) & (counts > 0)).sum()))
     truth, k = y[row], 3 * MEASURES * BINS
-    inner = np.append(row[1:] == row[:-1], False)
-    goal = np.zeros((len(row), 2, 2))
-    goal[np.flatnonzero(inner), truth[inner].astype(int), truth[inner].astype(int)] = 1
-    flat_cells = np.where(cells < 0, k, cells).reshape(-1)
-
-    def gradient(v: np.ndarray) -> np.ndarray:
-        good, pairs = marginals(emissions(cells, v[:k], v[k]), v[k + 1 :].reshape(2, 2), first)
-        error = (good - truth) * weight
-        own = np.bincount(flat_cells, np.repeat(error, cells.shape[1]), minlength=k + 1)[:k]
-        tie = ((pairs - goal) * weight[:, None, None]).sum(0).reshape(-1)
-        return np.concatenate((own + RIDGE * v[:k], [error.sum()], tie + RIDGE * v[k + 1 :]))
-
-    v = adam(gradient, np.zeros(k + 5), steps, 0.1)
+    v = adam(slope(cells, truth, weight, first), np.zeros(k + 5), steps, 0.1)
     model.weights, model.bias, model.ties = v[:k].reshape(3, MEASURES, BINS), float(v[k]), v[k + 1 :].reshape(2, 2)
     scale = np.flatnonzero((part == 4) & (counts > 0))
     if len(scale):

@@ -1,6 +1,7 @@
 """Operator 4: toxicity by a counterfactually regularised classifier.
 
-Logistic regression over the presence of words and of their beginnings in the whole text. Beside the labels' likelihood the
+Logistic regression over the presence of words and of their beginnings in the whole text, each scaled by the log of the ratio of its odds among toxic texts and among others, so that a rare
+word which only toxic texts have isn't outvoted by many common ones. Beside the labels' likelihood the
 fit penalises what identity terms change: wherever a labelled sentence names a group, the term is swapped for another of its kind, in one
 sentence of each labelled text two terms of a kind are put in for a word, and the squared change of the score is added to the loss, so that naming a group moves a
 score as little as the penalty allows.
@@ -28,7 +29,9 @@ DIVISOR, REST = 5, 0
 #: Bytes of the beginnings of words that count as features.
 PREFIXES = (3, 4, 5, 6, 7, 8, 9)
 #: Features kept, the rows that must hold one, and the weights of the ridge and of the counterfactual penalty.
-FEATURES, LEAST_ROWS, RIDGE, COUNTERFACTUAL = 40_000, 4, 2e-3, 1.0
+FEATURES, LEAST_ROWS, RIDGE, COUNTERFACTUAL = 40_000, 3, 2e-3, 1.0
+#: The least and the largest scale of a feature.
+SCALES = (0.3, 6.0)
 #: Terms that name groups, by kind; a term is swapped for others of its kind. Fixed values.
 IDENTITY = (
     "women men girls boys woman man mujeres hombres femmes hommes frauen männer".split(),
@@ -151,15 +154,15 @@ def swaps(texts: list[str], rng: np.random.Generator) -> tuple[list[str], list[s
     return one, other
 
 
-def gradient(x: np.ndarray, z: np.ndarray, row: np.ndarray, place: np.ndarray, pair_row: np.ndarray, pair_place: np.ndarray, pair_sign: np.ndarray, pairs: int) -> np.ndarray:
-    """The slope of the loss at x (weights, then the bias): the mean log loss of rows with labels z, the ridge, and the penalty on the mean squared change between the sentences of a pair."""
+def gradient(x: np.ndarray, z: np.ndarray, row: np.ndarray, place: np.ndarray, pair_row: np.ndarray, pair_place: np.ndarray, pair_sign: np.ndarray, pairs: int, scale: np.ndarray | float = 1.0) -> np.ndarray:
+    """The slope of the loss at x (a weight for each feature of that scale, then the bias): the mean log loss of rows with labels z, the ridge, and the penalty on the mean squared change between the sentences of a pair."""
     f = len(x) - 1
-    w = x[:f]
+    w = x[:f] * scale
     error = (sigmoid(x[f] + np.bincount(row, w[place], minlength=len(z))) - z) / len(z)
-    g = np.bincount(place, error[row], minlength=f) + RIDGE * w
+    g = np.bincount(place, error[row], minlength=f)
     change = np.bincount(pair_row, w[pair_place] * pair_sign, minlength=pairs)
     g += COUNTERFACTUAL * 2 / pairs * np.bincount(pair_place, change[pair_row] * pair_sign, minlength=f)
-    return np.append(g, error.sum())
+    return np.append(g * scale + RIDGE * x[:f], error.sum())
 
 
 def fit(texts: list[str], y: np.ndarray, steps: int = 200) -> Model:
@@ -180,6 +183,8 @@ def fit(texts: list[str], y: np.ndarray, steps: int = 200) -> Model:
     expected = n * z.mean()
     chi = np.where(n >= LEAST_ROWS, (n1 - expected) ** 2 / np.maximum(expected * (1 - z.mean()), 1e-9), -1)
     kept = np.sort(np.argsort(-chi, kind="stable")[: min(FEATURES, int((chi >= 0).sum()))])
+    odds = lambda hits, rows: np.log((hits[kept] + 0.5) / (rows + 1))
+    weight = np.clip(np.abs(odds(n1, z.sum()) - odds(n - n1, len(z) - z.sum())), *SCALES)
     model = Model(keys[kept], np.zeros(len(kept)), 0.0)
     row, place = placed(model, t)
     one, other = swaps(t, np.random.default_rng(7))
@@ -191,9 +196,9 @@ def fit(texts: list[str], y: np.ndarray, steps: int = 200) -> Model:
     pairs, f = max(1, len(one)), len(kept)
 
     def slope_at(x: np.ndarray) -> np.ndarray:
-        return gradient(x, z, row, place, pair_row, pair_place, pair_sign, pairs)
+        return gradient(x, z, row, place, pair_row, pair_place, pair_sign, pairs, weight)
 
-    x = adam(slope_at, np.append(np.zeros(f), np.log(share / (1 - share))), steps, 0.05)
+    x = adam(slope_at, np.append(np.zeros(f), np.log(share / (1 - share))), steps, 0.05) * np.append(weight, 1.0)
     slope, shift = 1.0, 0.0
     if len(scale):
         r, p = placed(model, [texts[k] for k in scale])
