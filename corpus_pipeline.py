@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from memloom.llm import bpe, decontaminate, neardup, substrings, toxicity
-from memloom.llm.base import drop_tables, table, tables, written
+from memloom.llm.base import Run, table, written
 from memloom.llm.learn import labelled
 
 #: Words of a passage that is cut where it repeats a document of a smaller id.
@@ -58,8 +58,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to the documents of sf_dir, one after the other. What a stage has written goes when its result is."""
-    docs, since = table(spark, sf_dir, "documents"), tables()
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
-        drop_tables(spark, since)
+    docs = table(spark, sf_dir, "documents")
+    with Run(spark) as run_:
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), name)
+            run_.drop()
     return docs

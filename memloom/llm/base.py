@@ -6,6 +6,7 @@ Batches are cut into chunks of a bounded number of bytes; a single text longer t
 
 from __future__ import annotations
 
+import contextvars
 import ctypes
 import functools
 import tempfile
@@ -41,28 +42,41 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: The tables that a run has made so far; runs beside each other, each in its thread or context, have lists of their own.
+_tables: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("tables", default=None)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cuts the lineage: the frame as Parquet in the shared folder, read again."""
     spark = df.sparkSession
     df.write.parquet(path := shared_dir(spark, what))
-    _tables.append(path)
+    if (held := _tables.get()) is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_tables: list[str] = []
+class Run:
+    """A run whose tables are its own: `with Run(spark) as run:`; a run that fails leaves none."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
 
-def tables() -> int:
-    """How many tables written() has made so far in this process."""
-    return len(_tables)
+    def __enter__(self) -> Run:
+        self.token = _tables.set(self.tables)
+        return self
 
+    def __exit__(self, kind, *_) -> None:
+        _tables.reset(self.token)
+        if kind is not None:
+            self.drop(0)
 
-def drop_tables(spark: SparkSession, since: int) -> None:
-    """Deletes the tables made since then, but for the last, which holds what they were made for."""
-    for path in _tables[since:-1]:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _tables[since:-1] = []
+    def drop(self, last: int = 1) -> None:
+        """Deletes its tables but for the last, which holds what they were made for."""
+        gone = self.tables[: len(self.tables) - last]
+        for path in gone:
+            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        del self.tables[: len(gone)]
 
 
 @functools.cache

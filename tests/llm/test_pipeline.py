@@ -59,10 +59,39 @@ def test_run_leaves_one_table(spark, stages):
 
     from memloom.llm import base
 
-    top, since = base.shared_dir(spark, "x").rsplit("/", 1)[0], base.tables()
-    before = set(glob.glob(f"{top.removeprefix('file:')}/*"))
+    top = base.shared_dir(spark, "x").rsplit("/", 1)[0]
+    there = lambda: set(glob.glob(f"{top.removeprefix('file:')}/*"))
+    before = there()
     assert sorted(r.doc_id for r in pipeline.run(spark, SF).collect()) == sorted(r.doc_id for r in stages[5].collect())
-    assert len(set(glob.glob(f"{top.removeprefix('file:')}/*")) - before) == 1 and base.tables() == since + 1
+    assert len(there() - before) == 1
+
+
+def test_runs_have_tables_of_their_own(spark):
+    import os
+    import threading
+
+    from memloom.llm.base import Run
+
+    rows, there = spark.range(3), lambda path: os.path.exists(path.removeprefix("file:"))
+    with Run(spark) as one:
+        written(rows, "a")
+
+        def other():
+            with Run(spark) as two:
+                written(rows, "b")
+                written(rows, "c")
+                two.drop()
+                assert [there(p) for p in two.tables] == [True]
+
+        thread = threading.Thread(target=other)
+        thread.start()
+        thread.join()
+        assert len(one.tables) == 1 and there(one.tables[0])
+    with pytest.raises(ValueError, match="stops"), Run(spark) as failed:
+        written(rows, "d")
+        path = failed.tables[0]
+        raise ValueError("stops")
+    assert not there(path) and there(one.tables[0])
 
 
 def test_near_duplicates(stages):
