@@ -43,15 +43,25 @@ def pack_with_offsets(rows: DataFrame, pack: str, order: str) -> DataFrame:
     return one.select(pack, F.flatten(F.transform("x", lambda r: r["docs"])).alias("docs"), F.flatten(F.transform("x", lambda r: r["evidence"])).alias("evidence"))
 
 
-def dense_index(rows: DataFrame, order: str, name: str = "idx", per_range: int = 1 << 16, most: int = 1024) -> DataFrame:
-    """A gapless index from 0 in order of a numeric column, in two passes: counts of ranges of the order, then places inside them. Ranges end at approximate quantiles, so that they hold alike whatever the values; no window goes over all rows."""
+#: Rows of a range, and ranges at most.
+RANGE_ROWS, RANGES = 1 << 16, 1024
+
+
+def range_of(rows: DataFrame, order: str, per_range: int | None = None) -> Column:
+    """The number of the range that a row's place in a numeric order lies in: ranges end at approximate quantiles, so that they hold alike whatever the values are. A null is in the first."""
     total = rows.count()
-    if not total:
-        return rows.withColumn(name, F.lit(0).cast("long"))
-    number = min(most, -(-total // per_range))
-    ends = rows.agg(F.percentile_approx(order, [k / number for k in range(1, number)], 100 * most)).first()[0] if number > 1 else []  # `most` numbers at most
-    ranged = rows.withColumn("_range", F.size(F.filter(F.lit(sorted(set(ends))), lambda e: e < F.col(order))) if ends else F.lit(0))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # `most` rows
+    number = min(RANGES, -(-total // (per_range or RANGE_ROWS)))
+    if number < 2:
+        return F.lit(0)
+    ends = rows.agg(F.percentile_approx(order, [k / number for k in range(1, number)], 100 * RANGES)).first()[0]  # RANGES numbers at most
+    ends = sorted(set(ends or []))
+    return F.coalesce(F.size(F.filter(F.lit(ends), lambda e: e < F.col(order))), F.lit(0)) if ends else F.lit(0)
+
+
+def dense_index(rows: DataFrame, order: str, name: str = "idx", per_range: int | None = None) -> DataFrame:
+    """A gapless index from 0 in order of a numeric column, in two passes: counts of ranges of the order, then places inside them; no window goes over all rows."""
+    ranged = rows.withColumn("_range", range_of(rows, order, per_range))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
     starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
     return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + inside).drop("_range", "_start")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import order_key
-from memloom.operators.regroup import take_by_key
+from memloom.operators.regroup import range_of, take_by_key
 
 
 def placed(rows: DataFrame, key: list[str], order: Column, part: Column, name: str = "place") -> DataFrame:
@@ -26,9 +26,9 @@ def by_hash(rows: DataFrame, key: list[str], seed: object, salt: object, id_: st
     return placed(rows, key, F.struct(digest, F.col(id_)), F.substring(digest, 1, 2), name)
 
 
-def by_id(rows: DataFrame, key: list[str], id_: str, name: str = "place", width: int = 1 << 16) -> DataFrame:
-    """Places in order of a numeric id, `width` ids a part."""
-    return placed(rows, key, F.col(id_), F.floor(F.col(id_) / width), name)
+def by_id(rows: DataFrame, key: list[str], id_: str, name: str = "place") -> DataFrame:
+    """Places in order of a numeric id, by ranges of ids that hold alike, however far apart the ids are."""
+    return placed(rows, key, F.col(id_), range_of(rows, id_), name)
 
 
 def consecutive(rows: DataFrame, key: list[str], id_: str, size: int, name: str = "part", whole: bool = False) -> DataFrame:
@@ -68,14 +68,18 @@ def manifest(rows: DataFrame, id_: str, size: int, seed: int) -> DataFrame:
     return taken.agg(F.count("*").alias("sample_rows"), F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(id_)), lambda x: x.cast("string")), ",")).alias("indices_sha1"))
 
 
-def until(batches: DataFrame, order: str, kept: str, target: int, width: int = 1024) -> DataFrame:
-    """The batches in order up to the one with which `target` rows are kept. Sums run over groups of `width` batches, then inside them."""
-    grouped = batches.withColumn("_group", F.floor(F.col(order) / width))
-    above = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)  # a row for `width` batches
-    starts = grouped.groupBy("_group").agg(F.sum(kept).alias("_n")).select("_group", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_start"))
+def sums_before(rows: DataFrame, order: str, n: str, name: str) -> DataFrame:
+    """The rows with the sum of n over all rows before them in a numeric order without repeats: sums of ranges, then sums inside them."""
+    grouped = rows.withColumn("_group", range_of(rows, order))
+    above = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = grouped.groupBy("_group").agg(F.sum(n).alias("_sum")).select("_group", F.coalesce(F.sum("_sum").over(above), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("_start") + F.coalesce(F.sum(kept).over(inside), F.lit(0))
-    return grouped.join(starts, "_group").withColumn("_before", before).where(F.col("_before") < target).drop("_group", "_start", "_before")
+    return grouped.withColumn("_inside", F.coalesce(F.sum(n).over(inside), F.lit(0))).join(F.broadcast(starts), "_group").withColumn(name, F.col("_start") + F.col("_inside")).drop("_group", "_inside", "_start")
+
+
+def until(batches: DataFrame, order: str, kept: str, target: int) -> DataFrame:
+    """The batches in order up to the one with which `target` rows are kept."""
+    return sums_before(batches, order, kept, "_before").where(F.col("_before") < target).drop("_before")
 
 
 def eval_single(rows: DataFrame, dataset: str) -> DataFrame:
@@ -87,20 +91,11 @@ def eval_exploded(rows: DataFrame, dataset: str) -> DataFrame:
     """A row for each question of rows (row_idx, memory_docs, qa), ids by the questions' order over all rows."""
     each = rows.select("row_idx", "memory_docs", F.posexplode("qa").alias("question_no", "question"))
     before = each.groupBy("row_idx").agg(F.count("*").alias("_n"))
-    first = placed_sum(before, "row_idx", "_n")
+    first = sums_before(before, "row_idx", "_n", "_first").select("row_idx", "_first")
     number = F.col("_first") + F.col("question_no")
     return each.join(first, "row_idx").select(F.concat(F.lit(f"{dataset}-test_single-"), number.cast("string")).alias("id"), "memory_docs", F.array("question").alias("qa"), "row_idx")
 
 
-def placed_sum(rows: DataFrame, order: str, n: str, width: int = 1 << 16) -> DataFrame:
-    """(order, _first): the sum of n over all rows before, in two passes."""
-    grouped = rows.withColumn("_group", F.floor(F.col(order) / width))
-    above = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)  # a row for `width` ids
-    starts = grouped.groupBy("_group").agg(F.sum(n).alias("_sum")).select("_group", F.coalesce(F.sum("_sum").over(above), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return grouped.withColumn("_inside", F.coalesce(F.sum(n).over(inside), F.lit(0))).join(starts, "_group").select(order, (F.col("_start") + F.col("_inside")).alias("_first"))
-
-
 def eval_packs(rows: DataFrame, dataset: str) -> DataFrame:
     """Rows that share a memory as one, ids by the order in which memories come first."""
     from memloom.operators.regroup import by_memory

@@ -35,8 +35,23 @@ def bin_pack_invariants(spark, sf_dir):
 
 @query("step_balance")
 def step_balance(spark, sf_dir):
-    packs = _packs(spark, sf_dir).groupBy("pool", "pack").agg(F.sum("n").alias("weight"))
-    return sequential.balanced_steps(packs, 4)
+    """Packs of documents by their lengths, balanced by their labels, here lines."""
+    lines = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.size(F.split("text", "\n")).cast("long").alias("labels"))
+    name = F.shiftleft(F.col("pool").cast("long"), 32) + F.col("pack")
+    packs = _packs(spark, sf_dir).join(lines, "idx").groupBy(name.alias("pack")).agg(F.sum("labels").alias("weight"))
+    return sequential.balanced_steps(packs, 4, 7)
+
+
+@query("balanced_steps", """WITH d AS (SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS weight, md5('5|pack|' || CAST(doc_id AS VARCHAR)) AS draw FROM documents), c AS (SELECT count(*) AS n, count(*) // 8 AS s FROM d),
+ k AS (SELECT *, row_number() OVER (ORDER BY draw DESC, doc_id DESC) AS gone FROM d),
+ p AS (SELECT doc_id, weight, draw, row_number() OVER (ORDER BY -(weight + CAST('0x' || substr(draw, 1, 8) AS BIGINT) / 4294967296.0::DOUBLE), draw, doc_id) - 1 AS place, s FROM k, c WHERE gone > n % 8),
+ r AS (SELECT *, CASE WHEN place // s % 2 = 0 THEN place % s ELSE s - 1 - place % s END AS k FROM p),
+ t AS (SELECT k, row_number() OVER (ORDER BY md5('5|step|' || CAST(k AS VARCHAR)), k) - 1 AS step FROM (SELECT unnest(range(0, s)) AS k FROM c) x)
+ SELECT doc_id, weight, step, CAST(row_number() OVER (PARTITION BY step ORDER BY draw, doc_id) - 1 AS INTEGER) AS slot FROM r JOIN t USING (k)""")
+def balanced_steps(spark, sf_dir):
+    """Steps of eight documents of nearly the same number of lines."""
+    packs = read(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("weight"))
+    return sequential.balanced_steps(packs, 8, 5, "doc_id")
 
 
 @query("group_filter_stream")

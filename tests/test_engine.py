@@ -147,8 +147,56 @@ def test_bins_hold_and_cover(spark):
     rows = spark.range(300).select(F.col("id").alias("idx"), (F.col("id") * 37 % 120 + 1).alias("n"))
     packs = sequential.bin_packs(rows, 100).toPandas()
     assert packs.groupby("pack").n.sum().max() <= 100 and len(packs) == rows.where("n <= 100").count() and packs.idx.is_unique
-    steps = sequential.balanced_steps(spark.createDataFrame(packs.groupby(["pool", "pack"], as_index=False).n.sum().rename(columns={"n": "weight"})), 4).toPandas()
-    assert (steps.groupby("step").size() == 4).all()
+
+
+def two_ends(sizes, target):
+    """The members of packs: the largest left opens one, the smallest left fill it."""
+    left, packs = sorted((n, -i) for i, n in sizes if n <= target), []
+    while left:
+        packs.append([left.pop()])
+        while left and sum(n for n, _ in packs[-1]) + left[0][0] <= target:
+            packs[-1].append(left.pop(0))
+    return [{-i for _, i in p} for p in packs]
+
+
+def test_packs_are_those_of_two_ends(spark):
+    import random
+
+    rng = random.Random(3)
+    for target in (1, 20, 100):
+        sizes = [(i, rng.choice([0, 1, 5, 20, 21, 33, 60, 100])) for i in rng.sample(range(10**6), 150)]
+        found = sequential.bin_packs(spark.createDataFrame(sizes, "idx long, n long").repartition(3), target).collect()
+        packs = {}
+        for r in found:
+            packs.setdefault(r.pack, set()).add(r.idx)
+        assert [packs[k] for k in range(len(packs))] == two_ends(sizes, target)
+    assert sequential.bin_packs(spark.createDataFrame([], "idx long, n long"), 5).count() == 0
+
+
+def test_steps_are_balanced(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    monkeypatch.setattr(regroup, "RANGE_ROWS", 100)
+    for weights, per in (([rng.randint(1, 50) for _ in range(1003)], 8), ([7] * 500, 10), ([10**9, *[1] * 63], 8), ([3] * 5, 8)):
+        rows = spark.createDataFrame([(k * 10**12, w) for k, w in enumerate(weights)], "pack long, weight long").repartition(4)
+        found = sequential.balanced_steps(rows, per, 2).toPandas()
+        assert len(found) == len(weights) // per * per and found.pack.is_unique
+        sums = found.groupby("step").weight.sum()
+        assert (found.groupby("step").size() == per).all() and set(found.step) == set(range(len(weights) // per))
+        assert all(sorted(x) == list(range(per)) for _, x in found.groupby("step").slot)
+        if len(sums):
+            assert sums.max() - sums.min() <= max(weights) - min(weights)
+    first = {frozenset(x) for _, x in sequential.balanced_steps(rows, 2, 2).toPandas().groupby("step").pack}
+    assert len({tuple(sorted(r.pack for r in sequential.balanced_steps(rows, 2, seed).collect())) for seed in range(12)}) > 1 and first  # which packs go is drawn
+
+
+def test_steps_of_many_packs_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(regroup, "RANGE_ROWS", 500)
+    rows = spark.range(20_000).select(F.col("id").alias("pack"), F.lit(5).alias("weight"))
+    drawn = rows.withColumn("at", -(F.col("weight") + F.rand(1)))
+    sizes = drawn.select(regroup.range_of(drawn, "at").alias("r")).groupBy("r").count().collect()
+    assert len(sizes) == 40 and max(r["count"] for r in sizes) < 1000
 
 
 def test_pieces_keep_the_text(spark):
@@ -260,12 +308,19 @@ def test_window_schedules_are_the_simulation(spark):
             assert [seen[k, q] for q in range(len(t))] == [sum(t[j] for j in range(q + 1) if out[j] > q) for q in range(len(t))]
 
 
-def test_places_of_hot_keys_and_skewed_ids(spark):
+def test_places_of_hot_keys_and_skewed_ids(spark, monkeypatch):
+    import random
+
     from memloom.operators import splits
 
-    ids = [*range(300), 10**15, -5, 10**12]
-    rows = spark.createDataFrame([(i, "hot" if k % 5 else f"k{k % 3}") for k, i in enumerate(ids)], "id long, key string")
-    for found, order in ((splits.by_id(rows, ["key"], "id", width=16), lambda i: i), (splits.by_hash(rows, ["key"], 3, "s", "id"), lambda i: (__import__("hashlib").md5(f"3|s|{i}".encode()).hexdigest(), i))):
+    monkeypatch.setattr(regroup, "RANGE_ROWS", 16)
+    ids = [*range(300), 10**15, -5, 10**12, *{random.Random(k).randrange(-(2**62), 2**62) for k in range(200)}]
+    rows = spark.createDataFrame([(i, "hot" if k % 10 else f"k{k % 3}") for k, i in enumerate(ids)], "id long, key string")
+    ranges = rows.select(regroup.range_of(rows, "id").alias("r")).groupBy("r").count().collect()
+    assert max(r["count"] for r in ranges) < 0.1 * len(ids)
+    before = {r.id: r.s for r in splits.sums_before(rows.withColumn("n", F.lit(3)), "id", "n", "s").collect()}
+    assert [before[i] for i in sorted(ids)] == list(range(0, 3 * len(ids), 3))
+    for found, order in ((splits.by_id(rows, ["key"], "id"), lambda i: i), (splits.by_hash(rows, ["key"], 3, "s", "id"), lambda i: (__import__("hashlib").md5(f"3|s|{i}".encode()).hexdigest(), i))):
         by_key = {}
         for r in found.collect():
             by_key.setdefault(r.key, []).append((r.place, r.id, r.n))
