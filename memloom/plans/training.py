@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memloom.functions import spans
-from memloom.operators import samples, schedules
+from memloom.operators import samples, schedules, visibility
 from memloom.plans.registry import query, read
 from memloom.sources.arrow_files import read_arrow, write_arrow
 from memloom.sources.io import complaint, shared_folder
@@ -97,3 +97,41 @@ def sink_rows(spark, sf_dir):
     write_rows(rows, path := shared_folder(spark, "rows"), complaint(), "id")
     found = read_rows(spark, path, qa="array<struct<question:string,answer:array<string>>>")
     return found.select("id", F.size("memory_docs").cast("long").alias("docs"), F.size("qa").cast("long").alias("questions"), F.md5(F.array_join(F.transform("qa", lambda q: q["question"]), "|")).alias("digest"))
+
+
+#: A document's lines as runs of tokens (a token a character): lines of four are a document, every third line is shared and the others are of two segments, every fifth is evicted, a line is a chunk that stays for six.
+_RUNS = "(SELECT doc_id, i, length(line) AS n, i // 4 AS d, CASE WHEN i % 3 = 0 THEN 0 ELSE i % 2 + 1 END AS s, i % 5 = 4 AS e, i + 6 AS g FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents) l)"
+
+
+def _runs(spark, sf_dir):
+    each = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    segment = F.when(F.col("i") % 3 == 0, 0).otherwise(F.col("i") % 2 + 1)
+    return each.select("doc_id", "i", F.length("line").alias("n"), F.expr("i DIV 4").alias("d"), segment.alias("s"), (F.col("i") % 5 == 4).alias("e"), F.col("i").alias("c"), (F.col("i") + 6).alias("g"))
+
+
+def _seen_sql(mask: str) -> str:
+    return f"SELECT q.doc_id, CAST(q.i AS INTEGER) AS i, CAST(coalesce(sum(k.n), 0) AS BIGINT) AS visible FROM {_RUNS} q LEFT JOIN {_RUNS} k ON q.doc_id = k.doc_id AND k.i <= q.i AND {mask} GROUP BY q.doc_id, q.i"
+
+
+_STATIC, _SEGMENT, _DOCUMENT, _DYNAMIC = "(NOT k.e OR q.e)", "(k.s = 0 OR k.s = q.s)", "k.d = q.d", "k.g > q.i"
+
+
+@query("visible_static", _seen_sql(_STATIC))
+def visible_static(spark, sf_dir):
+    return visibility.seen(_runs(spark, sf_dir), "doc_id", evicted="e")
+
+
+@query("visible_segments", _seen_sql(_SEGMENT))
+def visible_segments(spark, sf_dir):
+    return visibility.seen(_runs(spark, sf_dir), "doc_id", segment="s")
+
+
+@query("visible_documents", _seen_sql(_DOCUMENT))
+def visible_documents(spark, sf_dir):
+    return visibility.seen(_runs(spark, sf_dir), "doc_id", document="d")
+
+
+@query("visible_all", _seen_sql(f"{_STATIC} AND {_SEGMENT} AND {_DYNAMIC}"))
+def visible_all(spark, sf_dir):
+    """Static and dynamic eviction and segments together."""
+    return visibility.seen(_runs(spark, sf_dir), "doc_id", segment="s", evicted="e", chunk="c", evict_at="g")

@@ -65,3 +65,30 @@ def test_packed_rows(spark, rows):
 
 def test_no_rows(spark):
     assert schedules.segment_schedule(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+# ---- what tokens see
+
+
+def test_masks_are_those_of_token_pairs(spark):
+    from memloom.operators import visibility
+
+    rng, runs = random.Random(6), []
+    for key in range(12):
+        chunk, length = 0, rng.randint(1, 25)
+        for i in range(length):
+            chunk += rng.random() < 0.6
+            runs.append((key, i, rng.randint(0, 6), rng.randint(0, 2), rng.randint(0, 2), rng.random() < 0.4, chunk, rng.choice([None, chunk + 1, chunk + 3, 99])))
+    frame = spark.createDataFrame(runs, "key int, i int, n int, d int, s int, e boolean, c int, g int").repartition(3)
+    for names in ({}, {"document": "d"}, {"segment": "s"}, {"evicted": "e"}, {"chunk": "c", "evict_at": "g"}, {"document": "d", "segment": "s", "evicted": "e"}, {"document": "d", "segment": "s", "evicted": "e", "chunk": "c", "evict_at": "g"}):
+        got = {(r.key, r.i): r.visible for r in visibility.seen(frame, "key", **names).collect()}
+        expected = {}
+        for key, i, _, d, s, e, c, _ in runs:
+            total = 0
+            for key2, j, m, d2, s2, e2, _, g2 in runs:
+                if key2 != key or j > i:
+                    continue
+                passes = ("document" not in names or d2 == d) and ("segment" not in names or s2 in (0, s)) and ("evicted" not in names or not e2 or e) and ("chunk" not in names or g2 is None or g2 > c)
+                total += m * passes
+            expected[key, i] = total
+        assert got == expected, names
