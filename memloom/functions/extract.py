@@ -133,3 +133,41 @@ def mapped_labels(block: Column, labels: Column) -> Column:
     """Those of the labels that a memory maps to something: `label N:`, `N |` or `N:` at a line's start. A fixed pattern."""
     found = F.regexp_extract_all(block, F.lit(r"(?mi)(?:\blabel\s*:?[ *]*|^\s*)(\d+)\s*(?:\*\*)?\s*(?::|\|)"), F.lit(1))
     return F.array_intersect(labels, F.transform(found, lambda x: x.cast("int")))
+
+
+def json_value(text: Column) -> Column:
+    """The first that parses of a text without thinking tags, its first fenced block, and what its outer braces hold, as a variant; null if none does."""
+    bare = strip(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
+    fenced = F.regexp_extract(bare, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    outer = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+
+    def whole(c: Column) -> Column:
+        """The value of a text that is one JSON value: in brackets, since the parser ignores what follows a value."""
+        listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")
+        return F.when(F.size(listed) == 1, F.get(listed, F.lit(0)))
+
+    return F.coalesce(*map(whole, (bare, strip(fenced), outer)))
+
+
+#: What questions and answers may be called, the first that says something counting. Fixed values.
+QUESTION, ANSWER = ("q", "question", "Q"), ("a", "answer", "A")
+
+
+def qa_pairs(text: Column) -> Column:
+    """The pairs struct(q, a) of a model's output: a JSON array of objects, or an object that has one as qa_pairs. Items that are no objects or lack a question or an answer go; null where none is left,
+    nothing parses or the list is none. Numbers and booleans count as JSON writes them; zero, false and empty texts say nothing."""
+
+    def said(item: Column, names: tuple[str, ...]) -> Column:
+        def one(name: str) -> Column:
+            value = F.try_variant_get(item, f"$.{name}", "string")
+            plain = F.schema_of_variant(F.try_variant_get(item, f"$.{name}", "variant")) == "STRING"
+            return F.when((value != "") & (plain | ~value.isin("0", "0.0", "false", "[]", "{}")), value)
+
+        return F.coalesce(*map(one, names))
+
+    def pairs(value: Column) -> Column:
+        items = F.coalesce(F.try_variant_get(value, "$.qa_pairs", "array<variant>"), F.try_variant_get(value, "$", "array<variant>"))
+        each = F.transform(items, lambda x: F.struct(strip(said(x, QUESTION)).alias("q"), strip(said(x, ANSWER)).alias("a")))
+        return F.filter(each, lambda x: x["q"].isNotNull() & x["a"].isNotNull())
+
+    return let(json_value(text), lambda v: let(pairs(v), lambda found: F.when(F.size(found) > 0, found)))

@@ -48,6 +48,12 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{(top or tempfile.mkdtemp(prefix='memloom-')).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The frame as Parquet in the shared folder, read again: cuts the lineage."""
+    df.write.parquet(path := shared_folder(df.sparkSession, what))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_json(df: DataFrame, path: str) -> int:
     """Writes JSON lines and returns how many, counted while they are written."""
     from pyspark.sql import Observation

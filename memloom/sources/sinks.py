@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
@@ -73,3 +75,36 @@ def write_rows(df: DataFrame, path: str, rule: Column | None = None, order: str
 def read_rows(spark: SparkSession, path: str, **kinds: str) -> DataFrame:
     """The rows of write_rows(), JSON columns as values of the kinds given."""
     return restored(spark.read.parquet(path), **kinds)
+
+
+def write_splits(df: DataFrame, path: str, validation: Column, **counts: Column) -> dict[str, int]:
+    """All rows under part=train and those that are validation under part=val too, and the observed counts as JSON under stats: one pass over the rows."""
+    spark, seen = df.sparkSession, Observation()
+    marked = df.observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(validation).alias("validation"), *(c.alias(k) for k, c in counts.items()))
+    part = F.explode(F.when(validation, F.array(F.lit("train"), F.lit("val"))).otherwise(F.array(F.lit("train"))))
+    marked.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
+    found = seen.get
+    spark.createDataFrame([(json.dumps(found, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/stats")
+    return found
+
+
+#: Rows of a report, and columns.
+MOST = 10_000
+
+
+def markdown(cells: DataFrame, row: str, column: str, title: str) -> DataFrame:
+    """(line_no, line) of a Markdown table of cells (row, column, cell): rows and columns in order, `-` where there is no cell. A report has MOST rows and columns at most; more are an error."""
+    names = [r[0] for r in cells.select(column).distinct().orderBy(column).limit(MOST + 1).collect()]
+    rows = cells.select(row).distinct().limit(MOST + 1).count()
+    if max(len(names), rows) > MOST:
+        raise ValueError(f"a report of more than {MOST} rows or columns")
+    by = cells.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(column, "cell"))).alias("by"))
+    line = F.concat(F.lit("| "), F.col(row), *(F.concat(F.lit(" | "), F.coalesce(F.try_element_at("by", F.lit(n)), F.lit("-"))) for n in names), F.lit(" |"))
+    body = by.select((F.row_number().over(Window.orderBy(row)) + 3).alias("line_no"), line.alias("line"))  # MOST rows at most
+    head = [(1, f"# {title}"), (2, "| " + " | ".join([row, *names]) + " |"), (3, "|---|" + "---|" * len(names))]
+    return cells.sparkSession.createDataFrame(head, "line_no int, line string").unionByName(body)
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """The lines (line_no, line) as one text file."""
+    lines.repartition(1).sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)

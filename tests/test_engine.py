@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions import extract, judge, rules, spans, text
 from memloom.operators import matrix, regroup, sequential
-from memloom.plans import adapted, corpus, pieces, scoring, spans_and_prompts, stateful, streams, training  # noqa: F401
+from memloom.plans import adapted, corpus, outputs, pieces, scoring, spans_and_prompts, stateful, streams, training  # noqa: F401
 from memloom.plans.registry import ORACLE, QUERIES, TABLES
 from memloom.sources import adapters, io
 from memloom.streaming import folds
