@@ -257,6 +257,14 @@ OFFICIAL = {
         "Dialogue between User and Assistant  \n<User> The following context is the examples I have learned: \n{context}\n <Assistant> I have learned the examples and I will answer the question you ask.",
         'Use the provided mapping from the context to numerical label to assign a numerical label to the context. Only output "label: {{label}}" and nothing else. \n\n{question} \n\n label:',
     ),
+    "recsys_redial": (
+        "Dialogue between User and Assistant  \n<User> The following context is the dialogues between a user and recommender system: \n{context}\n <Assistant> I have memorized the dialogues and I will answer the question you ask.",
+        "Pretend you are a movie recommender system. You need to recommend movies based on the dialogues you have memorized. Now I will give you a new conversation between a user and you (a recommender system). Based on the conversation, you reply me with 20 recommendations without extra sentences. \n\nFor Example:\n\n[Conversation]\n\nThe recommendations are: \n1.movie1\n2.movie2\n...\n\n Here is the conversation: {question} \n\n The recommendations are: \n",
+    ),
+    "factconsolidation": (
+        "Dialogue between User and Assistant  \n<User> The following context is the facts I have learned: \n{context}\n <Assistant> I have learned the facts and I will answer the question you ask.",
+        "Pretend you are a knowledge management system. Each fact in the knowledge pool is provided with a serial number at the beginning, and the newer fact has larger serial number. \n You need to solve the conflicts of facts in the knowledge pool by finding the newest fact with larger serial number. You need to answer a question based on this rule. You should give a very concise answer without saying other words for the question **only** from the knowledge pool you have memorized rather than the real facts in real world. \n\nFor example:\n\n [Knowledge Pool] \n\n Question: Based on the provided Knowledge Pool, what is the name of the current president of Russia? \nAnswer: Donald Trump \n\n Now Answer the Question: Based on the provided Knowledge Pool, {question} \nAnswer:",
+    ),
     "unified": (UNIFIED_HEADER + SEPARATOR + "{context}", "Question: {question}\nAnswer:"),
 }
 
@@ -275,3 +283,59 @@ def _filled(template: str, name: str, value: Column) -> Column:
 def default_budget(max_new: Column, group: Column) -> Column:
     """Tokens to generate where a configuration says nothing."""
     return F.coalesce(max_new, F.when(group, 8192).otherwise(1024))
+
+
+#: Prompts of a model that maintains labels, asks questions about a text, or embeds a query. Fixed texts.
+MAPPING = """Required labels ({count} total): {required}
+
+Current label-to-intent mapping:
+{block}
+
+New labeled examples:
+{chunk}
+
+Rewrite the complete mapping using all evidence accumulated so far. Rules:
+- Every training example ends with `label: N`. Only that exact N may update row N.
+- Output exactly one line for every required label and no other labels. Copy each numeric key exactly; never create keys by counting rows.
+- Use `Label N: <generalized intent>; prototype: <one short example>` on each line.
+- Never omit, merge, split, renumber, shift, or reuse labels. If uncertain, retain the current row for that same N.
+- Name the shortest general category or requested answer type shared by examples with that exact label. Never copy a single example as the intent.
+- Aggregate new evidence into the current row for the same N; do not replace a general intent with the latest example or accumulate prototype lists.
+- Keep each line under 20 words so the complete table fits the budget.
+Keep the whole mapping under about {budget} tokens. Output ONLY the mapping."""
+QUESTIONS = """Based on the following summary text, generate exactly {n} diverse question-answer pairs that cover key facts.
+
+**CRITICAL REQUIREMENTS:**
+1. **Question Type:** Generate **"WH-questions"** (Who, What, Where, When, etc.).
+2. **Answer Style:** Answers must be **concise** (ideally under 10 words).
+3. **Content:** Questions must be answerable *only* from the provided text.
+4. **Format:** Your output MUST be a valid JSON object with a single key "qa_pairs".
+
+[SUMMARY TEXT]
+{summary}
+"""
+RETRIEVE = ("Given a web search query, retrieve relevant passages that answer the query", "Instruct: {task}\nQuery:{query}")
+
+
+def _with(template: str, **values: Column) -> Column:
+    """The template with its holes filled, each once and in the order given; what is filled in is never read as a template."""
+    out, rest = [], template
+    for name, value in values.items():
+        head, _, rest = rest.partition("{%s}" % name)
+        out += [F.lit(head), value]
+    return F.concat(*out, F.lit(rest))
+
+
+def mapping_prompt(block: Column, chunk: Column, budget: Column, labels: Column) -> Column:
+    """The user's turn that asks for a complete mapping of labels."""
+    shown = F.when(F.coalesce(block, F.lit("")) == "", F.lit("(empty)")).otherwise(block)
+    required = F.array_join(F.transform(labels, lambda x: x.cast("string")), ", ")
+    return _with(MAPPING, count=F.size(labels).cast("string"), required=required, block=shown, chunk=chunk, budget=budget.cast("string"))
+
+
+def questions_prompt(summary: Column, n: Column) -> Column:
+    return _with(QUESTIONS, n=n.cast("string"), summary=summary)
+
+
+def retrieval_query(query: Column, task: str = RETRIEVE[0]) -> Column:
+    return _with(RETRIEVE[1], task=F.lit(task), query=query)

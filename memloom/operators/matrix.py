@@ -24,8 +24,15 @@ def datasets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "dataset string, family string, pack boolean, profiles array<string>")
 
 
-def runs(spark: SparkSession, profile: str | None = None) -> DataFrame:
-    """(model, dataset, profile, pool) of all runs: models with orchestration use the untruncated profile alone, packs go to one of them, the aligned sets to two models; state needs a server pool of its own; a profile leaves its runs alone."""
+def present(counts: DataFrame) -> DataFrame:
+    """Datasets (dataset, family, pack, profiles) that are there, from (dataset, family, pack); a family without profiles of its own has the long ones."""
+    names = lambda profiles: F.array(*map(F.lit, profiles))
+    profiles = F.when(F.col("family") == "align", names(ALIGN)).when(F.col("family") == "wiki", names(SHORT)).otherwise(names(LONG))
+    return counts.select("dataset", "family", "pack", profiles.alias("profiles"))
+
+
+def runs(spark: SparkSession, profile: str | None = None, sets: DataFrame | None = None) -> DataFrame:
+    """(model, dataset, profile, pool) of all runs of the release's datasets, or of others: models with orchestration use the untruncated profile alone, packs go to one of them, the aligned sets to two models; state needs a server pool of its own; a profile leaves its runs alone."""
     models = spark.createDataFrame([(m,) for m in MODELS], "model string")
     m, aligned = F.col("model"), F.col("family") == "align"
     wanted = (
@@ -36,6 +43,6 @@ def runs(spark: SparkSession, profile: str | None = None) -> DataFrame:
         .when(m == "memory", F.col("profiles"))
         .otherwise(F.slice("profiles", 2, 2))
     )
-    every = models.crossJoin(datasets(spark)).select("model", "dataset", F.explode(wanted).alias("profile"))  # six models by 31 datasets
+    every = (datasets(spark) if sets is None else sets).crossJoin(F.broadcast(models)).select("model", "dataset", F.explode(wanted).alias("profile"))  # six models
     every = every if profile is None else every.where(F.col("profile") == profile)
     return every.withColumn("pool", F.when(F.startswith("profile", F.lit("state")), F.col("profile")).otherwise(F.lit("truncate")))

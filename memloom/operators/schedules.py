@@ -41,6 +41,15 @@ def visible(schedule: DataFrame, key: str) -> DataFrame:
     return both.select(key, "i", F.sum(F.col("n") - F.coalesce("gone", F.lit(0))).over(upto).alias("visible"))
 
 
+def merged(spans_: DataFrame, key: str) -> DataFrame:
+    """(key, s, e) of spans (key, s, e) with those that touch or overlap joined: a span that starts beyond the furthest end before it begins a new one."""
+    order = Window.partitionBy(key).orderBy("s", "e")
+    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begun = spans_.withColumn("_new", F.when(F.col("s") <= reach, 0).otherwise(1))
+    islands = begun.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy(key, "_island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_island")
+
+
 def segments(rows: DataFrame, turn: int = TURN) -> DataFrame:
     """(row, seq, start, n, sink, window, chunk) of rows (row, ids, mask, positions) of tokens: the sequences that are packed into a row.
 

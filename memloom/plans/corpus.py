@@ -206,9 +206,13 @@ def request_weight(spark, sf_dir):
     return rows.select("doc_id", rules.request_weight(F.expr("CAST(doc_id % 5 * 100 AS INT)"), F.expr("CAST(doc_id % 3 * 50 AS INT)"), 777, F.col("p"), 0.25).alias("weight"))
 
 
-@query("lr_schedule", "SELECT CAST(i AS BIGINT) AS step, round(CASE WHEN i < 10 THEN (i + 1) / 10.0 ELSE 0.5 * (1 + cos(3.141592653589793 * least(1.0, (i - 10) / 90.0))) END, 6) AS factor FROM range(0, 120) t(i)")
+@query("lr_schedule", """WITH b AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS step, (count(*) OVER () + 7) // 8 AS total FROM documents)
+ SELECT doc_id, CAST(step AS BIGINT) AS step, round(CASE WHEN step < 10 THEN (step + 1) / 10.0 ELSE 0.5 * (1 + cos(3.141592653589793 * least(1.0, (step - 10) / CAST(greatest(1, total - 10) AS DOUBLE)))) END, 6) AS factor FROM b""")
 def lr_schedule(spark, sf_dir):
-    return spark.range(0, 120).select(F.col("id").alias("step"), F.round(rules.learning_rate(F.col("id"), "warmup_cosine", 10, 0, 100), 6).alias("factor"))
+    """The factor with which each document is learned from: eight documents a step, in order of their ids, over one epoch."""
+    placed = regroup.dense_index(read(spark, sf_dir, "documents").select("doc_id"), "doc_id").withColumn("step", F.expr("idx DIV 8"))
+    total = -(-read(spark, sf_dir, "documents").count() // 8)
+    return placed.select("doc_id", "step", F.round(rules.learning_rate(F.col("step"), "warmup_cosine", 10, 0, total), 6).alias("factor"))
 
 
 # ---- samples and splits
@@ -356,8 +360,7 @@ def frontier(spark, sf_dir):
 @query("merge_spans", "WITH e AS (SELECT user_id, event_id AS s, event_id + CASE WHEN event_type = 'view' THEN 200 ELSE 20 END AS e FROM events), f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY user_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM e), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s) AS island FROM f) SELECT user_id, CAST(min(s) AS INTEGER) AS s, CAST(max(e) AS INTEGER) AS e FROM g GROUP BY user_id, island")
 def merge_spans(spark, sf_dir):
     rows = run_sql(spark, sf_dir, "SELECT user_id, CAST(event_id AS INT) AS s, CAST(event_id + CASE WHEN event_type = 'view' THEN 200 ELSE 20 END AS INT) AS e FROM [events]")
-    merged = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("x"))
-    return merged.select("user_id", F.explode(spans.merge_adjacent(F.col("x"))).alias("x")).select("user_id", "x.s", "x.e")
+    return schedules.merged(rows, "user_id")
 
 
 @query("common_prefix", "WITH p AS (SELECT a.doc_id, CAST(least(length(a.text), length(b.text)) AS BIGINT) AS n, string_split(a.text, '') AS x, string_split(b.text, '') AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1), c AS (SELECT doc_id, unnest(x[1:n]) AS x, unnest(y[1:n]) AS y, unnest(range(0, n)) AS i FROM p), d AS (SELECT doc_id, min(i) AS i FROM c WHERE x <> y GROUP BY doc_id) SELECT p.doc_id, CAST(coalesce(d.i, p.n) AS INTEGER) AS n FROM p LEFT JOIN d ON d.doc_id = p.doc_id")

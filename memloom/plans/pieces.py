@@ -258,7 +258,7 @@ def recipe_giant(spark, sf_dir):
 
 # ---- official prompts and small rules
 
-OFFICIAL = ("c2l", "locomo", "longmemeval", "eventqa", "in_context_learning", "unified")
+OFFICIAL = ("c2l", "locomo", "longmemeval", "eventqa", "in_context_learning", "recsys_redial", "factconsolidation", "unified")
 
 
 def _official_sql(kind: str) -> str:
@@ -285,3 +285,25 @@ def frontier_message(spark, sf_dir):
     """The chunk that holds a text's middle, where chunks are its lines."""
     rows = _lengths(spark, sf_dir).select("doc_id", F.explode(F.array(F.transform(spans.chunk_spans(F.col("n")), lambda x: x["e"]))).alias("ends"))
     return rows.select("doc_id", spans.chunk_of(F.col("ends"), F.floor(F.element_at("ends", -1) / 2)).alias("chunk"))
+
+
+_QUOTE = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _filled_sql(template: str, **values: str) -> str:
+    out = []
+    for name, value in values.items():
+        head, _, template = template.partition("{%s}" % name)
+        out += [_QUOTE(head), value]
+    return " || ".join([*out, _QUOTE(template)])
+
+
+@query("model_prompts", f"""WITH t AS (SELECT doc_id, text, source, CASE WHEN quality = toxic THEN [quality] ELSE [0, 1] END AS labels FROM documents JOIN labels USING (doc_id))
+ SELECT doc_id, md5({_filled_sql(rules.MAPPING, count="CAST(len(labels) AS VARCHAR)", required="array_to_string(labels, ', ')", block="CASE WHEN doc_id % 2 = 0 THEN '(empty)' ELSE source END", chunk="text", budget="'4096'")}) AS mapping,
+ md5({_filled_sql(rules.QUESTIONS, n="CAST(doc_id % 9 + 1 AS VARCHAR)", summary="text")}) AS questions, md5({_filled_sql(rules.RETRIEVE[1], task=_QUOTE(rules.RETRIEVE[0]), query="text")}) AS retrieval FROM t""")
+def model_prompts(spark, sf_dir):
+    """What a model is asked to keep a mapping of labels, to make questions, and to embed a query, around whole texts."""
+    labels = F.array_sort(F.array_distinct(F.array("quality", "toxic")))
+    rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
+    block = F.when(F.col("doc_id") % 2 != 0, F.col("source"))
+    return rows.select("doc_id", F.md5(rules.mapping_prompt(block, F.col("text"), F.lit(4096), labels)).alias("mapping"), F.md5(rules.questions_prompt(F.col("text"), F.col("doc_id") % 9 + 1)).alias("questions"), F.md5(rules.retrieval_query(F.col("text"))).alias("retrieval"))

@@ -90,12 +90,19 @@ def memory_query_split(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.length(found["memory"]).cast("long").alias("m"), found["query"].alias("query"))
 
 
-_RUNS = ", ".join(f"('{m}', '{d}', '{f}', {'true' if '_pack' in d else 'false'}, '{'x' if f == 'align' else 's' if f == 'wiki' or d == 'locomo_single' else 'l'}')" for m in matrix.MODELS for f, names in matrix.FAMILIES.items() for d in names)
+_MODELS = ", ".join(f"('{m}')" for m in matrix.MODELS)
+_FAMILY = "CASE min(lang) WHEN 'de' THEN 'wiki' WHEN 'en' THEN 'ttl' WHEN 'es' THEN 'align' ELSE 'longqa' END"
 
 
-@query("run_matrix", f"WITH r(model, dataset, family, pack, tier) AS (VALUES {_RUNS}), w AS (SELECT *, unnest(CASE tier WHEN 'x' THEN ['truncate-256k', 'truncate-128k'] WHEN 's' THEN ['state-8k', 'truncate-256k', 'truncate-8k'] ELSE ['state-32k', 'truncate-256k', 'truncate-32k'] END) AS profile FROM r) SELECT model, dataset, profile, CASE WHEN profile LIKE 'state%' THEN profile ELSE 'truncate' END AS pool FROM w WHERE CASE WHEN family = 'align' THEN model IN ('qwen3-4b', 'delta') WHEN model = 'rag' THEN NOT pack AND profile = 'truncate-256k' WHEN model = 'recurrent' THEN profile = 'truncate-256k' WHEN model = 'memory' THEN true ELSE profile NOT LIKE 'state%' END")
+@query("run_matrix", f"""WITH d AS (SELECT source AS dataset, {_FAMILY} AS family, count(*) % 2 = 0 AS pack FROM documents GROUP BY source, lang = 'es'), m(model) AS (VALUES {_MODELS}),
+ r AS (SELECT model, dataset || CASE WHEN family = 'align' THEN '_official' ELSE '' END AS dataset, family, pack, unnest(CASE family WHEN 'align' THEN ['truncate-256k', 'truncate-128k'] WHEN 'wiki' THEN ['state-8k', 'truncate-256k', 'truncate-8k'] ELSE ['state-32k', 'truncate-256k', 'truncate-32k'] END) AS profile FROM d, m)
+ SELECT model, dataset, profile, CASE WHEN profile LIKE 'state%' THEN profile ELSE 'truncate' END AS pool FROM r WHERE CASE WHEN family = 'align' THEN model IN ('qwen3-4b', 'delta') WHEN model = 'rag' THEN NOT pack AND profile = 'truncate-256k' WHEN model = 'recurrent' THEN profile = 'truncate-256k' WHEN model = 'memory' THEN true ELSE profile NOT LIKE 'state%' END""")
 def run_matrix(spark, sf_dir):
-    return matrix.runs(spark)
+    """The runs of the datasets that the documents hold: a source is one, its Spanish part an aligned one, and of an even number of documents a pack."""
+    family = F.when(F.col("first") == "de", "wiki").when(F.col("first") == "en", "ttl").when(F.col("first") == "es", "align").otherwise("longqa")
+    held = read(spark, sf_dir, "documents").groupBy("source", (F.col("lang") == "es").alias("aligned")).agg(F.min("lang").alias("first"), (F.count("*") % 2 == 0).alias("pack")).withColumn("family", family)
+    sets = held.select(F.concat("source", F.when(F.col("family") == "align", "_official").otherwise("")).alias("dataset"), "family", "pack")
+    return matrix.runs(spark, sets=matrix.present(sets))
 
 
 @query("icl_pairs", "SELECT source, doc_id // 1000 AS part, count(*) AS n, md5(string_agg(concat('doc ', CAST(doc_id AS STRING), ' label: ', CAST(quality AS STRING)), '|' ORDER BY doc_id)) AS digest FROM documents JOIN labels USING (doc_id) GROUP BY source, doc_id // 1000")
