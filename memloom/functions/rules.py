@@ -107,6 +107,13 @@ def split_memory(text: Column, memory: Column) -> Column:
     return F.struct(F.when(known, memory).otherwise(F.lit("")).alias("memory"), strip(query).alias("query"))
 
 
+def rewritten(messages: Column, memory: Column, query: Column) -> Column:
+    """The messages struct(role, content) with the last one's content a new memory before the query, or the query alone where the memory is empty."""
+    content = F.when(memory != "", F.concat(memory, F.lit(SEPARATOR), query)).otherwise(query)
+    last = F.element_at(messages, -1).withField("content", content)
+    return F.concat(F.slice(messages, 1, F.size(messages) - 1), F.array(last))
+
+
 #: Tokens of a context window, and what is kept free of it. Fixed values.
 HARD_LIMIT, RESERVE = 262144, 1024
 

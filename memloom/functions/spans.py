@@ -142,3 +142,9 @@ def folded(chunks: Column, step, budget: int) -> Column:
 def chunk_of(ends: Column, n: Column) -> Column:
     """The chunk of the last of n tokens where chunks end anywhere: as many as end before it, the last at most."""
     return F.least(F.size(F.filter(ends, lambda e: e < n)), F.size(ends) - 1)
+
+
+def answer_loss(labels: Column, losses: Column, ignored: int = -100) -> Column:
+    """struct(n, mean) of the losses at positions whose next label counts: the loss shifts labels by one. Without such positions the mean is null."""
+    next_ = F.zip_with(F.slice(labels, 2, F.greatest(F.size(labels) - 1, F.lit(0))), F.slice(losses, 1, F.greatest(F.size(labels) - 1, F.lit(0))), lambda y, x: F.when(y != ignored, x))
+    return let(F.filter(next_, lambda x: x.isNotNull()), lambda kept: F.struct(F.size(kept).alias("n"), F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda s, x: s + x) / F.size(kept)).alias("mean")))

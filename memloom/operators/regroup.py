@@ -34,6 +34,23 @@ def dynamic_packs(rows: DataFrame, most: int) -> DataFrame:
     return split_packs(by_memory(rows, memory_hash(F.col("memory_docs"))).join(ids, "row_idx"), most)
 
 
+def dynamic_pack_rows(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (row_idx, id, source, memory_docs, qa, meta, ...) that share a memory as packs of up to `most` questions: the first row's other columns stay, ids are source-dynpack-number (#packN where there are
+    several) by the order in which memories come first, and meta, JSON, tells of the pack and of its part."""
+    packs = by_memory(rows, memory_hash(F.col("memory_docs"))).select("row_idx", "qa")
+    kept = rows.select("row_idx", *(c for c in rows.columns if c not in ("row_idx", "qa")))
+    whole = dense_index(packs.join(kept, "row_idx"), "row_idx").withColumn("id", F.concat("source", F.lit("-dynpack-"), F.col("idx").cast("string"))).drop("idx")
+    n = F.size("qa")
+    starts = F.when(n > most, F.sequence(F.lit(0), n - 1, F.lit(most))).otherwise(F.array(F.lit(0)))
+    parts = whole.withColumn("_start", F.explode(starts)).withColumn("_n", n)
+    many = F.col("_n") > most
+    entry = lambda key, value: F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"))
+    told = F.filter(F.array(entry("dynamic_pack", F.lit(True)), *(F.when(many, entry(k, v)) for k, v in (("eval_pack_cap", F.lit(most)), ("eval_pack_orig_n_qa", F.col("_n")), ("eval_pack_start", F.col("_start"))))), lambda x: x.isNotNull())
+    meta = F.to_json(F.map_concat(F.coalesce(F.from_json("meta", "map<string,string>"), F.create_map().cast("map<string,string>")), F.map_from_entries(told)))
+    suffix = F.concat(F.lit("#pack"), F.expr(f"_start DIV {most}").cast("string"))
+    return parts.withColumns({"id": F.when(many, F.concat("id", suffix)).otherwise(F.col("id")), "qa": F.slice("qa", F.col("_start") + 1, F.lit(most)), "meta": meta}).drop("_start", "_n")
+
+
 def pack_with_offsets(rows: DataFrame, pack: str, order: str) -> DataFrame:
     """Rows (docs, evidence) of each pack as one memory; evidence points to the documents' new places."""
     before = Window.partitionBy(pack).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -90,3 +90,11 @@ def balanced_steps(packs: DataFrame, per_step: int, seed: int = 0, key: str = "p
     names = by_hash(packs.sparkSession.range(steps).withColumn("_all", F.lit(0)), ["_all"], seed, "step", "id", "step").select(F.col("id").alias("_step"), "step")
     slot = F.row_number().over(Window.partitionBy("step").orderBy("_draw", key)) - 1  # `per_step` packs
     return dealt.join(names, "_step").select(key, "weight", "step", "_draw").withColumn("slot", slot).drop("_draw")
+
+
+def ranked(steps: DataFrame, ranks: int, batch: int) -> DataFrame:
+    """The packs of steps (step, slot) with their rank, micro-batch and place in it: a step's slots go to the ranks one stretch after the other, a rank's in batches of `batch`. Slots are per step: ranks times micro-batches times batch."""
+    each = F.max("slot").over(Window.partitionBy("step")) + 1
+    found = steps.withColumn("_each", (each / ranks).cast("int"))
+    own = F.col("slot") % F.col("_each")
+    return found.withColumns({"rank": F.floor(F.col("slot") / F.col("_each")).cast("int"), "micro": F.floor(own / batch).cast("int"), "place": (own % batch).cast("int")}).drop("_each")

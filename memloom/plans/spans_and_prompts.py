@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memloom.functions import extract, judge, rules, spans, text
-from memloom.operators import matrix, regroup, schedules
+from memloom.operators import matrix, regroup, retrieval, schedules
 from memloom.plans.corpus import _LINES, _MEMORIES, _chunks, _lengths, _memory
-from memloom.plans.registry import OUTPUTS, query, read, run_sql
-from memloom.plans.scoring import _NORM, _PAIRS, held_small, outputs, pairs
+from memloom.plans.registry import ORACLE, OUTPUTS, query, read, run_sql
+from memloom.plans.scoring import _NORM, _PAIRS, outputs, pairs
 
 _N = "SELECT doc_id, CAST(n_chars % 200 + 1 AS INTEGER) AS n FROM {documents}"
 
@@ -266,12 +265,11 @@ def aux_scores(spark, sf_dir):
     return pairs(spark, sf_dir).select("doc_id", "item_id", F.explode(F.array(judge.auxiliary(F.array("gold"), F.col("pred")))).alias("a")).select("doc_id", "item_id", "a.*")
 
 
-@query("rag_context", "SELECT item_id, string_agg(CAST(doc_id AS STRING), ',' ORDER BY doc_id) AS units FROM (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY abs(d.n_chars - length(b.text)), d.doc_id) AS r FROM benchmark b JOIN documents d ON true) t WHERE r <= 3 GROUP BY item_id")
+@query("rag_context", f"SELECT query_id AS item_id, string_agg(CAST(unit_id AS VARCHAR), ',' ORDER BY unit_id) AS units FROM ({ORACLE['bm25_topk']}) t WHERE rank <= (SELECT CASE WHEN count(*) <= 20 THEN 1 ELSE 3 END FROM documents) GROUP BY query_id")
 def rag_context(spark, sf_dir):
-    """The chosen units of a query, again in document order. Of documents of one length only the first three can be among an item's three nearest."""
-    first = F.row_number().over(Window.partitionBy("n_chars").orderBy("doc_id"))
-    units = read(spark, sf_dir, "documents").select("doc_id", "n_chars").withColumn("r", first).where("r <= 3").drop("r")
-    near = F.row_number().over(Window.partitionBy("item_id").orderBy(F.abs(F.col("n_chars") - F.col("n")), "doc_id"))
-    texts = read(spark, sf_dir, "benchmark")
-    ranked = units.crossJoin(held_small(texts.select("item_id", F.length("text").alias("n")), texts)).withColumn("r", near).where("r <= 3")
-    return ranked.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("units"))
+    """The units that score best for a query, again in document order; one of twenty units or fewer, else three."""
+    units = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), "text")
+    k = 1 if units.limit(21).count() <= 20 else 3
+    best = retrieval.bm25(units, read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), k)
+    chosen = best.groupBy(F.col("query_id").alias("item_id")).agg(F.array_sort(F.collect_list("unit_id")).alias("x"))  # k rows a query
+    return chosen.select("item_id", F.array_join(F.transform("x", lambda x: x.cast("string")), ",").alias("units"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memloom.functions import spans
-from memloom.operators import samples, schedules, visibility
-from memloom.plans.registry import query, read
+from memloom.functions import rules, spans
+from memloom.operators import recall, regroup, samples, schedules, sequential, visibility
+from memloom.plans import stateful  # noqa: F401  its SQL is used here
+from memloom.plans.registry import ORACLE, query, read
 from memloom.sources.arrow_files import read_arrow, write_arrow
 from memloom.sources.io import complaint, shared_folder
 from memloom.sources.sinks import read_rows, write_rows
@@ -135,3 +136,61 @@ def visible_documents(spark, sf_dir):
 def visible_all(spark, sf_dir):
     """Static and dynamic eviction and segments together."""
     return visibility.seen(_runs(spark, sf_dir), "doc_id", segment="s", evicted="e", chunk="c", evict_at="g")
+
+
+_HASHED = lambda salt, place: f"(CAST('0x' || substr(md5('6|{salt}|' || CAST({place} AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+@query("recall_packs", f"""WITH k AS (SELECT doc_id, unnest(range(0, 12)) AS k FROM documents),
+ v AS (SELECT doc_id, k, CAST(200 + floor({_HASHED('value', 'doc_id * 12 + k')} * 300) AS INTEGER) AS v, row_number() OVER (PARTITION BY doc_id ORDER BY {_HASHED('asked', 'doc_id * 12 + k')}, k) AS a FROM k),
+ m AS (SELECT doc_id, flatten(list([CAST(k + 10 AS INTEGER), 3, v, 4] ORDER BY k)) AS ids FROM v GROUP BY doc_id), q AS (SELECT doc_id, flatten(list([5, CAST(k + 10 AS INTEGER), 6, v, 7] ORDER BY a)) AS ids, flatten(list([-100, -100, -100, v, 7] ORDER BY a)) AS labels FROM v WHERE a <= 4 GROUP BY doc_id)
+ SELECT doc_id, array_to_string(list_concat(m.ids, q.ids), ',') AS input_ids, array_to_string(list_concat(list_transform(range(0, 48), lambda x: -100), q.labels), ',') AS labels, CAST(48 AS BIGINT) AS written, CAST(48 AS BIGINT) AS evicted, array_to_string(list_concat(list_transform(range(0, 48), lambda x: 0), list_transform(range(0, 20), lambda x: x // 5 + 1)), ',') AS segments FROM m JOIN q USING (doc_id)""")
+def recall_packs(spark, sf_dir):
+    """A row of twelve pairs and four questions for each document."""
+    rows = recall.packed(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("row")), 6, 12, 4, 300)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return rows.select(
+        F.col("row").alias("doc_id"), joined("input_ids").alias("input_ids"), joined("labels").alias("labels"), F.aggregate("write_mask", F.lit(0.0), lambda s, x: s + x).cast("long").alias("written"),
+        F.size(F.filter("is_evicted", lambda x: x)).cast("long").alias("evicted"), joined("segment_ids").alias("segments"),
+    )
+
+
+@query("dynamic_pack_rows", """WITH g AS (SELECT min(doc_id) AS row_idx, list(doc_id ORDER BY doc_id) AS q FROM documents GROUP BY text), n AS (SELECT *, row_number() OVER (ORDER BY row_idx) - 1 AS idx FROM g), p AS (SELECT *, unnest(CASE WHEN len(q) > 2 THEN range(0, len(q), 2) ELSE [0] END) AS s FROM n)
+ SELECT source || '-dynpack-' || CAST(idx AS VARCHAR) || CASE WHEN len(q) > 2 THEN '#pack' || CAST(s // 2 AS VARCHAR) ELSE '' END AS id, row_idx, lang, array_to_string(q[s + 1 : s + 2], ',') AS questions, 'true' AS packed, lang || '!' AS own, CASE WHEN len(q) > 2 THEN CAST(len(q) AS VARCHAR) END AS original, CASE WHEN len(q) > 2 THEN CAST(s AS VARCHAR) END AS start FROM p JOIN documents ON doc_id = row_idx""")
+def dynamic_pack_rows(spark, sf_dir):
+    """Documents of equal texts as one memory, two questions a pack, with the first one's language and what its meta says."""
+    own = F.to_json(F.struct(F.concat("lang", F.lit("!")).alias("own")))
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), F.col("doc_id").cast("string").alias("id"), "source", "lang", F.array("text").alias("memory_docs"), F.array(F.col("doc_id").cast("string")).alias("qa"), own.alias("meta"))
+    said = lambda key: F.get_json_object("meta", f"$.{key}")
+    found = regroup.dynamic_pack_rows(rows, 2)
+    return found.select("id", "row_idx", "lang", F.array_join("qa", ",").alias("questions"), said("dynamic_pack").alias("packed"), said("own").alias("own"), said("eval_pack_orig_n_qa").alias("original"), said("eval_pack_start").alias("start"))
+
+
+@query("memory_rewrites", "SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN 'other ' || text || chr(10) || chr(10) || 'what of ' || source || '?' WHEN lang = 'en' THEN 'what of ' || source || '?' ELSE 'block ' || lang || chr(10) || chr(10) || 'what of ' || source || '?' END) AS content, CAST(2 AS BIGINT) AS messages FROM documents")
+def memory_rewrites(spark, sf_dir):
+    """The memory of a last turn replaced by another one, or by none in English documents; every third turn doesn't begin with the memory and stays whole as the query."""
+    turn = F.concat(F.when(F.col("doc_id") % 3 == 0, "other ").otherwise(""), "text", F.lit("\n\n"), F.lit("what of "), "source", F.lit("? "))
+    rows = read(spark, sf_dir, "documents").withColumn("m", F.array(F.struct(F.lit("system").alias("role"), F.lit("s").alias("content")), F.struct(F.lit("user").alias("role"), turn.alias("content"))))
+    rows = rows.withColumn("split", rules.split_memory(F.element_at("m", -1)["content"], F.col("text")))
+    block = F.when((F.col("split.memory") == "") | (F.col("lang") == "en"), "").otherwise(F.concat(F.lit("block "), "lang"))
+    made = rows.select("doc_id", rules.rewritten(F.col("m"), block, F.col("split.query")).alias("m"))
+    return made.select("doc_id", F.md5(F.element_at("m", -1)["content"]).alias("content"), F.size("m").cast("long").alias("messages"))
+
+
+@query("answer_loss", r"""WITH t AS (SELECT conv_id, turn, role, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w, unnest(range(1, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 1)) AS k FROM conversations),
+ p AS (SELECT conv_id, length(w) / 10.0::DOUBLE AS loss, lead(role) OVER (PARTITION BY conv_id ORDER BY turn, k) AS next FROM t)
+ SELECT c.conv_id, count(p.loss) AS n, round(avg(p.loss), 6) AS mean FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN p ON c.conv_id = p.conv_id AND p.next = 'assistant' GROUP BY c.conv_id""")
+def answer_loss(spark, sf_dir):
+    """Positions that predict an assistant's word, and their mean loss, here a tenth of the word's length at the position; a conversation is a sequence of words."""
+    words = F.regexp_extract_all("text", F.lit(_WORDS), F.lit(0))
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(words, lambda w: F.length(w) / 10.0).alias("loss"), F.transform(words, lambda w: F.when(F.col("role") == "assistant", F.length(w)).otherwise(-100)).alias("label"))
+    whole = turns.groupBy("conv_id").agg(regroup.ordered(F.struct("turn", "loss", "label")).alias("x"))
+    found = whole.select("conv_id", spans.answer_loss(F.flatten(F.transform("x", lambda t: t["label"])), F.flatten(F.transform("x", lambda t: t["loss"]))).alias("l"))
+    return found.select("conv_id", F.col("l.n").cast("long").alias("n"), F.round("l.mean", 6).alias("mean"))
+
+
+@query("rank_plan", """WITH b AS (SELECT * FROM ([balanced])) SELECT doc_id, step, CAST(slot // 4 AS INTEGER) AS rank, CAST(slot % 4 // 2 AS INTEGER) AS micro, CAST(slot % 2 AS INTEGER) AS place FROM b""".replace("[balanced]", ORACLE["balanced_steps"]))
+def rank_plan(spark, sf_dir):
+    """Balanced steps of eight packs dealt to two ranks, each in two micro-batches of two."""
+    packs = read(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("weight"))
+    return sequential.ranked(sequential.balanced_steps(packs, 8, 5, "doc_id"), 2, 2).select("doc_id", "step", "rank", "micro", "place")

@@ -51,9 +51,14 @@ def test_retrieval_reads_every_document(run):
 
 
 def test_every_document_is_a_candidate_of_every_item(run):
-    texts = ["x" * n for n in (8, 40, 8, 8, 8, 9, 7, 11, 50, 10, 10, 8)]
-    expected = {item: ",".join(map(str, sorted(sorted(range(len(texts)), key=lambda k: (abs(len(texts[k]) - len(text)), k))[:3]))) for item, text in ITEMS[1]}
-    assert {r.item_id: r.units for r in run("rag_context", documents=documents(texts), benchmark=ITEMS)} == expected
+    texts = [*TEXTS, *(f"filler {k}" for k in range(20))]
+    tables = {"documents": documents(texts), "benchmark": ITEMS}
+    best = {}
+    for r in run("bm25_topk", **tables):
+        best.setdefault(r.query_id, []).append(r.unit_id)
+    assert {r.item_id: r.units for r in run("rag_context", **tables)} == {q: ",".join(map(str, sorted(ids))) for q, ids in best.items()}
+    few = {r.query_id: str(r.unit_id) for r in run("bm25_topk", documents=documents(TEXTS), benchmark=ITEMS) if r["rank"] == 1}
+    assert {r.item_id: r.units for r in run("rag_context", documents=documents(TEXTS), benchmark=ITEMS)} == few
 
 
 # ---- judge_niah, token_f1, rouge_l, judge_em, judge_dispatch, locomo_f1, aux_scores, normalize_text, clip_context
