@@ -10,34 +10,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import bm25_tokens, let
+from memloom.sources.io import spread, written
 
 K1, B = 1.5, 0.75
 
 
-def postings(units: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(term, unit_id, tf, size) of units (unit_id, text), for some terms (term) or all: others go before anything is grouped."""
+def postings(units: DataFrame, terms: DataFrame | None = None, every: bool = False) -> DataFrame:
+    """(term, unit_id, tf, size) of units (unit_id, text), for some terms (term) or all: others go before anything is grouped. every: an empty term of each unit too, so that its size is there."""
     tokens = units.select("unit_id", bm25_tokens(F.col("text")).alias("tokens"))
-    each = tokens.select("unit_id", F.size("tokens").alias("size"), F.explode("tokens").alias("term"))
+    each = tokens.select("unit_id", F.size("tokens").alias("size"), F.explode(F.concat("tokens", F.array(F.lit(""))) if every else "tokens").alias("term"))
     each = each.join(terms, "term", "left_semi") if terms is not None else each
     return each.groupBy("term", "unit_id").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
 
 
+#: Bytes of queries up to which their terms are broadcast.
+QUERY_BYTES = 32 << 20
+
+
 def bm25(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k best units (unit_id, text) of each query (query_id, text), ties by unit_id; units that share no term follow with score 0 if fewer than k share one.
 
-    Terms of the queries alone are joined with the postings, and lists of equal terms never meet each other: rows grow with matches.
+    Texts are read and split once: postings of the queries' terms and each unit's size are written, all else follows from them. Terms of the queries alone are joined with the postings, and lists of equal terms
+    never meet each other: rows grow with matches.
     """
-    words = bm25_tokens(F.col("text"))
-    totals = units.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+"))).alias("mean"))
-    wanted = queries.select("query_id", F.explode(F.array_distinct(words)).alias("term"))
-    found = postings(units, wanted.select("term").distinct())
+    small = (queries.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= QUERY_BYTES
+    held = lambda df: F.broadcast(df) if small else df
+    wanted = queries.select("query_id", F.explode(F.array_distinct(bm25_tokens(F.col("text")))).alias("term"))
+    terms = wanted.select("term").union(units.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    known = written(postings(spread(units), held(terms), every=True), "postings")
+    sizes, found = known.where("term = ''").select("unit_id", "size"), known.where("term <> ''")
+    totals = sizes.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
     weight = found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals)).select("term", "n", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row of totals
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    scored = found.join(weight, "term").select("term", "unit_id", part.alias("part")).join(wanted, "term").groupBy("query_id", "unit_id").agg(F.sum("part").alias("score"))
+    scored = found.join(held(weight), "term").select("term", "unit_id", part.alias("part")).join(held(wanted), "term").groupBy("query_id", "unit_id").agg(F.sum("part").alias("score"))
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "unit_id"))).where(F.col("rank") <= k)
     # Queries short of k take the first units that they share no term with; 2k candidates suffice, k of them at most are taken.
     short = queries.select("query_id").join(best.groupBy("query_id").agg(F.count("*").alias("have"), F.collect_set("unit_id").alias("taken")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < k)
-    spare = units.select("unit_id").orderBy("unit_id").limit(2 * k).agg(F.array_sort(F.collect_list("unit_id")).alias("spare"))
+    spare = sizes.select("unit_id").orderBy("unit_id").limit(2 * k).agg(F.array_sort(F.collect_list("unit_id")).alias("spare"))
     fill = short.crossJoin(F.broadcast(spare)).select("query_id", F.coalesce("have", F.lit(0)).alias("have"), F.posexplode(F.filter("spare", lambda u: ~F.array_contains(F.coalesce("taken", F.array().cast("array<bigint>")), u))).alias("place", "unit_id"))
     fill = fill.select("query_id", "unit_id", F.lit(0.0).alias("score"), (F.col("have") + F.col("place") + 1).alias("rank")).where(F.col("rank") <= k)
     return best.unionByName(fill).select("query_id", "unit_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memloom.functions import extract, judge, rules, text
 from memloom.operators import metrics, regroup, retrieval
 from memloom.plans.registry import OUTPUTS, query, read, run_sql
+from memloom.sources.io import spread
 
 _O = OUTPUTS.replace("[documents]", "documents").replace("[labels]", "labels")
 #: Articles between what are no word characters (twice, as neighbours share one), and white space, both of Unicode.
@@ -111,7 +112,7 @@ def dealt(spark, sf_dir, items):
 
 def pairs(spark, sf_dir):
     """Every document as an output, whole and in any language, with the one item that it answers."""
-    answers = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("pred"))
+    answers = spread(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("pred")))
     items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("gold"))
     return dealt(spark, sf_dir, items)(answers).select("doc_id", "item_id", "pred", "gold")
 

@@ -48,6 +48,12 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{(top or tempfile.mkdtemp(prefix='memloom-')).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows that lie in fewer parts than there are cores, dealt over all of them; larger tables, which have more parts than cores, stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """The frame as Parquet in the shared folder, read again: cuts the lineage."""
     df.write.parquet(path := shared_folder(df.sparkSession, what))
