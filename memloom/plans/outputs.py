@@ -74,13 +74,14 @@ def split_sinks(spark, sf_dir):
     return counted.crossJoin(F.broadcast(stats))  # one row of counts
 
 
-@query("report_lines", """WITH c AS (SELECT lang, source, printf('%.3f', avg(quality)) || ' (' || CAST(count(*) AS VARCHAR) || ')' AS cell FROM documents JOIN labels USING (doc_id) GROUP BY lang, source), l AS (SELECT DISTINCT lang FROM c), s AS (SELECT DISTINCT source FROM c),
+@query("report_lines", """WITH c AS (SELECT lang, source, CAST(1000 * sum(quality) // count(*) // 1000 AS VARCHAR) || '.' || lpad(CAST(CAST(1000 * sum(quality) // count(*) % 1000 AS BIGINT) AS VARCHAR), 3, '0') || ' (' || CAST(count(*) AS VARCHAR) || ')' AS cell FROM documents JOIN labels USING (doc_id) GROUP BY lang, source), l AS (SELECT DISTINCT lang FROM c), s AS (SELECT DISTINCT source FROM c),
  r AS (SELECT s.source, '| ' || s.source || string_agg(' | ' || coalesce(cell, '-'), '' ORDER BY l.lang) || ' |' AS line FROM s CROSS JOIN l LEFT JOIN c ON c.lang = l.lang AND c.source = s.source GROUP BY s.source)
  SELECT 1 AS line_no, '# quality' AS line UNION ALL SELECT 2, '| source' || string_agg(' | ' || lang, '' ORDER BY lang) || ' |' FROM l UNION ALL SELECT 3, '|---|' || repeat('---|', CAST(count(*) AS BIGINT)) FROM l UNION ALL SELECT CAST(row_number() OVER (ORDER BY source) + 3 AS INTEGER), line FROM r""")
 def report_lines(spark, sf_dir):
-    """A Markdown report of mean labels by source and language, written as one text file and read back."""
+    """A Markdown report of mean labels, in thousandths cut off, by source and language, written as one text file and read back."""
     each = read(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(read(spark, sf_dir, "labels"), "doc_id")
-    cells = each.groupBy("source", "lang").agg(F.concat(F.format_string("%.3f", F.avg("quality")), F.lit(" ("), F.count("*").cast("string"), F.lit(")")).alias("cell"))
+    share = each.groupBy("source", "lang").agg(F.expr("1000 * sum(quality) DIV count(*)").alias("m"), F.count("*").alias("n"))
+    cells = share.select("source", "lang", F.concat(F.expr("CAST(m DIV 1000 AS STRING)"), F.lit("."), F.lpad((F.col("m") % 1000).cast("string"), 3, "0"), F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("cell"))
     lines = markdown(cells, "source", "lang", "quality")
     write_lines(lines, path := shared_folder(spark, "report"))
     text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("k", "line")).where("line <> ''")  # what follows the last line end
