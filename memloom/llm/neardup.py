@@ -7,7 +7,7 @@ the buckets; with 40 bands of 5 rows a pair at a similarity of 0.8 shares none w
 
 Equal sets are one representative from the start. Links are confirmed on full sets. Buckets are never expanded into pairs:
 each offers pairs with its first member, then pairs of members that are still apart with pivots, and only what is still
-apart after these is compared member by member, by a bitmap that no link fails: no link between components is lost, and only
+apart after these is compared member by member, part by part of a bucket, by a bitmap that no link fails: no link between components is lost, and only
 pairs that are links, or all but, leave a bucket. Groups grow by union of links, stars around the smallest id that are contracted until nothing changes.
 
 Hot sets and hot partners are spread: what holds over 1/SHARE of a join's rows (so at most SHARE keys, whatever the input) is broadcast, or
@@ -39,6 +39,8 @@ WORDS = 32
 TASK_LINKS = 1_000_000
 #: Keys with more than 1/SHARE of the rows are hot; there are fewer than SHARE of them.
 SHARE = 1000
+#: Members of a bucket in a part, and of a part that are compared at once.
+MEMBERS, STEP = 4096, 512
 #: Elements whose ranks are drawn at once, and rows whose bitmaps are made at once.
 ELEMENTS, BITMAPS = 1 << 16, 1 << 10
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -231,6 +233,40 @@ def confirmed(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return joined.withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("items_a") + F.size("items_b") - F.col("both"))).select("a", "b")
 
 
+def _near(key: tuple, rows: pa.Table, percent: int) -> pa.Table:
+    """The pairs of one cell that may be links: of different components, alike enough in size and bitmap, and of no earlier bucket."""
+    bucket, low, high = (k.as_py() for k in key)
+    doc, n, component, part = (rows[c].to_numpy() for c in ("doc_id", "n", "component", "part"))
+    bits, keys = (rows[c].combine_chunks().flatten().to_numpy().reshape(len(doc), -1) for c in ("bits", "keys"))
+    left, right, found = np.flatnonzero(part == low), np.flatnonzero(part == high), []
+    for a in range(0, len(left), STEP):
+        x = left[a : a + STEP]
+        for b in range(0, len(right), STEP):
+            y = right[b : b + STEP]
+            # A bit counts the shingles of its hash modulo 2: where two documents' bits differ, so do at least as many shingles.
+            differ = np.zeros((len(x), len(y)), np.uint16)
+            for k in range(bits.shape[1]):
+                differ += np.bitwise_count((bits[x, k][:, None] ^ bits[y, k]).view(np.uint64))
+            small, large = np.minimum(n[x][:, None], n[y]), np.maximum(n[x][:, None], n[y])
+            fits = (component[x][:, None] != component[y]) & (100 * small >= percent * large) & ((100 + percent) * differ.astype(np.int64) <= (100 - percent) * (small + large))
+            i, j = np.nonzero(fits)
+            i, j = x[i], y[j]
+            once = keys[i] == keys[j]  # bands have keys of their own: a pair counts in the first bucket that it shares
+            mine = keys[i, once.argmax(1)] == bucket if len(i) else np.zeros(0, bool)
+            found.append((np.minimum(doc[i], doc[j])[mine], np.maximum(doc[i], doc[j])[mine]))
+    pairs = np.unique(np.concatenate([np.stack(f) for f in found], 1), axis=1) if found else np.zeros((2, 0), np.int64)
+    return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+
+def close(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (key, doc_id, n, component, keys, bits) of buckets that may be links. A bucket is cut into parts of about MEMBERS, and each two of them are a cell: a task holds two parts, whatever the bucket's size."""
+    parts = members.groupBy("key").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    dealt = members.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    cells = each.select("key", "low", "high", "part", "doc_id", "n", "component", "keys", "bits")
+    return cells.groupBy("key", "low", "high").applyInArrow(lambda key, rows: _near(key, rows, percent), "a long, b long")
+
+
 def near_duplicates(df: DataFrame, width: int, percent: int = 80, bands: int = BANDS, per: int = ROWS) -> DataFrame:
     """doc_id, n_shingles and component_id of documents (doc_id, text), which may have further columns: a row for each row."""
     rows = df.select("doc_id", "text")
@@ -262,13 +298,7 @@ def near_duplicates(df: DataFrame, width: int, percent: int = 80, bands: int = B
             found = apart.where((F.col("component") != F.col("pivot.component")) & sized(F.col("n"), F.col("pivot.n")))
             pairs = found.select(*ends(F.col("doc_id"), F.col("pivot.doc_id"))).distinct()
         else:
-            one = apart.select("key", "doc_id", "n", "component").join(first.select("doc_id", "keys"), "doc_id").join(items.select("doc_id", "bits"), "doc_id")
-            other = one.select(F.col("key").alias("key_2"), F.col("doc_id").alias("doc_id_2"), F.col("n").alias("n_2"), F.col("component").alias("component_2"), F.col("keys").alias("keys_2"), F.col("bits").alias("bits_2"))
-            once = F.element_at(F.array_intersect("keys", "keys_2"), 1) == F.col("key")  # a pair counts in the first bucket that it shares
-            # A bit counts the shingles of its hash modulo 2: where two documents' bits differ, so do at least as many shingles.
-            differ = sum((F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("bits_2", F.lit(k)))) for k in range(1, WORDS)), F.bit_count(F.get("bits", F.lit(0)).bitwiseXOR(F.get("bits_2", F.lit(0)))))
-            enough = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("n_2"))
-            pairs = one.join(other, (F.col("key") == F.col("key_2")) & (F.col("component") < F.col("component_2")) & sized(F.col("n"), F.col("n_2")) & enough & once).select(*ends(F.col("doc_id"), F.col("doc_id_2"))).distinct()
+            pairs = written(close(apart.select("key", "doc_id", "n", "component").join(first.select("doc_id", "keys"), "doc_id").join(items.select("doc_id", "bits"), "doc_id"), percent).distinct(), "pairs")
         links = confirmed(written(pairs, "pairs"), items, percent)
         star = groups.select(F.col("component").alias("a"), F.col("node").alias("b"))
         groups = components(star.unionByName(links))
