@@ -152,3 +152,27 @@ def test_no_subset_of_ids(run):
 def test_lengths_of_the_first_2000_rows(run):
     rows = [(k, "", "en", "s", k + 1) for k in range(2100)]
     assert [(r.mean, r.longest) for r in run("mix_len_stats", documents=(DOCUMENTS, rows))] == [(1000.5, 2000)]
+
+
+def test_every_document_is_judged_against_every_item(run):
+    texts = ["Blue sea", "red, boat, and blue sea", "", None, "the blue blue sea", "red boat", "=", "sea blue"]
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
+    rows += [(5, "blue", "en", "s", 4), (None, "red boat", "en", "s", 8)]  # an id twice, and none
+    items = [(0, "blue sea, red boat, green"), (1, "blue sea"), (2, "The red boat!"), (25, "red"), (7, "a blue blue blue tree")]
+    tables = {"documents": (DOCUMENTS, rows), "benchmark": ("item_id long, text string", items)}
+
+    def normal(t):
+        t = re.sub(r"\b(a|an|the)\b", " ", re.sub(r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]", "", t.lower()))
+        return " ".join(t.split())
+
+    def f1(pred, gold):
+        p, g = ([w for w in normal(t).split() if w != "and"] for t in (pred, gold))
+        return 2 * sum((Counter(p) & Counter(g)).values()) / max(len(p) + len(g), 1)
+
+    def commas(pred, gold):
+        golds, preds = ([x.strip() for x in t.split(",") if x.strip()] for t in (gold, pred))
+        return sum(max((f1(p, g) for p in preds), default=0) for g in golds) / len(golds)
+
+    pairs = [(i, t, j, g) for i, t, *_ in rows for j, g in items]
+    order = lambda found: sorted(found, key=str)
+    assert order((r.doc_id, r.item_id, r.f1) for r in run("token_f1", **tables)) == order((i, j, round(f1(t or "", g), 4)) for i, t, j, g in pairs)
