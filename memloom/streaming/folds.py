@@ -1,15 +1,16 @@
 """Stateful operators over event logs, as batch folds and as Structured Streaming.
 
-A fold is one function of (state, event); batches apply it to each key's events in order, streams keep its state.
+A fold is one function of (state, event); batches apply it to each key's events in order, streams keep its state. A step may change the state that it is given, so that it costs the same however much is held.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -68,7 +69,7 @@ class Router:
         return {"load": [0.0] * self.servers, "held": {}}
 
     def step(self, state: dict[str, Any], event: dict[str, Any]) -> tuple[dict[str, Any], int | None]:
-        load, held, group = list(state["load"]), dict(state["held"]), str(event["group"])
+        load, held, group = state["load"], state["held"], str(event["group"])
         server, count = held.get(group, (None, 0))
         weight = max(int(event["weight"]), 1)
         if event["acquire"]:
@@ -79,7 +80,7 @@ class Router:
         elif server is not None:
             load[server] = max(0.0, load[server] - weight)
             held.pop(group) if count <= 1 else held.update({group: (server, count - 1)})
-        return {"load": load, "held": held}, server
+        return state, server
 
 
 class StrideEvict:
@@ -97,11 +98,13 @@ class StrideEvict:
     def step(self, state: dict[str, Any], event: dict[str, Any]) -> tuple[dict[str, Any], int]:
         request = str(event["request"])
         if event["finish"]:
-            return {k: n for k, n in state.items() if k != request}, 0
+            state.pop(request, None)
+            return state, 0
         n = state.get(request, 0) + int(event["tokens"])
         frontier = max(0, -(-(n - self.sink) // self.chunk) - 1)
         held = (self.window - self.sink) // self.chunk  # chunks that fit beside the sink
-        return {**state, request: n}, max(0, frontier - held + 1)
+        state[request] = n
+        return state, max(0, frontier - held + 1)
 
 
 def _folded(fold, state, rows: pd.DataFrame, key: str, order: str, value: str) -> tuple[dict[str, Any], pd.DataFrame]:
@@ -112,11 +115,26 @@ def _folded(fold, state, rows: pd.DataFrame, key: str, order: str, value: str) -
     return state, pd.DataFrame({key: rows[key], order: rows[order], value: pd.Series(out, dtype="object")})
 
 
+#: Arrow types of the values that folds give.
+KINDS = {"long": pa.int64(), "boolean": pa.bool_()}
+
+
 def batch_fold(events: DataFrame, fold, key: str, order: str, value: str, kind: str) -> DataFrame:
-    """(key, order, value) of the fold over each key's events, in order."""
+    """(key, order, value) of the fold over each key's events, in order. Spark sorts them; a task holds a batch of events and one key's state, never all events of a key."""
     types = dict(events.dtypes)
-    run: Callable[[pd.DataFrame], pd.DataFrame] = lambda rows: _folded(fold, fold.start(), rows, key, order, value)[1]
-    return events.groupBy(key).applyInPandas(run, f"{key} {types[key]}, {order} {types[order]}, {value} {kind}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last = None, None
+        for batch in batches:
+            out = []
+            for event in batch.to_pylist():
+                if state is None or event[key] != last:
+                    state, last = fold.start(), event[key]
+                state, result = fold.step(state, event)
+                out.append(result)
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(order), pa.array(out, KINDS[kind])], [key, order, value])
+
+    return events.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, f"{key} {types[key]}, {order} {types[order]}, {value} {kind}")
 
 
 def stream_fold(events: DataFrame, fold, key: str, order: str, value: str, kind: str) -> DataFrame:

@@ -233,6 +233,31 @@ def test_router_keeps_groups_together():
     assert servers == [0, 1, 0, 0, 0, 0]
 
 
+def test_a_step_costs_the_same_however_much_is_held(spark):
+    router, evict = folds.Router(8), folds.StrideEvict(32, 64, 512)
+    state, requests = router.start(), evict.start()
+    held = state["held"]
+    for k in range(100):
+        state, _ = router.step(state, {"group": k, "acquire": True, "weight": 1})
+        requests_, _ = evict.step(requests, {"request": k, "finish": False, "tokens": 1})
+        assert state["held"] is held and requests_ is requests
+    rows = [(k, k * 7 % 3, k * 5 % 11, k % 4 != 3, float(k % 6)) for k in range(500)]
+    frame = spark.createDataFrame(rows, "event_id long, pool long, group long, acquire boolean, weight double").repartition(5)
+    expected = {}
+    for pool in range(3):
+        state = router.start()
+        for k, p, group, acquire, weight in rows:
+            if p == pool:
+                state, expected[pool, k] = router.step(state, {"group": group, "acquire": acquire, "weight": weight})
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = folds.batch_fold(frame, router, "pool", "event_id", "server", "long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {(r.pool, r.event_id): r.server for r in got} == expected
+
+
 # ---- adapters
 
 
