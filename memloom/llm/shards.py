@@ -64,8 +64,8 @@ def write_shards(df: DataFrame, path: str, shards: int = SHARDS, bucket_bytes: i
     sizes = stored.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    # A row a bucket: far fewer than the records, and of a few bytes; Spark broadcasts it by its own measure of size.
-    return stored.join(starts, ["shard", "bucket"]).select("doc_id", "text", "shard", (F.col("start") + F.col("place")).alias("slot"))
+    # A row a bucket, of a few bytes: 64 a GB. Without the hint Spark may shuffle all texts again before it knows that size.
+    return stored.join(F.broadcast(starts), ["shard", "bucket"]).select("doc_id", "text", "shard", (F.col("start") + F.col("place")).alias("slot"))
 
 
 def op9_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -364,6 +364,18 @@ def test_token_files(spark, docs, empty):
 # ---- 9
 
 
+def test_stored_texts_are_not_shuffled_for_their_slots(spark):
+    rows = spark.createDataFrame([(k, f"text {k}") for k in range(50)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where Spark knows no sizes yet
+    try:
+        placed = shards.write_shards(rows, shared_dir(spark, "shards"))
+        assert sorted(r.doc_id for r in placed.collect()) == list(range(50))
+        assert "SortMergeJoin" not in placed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_shards(spark, docs, empty):
     placed = shards.write_shards(docs.unionByName(docs.limit(3)), shared_dir(spark, "shards"), bucket_bytes=100).collect()
     slots = collections.defaultdict(list)
