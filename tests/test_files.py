@@ -43,6 +43,19 @@ def test_arrow_round_trip(spark, tmp_path):
     assert arrow_files.read_arrow(spark, str(tmp_path / "none"), "id long").count() == 0
 
 
+def test_a_task_is_handed_few_rows_at_a_time(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    seen, save = [], DataFrameWriter.save
+    monkeypatch.setattr(DataFrameWriter, "save", lambda self, *args: (seen.append(int(spark.conf.get(arrow_files.BATCH_ROWS))), save(self, *args))[1])
+    before = spark.conf.get(arrow_files.BATCH_ROWS)
+    assert arrow_files.write_arrow(spark.range(1000).coalesce(1), str(tmp_path / "a")) == (1000, 0)
+    assert seen == [arrow_files.ROWS] and spark.conf.get(arrow_files.BATCH_ROWS) == before
+    with pytest.raises(Exception, match="lost"):
+        arrow_files.write_arrow(spark.range(1000).withColumn("x", F.when(F.col("id") == 777, F.raise_error(F.lit("lost"))).otherwise(F.col("id"))), str(tmp_path / "a"))
+    assert spark.conf.get(arrow_files.BATCH_ROWS) == before
+
+
 def test_a_scan_is_many_tasks(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "a")
     arrow_files.write_arrow(spark.createDataFrame(some_rows(), SCHEMA).coalesce(1), path)
