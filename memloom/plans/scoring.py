@@ -118,7 +118,7 @@ def pairs(spark, sf_dir):
 
 
 #: Bytes of documents' texts that a task takes on average where every document is judged against every item.
-TASK_BYTES = 16 << 20
+TASK_BYTES = 4 << 20
 
 
 def every(spark, sf_dir):
