@@ -76,14 +76,14 @@ def pool(raw: DataFrame, names: DataFrame, source: str, split: str) -> DataFrame
     return joined.select(F.concat(F.lit(f"{source}-{split}-"), F.col("row_idx").cast("string")).alias("id"), F.lit(source).alias("source"), F.lit("TTL").alias("task_type"), F.lit(split).alias("split"), "text", F.col("label").cast("int").alias("label"), "label_text", F.lit("{}").alias("meta"))
 
 
-def longalpaca(raw: DataFrame) -> DataFrame:
-    """row_idx, instruction, output: the paper between its two marks, the question after them; rows without go."""
+def longalpaca(raw: DataFrame, blank: bool = False) -> DataFrame:
+    """row_idx, instruction, output: the paper between its two marks, the question after them; rows without go, and blank papers unless these are to stay."""
     begins, ends = "The paper begins.", "Now the paper ends."  # fixed marks of the format
     after = F.substring("instruction", F.locate(begins, F.col("instruction")) + len(begins), F.length("instruction"))
     parts = raw.where(F.locate(begins, F.col("instruction")) > 0).withColumn("after", after).where(F.locate(ends, F.col("after")) > 0)
     paper, tail = strip(F.substring_index("after", ends, 1)), strip(F.substring("after", F.locate(ends, F.col("after")) + len(ends), F.length("after")))
     question = strip(F.regexp_replace(tail, "(?i)^question:", ""))
-    found = parts.withColumns({"paper": paper, "question": question}).where("paper <> '' and question <> ''")
+    found = parts.withColumns({"paper": paper, "question": question}).where("question <> ''").where(F.lit(blank) | (F.col("paper") != ""))
     found = dense_index(found, "row_idx")  # ids count the rows kept
     return row(found, F.concat(F.lit("longalpaca-"), F.col("idx").cast("string")), "longalpaca", "AR", F.array("paper"), F.array(qa_item(F.col("question"), F.array("output"), F.array(F.lit(0)))))
 

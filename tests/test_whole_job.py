@@ -6,8 +6,9 @@ from collections import Counter
 
 import pytest
 
-from memloom.plans import corpus, scoring, spans_and_prompts  # noqa: F401
-from memloom.plans.registry import QUERIES
+from memloom.plans import adapted, corpus, scoring, spans_and_prompts  # noqa: F401
+from memloom.plans.registry import ORACLE, QUERIES
+from memloom.sources import adapters
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -192,3 +193,26 @@ def test_every_document_is_judged_against_every_item(run):
     assert order((r.doc_id, r.item_id, r.rule, r.em, r.f1) for r in run("aux_scores", **tables)) == order((i, j, normal(g) in normal(t or ""), normal(t or "") == normal(g), round(f1(t or "", g), 4)) for i, t, j, g in pairs)
     expected = order((i, j, round((commas if j % 5 == 0 else f1)(t or "", g), 6)) for i, t, j, g in pairs)
     assert order((r.doc_id, r.item_id, r.f1) for r in run("locomo_f1", **tables)) == expected
+
+
+# ---- adapt_longalpaca
+
+BLANK = ["One.", "", " \n\t", "Two\n\nand more.\n", "\n\n", " three ", "", "four", "\n"]
+
+
+def by_sql(name, folder):
+    import duckdb
+
+    with duckdb.connect() as duck:
+        duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+        return sorted(duck.execute(ORACLE[name]).fetchall())
+
+
+def test_blank_papers_stay_and_count(spark, run, tmp_path):
+    got = sorted(map(tuple, run("adapt_longalpaca", documents=documents(BLANK))))
+    assert len(got) == 6 and got == by_sql("adapt_longalpaca", tmp_path)
+    schema, rows = documents(BLANK)
+    nulls = run("adapt_longalpaca", documents=(schema, [(1, None, "en", "s", None), *rows[2:]]))
+    assert sorted((r.id, r.n_docs, r.question) for r in nulls) == [(r[0], r[2], r[4]) for r in got]
+    raw = spark.createDataFrame([(k, f"The paper begins.{t}Now the paper ends. why?", "so") for k, t in enumerate(BLANK)], "row_idx long, instruction string, output string")
+    assert sorted((r.id, r.memory_docs) for r in adapters.longalpaca(raw).collect()) == [(f"longalpaca-{n}", [t.strip()]) for n, t in enumerate(filter(str.strip, BLANK))]
