@@ -88,8 +88,8 @@ def longalpaca(raw: DataFrame, blank: bool = False) -> DataFrame:
     return row(found, F.concat(F.lit("longalpaca-"), F.col("idx").cast("string")), "longalpaca", "AR", F.array("paper"), F.array(qa_item(F.col("question"), F.array("output"), F.array(F.lit(0)))))
 
 
-def longalign(raw: DataFrame) -> DataFrame:
-    """id, messages(role, content): the first turn holds the text and, after its last blank line, the first question; later pairs follow."""
+def longalign(raw: DataFrame, blank: bool = False) -> DataFrame:
+    """id, messages(role, content): the first turn holds the text and, after its last blank line, the first question; later pairs follow. Rows with a blank text go, unless these are to stay."""
     first = F.col("messages")[0]["content"]
     question, whole = F.substring_index(first, "\n\n", -1), F.locate("\n\n", first) > 0
     body = F.left(first, F.length(first) - F.length(question) - 2)
@@ -97,7 +97,7 @@ def longalign(raw: DataFrame) -> DataFrame:
     later = F.when(F.size("messages") >= 4, F.sequence(F.lit(2), F.size("messages") - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
     good = lambda i: (message(i)["role"] == "user") & (message(i + 1)["role"] == "assistant") & (strip(message(i)["content"]) != "") & (strip(message(i + 1)["content"]) != "")
     pairs = F.transform(F.filter(later, good), lambda i: qa_item(message(i)["content"], F.array(message(i + 1)["content"])))
-    usable = raw.where(whole & (F.size("messages") >= 2)).where((strip(body) != "") & (strip(question) != ""))
+    usable = raw.where(whole & (F.size("messages") >= 2)).where((F.lit(blank) | (strip(body) != "")) & (strip(question) != ""))
     return row(usable, F.col("id"), "longalign", "AR", F.array(body), F.concat(F.array(qa_item(question, F.array(message(F.lit(1))["content"]))), pairs))
 
 

@@ -195,7 +195,7 @@ def test_every_document_is_judged_against_every_item(run):
     assert order((r.doc_id, r.item_id, r.f1) for r in run("locomo_f1", **tables)) == expected
 
 
-# ---- adapt_longalpaca
+# ---- adapt_longalpaca, adapt_longalign
 
 BLANK = ["One.", "", " \n\t", "Two\n\nand more.\n", "\n\n", " three ", "", "four", "\n"]
 
@@ -216,3 +216,13 @@ def test_blank_papers_stay_and_count(spark, run, tmp_path):
     assert sorted((r.id, r.n_docs, r.question) for r in nulls) == [(r[0], r[2], r[4]) for r in got]
     raw = spark.createDataFrame([(k, f"The paper begins.{t}Now the paper ends. why?", "so") for k, t in enumerate(BLANK)], "row_idx long, instruction string, output string")
     assert sorted((r.id, r.memory_docs) for r in adapters.longalpaca(raw).collect()) == [(f"longalpaca-{n}", [t.strip()]) for n, t in enumerate(filter(str.strip, BLANK))]
+
+
+def test_blank_texts_before_a_question_stay(spark, run, tmp_path):
+    got = sorted(map(tuple, run("adapt_longalign", documents=documents(BLANK))))
+    assert len(got) == len(BLANK) and got == by_sql("adapt_longalign", tmp_path)
+    schema, rows = documents(BLANK)
+    nulls = run("adapt_longalign", documents=(schema, [*rows[:3], (3, None, "en", "s", None), *rows[4:]]))
+    assert sorted((r.id, r.n, r.question) for r in nulls) == [(r[0], r[3], r[4]) for r in got]
+    raw = spark.createDataFrame([(str(k), [("user", f"{t}\n\nwhy?"), ("assistant", "so")]) for k, t in enumerate(BLANK)], "id string, messages array<struct<role:string,content:string>>")
+    assert sorted((r.id, r.memory_docs) for r in adapters.longalign(raw).collect()) == [(str(k), [t]) for k, t in enumerate(BLANK) if t.strip()]
